@@ -15,6 +15,13 @@ import duckdb
 from pyspark.sql import SparkSession
 
 from checks import oracle, registry
+from spokeworks.session import session
+
+LOCAL = {
+    "spark.master": "local[8]",
+    "spark.ui.enabled": "false",
+    "spark.sql.shuffle.partitions": "8",
+}
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -65,13 +72,7 @@ def difference(spark: SparkSession, con, sf_dir: str, name: str) -> str | None:
 
 
 def main(sf_dir: str = "/root/testdata/sf0.01", *only: str) -> int:
-    spark = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
-    )
+    spark = session("compare", LOCAL)
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle_connection(sf_dir)
     failed = 0

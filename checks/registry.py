@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +13,8 @@ from pyspark.sql import types as T
 from checks import views
 from spokeworks.operators.conform import key_violations
 from spokeworks.operators.staging import staging_path
-from spokeworks.plans import (
-    distance,
-    durations,
-    fleet,
-    ingest,
-    service_hours,
-    shares,
-    stations,
-    utilisation,
-    vehicles,
-)
+from spokeworks.plans import ingest
+from spokeworks.reports import REPORTS, Report, Study
 from spokeworks.schemas import (
     EBIKES,
     NUMBERED_TRIPS,
@@ -32,7 +24,6 @@ from spokeworks.schemas import (
     STATIONS,
     TRIPS,
     WEATHER,
-
     TripLayout,
 )
 from spokeworks.sources import tables
@@ -56,82 +47,61 @@ SEEN_BY = dt.datetime(2024, 1, 25)
 # Trips up to here are taken as stored, later ones as a new drop.
 STORED_UNTIL = dt.date(2024, 1, 15)
 
-EVENTS = [
+EVENTS = (
     (dt.date(2024, 1, 3), "scooters", "introduced"),
     (dt.date(2024, 1, 12), "scooters", "extended"),
     (dt.date(2024, 1, 12), "bikes", "fewer"),
     (dt.date(2024, 3, 1), "scooters", "out of range"),
-]
-
-
-def _on_trips(job: Callable[..., DataFrame], *args) -> Query:
-    return lambda spark, sf: job(views.trips(spark, sf), *args)
-
-
-def _on_trips_and_stations(job: Callable[..., DataFrame], *args) -> Query:
-    return lambda spark, sf: job(views.trips(spark, sf), views.stations(spark, sf), *args)
-
-
-def _on_locations(job: Callable[..., DataFrame], *args) -> Query:
-    return lambda spark, sf: job(views.bike_locations(spark, sf), *args)
-
-
-def _utilisation(then: Callable[[DataFrame], DataFrame] = lambda df: df) -> Query:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return then(
-            utilisation.daily_utilisation(
-                views.trips(spark, sf), views.weather(spark, sf), FIRST, LAST
-            )
-        )
+)
 
-    return run
 
+@dataclass(frozen=True)
+class Views:
+    """The driver's tables in the role of the tables the reports read."""
 
-def _measured(then: Callable[[DataFrame], DataFrame]) -> Query:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return then(
-            distance.trip_distance_speed(views.trips(spark, sf), views.stations(spark, sf), FIRST)
-        )
+    spark: SparkSession
+    sf_dir: str
 
-    return run
+    def trips(self) -> DataFrame:
+        return views.trips(self.spark, self.sf_dir)
 
+    def stations(self) -> DataFrame:
+        return views.stations(self.spark, self.sf_dir)
 
-def _trip_distance_speed(spark: SparkSession, sf: str) -> DataFrame:
-    return distance.trip_distance_speed(
-        views.trips(spark, sf), views.stations(spark, sf), FIRST, keep=("trip_id",)
-    )
+    def weather(self) -> DataFrame:
+        return views.weather(self.spark, self.sf_dir)
 
+    def service_hours(self) -> DataFrame:
+        return views.service_hours(self.spark, self.sf_dir)
 
-def _hours(then: Callable[[DataFrame], DataFrame] = lambda df: df) -> Query:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return then(
-            service_hours.trips_by_service_hours(
-                views.trips(spark, sf), views.service_hours(spark, sf), FIRST
-            )
-        )
+    def bike_locations(self) -> DataFrame:
+        return views.bike_locations(self.spark, self.sf_dir)
 
-    return run
+    def second_trips(self) -> DataFrame:
+        return views.long_trips(self.spark, self.sf_dir)
 
+    def ebikes(self) -> DataFrame:
+        return _build_ebike_table(self.spark, self.sf_dir)
 
-def _ebikes(spark: SparkSession, sf: str) -> DataFrame:
-    return fleet.first_seen_in_window(views.long_trips(spark, sf), EBIKE_FIRST, EBIKE_LAST)
 
-
-def _ebike_fleet_calendar(spark: SparkSession, sf: str) -> DataFrame:
-    return fleet.ebike_fleet_calendar(
-        views.long_trips(spark, sf), _ebikes(spark, sf), LONG_FIRST, LONG_LAST
-    )
-
-
-def _apportioned(spark: SparkSession, sf: str) -> DataFrame:
-    daily = vehicles.daily_vehicle_kinds(views.bike_locations(spark, sf), PROVIDER, BIKES_BEFORE)
-    return vehicles.vehicle_kinds_apportioned(daily)
+STUDY = Study(
+    first=FIRST,
+    last=LAST,
+    fleet_first=FIRST,
+    fleet_last=LAST,
+    second_first=LONG_FIRST,
+    second_last=LONG_LAST,
+    ebike_first=EBIKE_FIRST,
+    ebike_last=EBIKE_LAST,
+    provider=PROVIDER,
+    bikes_before=BIKES_BEFORE,
+    seen_by=SEEN_BY,
+    events=EVENTS,
+)
 
 
-def _long_events(spark: SparkSession, sf: str) -> DataFrame:
-    return vehicles.vehicle_kinds_long_events(
-        _apportioned(spark, sf), vehicles.timeline(spark, EVENTS)
-    )
+def _reported(report: Report) -> Query:
+    return lambda spark, sf: report(Views(spark, sf), STUDY)
 
 
 # --- ingest: Spark first writes a driver table the way a raw drop would look -------
@@ -258,47 +228,9 @@ def _station_key_check(spark: SparkSession, sf: str) -> DataFrame:
     return key_violations(views.trips(spark, sf), ["bike_number", "start_station"])
 
 
-_TYPED: dict[str, Query] = {
-    "avg_duration_by_date": _on_trips(durations.avg_duration_by_date, FIRST),
-    "avg_duration_by_dow": _on_trips(durations.avg_duration_by_dow, FIRST),
-    "avg_duration_by_date_members": _on_trips(durations.avg_duration_by_date, FIRST, "Member"),
-    "monthly_basic_stats": _on_trips(durations.monthly_basic_stats, FIRST),
-    "casual_trips_by_station": _on_trips_and_stations(stations.trips_by_station, FIRST, "Casual"),
-    "member_trips_by_station": _on_trips_and_stations(stations.trips_by_station, FIRST, "Member"),
-    "same_station_share": _on_trips(durations.same_station_share, FIRST),
-    "same_station_duration_stats": _on_trips(durations.same_station_duration_stats, FIRST),
-    "same_station_duration_hist": _on_trips(durations.same_station_duration_hist, FIRST),
-    "same_station_duration_cdf": _on_trips(durations.same_station_duration_cdf, FIRST),
-    "daily_fleet_calendar": _on_trips(fleet.daily_fleet_calendar, FIRST, LAST),
-    "daily_fleet_trip_days": _on_trips(fleet.daily_fleet_trip_days, FIRST),
-    "ebike_fleet_calendar": _ebike_fleet_calendar,
-    "first_seen_in_window": _ebikes,
-    "daily_utilisation": _utilisation(),
-    "trips_per_fleet_bike_long": _utilisation(utilisation.trips_per_fleet_bike_long),
-    "trips_per_used_bike_long": _utilisation(utilisation.trips_per_used_bike_long),
-    "overall_trips_per_bike": _utilisation(utilisation.overall_trips_per_bike),
-    "daily_share_of_total": _on_trips(shares.daily_share_of_total, FIRST),
-    "daily_share_long": _on_trips(
-        lambda t: shares.daily_share_long(shares.daily_share_of_total(t, FIRST))
-    ),
-    "fleet_vs_trip_share": _on_trips(shares.fleet_vs_trip_share, FIRST, LAST),
-    "fleet_vs_trip_share_long": _on_trips(
-        lambda t: shares.fleet_vs_trip_share_long(shares.fleet_vs_trip_share(t, FIRST, LAST))
-    ),
-    "trip_distance_speed": _trip_distance_speed,
-    "avg_distance_speed_by_type": _measured(distance.avg_distance_speed_by_type),
-    "daily_distance_speed": _measured(distance.daily_distance_speed),
-    "density_curves": _measured(distance.density_curves),
-    "top_routes": _on_trips_and_stations(stations.top_routes, FIRST),
-    "trips_by_service_hours": _hours(),
-    "service_hours_share": _hours(service_hours.service_hours_share),
-    "daily_vehicle_kinds": _on_locations(vehicles.daily_vehicle_kinds, PROVIDER, BIKES_BEFORE),
-    "vehicle_kinds_apportioned": _apportioned,
-    "vehicle_kinds_long_events": _long_events,
-    "total_scooters": _on_locations(vehicles.total_scooters),
-    "total_vehicles": _on_locations(vehicles.total_vehicles, PROVIDER),
-    "avg_vehicle_age": _on_locations(vehicles.avg_vehicle_age, PROVIDER, SEEN_BY),
-    "first_trip_per_bike": _on_trips(durations.first_trip_per_bike),
+# Results in their own types.
+TYPED: dict[str, Query] = {
+    **{name: _reported(report) for name, report in REPORTS.items()},
     "ingest_station_number_layout": _ingest_station_number_layout,
     "ingest_station_id_layout": _ingest_station_id_layout,
     "append_trips": _append_trips,
@@ -335,5 +267,5 @@ def comparable(df: DataFrame) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         name: (lambda spark, sf, run=run: comparable(run(spark, sf)))
-        for name, run in _TYPED.items()
+        for name, run in TYPED.items()
     }

@@ -53,6 +53,6 @@ def mean_seconds(us: Column) -> Column:
     depend on row order, and a trillion trips stay far from an overflow that a
     plain BIGINT sum of microseconds would meet.
     """
-    whole = F.sum(F.floor(us / US_PER_SECOND))
-    rest = F.sum(F.pmod(us, F.lit(US_PER_SECOND)))
-    return F.try_divide(whole + rest / US_PER_SECOND, F.count(us))
+    rest = F.pmod(us, F.lit(US_PER_SECOND))
+    whole = ((us - rest) / US_PER_SECOND).cast("bigint")
+    return F.try_divide(F.sum(whole) + F.sum(rest) / US_PER_SECOND, F.count(us))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +18,8 @@ def fits_broadcast(
 ) -> bool:
     """Measure ``dim``: at most ``max_rows`` rows and ``max_bytes`` of values.
 
-    Looks at no more than ``max_rows + 1`` rows, so the check stays cheap on a
-    dimension that turns out to be huge.
+    One distributed aggregate; each task reports two numbers, however large
+    the dimension turns out to be.
     """
     width = F.lit(0).cast("bigint")
     for f in dim.schema:
@@ -28,7 +27,7 @@ def fits_broadcast(
             width = width + F.coalesce(F.octet_length(f.name), F.lit(0)) + 16
         else:
             width = width + 16
-    seen = dim.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("b")).first()
+    seen = dim.agg(F.count("*").alias("n"), F.sum(width).alias("b")).first()
     return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
 
 
@@ -38,14 +37,14 @@ def attach(
     keys: dict[str, str],
     residual: Column | None = None,
     *,
-    small: Callable[[DataFrame], bool] = fits_broadcast,
+    small: bool | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """``facts LEFT JOIN dim`` on ``facts.k = dim.v`` for each pair in ``keys``.
 
     The columns of ``dim`` must be named apart from those of ``facts``; its key
-    columns are kept. A dimension that passes ``small`` is broadcast and the
-    facts are not moved. Otherwise the facts are spread over ``salts`` slices
+    columns are kept. A ``small`` dimension is broadcast and the facts are not
+    moved; unless the caller has measured it, it is measured here. Otherwise the facts are spread over ``salts`` slices
     per key, against one copy of the dimension per slice, so that one hot key
     is shared by many tasks. The slice comes from the row's own values: a
     task that runs again sends its rows to the same place.
@@ -53,7 +52,7 @@ def attach(
     on = [F.col(k) == F.col(v) for k, v in keys.items()]
     if residual is not None:
         on.append(residual)
-    if small(dim):
+    if fits_broadcast(dim) if small is None else small:
         return facts.join(F.broadcast(dim), reduce(Column.__and__, on), "left")
 
     slice_of = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")

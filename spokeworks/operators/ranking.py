@@ -47,7 +47,9 @@ def running_share(
     inside = Window.partitionBy(group, "_bucket").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_in"))
+    # Null-safe on both keys: no "is not null" is then pushed into one side only, and
+    # Spark sees that both sides can share one scan and shuffle of ``df``.
+    same = F.col(group).eqNullSafe(F.col("_group")) & F.col("_bucket").eqNullSafe(F.col("_in"))
     return (
         rows.withColumn("_run", F.sum(value).over(inside))
         .join(buckets, same)

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from spokeworks.functions.classify import trip_type
 from spokeworks.functions.durations import US_PER_HOUR, day_of_week, time_of_day_us
-from spokeworks.operators.lookup import attach, fits_broadcast
+from spokeworks.operators.lookup import attach
 from spokeworks.plans.selections import since
 from spokeworks.schemas import SERVICE_STATUS_LABELS
 
 
 def trips_by_service_hours(
-    trips: DataFrame, service_hours: DataFrame, first: dt.date, small=fits_broadcast
+    trips: DataFrame, service_hours: DataFrame, first: dt.date, small: bool | None = None
 ) -> DataFrame:
     """``trip_type, day_of_week, op_status, type_total, trips`` of Monday to Friday.
 

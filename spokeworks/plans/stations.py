@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spokeworks.functions.classify import known_bike_type
 from spokeworks.functions.geo import great_circle_miles
-from spokeworks.operators.lookup import attach
+from spokeworks.operators.lookup import attach, fits_broadcast
 from spokeworks.operators.ranking import top_n
 from spokeworks.plans.selections import by_member_type, forward, since
 
@@ -47,12 +47,16 @@ def end_points(stations: DataFrame, side: str, *columns: str) -> DataFrame:
     )
 
 
-def with_end_points(trips: DataFrame, stations: DataFrame, *columns: str) -> DataFrame:
+def with_end_points(
+    trips: DataFrame, stations: DataFrame, *columns: str, small: bool | None = None
+) -> DataFrame:
     """Add station ``columns`` for both ends; an unknown station leaves NULLs."""
+    small = fits_broadcast(stations.select("short_name", *columns)) if small is None else small
     out = trips
     for side in ("start", "end"):
         points = end_points(stations, side, *columns)
-        out = attach(out, points, {f"{side}_station": f"_{side}"}).drop(f"_{side}")
+        keys = {f"{side}_station": f"_{side}"}
+        out = attach(out, points, keys, small=small).drop(f"_{side}")
     return out
 
 

@@ -13,8 +13,15 @@ from spokeworks.operators.reshape import stack_rows
 KIND_PATH = "$.attributes.vehicle_type"
 
 
+def _with_kind(locations: DataFrame) -> DataFrame:
+    """The location columns in use, with the document parsed once per row."""
+    return locations.select(
+        "created", "bike_id", "provider", F.get_json_object("raw", KIND_PATH).alias("kind")
+    )
+
+
 def _tagged(kind: str) -> Column:
-    return F.coalesce(F.get_json_object("raw", KIND_PATH) == kind, F.lit(False))
+    return F.coalesce(F.col("kind") == kind, F.lit(False))
 
 
 def daily_vehicle_kinds(locations: DataFrame, provider: str, bikes_before: dt.date) -> DataFrame:
@@ -28,7 +35,8 @@ def daily_vehicle_kinds(locations: DataFrame, provider: str, bikes_before: dt.da
     shuffle, so a vehicle's window holds its days, however often it reports.
     """
     per_day = (
-        locations.where(F.col("provider") == provider)
+        _with_kind(locations)
+        .where(F.col("provider") == provider)
         .groupBy(F.to_date("created").alias("date"), "bike_id")
         .agg(
             F.bool_or(_tagged("bike")).alias("bike"),
@@ -94,7 +102,8 @@ def vehicle_kinds_long_events(apportioned: DataFrame, events: DataFrame) -> Data
 
 def total_scooters(locations: DataFrame) -> DataFrame:
     """One row: vehicles of any provider ever tagged as scooter."""
-    return locations.where(_tagged("scooter")).agg(F.countDistinct("bike_id").alias("scooters"))
+    tagged = _with_kind(locations).where(F.col("kind") == "scooter")
+    return tagged.agg(F.countDistinct("bike_id").alias("scooters"))
 
 
 def total_vehicles(locations: DataFrame, provider: str) -> DataFrame:
@@ -113,7 +122,8 @@ def avg_vehicle_age(locations: DataFrame, provider: str, first_seen_by: dt.datet
     """
     seen = F.when(F.col("provider") == provider, F.col("created"))
     return (
-        locations.where(F.col("bike_id").isNotNull())
+        _with_kind(locations)
+        .where(F.col("bike_id").isNotNull())
         .groupBy("bike_id")
         .agg(
             F.min(seen).alias("first_seen"),

@@ -1,0 +1,76 @@
+"""Small literal frames and plan text for the tests."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+
+from spokeworks.schemas import DEVICE_LOCATIONS, SERVICE_HOURS, STATIONS, TRIPS
+
+DAY = dt.date(2018, 9, 10)  # a Monday
+
+
+def at(text: str, day: dt.date = DAY) -> dt.datetime:
+    return dt.datetime.combine(day, dt.time.fromisoformat(text))
+
+
+def trip(
+    start,
+    end=None,
+    bike="W1",
+    member="Member",
+    start_station="a",
+    end_station="b",
+):
+    start = dt.datetime.fromisoformat(start) if isinstance(start, str) else start
+    end = dt.datetime.fromisoformat(end) if isinstance(end, str) else end
+    end = end or start + dt.timedelta(minutes=10)
+    return (int((end - start).total_seconds()), start, end, start_station, end_station, bike, member)
+
+
+def trips(spark: SparkSession, *rows) -> DataFrame:
+    return spark.createDataFrame(list(rows), TRIPS)
+
+
+def stations(spark: SparkSession, *rows) -> DataFrame:
+    """Rows of ``short_name, name, lat, lon``."""
+    full = [(10, lat, lon, name, 1, key, i) for i, (key, name, lat, lon) in enumerate(rows)]
+    return spark.createDataFrame(full, STATIONS)
+
+
+def hours(spark: SparkSession, *rows) -> DataFrame:
+    """Rows of ``day_of_week, start second, end second, status``."""
+    us = [(d, int(a * 1_000_000), int(b * 1_000_000), s) for d, a, b, s in rows]
+    return spark.createDataFrame(us, SERVICE_HOURS)
+
+
+def locations(spark: SparkSession, *rows) -> DataFrame:
+    """Rows of ``created, bike_id, provider, kind or None``."""
+    full = [
+        (
+            dt.datetime.fromisoformat(created),
+            bike,
+            provider,
+            '{"attributes":{"vehicle_type":"%s"}}' % kind if kind else '{"attributes":{}}',
+        )
+        for created, bike, provider, kind in rows
+    ]
+    return spark.createDataFrame(full, DEVICE_LOCATIONS)
+
+
+def dicts(df: DataFrame) -> list[dict]:
+    return [r.asDict() for r in df.collect()]
+
+
+def by(df: DataFrame, *key: str) -> dict:
+    """Rows by key: the bare value of a single key, else a tuple."""
+    out = {}
+    for r in dicts(df):
+        k = tuple(r[c] for c in key)
+        out[k[0] if len(key) == 1 else k] = r
+    return out
+
+
+def plan(df: DataFrame) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
