@@ -75,7 +75,8 @@ def read_delimited(
     """A delimited export with a header, in the target table's types.
 
     The header must name the table's columns; a value that does not fit its type is an
-    error.
+    error. A bare gap is NULL, ``""`` is an empty text: bikes without a number and bikes
+    with an empty one are different things.
     """
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     scan = (
@@ -84,6 +85,7 @@ def read_delimited(
         .option("enforceSchema", False)
         .option("sep", sep)
         .option("escape", '"')
+        .option("nullValue", "\\N")
         .csv(path)
     )
     return conform(scan, schema)
