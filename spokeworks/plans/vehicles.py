@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spokeworks.functions.durations import elapsed_us, mean_seconds
-from spokeworks.operators.reshape import stack_rows
+from spokeworks.operators.reshape import literal_rows, stack_rows
 
 KIND_PATH = "$.attributes.vehicle_type"
 
 
 def _with_kind(locations: DataFrame) -> DataFrame:
-    """The location columns in use, with the document parsed once per row."""
-    return locations.select(
-        "created", "bike_id", "provider", F.get_json_object("raw", KIND_PATH).alias("kind")
-    )
+    """The location columns in use, with the document parsed at most once per row.
+
+    A document without the tag's name is not parsed. A backslash may spell the name in
+    another way, so such documents are parsed as well.
+    """
+    raw = F.col("raw")
+    may_have = raw.contains("vehicle_type") | raw.contains("\\")
+    kind = F.when(may_have, F.get_json_object(raw, KIND_PATH))
+    return locations.select("created", "bike_id", "provider", kind.alias("kind"))
 
 
 def _tagged(kind: str) -> Column:
@@ -76,16 +82,13 @@ def vehicle_kinds_apportioned(daily: DataFrame) -> DataFrame:
     return daily.select("date", spread("bikes"), spread("scooters"))
 
 
-def timeline(spark: SparkSession, events: list[tuple[dt.date, str, str]]) -> DataFrame:
-    """A short literal list of ``date, vehicle, event``."""
-    return spark.createDataFrame(events, "date DATE, vehicle STRING, event STRING")
-
-
-def vehicle_kinds_long_events(apportioned: DataFrame, events: DataFrame) -> DataFrame:
+def vehicle_kinds_long_events(
+    apportioned: DataFrame, events: Sequence[tuple[dt.date, str, str]]
+) -> DataFrame:
     """``date, vehicle, on_street, event``; '' where nothing happened.
 
-    ``events`` is a ``timeline``. Both sides hold a few rows per calendar day,
-    and the join type is left to Spark.
+    ``events`` is a written-out list of ``(date, vehicle, event)``, which is why it may
+    be broadcast.
     """
     long = stack_rows(
         apportioned,
@@ -95,7 +98,8 @@ def vehicle_kinds_long_events(apportioned: DataFrame, events: DataFrame) -> Data
             for kind in ("bikes", "scooters")
         ],
     )
-    return long.join(events, ["date", "vehicle"], "left").withColumn(
+    noted = literal_rows(apportioned.sparkSession, ["date", "vehicle", "event"], events)
+    return long.join(F.broadcast(noted), ["date", "vehicle"], "left").withColumn(
         "event", F.coalesce("event", F.lit(""))
     )
 

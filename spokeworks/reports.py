@@ -150,7 +150,7 @@ REPORTS: dict[str, Report] = {
     "daily_vehicle_kinds": _kinds,
     "vehicle_kinds_apportioned": _apportioned,
     "vehicle_kinds_long_events": lambda t, s: vehicles.vehicle_kinds_long_events(
-        _apportioned(t, s), vehicles.timeline(t.spark, list(s.events))
+        _apportioned(t, s), s.events
     ),
     "total_scooters": lambda t, s: vehicles.total_scooters(t.bike_locations()),
     "total_vehicles": lambda t, s: vehicles.total_vehicles(t.bike_locations(), s.provider),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spokeworks.operators.conform import conform, fill_missing, lower_names
+from spokeworks.operators.reshape import literal_rows
 from spokeworks.schemas import (
     DEFAULT_REGION_ID,
     REGION_CODES,
@@ -56,7 +57,7 @@ def read_region_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 def region_codes(spark: SparkSession) -> DataFrame:
     """``name, code`` of the known regions."""
-    return spark.createDataFrame(list(REGION_CODES.items()), "name STRING, code STRING")
+    return literal_rows(spark, ["name", "code"], list(REGION_CODES.items()))
 
 
 def read_weather(

@@ -16,6 +16,7 @@ from spokeworks.plans import (
     vehicles,
 )
 from spokeworks.plans import stations as ranking
+from spokeworks.schemas import DEVICE_LOCATIONS
 
 D = dt.date
 
@@ -324,7 +325,7 @@ def test_vehicle_kinds(spark):
         D(2018, 3, 13): (2, 0),
         D(2018, 3, 14): (None, None),
     }
-    events = vehicles.timeline(spark, [(D(2018, 3, 13), "bikes", "more"), (DAY, "bikes", "no")])
+    events = [(D(2018, 3, 13), "bikes", "more"), (DAY, "bikes", "no")]
     long = by(vehicles.vehicle_kinds_long_events(shared, events), "date", "vehicle")
     assert len(long) == 8
     assert long[D(2018, 3, 13), "bikes"]["event"] == "more"
@@ -333,6 +334,17 @@ def test_vehicle_kinds(spark):
     assert vehicles.total_vehicles(df, "p").first()["vehicles"] == 3
 
 
+def test_a_tag_counts_however_its_name_is_spelt(spark):
+    rows = [
+        (dt.datetime(2018, 3, 12), "a", "p", '{"attributes":{"vehicle\\u005ftype":"scooter"}}'),
+        (dt.datetime(2018, 3, 12), "b", "p", '{"attributes": {"vehicle_type": "scooter"}}'),
+        (dt.datetime(2018, 3, 12), "c", "p", '{"vehicle_type":"scooter"}'),
+        (dt.datetime(2018, 3, 12), "d", "p", None),
+    ]
+    df = spark.createDataFrame(rows, DEVICE_LOCATIONS)
+    assert vehicles.total_scooters(df).first()["scooters"] == 2
+
+
 def test_vehicle_age_takes_tags_of_any_provider(spark):
     df = locations(
         spark,
