@@ -107,28 +107,40 @@ def _reported(report: Report) -> Query:
 # --- ingest: Spark first writes a driver table the way a raw drop would look -------
 
 
-def _write_drop(trips: DataFrame, layout: TripLayout, label: str) -> str:
+_STATION_NUMBER_HEADER = [
+    "Duration", "Start date", "End date", "Start station number", "Start station",
+    "End station number", "End station", "Bike number", "Member type",
+]
+_STATION_ID_HEADER = [
+    "tripduration", "starttime", "stoptime", "start station id", "start station name",
+    "start station latitude", "start station longitude", "end station id", "end station name",
+    "end station latitude", "end station longitude", "bikeid", "usertype", "birth year", "gender",
+]
+
+
+def _write_drop(trips: DataFrame, layout: TripLayout, header: list[str]) -> str:
     """CSV files whose name and row order is the order of ``trip_id``."""
-    path = staging_path(trips.sparkSession, label)
-    source_of = {source: name for name, source in layout.columns.items()}
+    path = staging_path(trips.sparkSession, "drop")
+    source_of = {source: name for name, source in layout.columns(header).items()}
     ordered = trips.repartitionByRange("trip_id").sortWithinPartitions("trip_id")
     ordered.select(
         *[
             F.col(source_of[h]).cast("string").alias(h) if h in source_of else F.lit("x").alias(h)
-            for h in layout.header
+            for h in header
         ]
     ).write.option("header", True).csv(path)
     return path
 
 
 def _ingest_station_number_layout(spark: SparkSession, sf: str) -> DataFrame:
-    drop = _write_drop(views.trips(spark, sf), STATION_NUMBER_LAYOUT, "drop")
+    drop = _write_drop(views.trips(spark, sf), STATION_NUMBER_LAYOUT, _STATION_NUMBER_HEADER)
     return read_trips(spark, drop, STATION_NUMBER_LAYOUT)
 
 
 def _ingest_station_id_layout(spark: SparkSession, sf: str) -> DataFrame:
     trips = views.long_trips(spark, sf).withColumn("trip_id", F.col("start_date"))
-    return read_trips(spark, _write_drop(trips, STATION_ID_LAYOUT, "drop"), STATION_ID_LAYOUT)
+    drop = _write_drop(trips, STATION_ID_LAYOUT, _STATION_ID_HEADER)
+    return read_trips(spark, drop, STATION_ID_LAYOUT)
 
 
 def _append_trips(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +149,7 @@ def _append_trips(spark: SparkSession, sf: str) -> DataFrame:
     stored = trips.where(F.col("start_date") < F.lit(STORED_UNTIL))
     tables.append_table(stored, table, NUMBERED_TRIPS)
     new = trips.where(F.col("start_date") >= F.lit(STORED_UNTIL))
-    ingest.append_trips(spark, _write_drop(new, STATION_NUMBER_LAYOUT, "drop"), table)
+    ingest.append_trips(spark, _write_drop(new, STATION_NUMBER_LAYOUT, _STATION_NUMBER_HEADER), table)
     return tables.read_table(spark, table, NUMBERED_TRIPS)
 
 

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Iterable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,13 +69,20 @@ def ingest_trips_by_year(
 ) -> None:
     """Store the CSVs whose file name holds one of ``years``, one partition per year.
 
-    All years are written by one job. A rerun replaces the years it covers.
+    All years are written by one job. A rerun replaces the years it covers. A year
+    without files is left out.
     """
-    parts = [
-        read_trips(spark, path, layout, year).withColumn("file_year", F.lit(year))
-        for year in years
-    ]
-    replace_partitions(reduce(DataFrame.unionByName, parts), table, TRIPS, "file_year")
+    parts = []
+    for year in years:
+        try:
+            trips = read_trips(spark, path, layout, year)
+        except AnalysisException as e:
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            continue
+        parts.append(trips.withColumn("file_year", F.lit(year)))
+    if parts:
+        replace_partitions(reduce(DataFrame.unionByName, parts), table, TRIPS, "file_year")
 
 
 def merge_stations(snapshot: DataFrame, stored: DataFrame) -> DataFrame:

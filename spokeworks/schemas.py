@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -98,67 +98,37 @@ WEATHER = T.StructType([T.StructField(f.name.lower(), f.dataType) for f in WEATH
 
 @dataclass(frozen=True)
 class TripLayout:
-    """Header of a trip CSV, and which of its columns become which trip column."""
-
-    header: tuple[str, ...]
-    columns: dict[str, str] = field(hash=False)
-
-    def source_schema(self) -> T.StructType:
-        return T.StructType([T.StructField(name, T.StringType()) for name in self.header])
-
-
-# The nine-column layout; the two station-name columns are dropped.
-STATION_NUMBER_LAYOUT = TripLayout(
-    header=(
-        "Duration",
-        "Start date",
-        "End date",
-        "Start station number",
-        "Start station",
-        "End station number",
-        "End station",
-        "Bike number",
-        "Member type",
-    ),
-    columns={
-        "duration": "Duration",
-        "start_date": "Start date",
-        "end_date": "End date",
-        "start_station": "Start station number",
-        "end_station": "End station number",
-        "bike_number": "Bike number",
-        "member_type": "Member type",
-    },
-)
+    """Which columns of a trip CSV become the trip columns, in their order.
+
+    Either ``kept`` names all of them, or they are what is left without ``dropped``.
+    """
+
+    kept: tuple[str, ...] = ()
+    dropped: tuple[str, ...] = ()
+
+    def columns(self, header: list[str]) -> dict[str, str]:
+        """Trip column to CSV column."""
+        source = list(self.kept) or [h for h in header if h not in self.dropped]
+        lacking = {*self.kept, *self.dropped} - set(header)
+        if lacking or len(source) != len(TRIPS):
+            raise ValueError(f"the header {header} does not fit {self}")
+        return dict(zip(TRIPS.names, source, strict=True))
+
+
+# The two station-name columns that are dropped from the first layout.
+STATION_NUMBER_LAYOUT = TripLayout(dropped=("Start station", "End station"))
 
-# The fifteen-column layout; seven named columns are kept.
+# The seven columns that are kept of the second layout.
 STATION_ID_LAYOUT = TripLayout(
-    header=(
+    kept=(
         "tripduration",
         "starttime",
         "stoptime",
         "start station id",
-        "start station name",
-        "start station latitude",
-        "start station longitude",
         "end station id",
-        "end station name",
-        "end station latitude",
-        "end station longitude",
         "bikeid",
         "usertype",
-        "birth year",
-        "gender",
-    ),
-    columns={
-        "duration": "tripduration",
-        "start_date": "starttime",
-        "end_date": "stoptime",
-        "start_station": "start station id",
-        "end_station": "end station id",
-        "bike_number": "bikeid",
-        "member_type": "usertype",
-    },
+    )
 )
 
 # --- fixed values ----------------------------------------------------------

@@ -14,10 +14,21 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# First number of shuffle partitions per core of the cluster, before merging.
+PARTITIONS_PER_CORE = 4
+
 
 def session(app: str, extra: dict[str, str] | None = None) -> SparkSession:
-    """A session with ``SETTINGS`` and ``extra``; the master comes from the submitter."""
+    """A session with ``extra`` settings, and ``SETTINGS`` where the submitter set none."""
     builder = SparkSession.builder.appName(app)
-    for key, value in {**SETTINGS, **(extra or {})}.items():
+    for key, value in (extra or {}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in SETTINGS.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
+    if not given.contains("spark.sql.shuffle.partitions"):
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.shuffle.partitions", str(cores * PARTITIONS_PER_CORE))
+    return spark

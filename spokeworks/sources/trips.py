@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.operators.rowids import with_file_position
+from spokeworks.operators.rowids import BLOCK, FILE, SEQUENCE, with_file_position
 from spokeworks.schemas import STATION_NUMBER_LAYOUT, TRIPS, TripLayout
 
 
@@ -17,29 +17,26 @@ def parse_timestamp(text: Column) -> Column:
     ).otherwise(text.cast("timestamp_ntz"))
 
 
-def scan_trip_files(
-    spark: SparkSession, path: str, layout: TripLayout, year: int | None = None
-) -> DataFrame:
+def scan_trip_files(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
     """Text columns of all CSVs in ``path``, or of those with ``year`` in their name.
 
-    A file whose header differs from the layout is an error, not a
-    silent shift of columns.
+    The first file's header names the columns. A file with another header is an
+    error, not a silent shift of columns.
     """
-    reader = (
-        spark.read.schema(layout.source_schema())
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("escape", '"')
-        .option("pathGlobFilter", f"*{year}*.csv" if year is not None else "*.csv")
-    )
-    return reader.csv(path)
+    options = {
+        "header": True,
+        "escape": '"',
+        "pathGlobFilter": f"*{year}*.csv" if year is not None else "*.csv",
+    }
+    header = spark.read.options(**options).csv(path).schema
+    return spark.read.schema(header).options(**options, enforceSchema=False).csv(path)
 
 
-def to_trips(scan: DataFrame, layout: TripLayout, *extra: str) -> DataFrame:
-    """Typed trip columns from a layout's text columns; ``extra`` columns are passed on."""
+def to_trips(scan: DataFrame, columns: dict[str, str], *extra: str) -> DataFrame:
+    """Typed trip columns; ``columns`` maps them to text columns. ``extra`` is passed on."""
 
     def typed(name: str) -> Column:
-        text = F.col(f"`{layout.columns[name]}`")
+        text = F.col(f"`{columns[name]}`")
         kind = TRIPS[name].dataType
         value = parse_timestamp(text) if name in ("start_date", "end_date") else text.cast(kind)
         return value.alias(name)
@@ -53,13 +50,14 @@ def read_trips(
     layout: TripLayout = STATION_NUMBER_LAYOUT,
     year: int | None = None,
 ) -> DataFrame:
-    return to_trips(scan_trip_files(spark, path, layout, year), layout)
+    scan = scan_trip_files(spark, path, year)
+    return to_trips(scan, layout.columns(scan.columns))
 
 
 def read_positioned_trips(
     spark: SparkSession, path: str, layout: TripLayout = STATION_NUMBER_LAYOUT
 ) -> DataFrame:
     """``read_trips`` with each row's place in the files (see ``number_rows``)."""
-    scan = scan_trip_files(spark, path, layout)
+    scan = scan_trip_files(spark, path)
     placed = with_file_position(scan)
-    return to_trips(placed, layout, *placed.columns[len(scan.columns) :])
+    return to_trips(placed, layout.columns(scan.columns), FILE, BLOCK, SEQUENCE)

@@ -7,13 +7,13 @@ import pytest
 from helpers import by, dicts, stations, trip, trips
 from pyspark.sql import functions as F
 
+from checks import registry
 from spokeworks import jobs
 from spokeworks.plans import ingest
 from spokeworks.schemas import (
     NUMBERED_TRIPS,
     REGIONS,
     STATION_ID_LAYOUT,
-    STATION_NUMBER_LAYOUT,
     STATIONS,
     TRIPS,
     WEATHER,
@@ -33,7 +33,11 @@ from spokeworks.sources.trips import read_trips
 D = dt.date
 
 
-def write_drop(folder, name, rows, header=STATION_NUMBER_LAYOUT.header):
+NUMBER_HEADER = registry._STATION_NUMBER_HEADER
+ID_HEADER = registry._STATION_ID_HEADER
+
+
+def write_drop(folder, name, rows, header=NUMBER_HEADER):
     folder.mkdir(exist_ok=True)
     lines = [",".join(f'"{h}"' for h in header)]
     lines += [",".join(f'"{v}"' if v is not None else "" for v in row) for row in rows]
@@ -62,13 +66,28 @@ def test_read_first_layout(spark, tmp_path):
 
 
 def test_a_different_header_is_an_error(spark, tmp_path):
-    header = list(STATION_NUMBER_LAYOUT.header)
+    header = list(NUMBER_HEADER)
     header[3], header[4] = header[4], header[3]
-    write_drop(tmp_path / "d", "a.csv", numbered(0, 1), header)
+    write_drop(tmp_path / "d", "a.csv", numbered(0, 1))
+    write_drop(tmp_path / "d", "b.csv", numbered(1, 1), header)
     with pytest.raises(Exception, match="header"):
         read_trips(spark, str(tmp_path / "d")).collect()
 
 
+def test_columns_are_renamed_by_place_or_picked_by_name(spark, tmp_path):
+    names = ["Total (ms)", "Start", "End", "From", "Start station", "To", "End station", "Bike", "Who"]
+    write_drop(tmp_path / "a", "a.csv", numbered(5, 1), names)
+    assert read_trips(spark, str(tmp_path / "a")).first()["bike_number"] == "W5"
+    turned = [*ID_HEADER[::-1], "more"]
+    rows = [(*citi_row("2013-07-01 00:00:00", 9)[::-1], "x")]
+    write_drop(tmp_path / "b", "b.csv", rows, turned)
+    row = read_trips(spark, str(tmp_path / "b"), STATION_ID_LAYOUT).first()
+    assert (row["bike_number"], row["start_station"]) == ("9", "1")
+    write_drop(tmp_path / "c", "c.csv", [(1, 2)], ["a", "b"])
+    with pytest.raises(ValueError, match="does not fit"):
+        read_trips(spark, str(tmp_path / "c"))
+
+
 def test_ids_follow_file_names_then_rows_and_continue(spark, tmp_path):
     write_drop(tmp_path / "one", "201810.csv", numbered(700, 400))
     write_drop(tmp_path / "one", "201809.csv", numbered(0, 700))
@@ -96,13 +115,13 @@ def citi_row(start, bike):
 
 
 def test_years_are_partitions_that_a_rerun_replaces(spark, tmp_path):
-    header = STATION_ID_LAYOUT.header
+    header = ID_HEADER
     write_drop(tmp_path / "d", "2013-07 trips.csv", [citi_row("2013-07-01 00:00:00", 1)], header)
     write_drop(tmp_path / "d", "2014-09 trips.csv", [citi_row("9/1/2014 00:00:05", 2)] * 2, header)
     write_drop(tmp_path / "d", "2015-09 trips.csv", [citi_row("9/1/2015 0:05", 3)], header)
     table = str(tmp_path / "t")
     for _ in range(2):
-        ingest.ingest_trips_by_year(spark, str(tmp_path / "d"), table, [2013, 2014])
+        ingest.ingest_trips_by_year(spark, str(tmp_path / "d"), table, [2012, 2013, 2014])
     stored = spark.read.parquet(table)
     assert {r["file_year"]: r["count"] for r in dicts(stored.groupBy("file_year").count())} == {
         2013: 1,
@@ -242,7 +261,7 @@ def test_commands_cover_the_other_tables(spark, tmp_path):
     def job(*argv):
         jobs.run(spark, jobs._arguments([*argv, "--tables", tables]))
 
-    header = STATION_ID_LAYOUT.header
+    header = ID_HEADER
     rows = [citi_row("2018-08-21 00:00:00", b) for b in (1, 2)] + [citi_row("2018-09-21 00:00:00", 3)]
     write_drop(tmp_path / "c", "2018-08.csv", rows, header)
     job("trips-by-year", "--source", f"{tmp_path}/c", "--years", "2018")
