@@ -83,7 +83,8 @@ def main(sf_dir: str = "/root/testdata/sf0.01", *only: str) -> int:
         except Exception as e:  # report and go on with the next query
             found = f"{type(e).__name__}: {str(e)[:600]}"
         failed += found is not None
-        print(f"{'FAIL' if found else 'ok  '} {name} {time.time() - t:.2f}s {found or ''}", flush=True)
+        state = "FAIL" if found else "ok  "
+        print(f"{state} {name} {time.time() - t:.2f}s {found or ''}", flush=True)
     print(f"{failed} failed")
     return failed
 

@@ -153,7 +153,8 @@ _VIEWS = {
         SELECT *, miles / hours AS mph FROM (
             SELECT *, us / 3.6e9 AS hours, us / 6e7 AS minutes,
                    atan2(
-                       sqrt(pow(cos(radians(end_lat)) * sin(radians(end_lon) - radians(start_lon)), 2)
+                       sqrt(pow(cos(radians(end_lat))
+                               * sin(radians(end_lon) - radians(start_lon)), 2)
                            + pow(cos(radians(start_lat)) * sin(radians(end_lat))
                                - sin(radians(start_lat)) * cos(radians(end_lat))
                                    * cos(radians(end_lon) - radians(start_lon)), 2)),
@@ -406,8 +407,8 @@ _QUERIES = {
         FROM measured GROUP BY 1, 2""",
     "density_curves": f"""
         SELECT measure, bike_type, CAST(point AS INTEGER) AS point, {_round('x')} AS x,
-               {_round('sum(b.n * exp(-pow((x - mid) / h, 2) / 2)) / (any_value(s.n) * any_value(h) * sqrt(2 * pi()))')}
-                   AS density
+               {_round("""sum(b.n * exp(-pow((x - mid) / h, 2) / 2))
+                   / (any_value(s.n) * any_value(h) * sqrt(2 * pi()))""")} AS density
         FROM (SELECT *, lo - 3 * h + point * (hi - lo + 6 * h) / 99 AS x
               FROM curve_shape, range(100) AS g(point) WHERE h > 0) AS s
         JOIN curve_bins AS b USING (measure, bike_type)
@@ -419,7 +420,7 @@ _QUERIES = {
         SELECT trip_type, day_of_week, CASE op_status {_STATUS} END AS op_status, type_total,
                trips, {_round('trips / CAST(type_total AS DOUBLE)')} AS trip_share
         FROM hour_counts""",
-    "daily_vehicle_kinds": f"SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM kinds",
+    "daily_vehicle_kinds": "SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM kinds",
     "vehicle_kinds_apportioned": f"SELECT {_DATE}, bikes, scooters FROM apportioned",
     "vehicle_kinds_long_events": """
         SELECT CAST(long.date AS VARCHAR) AS date, long.vehicle, on_street,

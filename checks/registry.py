@@ -190,8 +190,9 @@ def _ingest_regions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ingest_weather(spark: SparkSession, sf: str) -> DataFrame:
     """Daily records with three of the stored fields and one the table lacks."""
+    days = F.datediff("weather_date", F.lit(dt.date(1970, 1, 1)))
     record = F.struct(
-        (F.datediff("weather_date", F.lit(dt.date(1970, 1, 1))) * 86_400 + 5 * 3_600).alias("time"),
+        (days * 86_400 + 5 * 3_600).alias("time"),
         F.col("precipprobability").alias("precipProbability"),
         F.when(F.day("weather_date") % 2 == 0, "rain").alias("precipType"),
         F.concat(F.lit("day "), F.day("weather_date")).alias("summary"),

@@ -44,10 +44,13 @@ def attach(
 
     The columns of ``dim`` must be named apart from those of ``facts``; its key
     columns are kept. A ``small`` dimension is broadcast and the facts are not
-    moved; unless the caller has measured it, it is measured here. Otherwise the facts are spread over ``salts`` slices
-    per key, against one copy of the dimension per slice, so that one hot key
-    is shared by many tasks. The slice comes from the row's own values: a
-    task that runs again sends its rows to the same place.
+    moved; unless the caller has measured it, it is measured here.
+
+    Otherwise the facts are spread over ``salts`` slices per key, against one copy
+    of the dimension per slice, so that many tasks share one hot key. The
+    slice comes from the row's own values: a task that runs again sends
+    its rows to the same place. Equal rows stay together; should they be very
+    many, adaptive execution splits their partition.
     """
     on = [F.col(k) == F.col(v) for k, v in keys.items()]
     if residual is not None:

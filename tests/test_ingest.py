@@ -79,7 +79,7 @@ def test_columns_are_renamed_by_place_or_picked_by_name(spark, tmp_path):
     write_drop(tmp_path / "a", "a.csv", numbered(5, 1), names)
     assert read_trips(spark, str(tmp_path / "a")).first()["bike_number"] == "W5"
     turned = [*ID_HEADER[::-1], "more"]
-    rows = [(*citi_row("2013-07-01 00:00:00", 9)[::-1], "x")]
+    rows = [(*second_row("2013-07-01 00:00:00", 9)[::-1], "x")]
     write_drop(tmp_path / "b", "b.csv", rows, turned)
     row = read_trips(spark, str(tmp_path / "b"), STATION_ID_LAYOUT).first()
     assert (row["bike_number"], row["start_station"]) == ("9", "1")
@@ -110,15 +110,15 @@ def test_last_id_of_an_empty_table(spark, tmp_path):
     assert last_id(read_table(spark, str(tmp_path / "none"), NUMBERED_TRIPS), "trip_id") == 0
 
 
-def citi_row(start, bike):
+def second_row(start, bike):
     return (60, start, start, 1, "A", 38.0, -77.0, 2, "B", 38.0, -77.0, bike, "Subscriber", "", 1)
 
 
 def test_years_are_partitions_that_a_rerun_replaces(spark, tmp_path):
     header = ID_HEADER
-    write_drop(tmp_path / "d", "2013-07 trips.csv", [citi_row("2013-07-01 00:00:00", 1)], header)
-    write_drop(tmp_path / "d", "2014-09 trips.csv", [citi_row("9/1/2014 00:00:05", 2)] * 2, header)
-    write_drop(tmp_path / "d", "2015-09 trips.csv", [citi_row("9/1/2015 0:05", 3)], header)
+    write_drop(tmp_path / "d", "2013-07 trips.csv", [second_row("2013-07-01 00:00:00", 1)], header)
+    write_drop(tmp_path / "d", "2014-09 trips.csv", [second_row("9/1/2014 00:00:05", 2)] * 2, header)
+    write_drop(tmp_path / "d", "2015-09 trips.csv", [second_row("9/1/2015 0:05", 3)], header)
     table = str(tmp_path / "t")
     for _ in range(2):
         ingest.ingest_trips_by_year(spark, str(tmp_path / "d"), table, [2012, 2013, 2014])
@@ -262,7 +262,7 @@ def test_commands_cover_the_other_tables(spark, tmp_path):
         jobs.run(spark, jobs._arguments([*argv, "--tables", tables]))
 
     header = ID_HEADER
-    rows = [citi_row("2018-08-21 00:00:00", b) for b in (1, 2)] + [citi_row("2018-09-21 00:00:00", 3)]
+    rows = [second_row("2018-08-21 00:00:00", b) for b in (1, 2)] + [second_row("2018-09-21 00:00:00", 3)]
     write_drop(tmp_path / "c", "2018-08.csv", rows, header)
     job("trips-by-year", "--source", f"{tmp_path}/c", "--years", "2018")
     job("ebikes")
