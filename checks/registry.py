@@ -147,7 +147,7 @@ def _append_trips(spark: SparkSession, sf: str) -> DataFrame:
     trips = views.trips(spark, sf)
     table = staging_path(spark, "trips-table")
     stored = trips.where(F.col("start_date") < F.lit(STORED_UNTIL))
-    tables.append_table(stored, table, NUMBERED_TRIPS)
+    tables.append_trips_table(stored, table)
     new = trips.where(F.col("start_date") >= F.lit(STORED_UNTIL))
     ingest.append_trips(spark, _write_drop(new, STATION_NUMBER_LAYOUT, _STATION_NUMBER_HEADER), table)
     return tables.read_table(spark, table, NUMBERED_TRIPS)

@@ -37,7 +37,7 @@ class TableFolder:
         return f"{self.root.rstrip('/')}/{name}"
 
     def trips(self) -> DataFrame:
-        return read_table(self.spark, self.path("trips"), schemas.NUMBERED_TRIPS)
+        return read_table(self.spark, self.path("trips"), schemas.STORED_TRIPS)
 
     def stations(self) -> DataFrame:
         return read_table(self.spark, self.path("stations"), schemas.STATIONS)

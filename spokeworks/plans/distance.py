@@ -11,7 +11,7 @@ from spokeworks.functions.classify import bike_type
 from spokeworks.functions.durations import elapsed_us, hours, minutes
 from spokeworks.operators.density import density_curves as curves
 from spokeworks.operators.reshape import stack_rows
-from spokeworks.plans.selections import by_member_type, forward, since
+from spokeworks.plans.selections import by_member_type, forward, within
 from spokeworks.plans.stations import miles_between_ends, with_end_points
 from spokeworks.schemas import DENSITY_MAX_MILES, DENSITY_MAX_MINUTES, DENSITY_MAX_MPH
 
@@ -28,7 +28,8 @@ def trip_distance_speed(
     Trips from or to an unknown station stay, with NULL distance and
     speed. ``keep`` names further trip columns to carry along.
     """
-    chosen = trips.where(since(first) & forward() & by_member_type(member_type)).select(
+    forwards = within(trips, first).where(forward() & by_member_type(member_type))
+    chosen = forwards.select(
         *keep,
         F.to_date("start_date").alias("date"),
         bike_type("bike_number").alias("bike_type"),

@@ -17,7 +17,7 @@ from spokeworks.functions.durations import (
     minutes,
 )
 from spokeworks.operators.ranking import running_share
-from spokeworks.plans.selections import by_member_type, forward, same_station, since
+from spokeworks.plans.selections import by_member_type, forward, same_station, within
 
 
 def _mean_duration(trips: DataFrame, key: Column, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def avg_duration_by_date(
     trips: DataFrame, first: dt.date, member_type: str | None = None
 ) -> DataFrame:
     """``date, bike_type, avg_seconds``, of one member type if given."""
-    chosen = trips.where(since(first) & forward())
+    chosen = within(trips, first).where(forward())
     if member_type is not None:
         chosen = chosen.where(by_member_type(member_type))
     return _mean_duration(chosen, F.to_date("start_date"), "date")
@@ -38,7 +38,7 @@ def avg_duration_by_date(
 
 def avg_duration_by_dow(trips: DataFrame, first: dt.date) -> DataFrame:
     """``dow, bike_type, avg_seconds``; 0 is Sunday."""
-    return _mean_duration(trips.where(since(first) & forward()), day_of_week(), "dow")
+    return _mean_duration(within(trips, first).where(forward()), day_of_week(), "dow")
 
 
 def monthly_basic_stats(trips: DataFrame, first: dt.date, by_year: bool = False) -> DataFrame:
@@ -52,7 +52,7 @@ def monthly_basic_stats(trips: DataFrame, first: dt.date, by_year: bool = False)
         keys = {"year": F.year("start_date"), **keys}
     member = F.count_if(by_member_type("Member"))
     return (
-        trips.where(since(first))
+        within(trips, first)
         .groupBy(*[c.alias(n) for n, c in keys.items()])
         .agg(
             F.count("*").alias("trips"),
@@ -71,7 +71,8 @@ def same_station_share(
 ) -> DataFrame:
     """``bike_type, same_station_share`` of trips that end where they began."""
     return (
-        trips.where(since(first) & forward() & by_member_type(member_type))
+        within(trips, first)
+        .where(forward() & by_member_type(member_type))
         .groupBy(bike_type("bike_number").alias("bike_type"))
         .agg((F.count_if(same_station()) / F.count("*")).alias("same_station_share"))
     )
@@ -81,7 +82,8 @@ def _short_same_station(
     trips: DataFrame, first: dt.date, member_type: str, below_us: int
 ) -> DataFrame:
     return (
-        trips.where(since(first) & forward() & by_member_type(member_type) & same_station())
+        within(trips, first)
+        .where(forward() & by_member_type(member_type) & same_station())
         .select(
             bike_type("bike_number").alias("bike_type"), elapsed_us().alias("duration_us")
         )

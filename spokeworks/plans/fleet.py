@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spokeworks.functions.classify import is_classic
 from spokeworks.operators.activity import active_intervals, calendar, with_active_counts
-from spokeworks.plans.selections import since, until
+from spokeworks.plans.selections import within
 
 
 def daily_use(trips: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def calendar_use(trips: DataFrame, first: dt.date, last: dt.date, from_day: dt.d
     The daily side has at most one row per calendar day, which is why it may
     be broadcast.
     """
-    use = daily_use(trips.where(since(max(first, from_day)) & until(last)))
+    use = daily_use(within(trips, max(first, from_day), last))
     return calendar(trips.sparkSession, first, last).join(F.broadcast(use), "date", "left")
 
 
@@ -68,7 +68,7 @@ def daily_fleet_calendar(
 
 def daily_fleet_trip_days(trips: DataFrame, first: dt.date) -> DataFrame:
     """Each day with trips: trips, bikes used and fleet by bike type."""
-    return with_fleet(daily_use(trips.where(since(first))).drop("all_trips"), trips).orderBy("date")
+    return with_fleet(daily_use(within(trips, first)).drop("all_trips"), trips).orderBy("date")
 
 
 def first_seen_in_window(trips: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
@@ -102,7 +102,7 @@ def ebike_fleet_calendar(
         )
 
     per_bike = (
-        trips.where(since(max(first, from_day or first)) & until(last))
+        within(trips, max(first, from_day or first), last)
         .groupBy(F.to_date("start_date").alias("date"), "bike_number")
         .agg(F.count("*").alias("n"))
     )

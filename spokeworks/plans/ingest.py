@@ -33,6 +33,7 @@ from spokeworks.sources.snapshots import (
 )
 from spokeworks.sources.tables import (
     append_table,
+    append_trips_table,
     export_csv,
     last_id,
     load_delimited,
@@ -57,7 +58,7 @@ def append_trips(
 ) -> None:
     """Add a folder of trip CSVs to a table; ids continue from the largest stored one."""
     last = last_id(read_table(spark, table, NUMBERED_TRIPS), "trip_id")
-    append_table(numbered_trips(spark, path, last, layout), table, NUMBERED_TRIPS)
+    append_trips_table(numbered_trips(spark, path, last, layout), table)
 
 
 def ingest_trips_by_year(
@@ -107,7 +108,7 @@ def upsert_stations(spark: SparkSession, snapshot_path: str, table: str) -> None
     """Replace the station table by the snapshot and the stored stations it lacks."""
     stored = read_table(spark, table, STATIONS)
     merged = merge_stations(read_station_snapshot(spark, snapshot_path), stored)
-    replace_table(require_key(merged, ["station_id"]), table, STATIONS)
+    replace_table(merged, table, STATIONS, key=["station_id"])
 
 
 def coded_regions(spark: SparkSession, snapshot_path: str) -> DataFrame:
@@ -118,8 +119,7 @@ def coded_regions(spark: SparkSession, snapshot_path: str) -> DataFrame:
 
 
 def ingest_regions(spark: SparkSession, snapshot_path: str, table: str) -> None:
-    regions = require_key(coded_regions(spark, snapshot_path), ["region_id"])
-    replace_table(regions, table, REGIONS)
+    replace_table(coded_regions(spark, snapshot_path), table, REGIONS, key=["region_id"])
 
 
 def ingest_weather(

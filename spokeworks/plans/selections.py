@@ -4,18 +4,27 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spokeworks.schemas import START_MONTH
 
-def since(first: dt.date) -> Column:
-    """Trips that start on ``first`` or later."""
-    return F.col("start_date") >= F.lit(first)
 
+def within(trips: DataFrame, first: dt.date, last: dt.date | None = None) -> DataFrame:
+    """Trips that start on ``first`` or later, and on ``last`` or earlier.
 
-def until(last: dt.date) -> Column:
-    """Trips that start on ``last`` or earlier."""
-    return F.col("start_date") < F.lit(last + dt.timedelta(days=1))
+    If the trips come with their month, by which the stored table is partitioned, only
+    the folders of the period are read.
+    """
+    start, month = F.col("start_date"), F.col(START_MONTH)
+    chosen = trips.where(start >= F.lit(first))
+    if last is not None:
+        chosen = chosen.where(start < F.lit(last + dt.timedelta(days=1)))
+    if START_MONTH in trips.columns:
+        chosen = chosen.where(month >= F.lit(first.replace(day=1)))
+        if last is not None:
+            chosen = chosen.where(month <= F.lit(last.replace(day=1)))
+    return chosen
 
 
 def forward() -> Column:

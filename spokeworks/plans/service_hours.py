@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spokeworks.functions.classify import trip_type
 from spokeworks.functions.durations import US_PER_HOUR, day_of_week, time_of_day_us
 from spokeworks.operators.lookup import attach
-from spokeworks.plans.selections import since
+from spokeworks.plans.selections import within
 from spokeworks.schemas import SERVICE_STATUS_LABELS
 
 
@@ -25,7 +25,7 @@ def trips_by_service_hours(
     touches, so that day and hour are join keys and only the periods of one
     hour are compared with a trip.
     """
-    weekday = trips.where(since(first) & day_of_week().between(1, 5)).select(
+    weekday = within(trips, first).where(day_of_week().between(1, 5)).select(
         trip_type("bike_number", "member_type").alias("trip_type"),
         day_of_week().alias("trip_dow"),
         time_of_day_us().alias("at_us"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spokeworks.functions.classify import CLASSIC, PLUS
 from spokeworks.operators.reshape import stack_rows
 from spokeworks.plans.fleet import calendar_use, daily_use, with_fleet
-from spokeworks.plans.selections import since
+from spokeworks.plans.selections import within
 
 
 def daily_share_of_total(trips: DataFrame, first: dt.date) -> DataFrame:
@@ -21,7 +21,7 @@ def daily_share_of_total(trips: DataFrame, first: dt.date) -> DataFrame:
     """
     period = Window.partitionBy()
     return (
-        daily_use(trips.where(since(first)))
+        daily_use(within(trips, first))
         .select("date", "classic_trips", "plus_trips", "plus_used")
         .withColumns(
             {

@@ -11,7 +11,7 @@ from spokeworks.functions.classify import known_bike_type
 from spokeworks.functions.geo import great_circle_miles
 from spokeworks.operators.lookup import attach, fits_broadcast
 from spokeworks.operators.ranking import top_n
-from spokeworks.plans.selections import by_member_type, forward, since
+from spokeworks.plans.selections import by_member_type, forward, within
 
 
 def trips_by_station(
@@ -23,7 +23,8 @@ def trips_by_station(
     per station.
     """
     totals = (
-        trips.where(since(first) & forward() & by_member_type(member_type))
+        within(trips, first)
+        .where(forward() & by_member_type(member_type))
         .groupBy("start_station")
         .agg(F.count("*").alias("total_trips"))
     )
@@ -77,7 +78,8 @@ def top_routes(
     ``n`` ranked pairs only.
     """
     pairs = (
-        trips.where(since(first) & forward() & by_member_type(member_type))
+        within(trips, first)
+        .where(forward() & by_member_type(member_type))
         .withColumn("bike_type", known_bike_type("bike_number"))
         .where(F.col("bike_type").isNotNull())
         .groupBy("bike_type", "start_station", "end_station")

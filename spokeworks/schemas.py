@@ -29,6 +29,10 @@ TRIPS = _struct(
 
 NUMBERED_TRIPS = T.StructType([*TRIPS.fields, T.StructField("trip_id", BIGINT)])
 
+# The stored table is partitioned by the first day of the month a trip starts in.
+START_MONTH = "start_month"
+STORED_TRIPS = T.StructType([*NUMBERED_TRIPS.fields, T.StructField(START_MONTH, DATE)])
+
 STATIONS = _struct(
     capacity=INT,
     lat=DOUBLE,

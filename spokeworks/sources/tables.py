@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spokeworks.operators.conform import conform
+from spokeworks.operators.conform import conform, require_key
 from spokeworks.operators.staging import stage
+from spokeworks.schemas import START_MONTH, STORED_TRIPS
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -21,14 +24,30 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         return spark.createDataFrame([], schema)
 
 
-def append_table(df: DataFrame, path: str, schema: T.StructType) -> None:
-    """Create the table if it is absent, then add rows."""
-    conform(df, schema).write.mode("append").parquet(path)
+def append_table(
+    df: DataFrame, path: str, schema: T.StructType, by: Sequence[str] = ()
+) -> None:
+    """Create the table if it is absent, then add rows, in folders of ``by`` if given."""
+    conform(df, schema).write.mode("append").partitionBy(*by).parquet(path)
+
+
+def append_trips_table(df: DataFrame, path: str) -> None:
+    """Add numbered trips, stored by the month they start in."""
+    month = F.trunc("start_date", "month")
+    append_table(df.withColumn(START_MONTH, month), path, STORED_TRIPS, [START_MONTH])
 
 
-def replace_table(df: DataFrame, path: str, schema: T.StructType) -> None:
-    """Drop and recreate. ``df`` may read the table itself: it is staged first."""
-    stage(conform(df, schema), "replace").write.mode("overwrite").parquet(path)
+def replace_table(
+    df: DataFrame, path: str, schema: T.StructType, key: Sequence[str] = ()
+) -> None:
+    """Drop and recreate, if the rows have the promised ``key``.
+
+    ``df`` may read the table itself: it is staged first.
+    """
+    staged = stage(conform(df, schema), "replace")
+    if key:
+        require_key(staged, key)
+    staged.write.mode("overwrite").parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, schema: T.StructType, by: str) -> None:

@@ -2,14 +2,16 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 import pytest
-from helpers import by, dicts, stations, trip, trips
+from helpers import by, dicts, plan, stations, trip, trips
 from pyspark.sql import functions as F
 
 from checks import registry
 from spokeworks import jobs
 from spokeworks.plans import ingest
+from spokeworks.plans.selections import within
 from spokeworks.schemas import (
     NUMBERED_TRIPS,
     REGIONS,
@@ -249,6 +251,9 @@ def test_commands_build_tables_and_write_a_report(spark, tmp_path):
         spark,
         jobs._arguments(["report", "daily_fleet_trip_days", "--tables", tables, "--out", out]),
     )
+    stored = jobs.TableFolder(spark, tables).trips()
+    text = plan(within(stored, D(2018, 9, 5), D(2018, 10, 31)))
+    assert re.search(r"PartitionFilters: \[[^\]]*start_month#\d+ >= 2018-09-01", text)
     row = spark.read.option("header", True).csv(out).first()
     assert (row["date"], row["classic_trips"], row["classic_fleet"]) == ("2018-09-05", "20", "20")
     with pytest.raises(SystemExit):
