@@ -451,6 +451,9 @@ _QUERIES = {
                    + row_number() OVER (PARTITION BY new ORDER BY trip_id)
                ELSE trip_id END AS trip_id
         FROM (SELECT *, start_date >= DATE '{r.STORED_UNTIL}' AS new FROM trips)""",
+    "ingest_trips_by_year": f"""
+        SELECT {_TRIP_COLUMNS}, CAST(year(start_date) AS INTEGER) AS file_year
+        FROM long_trips""",
     "last_trip_id": "SELECT max(trip_id) AS last_id FROM trips",
     "replace_year_partitions": """
         SELECT CAST(year(start_date) AS INTEGER) AS file_year, count(*) AS trips

@@ -153,6 +153,20 @@ def _append_trips(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_table(spark, table, NUMBERED_TRIPS)
 
 
+def _ingest_trips_by_year(spark: SparkSession, sf: str) -> DataFrame:
+    trips = views.long_trips(spark, sf)
+    source_of = {v: k for k, v in STATION_ID_LAYOUT.columns(_STATION_ID_HEADER).items()}
+    drop = staging_path(spark, "drop")
+    trips.select(
+        F.year("start_date").alias("of"),
+        *[F.col(source_of[h]).cast("string").alias(h) for h in STATION_ID_LAYOUT.kept],
+    ).write.option("header", True).partitionBy("of").csv(drop)
+    table = staging_path(spark, "years-table")
+    years = range(LONG_FIRST.year, LONG_LAST.year + 1)
+    ingest.ingest_trips_by_year(spark, drop, table, years)
+    return spark.read.parquet(table)
+
+
 def _last_trip_id(spark: SparkSession, sf: str) -> DataFrame:
     return views.trips(spark, sf).agg(F.coalesce(F.max("trip_id"), F.lit(0)).alias("last_id"))
 
@@ -247,6 +261,7 @@ TYPED: dict[str, Query] = {
     "ingest_station_number_layout": _ingest_station_number_layout,
     "ingest_station_id_layout": _ingest_station_id_layout,
     "append_trips": _append_trips,
+    "ingest_trips_by_year": _ingest_trips_by_year,
     "last_trip_id": _last_trip_id,
     "replace_year_partitions": _replace_year_partitions,
     "upsert_stations": _upsert_stations,

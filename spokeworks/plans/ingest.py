@@ -68,7 +68,7 @@ def ingest_trips_by_year(
     years: Iterable[int],
     layout: TripLayout = STATION_ID_LAYOUT,
 ) -> None:
-    """Store the CSVs whose file name holds one of ``years``, one partition per year.
+    """Store the CSVs whose name (or folder) holds one of ``years``, one partition per year.
 
     All years are written by one job. A rerun replaces the years it covers. A year
     without files is left out.
@@ -78,7 +78,7 @@ def ingest_trips_by_year(
         try:
             trips = read_trips(spark, path, layout, year)
         except AnalysisException as e:
-            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             continue
         parts.append(trips.withColumn("file_year", F.lit(year)))

@@ -125,6 +125,8 @@ def avg_vehicle_age(locations: DataFrame, provider: str, first_seen_by: dt.datet
     in one pass over the locations.
     """
     seen = F.when(F.col("provider") == provider, F.col("created"))
+    # as text, so that the session's time zone has no say
+    limit = F.lit(first_seen_by.isoformat(sep=" ")).cast("timestamp_ntz")
     return (
         _with_kind(locations)
         .where(F.col("bike_id").isNotNull())
@@ -134,6 +136,6 @@ def avg_vehicle_age(locations: DataFrame, provider: str, first_seen_by: dt.datet
             F.max(seen).alias("last_seen"),
             F.bool_or(_tagged("scooter")).alias("scooter"),
         )
-        .where(F.col("scooter") & (F.col("first_seen") <= F.lit(first_seen_by)))
+        .where(F.col("scooter") & (F.col("first_seen") <= limit))
         .agg((mean_seconds(elapsed_us("first_seen", "last_seen")) / 86_400).alias("avg_days"))
     )

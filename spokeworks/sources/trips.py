@@ -18,18 +18,16 @@ def parse_timestamp(text: Column) -> Column:
 
 
 def scan_trip_files(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
-    """Text columns of all CSVs in ``path``, or of those with ``year`` in their name.
+    """Text columns of all CSVs in ``path``, or of those with ``year`` in their name or in
+    the name of their sub-folder.
 
     The first file's header names the columns. A file with another header is an
     error, not a silent shift of columns.
     """
-    options = {
-        "header": True,
-        "escape": '"',
-        "pathGlobFilter": f"*{year}*.csv" if year is not None else "*.csv",
-    }
-    header = spark.read.options(**options).csv(path).schema
-    return spark.read.schema(header).options(**options, enforceSchema=False).csv(path)
+    chosen = f"{path.rstrip('/')}/*{year}*" if year is not None else path
+    options = {"header": True, "escape": '"', "pathGlobFilter": "*.csv"}
+    header = spark.read.options(**options).csv(chosen).schema
+    return spark.read.schema(header).options(**options, enforceSchema=False).csv(chosen)
 
 
 def to_trips(scan: DataFrame, columns: dict[str, str], *extra: str) -> DataFrame:

@@ -129,6 +129,7 @@ def test_years_are_partitions_that_a_rerun_replaces(spark, tmp_path):
         2013: 1,
         2014: 2,
     }
+    (tmp_path / "d" / "notes 2015.txt").write_text("not a trip file")
     ingest.ingest_trips_by_year(spark, str(tmp_path / "d"), table, [2015])
     assert read_table(spark, table, TRIPS).count() == 4
     third = stored.sparkSession.read.parquet(table).where("file_year = 2015").first()

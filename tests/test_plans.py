@@ -345,7 +345,9 @@ def test_a_tag_counts_however_its_name_is_spelt(spark):
     assert vehicles.total_scooters(df).first()["scooters"] == 2
 
 
-def test_vehicle_age_takes_tags_of_any_provider(spark):
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+def test_vehicle_age_takes_tags_of_any_provider(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
     df = locations(
         spark,
         ("2018-09-01 00:00:00", "s", "p", None),
@@ -361,3 +363,4 @@ def test_vehicle_age_takes_tags_of_any_provider(spark):
     assert age["avg_days"] == pytest.approx((2.5 + 0.5) / 2)
     none = vehicles.avg_vehicle_age(df.where(F.lit(False)), "p", dt.datetime(2018, 9, 14))
     assert none.first()["avg_days"] is None
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
