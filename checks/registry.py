@@ -107,11 +107,11 @@ def _reported(report: Report) -> Query:
 # --- ingest: Spark first writes a driver table the way a raw drop would look -------
 
 
-_STATION_NUMBER_HEADER = [
+STATION_NUMBER_HEADER = [
     "Duration", "Start date", "End date", "Start station number", "Start station",
     "End station number", "End station", "Bike number", "Member type",
 ]
-_STATION_ID_HEADER = [
+STATION_ID_HEADER = [
     "tripduration", "starttime", "stoptime", "start station id", "start station name",
     "start station latitude", "start station longitude", "end station id", "end station name",
     "end station latitude", "end station longitude", "bikeid", "usertype", "birth year", "gender",
@@ -133,13 +133,13 @@ def _write_drop(trips: DataFrame, layout: TripLayout, header: list[str]) -> str:
 
 
 def _ingest_station_number_layout(spark: SparkSession, sf: str) -> DataFrame:
-    drop = _write_drop(views.trips(spark, sf), STATION_NUMBER_LAYOUT, _STATION_NUMBER_HEADER)
+    drop = _write_drop(views.trips(spark, sf), STATION_NUMBER_LAYOUT, STATION_NUMBER_HEADER)
     return read_trips(spark, drop, STATION_NUMBER_LAYOUT)
 
 
 def _ingest_station_id_layout(spark: SparkSession, sf: str) -> DataFrame:
     trips = views.long_trips(spark, sf).withColumn("trip_id", F.col("start_date"))
-    drop = _write_drop(trips, STATION_ID_LAYOUT, _STATION_ID_HEADER)
+    drop = _write_drop(trips, STATION_ID_LAYOUT, STATION_ID_HEADER)
     return read_trips(spark, drop, STATION_ID_LAYOUT)
 
 
@@ -149,13 +149,13 @@ def _append_trips(spark: SparkSession, sf: str) -> DataFrame:
     stored = trips.where(F.col("start_date") < F.lit(STORED_UNTIL))
     tables.append_trips_table(stored, table)
     new = trips.where(F.col("start_date") >= F.lit(STORED_UNTIL))
-    ingest.append_trips(spark, _write_drop(new, STATION_NUMBER_LAYOUT, _STATION_NUMBER_HEADER), table)
+    ingest.append_trips(spark, _write_drop(new, STATION_NUMBER_LAYOUT, STATION_NUMBER_HEADER), table)
     return tables.read_table(spark, table, NUMBERED_TRIPS)
 
 
 def _ingest_trips_by_year(spark: SparkSession, sf: str) -> DataFrame:
     trips = views.long_trips(spark, sf)
-    source_of = {v: k for k, v in STATION_ID_LAYOUT.columns(_STATION_ID_HEADER).items()}
+    source_of = {v: k for k, v in STATION_ID_LAYOUT.columns(STATION_ID_HEADER).items()}
     drop = staging_path(spark, "drop")
     trips.select(
         F.year("start_date").alias("of"),

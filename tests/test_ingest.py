@@ -35,8 +35,8 @@ from spokeworks.sources.trips import read_trips
 D = dt.date
 
 
-NUMBER_HEADER = registry._STATION_NUMBER_HEADER
-ID_HEADER = registry._STATION_ID_HEADER
+NUMBER_HEADER = registry.STATION_NUMBER_HEADER
+ID_HEADER = registry.STATION_ID_HEADER
 
 
 def write_drop(folder, name, rows, header=NUMBER_HEADER):
