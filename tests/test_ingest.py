@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from checks import registry
 from spokeworks import jobs
+from spokeworks.operators import rowids
+from spokeworks.operators.staging import stage
 from spokeworks.plans import ingest
 from spokeworks.plans.selections import within
 from spokeworks.schemas import (
@@ -30,7 +32,7 @@ from spokeworks.sources.tables import (
     read_table,
     replace_table,
 )
-from spokeworks.sources.trips import read_trips
+from spokeworks.sources.trips import read_positioned_trips, read_trips
 
 D = dt.date
 
@@ -108,6 +110,25 @@ def test_ids_follow_file_names_then_rows_and_continue(spark, tmp_path):
     assert all(r["bike_number"] == f"W{r['trip_id'] - 1}" for r in got)
 
 
+@pytest.mark.parametrize("listed", [True, False])
+def test_ids_when_tasks_read_several_files(spark, tmp_path, monkeypatch, listed):
+    for i in range(40):
+        write_drop(tmp_path / "d", f"{i:02d}.csv", numbered(i * 10, 10))
+    if not listed:  # a list of splits too long to broadcast
+        monkeypatch.setattr(rowids, "SPLITS", 0)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        placed = stage(read_positioned_trips(spark, str(tmp_path / "d")), "placed")
+        tasks = placed.select(F.shiftright(rowids.SEQUENCE, 33)).distinct().count()
+        got = dicts(rowids.number_rows(placed, 1_000, "trip_id"))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert tasks < 40
+    assert sorted(r["trip_id"] for r in got) == list(range(1_001, 1_401))
+    assert all(r["bike_number"] == f"W{r['trip_id'] - 1_001}" for r in got)
+
+
 def test_last_id_of_an_empty_table(spark, tmp_path):
     assert last_id(read_table(spark, str(tmp_path / "none"), NUMBERED_TRIPS), "trip_id") == 0
 

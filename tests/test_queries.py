@@ -9,6 +9,7 @@ import pytest
 from helpers import plan
 
 from checks import compare, oracle, registry
+from spokeworks.reports import REPORTS
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 SMALL = "/root/testdata/sf0.001"
@@ -47,6 +48,18 @@ def test_single_partition_steps_only_see_calendar_rows(spark):
             assert "HashAggregate" in below.split("FileScan")[0], name
 
 
+# These join two driver tables to make the second trip system.
+JOINED = {"ebike_fleet_calendar", "first_seen_in_window"}
+
+
+@pytest.mark.parametrize("name", sorted(set(REPORTS) - JOINED))
+def test_only_combined_rows_are_shuffled(spark, name):
+    """Between a scan and the first shuffle above it there is always an aggregate."""
+    text = plan(registry.TYPED[name](spark, SMALL))
+    for match in re.finditer(r"[^t]Exchange (hash|range|Single)", text):
+        assert "Aggregate" in text[match.end() :].split("FileScan")[0], text
+
+
 def test_date_filter_reaches_the_scan(spark):
     text = plan(registry.TYPED["avg_duration_by_date"](spark, SMALL))
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,", text)
