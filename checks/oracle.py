@@ -178,6 +178,15 @@ _VIEWS = {
         SELECT measure, bike_type, least(floor(v / width), 2047) AS slot, count(*) AS n,
                avg(v) AS mid
         FROM curve_values GROUP BY ALL""",
+    "miles_shape": """
+        SELECT bike_type, count(miles) AS n, stddev_samp(miles) * pow(count(miles), -0.2) AS h,
+               min(miles) AS lo, max(miles) AS hi
+        FROM measured GROUP BY 1 HAVING max(miles) > 0""",
+    "miles_bins": """
+        SELECT bike_type, least(floor(miles / (hi / 2048)), 2047) AS slot, count(*) AS n,
+               avg(miles) AS mid
+        FROM measured JOIN miles_shape USING (bike_type)
+        WHERE miles IS NOT NULL GROUP BY ALL""",
     # service hours
     "hourly": f"""
         SELECT CASE
@@ -413,6 +422,14 @@ _QUERIES = {
               FROM curve_shape, range(100) AS g(point) WHERE h > 0) AS s
         JOIN curve_bins AS b USING (measure, bike_type)
         GROUP BY measure, bike_type, point, x""",
+    "distance_density": f"""
+        SELECT bike_type, CAST(point AS INTEGER) AS point, {_round('x')} AS x,
+               {_round("""sum(b.n * exp(-pow((x - mid) / h, 2) / 2))
+                   / (any_value(s.n) * any_value(h) * sqrt(2 * pi()))""")} AS density
+        FROM (SELECT *, lo - 3 * h + point * (hi - lo + 6 * h) / 99 AS x
+              FROM miles_shape, range(100) AS g(point) WHERE h > 0) AS s
+        JOIN miles_bins AS b USING (bike_type)
+        GROUP BY bike_type, point, x""",
     "top_routes": _top_routes(),
     "trips_by_service_hours": """
         SELECT trip_type, day_of_week, op_status, type_total, trips FROM hour_counts""",

@@ -90,3 +90,18 @@ def density_curves(measured: DataFrame) -> DataFrame:
         F.col("value") <= F.col("upper")
     )
     return curves(long.where(kept), ["measure", "bike_type"], "value", "upper")
+
+
+def distance_density(measured: DataFrame) -> DataFrame:
+    """``bike_type, point, x, density`` for miles of any length.
+
+    A first pass finds the longest trip of each bike type, a second counts the bins up
+    to it. There are two types, so their limits may be broadcast.
+    """
+    longest = (
+        measured.groupBy(F.col("bike_type").alias("_type"))
+        .agg(F.max("miles").alias("upper"))
+        .where(F.col("upper") > 0)
+    )
+    limited = measured.join(F.broadcast(longest), F.col("bike_type") == F.col("_type"))
+    return curves(limited.select("bike_type", "miles", "upper"), ["bike_type"], "miles", "upper")

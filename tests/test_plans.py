@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+from collections import Counter
 
 import pytest
 from helpers import DAY, at, by, dicts, hours, locations, stations, trip, trips
@@ -253,6 +255,19 @@ def test_distance_means(spark):
     assert daily["avg_miles"] == pytest.approx(mean["avg_miles"] / 2)
 
 
+def test_distance_density_reaches_the_longest_trip(spark):
+    rows = [(k, m) for k, far in (("Classic", 40.0), ("Plus", 7.0)) for m in (0.0, 1.0, 2.0, far)]
+    rows += [("Plus", None), ("Still", 0.0), ("Still", 0.0)]
+    df = spark.createDataFrame(rows, "bike_type STRING, miles DOUBLE")
+    got = by(distance.distance_density(df), "bike_type", "point")
+    assert {k for k, _ in got} == {"Classic", "Plus"}
+    for kind, far in (("Classic", 40.0), ("Plus", 7.0)):
+        curve = [got[kind, i] for i in range(100)]
+        assert curve[-1]["x"] > far and curve[0]["x"] < 0
+        step = curve[1]["x"] - curve[0]["x"]
+        assert sum(r["density"] for r in curve) * step == pytest.approx(1.0, abs=0.01)
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_service_hours_bounds(spark, small):
     df = trips(
@@ -289,6 +304,63 @@ def test_service_hours_bounds(spark, small):
     assert shared[None, "Peak Operating Hours"]["trip_share"] is None
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_service_hours_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    periods = []
+    for _ in range(25):
+        start = rng.choice([rng.randrange(86_400), rng.randrange(24) * 3_600])
+        end = start + rng.choice([0, 1, 3_600, rng.randrange(30_000), -60])
+        periods.append((rng.randrange(7), start, min(end, 86_399), rng.choice("xyz")))
+    rows = []
+    for _ in range(300):
+        at_second = rng.choice([rng.randrange(86_400), rng.choice(periods)[1]])
+        day = dt.datetime(2018, 9, 10) + dt.timedelta(days=rng.randrange(7))
+        rows.append(trip(day + dt.timedelta(seconds=at_second, microseconds=rng.choice([0, 0, 1]))))
+    want = Counter()
+    for _, start, *_ in rows:
+        dow = start.isoweekday() % 7
+        if dow in (0, 6):
+            continue
+        second = (start - start.replace(hour=0, minute=0, second=0, microsecond=0)).total_seconds()
+        hit = [(d, s) for d, a, b, s in periods if d == dow and a <= second <= b]
+        want.update(hit or [(None, None)])
+    for small in (True, False):
+        counts = service_hours.trips_by_service_hours(
+            trips(spark, *rows), hours(spark, *periods), D(2018, 9, 5), small=small
+        )
+        got = by(counts, "day_of_week", "op_status")
+        assert {k: r["trips"] for k, r in got.items()} == dict(want)
+        assert {r["type_total"] for r in got.values()} == {sum(want.values())}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_vehicle_kinds_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [
+        (
+            str(dt.datetime(2018, 3, 1) + dt.timedelta(hours=rng.randrange(24 * 20))),
+            f"v{rng.randrange(40)}",
+            rng.choice(["p", "p", "q"]),
+            rng.choice([None, None, None, "bike", "scooter"]),
+        )
+        for _ in range(250)
+    ]
+    cutoff = D(2018, 3, 5)
+    mine = [(dt.datetime.fromisoformat(c).date(), v, k) for c, v, p, k in rows if p == "p"]
+    bikes = {v for d, v, k in mine if k == "bike" or d < cutoff}
+    scooters = {v for _, v, k in mine if k == "scooter"}
+    got = by(vehicles.daily_vehicle_kinds(locations(spark, *rows), "p", cutoff), "date")
+    assert set(got) == {d for d, _, _ in mine}
+    for d, r in got.items():
+        seen = {v for day, v, _ in mine if day == d}
+        assert (r["bikes"], r["scooters"], r["vehicles"]) == (
+            len(seen & bikes),
+            len(seen & scooters),
+            len(seen),
+        )
+
+
 def test_unlabelled_status_becomes_null(spark):
     counts = spark.createDataFrame(
         [("Plus", 1, "odd", 2, 2)],
