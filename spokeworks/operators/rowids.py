@@ -42,11 +42,17 @@ def number_rows(positioned: DataFrame, last_id: int, name: str) -> DataFrame:
     splits = positioned.groupBy(FILE, BLOCK).agg(
         F.min(SEQUENCE).alias("_from"), F.max(SEQUENCE).alias("_to"), F.count("*").alias("_rows")
     )
-    files = splits.groupBy(FILE).agg(F.sum("_rows").alias("_file_rows"))
+    # The path is percent-encoded, which would sort some names in another order.
+    plain = F.url_decode(F.replace(FILE, F.lit("+"), F.lit("%2B")))
+    files = (
+        splits.groupBy(FILE)
+        .agg(F.sum("_rows").alias("_file_rows"))
+        .withColumn("_plain", plain)
+    )
     earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
     files = files.select(
         F.col(FILE).alias("_in_file"),
-        F.coalesce(F.sum("_file_rows").over(earlier.orderBy(FILE)), F.lit(0)).alias("_above"),
+        F.coalesce(F.sum("_file_rows").over(earlier.orderBy("_plain", FILE)), F.lit(0)).alias("_above"),
     )
     within = F.sum("_rows").over(earlier.partitionBy(FILE).orderBy(BLOCK))
     offsets = stage(

@@ -98,6 +98,8 @@ def vehicle_kinds_long_events(
             for kind in ("bikes", "scooters")
         ],
     )
+    if not events:
+        return long.withColumn("event", F.lit(""))
     noted = literal_rows(apportioned.sparkSession, ["date", "vehicle", "event"], events)
     return long.join(F.broadcast(noted), ["date", "vehicle"], "left").withColumn(
         "event", F.coalesce("event", F.lit(""))

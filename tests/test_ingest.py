@@ -110,6 +110,15 @@ def test_ids_follow_file_names_then_rows_and_continue(spark, tmp_path):
     assert all(r["bike_number"] == f"W{r['trip_id'] - 1}" for r in got)
 
 
+def test_file_names_sort_as_written(spark, tmp_path):
+    names = ["a!.csv", "a é.csv", "a+b.csv", "a%20c.csv", "a b.csv", "é.csv", "z.csv", "A.csv"]
+    for i, name in enumerate(sorted(names)):
+        write_drop(tmp_path / "d", name, numbered(i * 3, 3))
+    got = dicts(ingest.numbered_trips(spark, str(tmp_path / "d"), 0))
+    assert sorted(r["trip_id"] for r in got) == list(range(1, 25))
+    assert all(r["bike_number"] == f"W{r['trip_id'] - 1}" for r in got)
+
+
 @pytest.mark.parametrize("listed", [True, False])
 def test_ids_when_tasks_read_several_files(spark, tmp_path, monkeypatch, listed):
     for i in range(40):

@@ -402,6 +402,7 @@ def test_vehicle_kinds(spark):
     assert len(long) == 8
     assert long[D(2018, 3, 13), "bikes"]["event"] == "more"
     assert long[D(2018, 3, 13), "scooters"]["event"] == ""
+    assert {r["event"] for r in dicts(vehicles.vehicle_kinds_long_events(shared, []))} == {""}
     assert vehicles.total_scooters(df).first()["scooters"] == 2
     assert vehicles.total_vehicles(df, "p").first()["vehicles"] == 3
 
