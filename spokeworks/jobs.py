@@ -23,7 +23,7 @@ from spokeworks import schemas
 from spokeworks.plans import ingest
 from spokeworks.reports import REPORTS, Study
 from spokeworks.session import session
-from spokeworks.sources.tables import export_csv, read_table
+from spokeworks.sources.tables import export_csv, read_table, read_trips_table
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class TableFolder:
         return f"{self.root.rstrip('/')}/{name}"
 
     def trips(self) -> DataFrame:
-        return read_table(self.spark, self.path("trips"), schemas.STORED_TRIPS)
+        return read_trips_table(self.spark, self.path("trips"))
 
     def stations(self) -> DataFrame:
         return read_table(self.spark, self.path("stations"), schemas.STATIONS)

@@ -11,17 +11,23 @@ from pyspark.sql import types as T
 
 from spokeworks.operators.conform import conform, require_key
 from spokeworks.operators.staging import stage
-from spokeworks.schemas import START_MONTH, STORED_TRIPS
+from spokeworks.schemas import NUMBERED_TRIPS, START_MONTH, STORED_TRIPS
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The stored table, or an empty one if nothing was stored yet."""
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table as it is, or None if nothing was stored yet."""
     try:
-        return conform(spark.read.parquet(path), schema)
+        return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return None
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The stored table in the columns of ``schema``, or an empty one."""
+    stored = _stored(spark, path)
+    return spark.createDataFrame([], schema) if stored is None else conform(stored, schema)
 
 
 def append_table(
@@ -31,10 +37,24 @@ def append_table(
     conform(df, schema).write.mode("append").partitionBy(*by).parquet(path)
 
 
+def read_trips_table(spark: SparkSession, path: str) -> DataFrame:
+    """The stored trips; with the month they start in, if they are stored by it."""
+    stored = _stored(spark, path)
+    plain = stored is None or START_MONTH not in stored.columns
+    return read_table(spark, path, NUMBERED_TRIPS if plain else STORED_TRIPS)
+
+
 def append_trips_table(df: DataFrame, path: str) -> None:
-    """Add numbered trips, stored by the month they start in."""
-    month = F.trunc("start_date", "month")
-    append_table(df.withColumn(START_MONTH, month), path, STORED_TRIPS, [START_MONTH])
+    """Add numbered trips, stored by the month they start in.
+
+    A table that is there already and not stored so is left as it is.
+    """
+    stored = _stored(df.sparkSession, path)
+    if stored is not None and START_MONTH not in stored.columns:
+        append_table(df, path, NUMBERED_TRIPS)
+    else:
+        month = F.trunc("start_date", "month")
+        append_table(df.withColumn(START_MONTH, month), path, STORED_TRIPS, [START_MONTH])
 
 
 def replace_table(

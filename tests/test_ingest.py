@@ -25,6 +25,7 @@ from spokeworks.schemas import (
 from spokeworks.sources.snapshots import read_station_snapshot
 from spokeworks.sources.tables import (
     append_table,
+    append_trips_table,
     export_csv,
     last_id,
     load_delimited,
@@ -291,6 +292,29 @@ def test_commands_build_tables_and_write_a_report(spark, tmp_path):
         jobs._arguments(["report", "total_vehicles", "--tables", tables, "--out", out])
 
 
+def test_a_trips_table_without_months_is_read_and_added_to(spark, tmp_path):
+    table = str(tmp_path / "tables" / "trips")
+    plain = trips(spark, trip("2018-09-05 08:00:00")).withColumn("trip_id", F.lit(7))
+    append_table(plain, table, NUMBERED_TRIPS)
+    write_drop(tmp_path / "d", "2018.csv", numbered(0, 2))
+    ingest.append_trips(spark, str(tmp_path / "d"), table)
+    stored = jobs.TableFolder(spark, str(tmp_path / "tables")).trips()
+    assert "start_month" not in stored.columns
+    assert sorted(r["trip_id"] for r in dicts(within(stored, D(2018, 9, 1)))) == [7, 8, 9]
+    assert within(stored, D(2018, 9, 6)).count() == 0
+
+
+def test_a_trips_table_by_month_gives_the_period(spark, tmp_path):
+    table = str(tmp_path / "tables" / "trips")
+    days = ["2018-08-31", "2018-09-01", "2018-09-30", "2018-10-01", "2018-10-02"]
+    rows = [trip(f"{d} 23:59:59") for d in days]
+    append_trips_table(trips(spark, *rows).withColumn("trip_id", F.lit(1)), table)
+    stored = jobs.TableFolder(spark, str(tmp_path / "tables")).trips()
+    got = within(stored, D(2018, 9, 1), D(2018, 10, 1))
+    assert sorted(str(r["start_date"].date()) for r in dicts(got)) == days[1:4]
+    assert within(stored, D(2018, 9, 30)).count() == 3
+
+
 def test_commands_cover_the_other_tables(spark, tmp_path):
     tables = str(tmp_path / "tables")
 
