@@ -27,7 +27,7 @@ def main() -> None:
             "spark.master": f"local[{cpus}]",
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": cpus,
-            "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
+            "spark.driver.memory": os.environ.get("BENCH_MEMORY", "6g"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

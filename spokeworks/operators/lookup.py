@@ -19,10 +19,13 @@ def fits_broadcast(
     """Measure ``dim``: at most ``max_rows`` rows and ``max_bytes`` of values.
 
     One distributed aggregate; each task reports two numbers, however large
-    the dimension turns out to be.
+    the dimension turns out to be. Nested columns are not measured, so a dimension
+    that has any does not pass.
     """
     width = F.lit(0).cast("bigint")
     for f in dim.schema:
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            return False
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             width = width + F.coalesce(F.octet_length(f.name), F.lit(0)) + 16
         else:

@@ -95,6 +95,7 @@ def test_fits_broadcast_checks_rows_and_bytes(spark):
     assert not fits_broadcast(dim, max_rows=99)
     assert not fits_broadcast(dim, max_bytes=100_000)
     assert fits_broadcast(dim.where("id < 0"))
+    assert not fits_broadcast(dim.select("id", F.array("s").alias("nested")))
 
 
 def test_calendar_has_both_ends(spark):
