@@ -39,8 +39,9 @@ def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(v):
+    """As text for a fraction, which tells -0.0 from 0.0."""
     if isinstance(v, float):
-        return None if math.isnan(v) else v + 0.0
+        return None if math.isnan(v) else repr(v)
     return v
 
 
