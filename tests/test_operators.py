@@ -9,6 +9,7 @@ from helpers import by, dicts, plan
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spokeworks.operators import staging
 from spokeworks.operators.activity import active_intervals, calendar, with_active_counts
 from spokeworks.operators.conform import (
     conform,
@@ -213,6 +214,23 @@ def test_density_puts_the_upper_limit_in_the_last_bin(spark):
     assert all(r["density"] > 0 for r in got)
 
 
+def test_staging_without_the_setting(spark, monkeypatch):
+    assert staging_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    monkeypatch.setattr(staging, "_SETTING", "spark.not.set.anywhere")
+    root = staging_root(spark)
+    assert root == staging_root(spark) and "spokeworks-local-" in root
+    assert stage(spark.range(3), "t").count() == 3
+
+    class Cluster:
+        master = "spark://elsewhere:7077"
+
+    class Session:
+        conf, sparkContext = spark.conf, Cluster
+
+    with pytest.raises(ValueError, match="share"):
+        staging_root(Session)
+
+
 def test_stage_reads_back_what_it_wrote(spark):
     df = spark.range(10).withColumn("s", F.lit(None).cast("string"))
     staged = stage(df, "t")
