@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.llm import language, token_counts, toxicity
+from spokeworks.llm import language, mixing, packing, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(cut)
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """Learnt from labelled documents that aren't held out."""
     learn = docs.where(remainder("doc_id", 3) != 1)
@@ -53,10 +62,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_attribution": op1_token_attribution,
+        "op3_source_mix": op3_source_mix,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
         "op8_language_id": op8_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mix": mixing.ORACLE}
