@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.llm import language, line_dedup, mixing, ngram_join, packing, token_counts, toxicity
+from spokeworks.llm import (
+    language,
+    line_dedup,
+    mixing,
+    near_vectors,
+    ngram_join,
+    packing,
+    token_counts,
+    toxicity,
+    tree_search,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +37,10 @@ def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -68,15 +82,21 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_attribution": op1_token_attribution,
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op3_source_mix": op3_source_mix,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_line_dedup": op5_line_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
         "op8_language_id": op8_language_id,
+        "op10_nearest_vectors": op10_nearest_vectors,
     }
 
 
