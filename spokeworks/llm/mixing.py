@@ -21,6 +21,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # the budget over all sizes, as a fraction
 _ROWS_PER_BUCKET = 2_000
 SEED = "mix"
+KNOWN_IDS = 1_000_000  # ids that are broadcast, 16 MB; more are joined by a shuffle
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -157,10 +158,11 @@ def _entry(round_: int) -> list[Column]:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents the mix takes, each as often as it is taken, with all their columns.
 
-    Rows that share an id and have different texts are taken as often as the
-    first of them in order of size.
+    Rows that share an id are taken alike, as often as the one taken most.
     """
-    own = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    own = stage(mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")), "mix-taken")
+    if own.count() <= KNOWN_IDS:
+        own = F.broadcast(own)
     return (
         docs.join(own.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))

@@ -489,7 +489,16 @@ def classes(docs: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, of each class the one with the smallest id only.
 
-    Documents without words or without an id are kept.
+    Documents without words or without an id are kept; of rows that share an id
+    one is.
     """
-    dropped = classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = stage(classes(docs), "ngram-classes")
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = _only(docs, stage(dropped, "ngram-dropped"), "left_anti")
+    repeated = stage(
+        found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "ngram-repeated"
+    )
+    if not repeated.isEmpty():
+        once = _only(kept, repeated, "left_semi").dropDuplicates(["doc_id"])
+        kept = _only(kept, repeated, "left_anti").unionByName(once)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -15,6 +15,7 @@ from spokeworks.llm import (
     near_vectors,
     ngram_join,
     packing,
+    surrogates,
     token_counts,
     toxicity,
     tree_search,
@@ -82,6 +83,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+#: The key is a parameter of the operator; this one makes runs of the query comparable.
+SURROGATE_KEY = b"surrogates of the registered query"
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.anonymised(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return found.select("doc_id", "text", F.size("kinds").alias("n_entities"), "kinds")
+
+
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -96,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
         "op8_language_id": op8_language_id,
+        "op9_pii_surrogates": op9_pii_surrogates,
         "op10_nearest_vectors": op10_nearest_vectors,
     }
 

@@ -291,6 +291,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that aren't predicted toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in slices(batches, "text"):
+            texts = batch.column(place).to_pylist()
+            keep = [own.probability(own.strength(letter_words(t))[0]) < THRESHOLD for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 _SEGMENTS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
