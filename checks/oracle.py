@@ -49,8 +49,10 @@ _VIEWS = {
         FROM events""",
     "stations": """
         SELECT CAST(n_nationkey + 10 AS INTEGER) AS capacity,
-               CAST(38.80 + n_nationkey * 0.01 AS DOUBLE) AS lat,
-               CAST(-77.20 + ((n_nationkey * 7) % 25) * 0.01 AS DOUBLE) AS lon,
+               CASE WHEN n_nationkey = 24 THEN 0.0
+                   ELSE CAST(38.80 + n_nationkey * 0.01 AS DOUBLE) END AS lat,
+               CASE WHEN n_nationkey = 24 THEN 0.0
+                   ELSE CAST(-77.20 + ((n_nationkey * 7) % 25) * 0.01 AS DOUBLE) END AS lon,
                n_name AS name, n_regionkey AS region_id,
                CAST(n_nationkey AS VARCHAR) AS short_name, n_nationkey AS station_id
         FROM nation""",
@@ -164,29 +166,19 @@ _VIEWS = {
                    ) * 6371.009 / 1.609344 AS miles
             FROM located)""",
     "curve_values": """
-        SELECT 'miles' AS measure, bike_type, miles AS v, 5.0 / 2048 AS width
-        FROM measured WHERE miles <= 5
+        SELECT 'miles' AS measure, bike_type, miles AS v FROM measured WHERE miles <= 5
         UNION ALL
-        SELECT 'minutes', bike_type, minutes, 60.0 / 2048 FROM measured WHERE minutes <= 60
+        SELECT 'minutes', bike_type, minutes FROM measured WHERE minutes <= 60
         UNION ALL
-        SELECT 'mph', bike_type, mph, 15.5 / 2048 FROM measured WHERE mph > 0 AND mph < 15.5""",
+        SELECT 'mph', bike_type, mph FROM measured WHERE mph > 0 AND mph < 15.5""",
     "curve_shape": """
         SELECT measure, bike_type, count(*) AS n,
                stddev_samp(v) * pow(count(*), -0.2) AS h, min(v) AS lo, max(v) AS hi
         FROM curve_values GROUP BY ALL""",
-    "curve_bins": """
-        SELECT measure, bike_type, least(floor(v / width), 2047) AS slot, count(*) AS n,
-               avg(v) AS mid
-        FROM curve_values GROUP BY ALL""",
     "miles_shape": """
         SELECT bike_type, count(miles) AS n, stddev_samp(miles) * pow(count(miles), -0.2) AS h,
                min(miles) AS lo, max(miles) AS hi
-        FROM measured GROUP BY 1 HAVING max(miles) > 0""",
-    "miles_bins": """
-        SELECT bike_type, least(floor(miles / (hi / 2048)), 2047) AS slot, count(*) AS n,
-               avg(miles) AS mid
-        FROM measured JOIN miles_shape USING (bike_type)
-        WHERE miles IS NOT NULL GROUP BY ALL""",
+        FROM measured GROUP BY 1""",
     # service hours
     "hourly": f"""
         SELECT CASE
@@ -414,21 +406,23 @@ _QUERIES = {
         SELECT CAST(CAST(start_date AS DATE) AS VARCHAR) AS date, bike_type,
                {_round('avg(miles)')} AS avg_miles, {_round('avg(mph)')} AS avg_mph
         FROM measured GROUP BY 1, 2""",
+    # a kernel for each single value
     "density_curves": f"""
         SELECT measure, bike_type, CAST(point AS INTEGER) AS point, {_round('x')} AS x,
-               {_round("""sum(b.n * exp(-pow((x - mid) / h, 2) / 2))
-                   / (any_value(s.n) * any_value(h) * sqrt(2 * pi()))""")} AS density
+               round(sum(exp(-pow((x - v) / h, 2) / 2))
+                   / (any_value(n) * any_value(h) * sqrt(2 * pi())), {r.DENSITY_DIGITS}) AS density
         FROM (SELECT *, lo - 3 * h + point * (hi - lo + 6 * h) / 99 AS x
               FROM curve_shape, range(100) AS g(point) WHERE h > 0) AS s
-        JOIN curve_bins AS b USING (measure, bike_type)
+        JOIN curve_values AS b USING (measure, bike_type)
         GROUP BY measure, bike_type, point, x""",
     "distance_density": f"""
         SELECT bike_type, CAST(point AS INTEGER) AS point, {_round('x')} AS x,
-               {_round("""sum(b.n * exp(-pow((x - mid) / h, 2) / 2))
-                   / (any_value(s.n) * any_value(h) * sqrt(2 * pi()))""")} AS density
+               round(sum(exp(-pow((x - miles) / h, 2) / 2))
+                   / (any_value(n) * any_value(h) * sqrt(2 * pi())), {r.DENSITY_DIGITS}) AS density
         FROM (SELECT *, lo - 3 * h + point * (hi - lo + 6 * h) / 99 AS x
               FROM miles_shape, range(100) AS g(point) WHERE h > 0) AS s
-        JOIN miles_bins AS b USING (bike_type)
+        JOIN measured USING (bike_type)
+        WHERE miles IS NOT NULL
         GROUP BY bike_type, point, x""",
     "top_routes": _top_routes(),
     "trips_by_service_hours": """

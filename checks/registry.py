@@ -168,7 +168,8 @@ def _ingest_trips_by_year(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _last_trip_id(spark: SparkSession, sf: str) -> DataFrame:
-    return views.trips(spark, sf).agg(F.coalesce(F.max("trip_id"), F.lit(0)).alias("last_id"))
+    last = tables.last_id(views.trips(spark, sf), "trip_id")
+    return spark.range(1).select(F.lit(last).cast("bigint").alias("last_id"))
 
 
 def _write_snapshot(entries: DataFrame, name: str) -> str:
@@ -274,6 +275,8 @@ TYPED: dict[str, Query] = {
 
 # Decimals kept of fractional results, which both engines add up in their own order.
 DIGITS = 6
+# Of densities, which Spark adds up from bins and the SQL from every value.
+DENSITY_DIGITS = 4
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -286,7 +289,7 @@ def comparable(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, DIGITS)
+            c = F.round(c, DENSITY_DIGITS if f.name == "density" else DIGITS)
         return c.alias(f.name)
 
     return df.select(*[plain(f) for f in df.schema])

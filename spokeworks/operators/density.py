@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 2048
+BINS_PER_BANDWIDTH = 64
 GRID_POINTS = 100
 REACH = 3.0
 
@@ -23,35 +25,89 @@ def density_curves(
 ) -> DataFrame:
     """``group, point, x, density`` of ``value`` (in ``0..upper``) per group.
 
-    The bandwidth follows Scott's rule, the sample deviation times
-    ``n ** (-1/5)``; the ``points`` grid points run from ``reach`` bandwidths
-    below the smallest to ``reach`` above the largest value. A group without
-    spread has no bandwidth and gives no curve.
-
-    One pass over the values leaves one row per group and bin (count, mean,
-    squared deviation, smallest, largest), combined before the shuffle. What
-    follows handles at most ``bins`` rows per group: the group's exact mean and
-    deviation merged from its bins, and the kernel of each bin's mean. Bins are
-    narrow, which bounds the difference from a kernel per value.
+    For values that fill their range: one pass leaves a row per group and bin of
+    ``upper / bins``, combined before the shuffle. See ``_curves``.
     """
     width = F.col(upper) / bins
     slot = F.least(F.floor(F.col(value) / width), F.lit(bins - 1))
+    return _curves(_binned(values, group, value, F.lit(1), slot, width), group, points, reach)
+
+
+def counted_density_curves(
+    counted: DataFrame,
+    group: list[str],
+    value: str,
+    times: str,
+    points: int = GRID_POINTS,
+    reach: float = REACH,
+) -> DataFrame:
+    """``group, point, x, density`` of values of any range that occur ``times`` each.
+
+    Bins are a small part of the group's bandwidth wide, and only those with
+    values are kept: a far value costs a bin of its own and no accuracy. The
+    counted rows are read twice, for the bandwidth and for the bins.
+    """
+    there = counted.where(F.col(value).isNotNull())
+    n, weight = F.sum(times), F.col(times)
+    # moments about any one value of the group keep their digits
+    near = there.groupBy(*group).agg(F.min(value).alias("_near"))
+    off = F.col(value) - F.col("_near")
+    moments = (
+        _of_group(there, near, group)
+        .groupBy(*group)
+        .agg(n.alias("_times"), F.sum(weight * off).alias("_off"), F.sum(weight * off * off).alias("_off2"))
+        .withColumn("_squares", F.col("_off2") - F.col("_off") * F.col("_off") / F.col("_times"))
+        .select(*group, (_bandwidth("_squares", "_times") / BINS_PER_BANDWIDTH).alias("_width"))
+        .where("_width > 0")
+    )
+    slot = F.floor(F.col(value) / F.col("_width"))
+    sized = _of_group(there, moments, group)
+    return _curves(_binned(sized, group, value, weight, slot, F.col("_width")), group, points, reach)
+
+
+def _of_group(rows: DataFrame, groups: DataFrame, group: list[str]) -> DataFrame:
+    """The rows with what is known of their group; groups may be NULL."""
+    named = groups.withColumnsRenamed({g: f"_of_{g}" for g in group})
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group])
+    return rows.join(named, same).drop(*(f"_of_{g}" for g in group))
+
+
+def _bandwidth(squares: str, n: str) -> Column:
+    """Scott's rule: the sample deviation times ``n ** (-1/5)``; NULL for a single value."""
+    return F.sqrt(F.try_divide(F.col(squares), F.col(n) - 1)) * F.pow(F.col(n), F.lit(-0.2))
+
+
+def _binned(
+    values: DataFrame, group: list[str], value: str, times: Column, slot: Column, width: Column
+) -> DataFrame:
+    """Of each group and bin: count, mean, squared deviation, smallest, largest."""
     centre = (F.col("_slot") + 0.5) * F.col("_width")
-    binned = (
+    return (
         values.where(F.col(value).isNotNull())
-        .withColumns({"_width": width, "_slot": slot})
+        .withColumns({"_width": width, "_slot": slot, "_times": times})
         .withColumn("_off", F.col(value) - centre)
         .groupBy(*group, "_slot", "_width")
         .agg(
-            F.count("*").alias("_n"),
-            F.sum("_off").alias("_off"),
-            F.sum(F.col("_off") * F.col("_off")).alias("_off2"),
+            F.sum("_times").alias("_n"),
+            F.sum(F.col("_times") * F.col("_off")).alias("_off"),
+            F.sum(F.col("_times") * F.col("_off") * F.col("_off")).alias("_off2"),
             F.min(value).alias("_min"),
             F.max(value).alias("_max"),
         )
         .withColumn("_mean", centre + F.col("_off") / F.col("_n"))
         .withColumn("_spread", F.col("_off2") - F.col("_off") * F.col("_off") / F.col("_n"))
     )
+
+
+def _curves(binned: DataFrame, group: list[str], points: int, reach: float) -> DataFrame:
+    """The curves of binned values.
+
+    The ``points`` grid points run from ``reach`` bandwidths below the smallest to
+    ``reach`` above the largest value. A group without spread has no bandwidth
+    and gives no curve. The group's mean and deviation, merged from its bins, are
+    exact; a bin's kernels are those of its mean, corrected for the spread of the
+    values within the bin.
+    """
     whole = Window.partitionBy(*group)
     total = F.sum("_n").over(whole)
     mean = F.sum(F.col("_n") * F.col("_mean")).over(whole) / total
@@ -59,13 +115,10 @@ def density_curves(
         binned.withColumns({"_total": total, "_centre": mean})
         .withColumn("_gap", F.col("_mean") - F.col("_centre"))
         .withColumn(
-            "_variance",
-            F.try_divide(
-                F.sum(F.col("_spread") + F.col("_n") * F.col("_gap") * F.col("_gap")).over(whole),
-                F.col("_total") - 1,
-            ),
+            "_squares",
+            F.sum(F.col("_spread") + F.col("_n") * F.col("_gap") * F.col("_gap")).over(whole),
         )
-        .withColumn("_h", F.sqrt("_variance") * F.pow(F.col("_total"), F.lit(-0.2)))
+        .withColumn("_h", _bandwidth("_squares", "_total"))
         .where(F.col("_h") > 0)
         .withColumns(
             {
@@ -76,10 +129,12 @@ def density_curves(
     )
     x = F.col("_from") + F.col("point") * (F.col("_to") - F.col("_from")) / (points - 1)
     z = (F.col("x") - F.col("_mean")) / F.col("_h")
+    within = F.greatest("_spread", F.lit(0.0)) / (F.col("_h") * F.col("_h"))
+    kernels = (F.col("_n") + (z * z - 1) / 2 * within) * F.exp(-z * z / 2)
     scale = F.col("_total") * F.col("_h") * math.sqrt(2 * math.pi)
     return (
         sized.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("x", x)
         .groupBy(*group, "point", "x")
-        .agg(F.sum(F.col("_n") * F.exp(-z * z / 2) / scale).alias("density"))
+        .agg(F.sum(kernels / scale).alias("density"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spokeworks.functions.classify import bike_type
 from spokeworks.functions.durations import elapsed_us, hours, minutes
+from spokeworks.operators.density import counted_density_curves
 from spokeworks.operators.density import density_curves as curves
 from spokeworks.operators.reshape import stack_rows
 from spokeworks.plans.selections import by_member_type, forward, within
@@ -92,16 +93,25 @@ def density_curves(measured: DataFrame) -> DataFrame:
     return curves(long.where(kept), ["measure", "bike_type"], "value", "upper")
 
 
-def distance_density(measured: DataFrame) -> DataFrame:
-    """``bike_type, point, x, density`` for miles of any length.
+def pair_distances(
+    trips: DataFrame, stations: DataFrame, first: dt.date, member_type: str = "Member"
+) -> DataFrame:
+    """``bike_type, miles, trips`` of each pair of stations.
 
-    A first pass finds the longest trip of each bike type, a second counts the bins up
-    to it. There are two types, so their limits may be broadcast.
+    Distance depends on the pair alone, so trips are counted before the stations
+    are looked up.
     """
-    longest = (
-        measured.groupBy(F.col("bike_type").alias("_type"))
-        .agg(F.max("miles").alias("upper"))
-        .where(F.col("upper") > 0)
+    pairs = (
+        within(trips, first)
+        .where(forward() & by_member_type(member_type))
+        .groupBy(bike_type("bike_number").alias("bike_type"), "start_station", "end_station")
+        .agg(F.count("*").alias("trips"))
+    )
+    return with_end_points(pairs, stations, "lat", "lon").select(
+        "bike_type", miles_between_ends().alias("miles"), "trips"
     )
-    limited = measured.join(F.broadcast(longest), F.col("bike_type") == F.col("_type"))
-    return curves(limited.select("bike_type", "miles", "upper"), ["bike_type"], "miles", "upper")
+
+
+def distance_density(counted: DataFrame) -> DataFrame:
+    """``bike_type, point, x, density`` for miles of any length, of ``bike_type, miles, trips``."""
+    return counted_density_curves(counted, ["bike_type"], "miles", "trips")

@@ -144,7 +144,9 @@ REPORTS: dict[str, Report] = {
     ),
     "daily_distance_speed": lambda t, s: distance.daily_distance_speed(_measured(t, s)),
     "density_curves": lambda t, s: distance.density_curves(_measured(t, s)),
-    "distance_density": lambda t, s: distance.distance_density(_measured(t, s)),
+    "distance_density": lambda t, s: distance.distance_density(
+        distance.pair_distances(t.trips(), t.stations(), s.first)
+    ),
     "top_routes": lambda t, s: stations.top_routes(t.trips(), t.stations(), s.first),
     "trips_by_service_hours": _hours,
     "service_hours_share": lambda t, s: service_hours.service_hours_share(_hours(t, s)),

@@ -18,7 +18,7 @@ from spokeworks.operators.conform import (
     lower_names,
     require_key,
 )
-from spokeworks.operators.density import density_curves
+from spokeworks.operators.density import counted_density_curves, density_curves
 from spokeworks.operators.lookup import attach, fits_broadcast
 from spokeworks.operators.ranking import running_share, top_n
 from spokeworks.operators.reshape import stack_rows
@@ -206,6 +206,23 @@ def test_density_is_close_to_a_kernel_per_value(spark):
     assert sum(r["density"] for r in got) * step == pytest.approx(1.0, abs=2e-3)
 
 
+def test_one_far_value_leaves_the_density_right(spark):
+    near = [3.0 * i / 1999 for i in range(2000)]
+    rows = [("g", v, 1000) for v in near] + [("g", 6000.0, 1)]
+    df = spark.createDataFrame(rows, "kind STRING, v DOUBLE, times LONG")
+    got = dicts(counted_density_curves(df, ["kind"], "v", "times", points=4000))
+    n = 2_000_001
+    mean = sum(v * t for _, v, t in rows) / n
+    h = math.sqrt(sum(t * (v - mean) ** 2 for _, v, t in rows) / (n - 1)) * n**-0.2
+    inside = [r for r in got if 0 < r["x"] < 3]
+    assert inside
+    for r in inside:
+        exact = sum(t * math.exp(-(((r["x"] - v) / h) ** 2) / 2) for _, v, t in rows) / (
+            n * h * math.sqrt(2 * math.pi)
+        )
+        assert r["density"] == pytest.approx(exact, rel=1e-6)
+
+
 def test_density_puts_the_upper_limit_in_the_last_bin(spark):
     rows = [("m", v, 5.0) for v in (0.0, 2.5, 5.0)]
     df = spark.createDataFrame(rows, "measure STRING, v DOUBLE, upper DOUBLE")

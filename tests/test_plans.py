@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import pytest
-from helpers import DAY, at, by, dicts, hours, locations, stations, trip, trips
+from helpers import DAY, at, by, dicts, hours, locations, plan, stations, trip, trips
 from pyspark.sql import functions as F
 
 from spokeworks.plans import (
@@ -258,7 +258,7 @@ def test_distance_means(spark):
 def test_distance_density_reaches_the_longest_trip(spark):
     rows = [(k, m) for k, far in (("Classic", 40.0), ("Plus", 7.0)) for m in (0.0, 1.0, 2.0, far)]
     rows += [("Plus", None), ("Still", 0.0), ("Still", 0.0)]
-    df = spark.createDataFrame(rows, "bike_type STRING, miles DOUBLE")
+    df = spark.createDataFrame([(*r, 1) for r in rows], "bike_type STRING, miles DOUBLE, trips LONG")
     got = by(distance.distance_density(df), "bike_type", "point")
     assert {k for k, _ in got} == {"Classic", "Plus"}
     for kind, far in (("Classic", 40.0), ("Plus", 7.0)):
@@ -268,6 +268,31 @@ def test_distance_density_reaches_the_longest_trip(spark):
         assert sum(r["density"] for r in curve) * step == pytest.approx(1.0, abs=0.01)
 
 
+def test_pair_distances_count_trips(spark):
+    df = trips(
+        spark,
+        *[trip(at("08:00"), at("08:30"), start_station="a", end_station="b") for _ in range(3)],
+        trip(at("08:00"), at("09:00"), start_station="a", end_station="x"),
+    )
+    named = stations(spark, ("a", "A", 38.9, -77.0), ("b", "B", 38.95, -77.0))
+    got = dicts(distance.pair_distances(df, named, D(2018, 9, 5)))
+    assert sorted((r["trips"], r["miles"] is None) for r in got) == [(1, True), (3, False)]
+
+
+def test_distance_density_reads_the_trips_once(spark, tmp_path):
+    trips(spark, *[trip(at("08:00"), at("08:30"), end_station=s) for s in "abc"]).write.parquet(
+        str(tmp_path / "t")
+    )
+    named = stations(spark, ("a", "A", 38.9, -77.0), ("b", "B", 38.95, -77.0), ("c", "C", 39.0, -77.0))
+    curve = distance.distance_density(
+        distance.pair_distances(spark.read.parquet(str(tmp_path / "t")), named, D(2018, 9, 5))
+    )
+    assert len(curve.collect()) == 100
+    final = plan(curve).split("== Initial Plan ==")[0]
+    scans = final.count("FileScan") + final.count("Scan parquet")
+    assert scans - final.count("ReusedExchange") <= 1
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_service_hours_bounds(spark, small):
     df = trips(
