@@ -1,0 +1,42 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from spokeworks.llm.components import components
+
+
+def brute(links):
+    parent = {x: x for e in links for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        u, v = root(a), root(b)
+        parent[max(u, v)] = min(u, v)
+    return {x: root(x) for x in parent}
+
+
+@pytest.mark.parametrize("kind", ["random", "path", "star", "tree"])
+def test_smallest_node_of_each_component(spark, kind):
+    rng = random.Random(2)
+    links = {
+        "random": [(rng.randrange(200), rng.randrange(200)) for _ in range(120)],
+        "path": [(i, i + 1) for i in range(100, 160)],
+        "star": [(500, i) for i in range(60)],
+        "tree": [(rng.randrange(i), i) for i in range(1, 120)],
+    }[kind]
+    links = [(a, b) for a, b in links if a != b]
+    rng.shuffle(links)
+    df = spark.createDataFrame(links + links[:5] + [(7, 7), (None, 3)], "a LONG, b LONG")
+    got = components(df).collect()
+    assert len(got) == len({r["node"] for r in got})
+    assert {r["node"]: r["component"] for r in got} == brute(links)
+
+
+def test_no_links(spark):
+    assert components(spark.createDataFrame([], "a LONG, b LONG")).count() == 0

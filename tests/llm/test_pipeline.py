@@ -1,0 +1,85 @@
+from __future__ import annotations
+
+import os
+import random
+
+import pytest
+from words import text, words
+
+import corpus_pipeline
+from spokeworks.llm import line_dedup, mixing, ngram_join, packing, queries, toxicity
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def folder(spark, tmp_path, documents):
+    """Documents with copies, a shared passage and toxic ones, and labels of some."""
+    rng = random.Random(4)
+    passage = text(rng, 60)
+    rows = []
+    for i in range(160):
+        own = text(rng, rng.choice([3, 30, 80, 150]))
+        if i % 8 == 1:
+            own = f"{own}\n{passage}"
+        if i % 10 == 2:
+            own = rows[i - 1][1]
+        if i % 5 == 3:
+            own = " ".join([*own.split(" "), *(["blarg", "snorf", *words(rng, 2)] * 4)])
+        rows.append((i, own))
+    documents(*rows, (900, None), (901, "")).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1, int("blarg" in t)) for i, t in rows if i % 4]
+    spark.createDataFrame(labels, "doc_id LONG, quality INT, toxic INT").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_each_stage_takes_what_the_one_before_kept(spark, folder):
+    docs = queries.table(spark, folder, "documents")
+    columns, kept = docs.columns, {}
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        docs = apply(spark, docs, folder)
+        assert docs.columns == columns
+        rows = docs.collect()
+        kept[name] = {r["doc_id"]: r["text"] for r in rows}
+        assert kept[name].keys() <= before.keys()
+        assert all(r["n_chars"] == len(r["text"] or "") for r in rows)
+        docs = spark.createDataFrame(rows, docs.schema)
+    toxic = {i for i, t in kept["toxicity"].items() if t and "blarg" in t}
+    assert len(toxic) <= 2 and {900, 901} <= kept["toxicity"].keys()
+    lines = [t for t in kept["line_dedup"].values() if t]
+    assert len(lines) == len(set(lines))
+    classes = ngram_join.classes(docs).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in classes)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert {r["doc_id"] for r in packed} == kept["mix"].keys()
+
+
+def test_run_is_the_stages_one_after_the_other(spark, folder):
+    got = sorted(map(tuple, corpus_pipeline.run(spark, folder).select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+    docs = queries.table(spark, folder, "documents")
+    model = queries.toxicity_model(spark, docs, folder)
+    docs = toxicity.without_toxic(docs, model)
+    docs = line_dedup.without_repeats(docs).where("_removed = 0 OR _removed < _lines").drop("_lines", "_removed")
+    docs = mixing.mixed(ngram_join.without_near_copies(docs))
+    want = packing.pieces(docs, corpus_pipeline.public_tokenizers.path("word_bpe_49k.json"))
+    assert got == sorted(map(tuple, want.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+
+
+def test_names_of_the_queries():
+    names = [n.split("_")[0] for n in queries.queries()]
+    assert names == [f"op{n}" for n in range(1, 11)]
+    assert queries.oracle_sql().keys() <= queries.queries().keys()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "mix", "packing"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_digest_columns(spark):
+    got = {name: query(spark, SMALL).columns for name, query in queries.queries().items()}
+    assert got["op2_embedding_near_dedup"][:4] == ["vec_id", "n_links", "component_id", "kept"]
+    assert got["op3_source_mix"][:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    assert got["op4_ngram_jaccard_join"] == ["doc_id", "n_shingles", "component_id"]
+    assert got["op6_best_fit_packing"] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert got["op7_toxicity"][:4] == ["doc_id", "held_out", "score", "predicted"]
+    assert got["op8_language_id"] == ["doc_id", "held_out", "lang_pred", "score"]
+    assert got["op10_nearest_vectors"] == ["query_id", "rank", "vec_id", "score"]

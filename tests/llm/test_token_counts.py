@@ -1,0 +1,113 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+from words import ODD, text
+
+from spokeworks.llm import token_counts as tc
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def spans_by_another_library(value: str):
+    """Token characters by the other file of the same vocabulary: from each token's bytes."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    ids = tokenizer.encode(value, add_special_tokens=False).ids
+    encoding, _ = tc._encoding(VOCABULARY)
+    char_of = [i for i, c in enumerate(value) for _ in c.encode()]
+    out, at = [], 0
+    for i in ids:
+        n = len(encoding.decode_single_token_bytes(i))
+        out.append((char_of[at], char_of[at + n - 1] + 1))
+        at += n
+    return out
+
+
+def brute(value: str, sections, rule):
+    spans = spans_by_another_library(value)
+    tokens = [0.0] * len(sections)
+    for a, b in spans:
+        shared = [max(0, min(b, e) - max(a, s)) for s, e in sections]
+        if rule == "split":
+            for k, x in enumerate(shared):
+                tokens[k] += x / (b - a)
+            continue
+        if rule == "majority":
+            hit = max(range(len(sections)), key=lambda k: (shared[k], -k), default=None)
+            hit = hit if hit is not None and shared[hit] else None
+        else:
+            at = a if rule == "start" else b - 1
+            hit = next((k for k, (s, e) in enumerate(sections) if s <= at < e), None)
+        if hit is not None:
+            tokens[hit] += 1
+    return tokens, len(spans)
+
+
+TEXTS = [text(random.Random(k), 5 * k + 3) for k in range(8)] + [t for t in ODD if t]
+
+
+@pytest.mark.parametrize("rule", tc.RULES)
+def test_lines_get_their_tokens(documents, rule):
+    rows = list(enumerate(TEXTS))
+    got = tc.attribute_tokens(documents(*rows, extra="section tokens"), VOCABULARY, rule).collect()
+    for i, value in rows:
+        bounds = tc.line_sections(value).tolist()
+        sections = list(zip(bounds, bounds[1:]))
+        own = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["section"])
+        assert [(r["start"], r["end"]) for r in own if r["section"] >= 0] == sections
+        tokens, total = brute(value, sections, rule)
+        assert [r["tokens"] for r in own if r["section"] >= 0] == pytest.approx(tokens)
+        assert sum(r["tokens"] for r in own) == pytest.approx(total)
+
+
+@pytest.mark.parametrize("rule", tc.RULES)
+def test_given_sections_with_gaps(spark, rule):
+    rng = random.Random(5)
+    rows = []
+    for i in range(12):
+        value = text(rng, 30)
+        cuts = sorted(rng.sample(range(len(value)), 6))
+        rows.append((i, value, [("f%d" % k, cuts[2 * k], cuts[2 * k + 1]) for k in range(3)]))
+    df = spark.createDataFrame(
+        rows, "doc_id LONG, text STRING, parts ARRAY<STRUCT<name:STRING,start:LONG,end:LONG>>"
+    )
+    got = tc.attribute_tokens(df, VOCABULARY, rule, "parts").collect()
+    for i, value, parts in rows:
+        sections = [(s, e) for _, s, e in parts]
+        tokens, total = brute(value, sections, rule)
+        own = {r["section"]: r for r in got if r["doc_id"] == i}
+        assert [own[k]["tokens"] for k in range(3)] == pytest.approx(tokens)
+        assert [own[k]["name"] for k in range(3)] == ["f0", "f1", "f2"]
+        assert own[-1]["tokens"] == pytest.approx(total - sum(tokens))
+        spans = spans_by_another_library(value)
+        crossing = [sum(a < e and b > s and (a < s or b > e) for a, b in spans) for s, e in sections]
+        assert [own[k]["crossing"] for k in range(3)] == crossing
+
+
+def test_null_empty_and_repeated_rows(spark, documents):
+    df = documents((1, None), (2, ""), (None, "a b"), (3, "x\ny"), (3, "x\ny"))
+    got = tc.attribute_tokens(df, VOCABULARY).collect()
+    one = [(r["section"], r["tokens"]) for r in got if r["doc_id"] in (1, 2)]
+    assert one == [(0, 0.0), (0, 0.0)]
+    assert len([r for r in got if r["doc_id"] == 3]) == 4
+    assert [r["tokens"] for r in got if r["doc_id"] is None] == [2.0]
+    assert tc.attribute_tokens(df.limit(0), VOCABULARY).count() == 0
+    none = spark.createDataFrame([(1, "a b", None)], f"doc_id LONG, text STRING, parts {tc.SECTIONS}")
+    assert [(r["section"], r["tokens"]) for r in tc.attribute_tokens(none, VOCABULARY, "start", "parts").collect()] == [(-1, 2.0)]
+
+
+def test_an_unknown_rule_is_an_error(documents):
+    with pytest.raises(ValueError, match="rule"):
+        tc.attribute_tokens(documents((1, "a")), VOCABULARY, "middle")
+
+
+def test_spans_cover_the_text():
+    for value in TEXTS:
+        first, end = tc.token_spans(value, VOCABULARY)
+        assert first[0] == 0 and end[-1] == len(value)
+        assert (np.diff(first) >= 0).all() and (end > first).all()

@@ -1,0 +1,33 @@
+"""Invented words and small texts for the tests."""
+
+from __future__ import annotations
+
+import random
+
+
+def words(rng: random.Random, n: int) -> list[str]:
+    return ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+
+
+def text(rng: random.Random, n: int, line: int = 12) -> str:
+    own = words(rng, n)
+    return "\n".join(" ".join(own[i : i + line]) for i in range(0, n, line))
+
+
+#: Texts with little in them, or odd.
+ODD = [
+    None,
+    "",
+    " ",
+    "\n\n",
+    "\t\x0b\x0c\r\n",
+    "a",
+    "a b",
+    "A  B c",
+    "日本語 テスト",
+    "é" * 30,
+    "x" * 20_000,
+    "<|endoftext|> it's",
+    "a\x00b \x1c c",
+    "🙂 👍🏽 ​",
+]
