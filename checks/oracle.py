@@ -218,7 +218,8 @@ _VIEWS = {
                CAST(trunc(bikes + CAST(bikes AS DOUBLE) / (bikes + scooters) * unknown) AS BIGINT)
                    AS bikes,
                CAST(trunc(scooters + CAST(scooters AS DOUBLE) / (bikes + scooters) * unknown)
-                   AS BIGINT) AS scooters
+                   AS BIGINT) AS scooters,
+               bikes AS known_bikes, scooters AS known_scooters, vehicles, unknown
         FROM kinds""",
     "timeline": f"""
         SELECT CAST(d AS DATE) AS date, vehicle, event
@@ -432,7 +433,9 @@ _QUERIES = {
                trips, {_round('trips / CAST(type_total AS DOUBLE)')} AS trip_share
         FROM hour_counts""",
     "daily_vehicle_kinds": "SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM kinds",
-    "vehicle_kinds_apportioned": f"SELECT {_DATE}, bikes, scooters FROM apportioned",
+    "vehicle_kinds_apportioned": f"""
+        SELECT {_DATE}, bikes, scooters, known_bikes, known_scooters, vehicles, unknown
+        FROM apportioned""",
     "vehicle_kinds_long_events": """
         SELECT CAST(long.date AS VARCHAR) AS date, long.vehicle, on_street,
                coalesce(event, '') AS event
@@ -492,6 +495,10 @@ _QUERIES = {
         FROM weather""",
     "build_ebike_table": "SELECT bike_number FROM ebikes",
     "bulk_copy": f"SELECT {_TRIP_COLUMNS}, trip_id FROM trips",
+    "export_texts": f"""
+        SELECT event_id, piece, event_type || piece || props AS longer
+        FROM (SELECT *, ([{", ".join(_literal(x) for x in r.AWKWARD)}, NULL])
+                  [CAST(event_id % {len(r.AWKWARD) + 1} AS INTEGER) + 1] AS piece FROM events)""",
     "key_violations": """
         SELECT bike_number, start_station, count(*) AS n FROM trips GROUP BY 1, 2
         HAVING count(*) > 1 OR bike_number IS NULL OR start_station IS NULL""",
@@ -518,5 +525,13 @@ def _with_views(sql: str) -> str:
     return f"WITH {named}\n{sql.strip()}"
 
 
+# The same result by another way.
+_QUERIES |= {
+    "append_trips_again": _QUERIES["append_trips"],
+    "stored_service_hours": _QUERIES["trips_by_service_hours"],
+    "stored_bike_locations": _QUERIES["daily_vehicle_kinds"],
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _with_views(sql) for name, sql in _QUERIES.items()}

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import views
+from spokeworks import jobs
 from spokeworks.operators.conform import key_violations
 from spokeworks.operators.staging import staging_path
-from spokeworks.plans import ingest
+from spokeworks.plans import ingest, service_hours, vehicles
 from spokeworks.reports import REPORTS, Report, Study
 from spokeworks.schemas import (
     EBIKES,
@@ -143,16 +144,23 @@ def _ingest_station_id_layout(spark: SparkSession, sf: str) -> DataFrame:
     return read_trips(spark, drop, STATION_ID_LAYOUT)
 
 
-def _append_trips(spark: SparkSession, sf: str) -> DataFrame:
+def _append_trips(spark: SparkSession, sf: str, runs: int = 1) -> DataFrame:
     trips = views.trips(spark, sf)
     table = staging_path(spark, "trips-table")
     stored = trips.where(F.col("start_date") < F.lit(STORED_UNTIL))
     tables.append_trips_table(stored, table)
     new = trips.where(F.col("start_date") >= F.lit(STORED_UNTIL))
-    ingest.append_trips(spark, _write_drop(new, STATION_NUMBER_LAYOUT, STATION_NUMBER_HEADER), table)
+    drop = _write_drop(new, STATION_NUMBER_LAYOUT, STATION_NUMBER_HEADER)
+    for _ in range(runs):
+        ingest.append_trips(spark, drop, table)
     return tables.read_table(spark, table, NUMBERED_TRIPS)
 
 
+def _append_trips_again(spark: SparkSession, sf: str) -> DataFrame:
+    """The same drop appended twice, as by a job that is run again: it is added once."""
+    return _append_trips(spark, sf, runs=2)
+
+
 def _ingest_trips_by_year(spark: SparkSession, sf: str) -> DataFrame:
     trips = views.long_trips(spark, sf)
     source_of = {v: k for k, v in STATION_ID_LAYOUT.columns(STATION_ID_HEADER).items()}
@@ -242,6 +250,42 @@ def _bulk_copy(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_table(spark, table, trips.schema)
 
 
+#: Pieces of text that delimited files easily lose.
+AWKWARD = (" both ", "\\N", "a,b", 'say "x"', "", "tab\there", "a|b", " ", '"', "#", "NULL")
+
+
+def _export_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """A comma export with texts that are easily lost, read back."""
+    choices = F.array(*(F.lit(x) for x in AWKWARD), F.lit(None))
+    piece = F.element_at(choices, (F.col("event_id") % (len(AWKWARD) + 1) + 1).cast("int"))
+    rows = views.table(spark, sf, "events").select(
+        "event_id", piece.alias("piece"), F.concat("event_type", piece, "props").alias("longer")
+    )
+    path = staging_path(spark, "export")
+    tables.export_csv(rows, path)
+    return tables.read_delimited(spark, path, rows.schema, ",")
+
+
+def _loaded(spark: SparkSession, name: str, rows: DataFrame) -> jobs.TableFolder:
+    """A table that the command loads from a pipe-delimited file."""
+    export, folder = staging_path(spark, "export"), staging_path(spark, "tables")
+    tables.export_csv(rows, export, "|")
+    jobs.run(spark, jobs._arguments(["load", name, "--source", export, "--tables", folder]))
+    return jobs.TableFolder(spark, folder)
+
+
+def _stored_service_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """Trips by service hours, with the hours read from a stored table."""
+    stored = _loaded(spark, "service_hours", views.service_hours(spark, sf)).service_hours()
+    return service_hours.trips_by_service_hours(views.trips(spark, sf), stored, FIRST)
+
+
+def _stored_bike_locations(spark: SparkSession, sf: str) -> DataFrame:
+    """Vehicle kinds by day, with the locations read from a stored table."""
+    stored = _loaded(spark, "bike_locations", views.bike_locations(spark, sf)).bike_locations()
+    return vehicles.daily_vehicle_kinds(stored, PROVIDER, BIKES_BEFORE)
+
+
 def _replace_year_partitions(spark: SparkSession, sf: str) -> DataFrame:
     """The second system stored by year; one run more must not add rows."""
     trips = views.long_trips(spark, sf).withColumn("file_year", F.year("start_date"))
@@ -262,6 +306,7 @@ TYPED: dict[str, Query] = {
     "ingest_station_number_layout": _ingest_station_number_layout,
     "ingest_station_id_layout": _ingest_station_id_layout,
     "append_trips": _append_trips,
+    "append_trips_again": _append_trips_again,
     "ingest_trips_by_year": _ingest_trips_by_year,
     "last_trip_id": _last_trip_id,
     "replace_year_partitions": _replace_year_partitions,
@@ -270,6 +315,9 @@ TYPED: dict[str, Query] = {
     "ingest_weather": _ingest_weather,
     "build_ebike_table": _build_ebike_table,
     "bulk_copy": _bulk_copy,
+    "export_texts": _export_texts,
+    "stored_service_hours": _stored_service_hours,
+    "stored_bike_locations": _stored_bike_locations,
     "key_violations": _station_key_check,
 }
 

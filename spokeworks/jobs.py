@@ -1,13 +1,16 @@
 """Command line: ``spark-submit spokeworks/jobs.py`` or ``python -m spokeworks.jobs``.
 
     append-trips  --source DIR --tables DIR
-    trips-by-year --source DIR --tables DIR --years 2013 2014
+    trips-by-year --source DIR --tables DIR --years 2013 2014 [--missing-ok]
     stations      --source DIR --tables DIR
     regions       --source DIR --tables DIR
     weather       --source DIR --tables DIR [--first DATE --last DATE]
     ebikes        --tables DIR [--first DATE --last DATE]
+    load TABLE    --source FILE --tables DIR [--sep "|"]
     report NAME   --tables DIR --out DIR [--provider NAME]
                   [--first DATE --last DATE] [--sep ,]
+
+A bound that a job does not use is an error.
 """
 
 from __future__ import annotations
@@ -68,13 +71,33 @@ _OF_PROVIDER = {
 }
 
 
+# Where a report's own period has a name of its own in the study.
+_PERIOD = {
+    "daily_fleet_calendar": "fleet_",
+    "ebike_fleet_calendar": "second_",
+    "first_seen_in_window": "ebike_",
+}
+
+# Reports over a closed period; the others with a first day are open to the end.
+CLOSED = set(_PERIOD) | {
+    "daily_utilisation",
+    "trips_per_fleet_bike_long",
+    "trips_per_used_bike_long",
+    "overall_trips_per_bike",
+    "fleet_vs_trip_share",
+    "fleet_vs_trip_share_long",
+}
+
+# Reports over all that there is.
+UNBOUNDED = _OF_PROVIDER | {"total_scooters", "first_trip_per_bike"}
+
+# Tables without a job of their own, which ``load`` fills from delimited files.
+LOADED = {"service_hours": schemas.SERVICE_HOURS, "bike_locations": schemas.DEVICE_LOCATIONS}
+
+
 def _study(name: str, args: argparse.Namespace) -> Study:
     """The default study, with the period of the report replaced if given."""
-    prefix = {
-        "daily_fleet_calendar": "fleet_",
-        "ebike_fleet_calendar": "second_",
-        "first_seen_in_window": "ebike_",
-    }.get(name, "")
+    prefix = _PERIOD.get(name, "")
     given = {
         f"{prefix}first": args.first,
         f"{prefix}last": args.last,
@@ -91,20 +114,27 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     jobs = parser.add_subparsers(dest="job", required=True)
     date = dt.date.fromisoformat
 
-    def job(name: str, *, source: bool = True) -> argparse.ArgumentParser:
+    def job(name: str, *, source: bool = True, period: bool = False) -> argparse.ArgumentParser:
         sub = jobs.add_parser(name)
         sub.add_argument("--tables", required=True)
         if source:
             sub.add_argument("--source", required=True)
-        sub.add_argument("--first", type=date)
-        sub.add_argument("--last", type=date)
+        if period:
+            sub.add_argument("--first", type=date)
+            sub.add_argument("--last", type=date)
         return sub
 
-    for name in ("append-trips", "stations", "regions", "weather"):
+    for name in ("append-trips", "stations", "regions"):
         job(name)
-    job("trips-by-year").add_argument("--years", type=int, nargs="+", required=True)
-    job("ebikes", source=False)
-    report = job("report", source=False)
+    job("weather", period=True)
+    by_year = job("trips-by-year")
+    by_year.add_argument("--years", type=int, nargs="+", required=True)
+    by_year.add_argument("--missing-ok", action="store_true")
+    job("ebikes", source=False, period=True)
+    load = job("load")
+    load.add_argument("name", choices=sorted(LOADED))
+    load.add_argument("--sep", default="|")
+    report = job("report", source=False, period=True)
     report.add_argument("name", choices=sorted(REPORTS))
     report.add_argument("--out", required=True)
     report.add_argument("--sep", default=",")
@@ -114,6 +144,11 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     args = parser.parse_args(argv)
     if args.job == "report" and args.name in _OF_PROVIDER and args.provider is None:
         parser.error(f"{args.name} needs --provider")
+    if args.job == "report":
+        if args.last is not None and args.name not in CLOSED:
+            parser.error(f"{args.name} has no last day")
+        if args.first is not None and args.name in UNBOUNDED:
+            parser.error(f"{args.name} has no first day")
     return args
 
 
@@ -124,7 +159,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             ingest.append_trips(spark, args.source, tables.path("trips"))
         case "trips-by-year":
             ingest.ingest_trips_by_year(
-                spark, args.source, tables.path("second_trips"), args.years
+                spark,
+                args.source,
+                tables.path("second_trips"),
+                args.years,
+                missing_ok=args.missing_ok,
             )
         case "stations":
             ingest.upsert_stations(spark, args.source, tables.path("stations"))
@@ -142,6 +181,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
                 args.first or study.ebike_first,
                 args.last or study.ebike_last,
             )
+        case "load":
+            ingest.load_delimited(
+                spark, args.source, tables.path(args.name), LOADED[args.name], args.sep
+            )
         case "report":
             export_csv(REPORTS[args.name](tables, _study(args.name, args)), args.out, args.sep)
 

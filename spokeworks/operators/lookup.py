@@ -47,7 +47,9 @@ def attach(
 
     The columns of ``dim`` must be named apart from those of ``facts``; its key
     columns are kept. A ``small`` dimension is broadcast and the facts are not
-    moved; unless the caller has measured it, it is measured here.
+    moved; unless the caller has measured it, it is measured here. Facts that are
+    few themselves, because they were counted before, need neither: ``salts=1`` is a
+    plain join of which Spark picks the kind.
 
     Otherwise the facts are spread over ``salts`` slices per key, against one copy
     of the dimension per slice, so that many tasks share one hot key. The
@@ -58,6 +60,8 @@ def attach(
     on = [F.col(k) == F.col(v) for k, v in keys.items()]
     if residual is not None:
         on.append(residual)
+    if salts == 1:
+        return facts.join(dim, reduce(Column.__and__, on), "left")
     if fits_broadcast(dim) if small is None else small:
         return facts.join(F.broadcast(dim), reduce(Column.__and__, on), "left")
 

@@ -107,7 +107,7 @@ def pair_distances(
         .groupBy(bike_type("bike_number").alias("bike_type"), "start_station", "end_station")
         .agg(F.count("*").alias("trips"))
     )
-    return with_end_points(pairs, stations, "lat", "lon").select(
+    return with_end_points(pairs, stations, "lat", "lon", salts=1).select(
         "bike_type", miles_between_ends().alias("miles"), "trips"
     )
 

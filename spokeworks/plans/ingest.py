@@ -6,13 +6,12 @@ import datetime as dt
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeworks.operators.conform import require_key
 from spokeworks.operators.rowids import number_rows
-from spokeworks.operators.staging import stage
+from spokeworks.operators.staging import passing_copies, stage
 from spokeworks.plans.fleet import first_seen_in_window
 from spokeworks.schemas import (
     EBIKES,
@@ -25,6 +24,7 @@ from spokeworks.schemas import (
     WEATHER,
     TripLayout,
 )
+from spokeworks.sources import drops
 from spokeworks.sources.snapshots import (
     read_region_snapshot,
     read_station_snapshot,
@@ -41,7 +41,13 @@ from spokeworks.sources.tables import (
     replace_partitions,
     replace_table,
 )
-from spokeworks.sources.trips import read_positioned_trips, read_trips
+from spokeworks.sources.trips import (
+    files_of_years,
+    read_positioned_trips,
+    scan_csv,
+    to_trips,
+    year_of,
+)
 
 
 def numbered_trips(
@@ -56,9 +62,17 @@ def numbered_trips(
 def append_trips(
     spark: SparkSession, path: str, table: str, layout: TripLayout = STATION_NUMBER_LAYOUT
 ) -> None:
-    """Add a folder of trip CSVs to a table; ids continue from the largest stored one."""
+    """Add a folder of trip CSVs to a table; ids continue from the largest stored one.
+
+    A drop that the table has is not added again, so a failed job may be run again:
+    see ``drops``. The staged copy of the drop is removed once the table has it.
+    """
     last = last_id(read_table(spark, table, NUMBERED_TRIPS), "trip_id")
-    append_trips_table(numbered_trips(spark, path, last, layout), table)
+    if not drops.begin(spark, table, path, last):
+        return
+    with passing_copies(spark):
+        append_trips_table(numbered_trips(spark, path, last, layout), table)
+    drops.finish(spark, table, path, last)
 
 
 def ingest_trips_by_year(
@@ -67,21 +81,29 @@ def ingest_trips_by_year(
     table: str,
     years: Iterable[int],
     layout: TripLayout = STATION_ID_LAYOUT,
+    missing_ok: bool = False,
 ) -> None:
     """Store the CSVs whose name (or folder) holds one of ``years``, one partition per year.
 
-    All years are written by one job. A rerun replaces the years it covers. A year
-    without files is left out.
+    The folder is listed once, and all years are written by one job; years whose
+    first files have the same header are one scan. A rerun replaces the years it
+    covers. A year without files is an error, unless ``missing_ok``.
     """
+    years = sorted(set(years))
+    first_files = files_of_years(spark, path, years)
+    absent = [y for y in years if y not in first_files]
+    if absent and not missing_ok:
+        raise ValueError(f"no files of the years {absent} in {path}")
+    by_header: dict[tuple[str, ...], list[int]] = {}
+    for year, file in first_files.items():
+        by_header.setdefault(tuple(scan_csv(spark, [file]).columns), []).append(year)
     parts = []
-    for year in years:
-        try:
-            trips = read_trips(spark, path, layout, year)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            continue
-        parts.append(trips.withColumn("file_year", F.lit(year)))
+    for header, own in by_header.items():
+        globs = [f"{path.rstrip('/')}/*{year}*" for year in own]
+        scan = scan_csv(spark, globs, first_files[own[0]]).withColumn(
+            "file_year", year_of(F.col("_metadata.file_path"), path, own)
+        )
+        parts.append(to_trips(scan, layout.columns(list(header)), "file_year"))
     if parts:
         replace_partitions(reduce(DataFrame.unionByName, parts), table, TRIPS, "file_year")
 
@@ -130,10 +152,11 @@ def ingest_weather(
     last: dt.date | None = None,
 ) -> None:
     """Add daily weather; a date that is stored already or comes twice is an error."""
-    days = stage(read_weather(spark, path, first, last), "weather")
-    stored = read_table(spark, table, WEATHER).select("weather_date")
-    require_key(days.select("weather_date").unionByName(stored), ["weather_date"])
-    append_table(days, table, WEATHER)
+    with passing_copies(spark):
+        days = stage(read_weather(spark, path, first, last), "weather")
+        stored = read_table(spark, table, WEATHER).select("weather_date")
+        require_key(days.select("weather_date").unionByName(stored), ["weather_date"])
+        append_table(days, table, WEATHER)
 
 
 def build_ebike_table(trips: DataFrame, table: str, first: dt.date, last: dt.date) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spokeworks.functions.classify import known_bike_type
 from spokeworks.functions.geo import great_circle_miles
-from spokeworks.operators.lookup import attach, fits_broadcast
+from spokeworks.operators.lookup import SALTS, attach, fits_broadcast
 from spokeworks.operators.ranking import top_n
 from spokeworks.plans.selections import by_member_type, forward, within
 
@@ -32,7 +32,7 @@ def trips_by_station(
         F.col("short_name").alias("_station"), F.col("name").alias("start_name")
     )
     return (
-        attach(totals, names, {"start_station": "_station"})
+        attach(totals, names, {"start_station": "_station"}, salts=1)
         .select(
             F.lit(member_type).alias("member_type"), "start_station", "start_name", "total_trips"
         )
@@ -49,15 +49,23 @@ def end_points(stations: DataFrame, side: str, *columns: str) -> DataFrame:
 
 
 def with_end_points(
-    trips: DataFrame, stations: DataFrame, *columns: str, small: bool | None = None
+    trips: DataFrame,
+    stations: DataFrame,
+    *columns: str,
+    small: bool | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """Add station ``columns`` for both ends; an unknown station leaves NULLs."""
-    small = fits_broadcast(stations.select("short_name", *columns)) if small is None else small
+    """Add station ``columns`` for both ends; an unknown station leaves NULLs.
+
+    ``salts=1`` for counted trips, see ``attach``.
+    """
+    if small is None and salts > 1:
+        small = fits_broadcast(stations.select("short_name", *columns))
     out = trips
     for side in ("start", "end"):
         points = end_points(stations, side, *columns)
         keys = {f"{side}_station": f"_{side}"}
-        out = attach(out, points, keys, small=small).drop(f"_{side}")
+        out = attach(out, points, keys, small=small, salts=salts).drop(f"_{side}")
     return out
 
 
@@ -91,7 +99,9 @@ def top_routes(
         F.asc_nulls_last("end_station"),
     ]
     return (
-        with_end_points(top_n(pairs, ["bike_type"], order, n), stations, "name", "lat", "lon")
+        with_end_points(
+            top_n(pairs, ["bike_type"], order, n), stations, "name", "lat", "lon", salts=1
+        )
         .withColumn("miles", miles_between_ends())
         .orderBy("bike_type", *order)
     )

@@ -25,7 +25,9 @@ def daily_utilisation(
         "weather_date", F.col("precipprobability").alias("rain_probability")
     )
     use = calendar_use(trips, first, last, from_day or first).drop("all_trips")
-    return with_fleet(attach(use, rain, {"date": "weather_date"}).drop("weather_date"), trips)
+    # a row per day of the calendar on either side
+    known = attach(use, rain, {"date": "weather_date"}, small=True)
+    return with_fleet(known.drop("weather_date"), trips)
 
 
 def _per_bike_long(daily: DataFrame, bikes: str) -> DataFrame:

@@ -72,14 +72,23 @@ def daily_vehicle_kinds(locations: DataFrame, provider: str, bikes_before: dt.da
 
 def vehicle_kinds_apportioned(daily: DataFrame) -> DataFrame:
     """``date, bikes, scooters``: the unknown shared out like the known, rounded
-    toward zero; NULL on a day without known vehicles."""
+    toward zero; NULL on a day without known vehicles. Beside them ``known_bikes``,
+    ``known_scooters``, ``vehicles`` and ``unknown`` as counted."""
     known = F.col("bikes") + F.col("scooters")
 
     def spread(kind: str) -> Column:
         part = F.try_divide(F.col(kind), known) * F.col("unknown")
         return (F.col(kind) + part).cast("bigint").alias(kind)
 
-    return daily.select("date", spread("bikes"), spread("scooters"))
+    return daily.select(
+        "date",
+        spread("bikes"),
+        spread("scooters"),
+        F.col("bikes").alias("known_bikes"),
+        F.col("scooters").alias("known_scooters"),
+        "vehicles",
+        "unknown",
+    )
 
 
 def vehicle_kinds_long_events(

@@ -14,8 +14,10 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-# First number of shuffle partitions per core of the cluster, before merging.
+# First number of shuffle partitions, before merging: so many for each core seen at the
+# start, and no fewer than the least, as executors may register later.
 PARTITIONS_PER_CORE = 4
+LEAST_PARTITIONS = 400
 
 
 def session(app: str, extra: dict[str, str] | None = None) -> SparkSession:
@@ -30,5 +32,6 @@ def session(app: str, extra: dict[str, str] | None = None) -> SparkSession:
             spark.conf.set(key, value)
     if not given.contains("spark.sql.shuffle.partitions"):
         cores = spark.sparkContext.defaultParallelism
-        spark.conf.set("spark.sql.shuffle.partitions", str(cores * PARTITIONS_PER_CORE))
+        first = max(LEAST_PARTITIONS, cores * PARTITIONS_PER_CORE)
+        spark.conf.set("spark.sql.shuffle.partitions", str(first))
     return spark

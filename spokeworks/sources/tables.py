@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spokeworks.operators.conform import conform, require_key
-from spokeworks.operators.staging import stage
+from spokeworks.operators.staging import passing_copies, stage
 from spokeworks.schemas import NUMBERED_TRIPS, START_MONTH, STORED_TRIPS
 
 
@@ -19,15 +19,31 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            raise ValueError(
+                f"{path} is a folder without a table: a write broke off; the staged copy that was"
+                " being written is kept below spark.checkpoint.dir"
+            ) from e
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The stored table in the columns of ``schema``, or an empty one."""
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType, may_lack: Sequence[str] = ()
+) -> DataFrame:
+    """The stored table in the columns of ``schema``, or an empty one.
+
+    A stored table without one of the columns is an error, but for those it
+    ``may_lack``, which are NULL then.
+    """
     stored = _stored(spark, path)
-    return spark.createDataFrame([], schema) if stored is None else conform(stored, schema)
+    if stored is None:
+        return spark.createDataFrame([], schema)
+    absent = set(schema.names) - set(stored.columns) - set(may_lack)
+    if absent:
+        raise ValueError(f"{path} has no columns {sorted(absent)}")
+    return conform(stored, schema)
 
 
 def append_table(
@@ -62,19 +78,26 @@ def replace_table(
 ) -> None:
     """Drop and recreate, if the rows have the promised ``key``.
 
-    ``df`` may read the table itself: it is staged first.
+    ``df`` may read the table itself: it is staged first. Should the write break
+    off, the staged copy is whole and is kept; it is removed once the table is written.
     """
-    staged = stage(conform(df, schema), "replace")
-    if key:
-        require_key(staged, key)
-    staged.write.mode("overwrite").parquet(path)
+    with passing_copies(df.sparkSession):
+        staged = stage(conform(df, schema), "replace")
+        if key:
+            require_key(staged, key)
+        staged.write.mode("overwrite").parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, schema: T.StructType, by: str) -> None:
-    """Write the values of ``by`` that occur in ``df``; a rerun replaces them."""
+    """Write the values of ``by`` that occur in ``df``; a rerun replaces them.
+
+    Rows are brought together by ``by`` first, and large values split again, so the
+    number of files follows the size of the data and not that of the tasks.
+    """
     shaped = T.StructType([*schema.fields, df.schema[by]])
     (
         conform(df, shaped)
+        .hint("rebalance", F.col(by))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(by)
@@ -90,24 +113,31 @@ def last_id(table: DataFrame, column: str) -> int:
 def export_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     """Delimited text with a header; an existing export is replaced.
 
-    Dates and timestamps are written in full, in the form a cast reads back.
+    Dates and timestamps are written in full, in the form a cast reads back. Blanks,
+    separators and quotes are kept. A line break in a value is an error: files whose
+    records span lines could not be split among tasks.
     """
-    text = [
-        F.col(f.name).cast("string").alias(f.name)
-        if isinstance(f.dataType, T.DatetimeType)
-        else F.col(f.name)
-        for f in df.schema
-    ]
+
+    def plain(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.DatetimeType):
+            c = c.cast("string")
+        elif isinstance(f.dataType, T.StringType):
+            broken = F.raise_error(F.lit(f"line break in {f.name}, which a delimited export can't hold"))
+            c = F.when(c.rlike("[\\r\\n]"), broken).otherwise(c)
+        return c.alias(f.name)
+
     (
-        df.select(*text)
+        df.select(*[plain(f) for f in df.schema])
         .write.mode("overwrite")
-        .option("header", True)
-        .option("sep", sep)
-        .option("escape", '"')
+        .options(header=True, sep=sep, escape='"', **_KEEP_BLANKS)
         .csv(path)
     )
 
 
+_KEEP_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_delimited(
     spark: SparkSession, path: str, schema: T.StructType, sep: str = "|"
 ) -> DataFrame:
@@ -120,11 +150,9 @@ def read_delimited(
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     scan = (
         spark.read.schema(text)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("sep", sep)
-        .option("escape", '"')
-        .option("nullValue", "\\N")
+        .options(header=True, enforceSchema=False, mode="FAILFAST", columnPruning=False)
+        # no value holds a line break, so none is taken for NULL: only a bare gap is
+        .options(sep=sep, escape='"', nullValue="\n", **_KEEP_BLANKS)
         .csv(path)
     )
     return conform(scan, schema)

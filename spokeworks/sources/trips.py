@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +23,19 @@ def scan_trip_files(spark: SparkSession, path: str, year: int | None = None) ->
     """Text columns of all CSVs in ``path``, or of those with ``year`` in their name or in
     the name of their sub-folder.
 
-    The first file's header names the columns. A file with another header is an
-    error, not a silent shift of columns.
+    The first file's header names the columns. A file with another header, and a row
+    with fewer or more fields than the header, are errors, not a silent shift of columns.
     """
-    chosen = f"{path.rstrip('/')}/*{year}*" if year is not None else path
+    return scan_csv(spark, [f"{path.rstrip('/')}/*{year}*" if year is not None else path])
+
+
+def scan_csv(spark: SparkSession, paths: list[str], header_of: str | None = None) -> DataFrame:
+    """Text columns of trip CSVs, named by the header of ``header_of`` or of any of them."""
     options = {"header": True, "escape": '"', "pathGlobFilter": "*.csv"}
-    header = spark.read.options(**options).csv(chosen).schema
-    return spark.read.schema(header).options(**options, enforceSchema=False).csv(chosen)
+    header = spark.read.options(**options).csv(header_of or paths).schema
+    # whole rows are parsed, also for a few columns: else their length isn't seen
+    strict = {"enforceSchema": False, "mode": "FAILFAST", "columnPruning": False}
+    return spark.read.schema(header).options(**options, **strict).csv(paths)
 
 
 def to_trips(scan: DataFrame, columns: dict[str, str], *extra: str) -> DataFrame:
@@ -59,3 +67,31 @@ def read_positioned_trips(
     scan = scan_trip_files(spark, path)
     placed = with_file_position(scan)
     return to_trips(placed, layout.columns(scan.columns), FILE, BLOCK, SEQUENCE)
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length`` of the CSVs in a folder and its sub-folders; no file is opened."""
+    return (
+        spark.read.format("binaryFile")
+        .options(pathGlobFilter="*.csv", recursiveFileLookup=True)
+        .load(path)
+        .select("path", "length")
+    )
+
+
+def year_of(file: Column, path: str, years: list[int]) -> Column:
+    """The first of ``years`` that the part of a file's path right below ``path`` holds.
+
+    That is a file's own name, or the name of its sub-folder.
+    """
+    root = path.rstrip("/").rpartition("/")[2]
+    plain = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
+    below = F.regexp_extract(plain, f"/{re.escape(root)}/([^/]+)", 1)
+    return F.coalesce(*(F.when(below.contains(str(y)), F.lit(y)) for y in years))
+
+
+def files_of_years(spark: SparkSession, path: str, years: list[int]) -> dict[int, str]:
+    """One file, the first by name, of each year that has any; from one listing."""
+    listed = list_files(spark, path).withColumn("year", year_of(F.col("path"), path, years))
+    rows = listed.where("year IS NOT NULL").groupBy("year").agg(F.min("path").alias("file"))
+    return {r["year"]: r["file"] for r in rows.collect()}

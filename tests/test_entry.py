@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as driver
+from checks import oracle, registry
 
 pytestmark = pytest.mark.skipif(
     not os.path.isdir(driver.SMOKE_DIR), reason="no test tables"
@@ -17,5 +18,7 @@ def test_entry_gives_rows(spark):
     assert df.count() == 36
 
 
-def test_each_query_has_sql_and_the_other_way_round():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+def test_each_query_of_the_engine_has_sql_and_the_other_way_round():
+    assert set(registry.queries()) == set(oracle.oracle_sql())
+    assert set(registry.queries()) <= set(driver.queries())
+    assert set(driver.oracle_sql()) <= set(driver.queries())

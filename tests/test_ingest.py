@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import inspect
 import json
+import os
 import re
 
 import pytest
@@ -9,7 +11,7 @@ from helpers import by, dicts, plan, stations, trip, trips
 from pyspark.sql import functions as F
 
 from checks import registry
-from spokeworks import jobs
+from spokeworks import jobs, reports
 from spokeworks.operators import rowids
 from spokeworks.operators.staging import stage
 from spokeworks.plans import ingest
@@ -22,6 +24,7 @@ from spokeworks.schemas import (
     TRIPS,
     WEATHER,
 )
+from spokeworks.reports import REPORTS
 from spokeworks.sources.snapshots import read_station_snapshot
 from spokeworks.sources.tables import (
     append_table,
@@ -111,6 +114,92 @@ def test_ids_follow_file_names_then_rows_and_continue(spark, tmp_path):
     assert all(r["bike_number"] == f"W{r['trip_id'] - 1}" for r in got)
 
 
+def surplus(folder, name, extra):
+    """A drop whose second row has ``extra`` fields more (or fewer) than the header."""
+    write_drop(folder, name, numbered(0, 3))
+    lines = (folder / name).read_text().splitlines()
+    lines[2] = lines[2] + ',"x"' * extra if extra > 0 else lines[2].rsplit(",", -extra)[0]
+    (folder / name).write_text("\n".join(lines) + "\n")
+
+
+@pytest.mark.parametrize("extra", [1, 2, -1, -3])
+def test_rows_of_another_length_are_errors(spark, tmp_path, extra):
+    surplus(tmp_path / "d", "a.csv", extra)
+    for few in (["bike_number"], ["start_date", "duration"], TRIPS.names):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read_trips(spark, str(tmp_path / "d")).select(*few).collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        ingest.append_trips(spark, str(tmp_path / "d"), str(tmp_path / "t"))
+
+
+def test_a_shifted_row_is_an_error(spark, tmp_path):
+    write_drop(tmp_path / "d", "a.csv", numbered(0, 2))
+    text = (tmp_path / "d" / "a.csv").read_text().replace('"A, St"', "A, St", 1)
+    (tmp_path / "d" / "a.csv").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_trips(spark, str(tmp_path / "d")).collect()
+
+
+def staged(spark):
+    from spokeworks.operators.staging import staging_root
+
+    return set(os.listdir(staging_root(spark)))
+
+
+def test_a_drop_is_added_once_and_its_copies_go(spark, tmp_path):
+    table = str(tmp_path / "t")
+    write_drop(tmp_path / "d", "a.csv", numbered(0, 5))
+    before = staged(spark)
+    for _ in range(2):
+        ingest.append_trips(spark, str(tmp_path / "d"), table)
+    assert staged(spark) == before
+    assert read_table(spark, table, NUMBERED_TRIPS).count() == 5
+    write_drop(tmp_path / "d", "b.csv", numbered(5, 5))
+    with pytest.raises(ValueError, match="a.csv"):  # an old file among new ones
+        ingest.append_trips(spark, str(tmp_path / "d"), table)
+    (tmp_path / "e").mkdir()
+    with pytest.raises(ValueError, match="no files"):
+        ingest.append_trips(spark, str(tmp_path / "e"), table)
+
+
+def test_an_append_that_died_is_run_again(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "t")
+    write_drop(tmp_path / "d", "a.csv", numbered(0, 5))
+    write_drop(tmp_path / "other", "b.csv", numbered(5, 2))
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # before the rows were written
+        m.setattr(ingest, "append_trips_table", dies)
+        with pytest.raises(RuntimeError):
+            ingest.append_trips(spark, str(tmp_path / "d"), table)
+    with pytest.raises(ValueError, match="another drop"):
+        ingest.append_trips(spark, str(tmp_path / "other"), table)
+    with monkeypatch.context() as m:  # after the rows were written
+        m.setattr(ingest.drops, "finish", dies)
+        with pytest.raises(RuntimeError):
+            ingest.append_trips(spark, str(tmp_path / "d"), table)
+    ingest.append_trips(spark, str(tmp_path / "d"), table)
+    ingest.append_trips(spark, str(tmp_path / "other"), table)
+    got = dicts(read_table(spark, table, NUMBERED_TRIPS))
+    assert sorted(r["trip_id"] for r in got) == list(range(1, 8))
+
+
+def test_absent_columns_are_errors(spark, tmp_path):
+    table = str(tmp_path / "t")
+    append_table(trips(spark, trip("2018-09-05 08:00:00")), table, TRIPS)
+    with pytest.raises(ValueError, match="trip_id"):
+        read_table(spark, table, NUMBERED_TRIPS)
+    assert read_table(spark, table, NUMBERED_TRIPS, may_lack=["trip_id"]).first()["trip_id"] is None
+    write_drop(tmp_path / "d", "a.csv", numbered(0, 1))
+    with pytest.raises(ValueError, match="trip_id"):
+        ingest.append_trips(spark, str(tmp_path / "d"), table)
+    (tmp_path / "broken").mkdir()
+    with pytest.raises(ValueError, match="broke off"):
+        read_table(spark, str(tmp_path / "broken"), TRIPS)
+
+
 def test_file_names_sort_as_written(spark, tmp_path):
     names = ["a!.csv", "a é.csv", "a+b.csv", "a%20c.csv", "a b.csv", "é.csv", "z.csv", "A.csv"]
     for i, name in enumerate(sorted(names)):
@@ -153,8 +242,14 @@ def test_years_are_partitions_that_a_rerun_replaces(spark, tmp_path):
     write_drop(tmp_path / "d", "2014-09 trips.csv", [second_row("9/1/2014 00:00:05", 2)] * 2, header)
     write_drop(tmp_path / "d", "2015-09 trips.csv", [second_row("9/1/2015 0:05", 3)], header)
     table = str(tmp_path / "t")
+    with pytest.raises(ValueError, match="2012"):
+        ingest.ingest_trips_by_year(spark, str(tmp_path / "d"), table, [2012, 2013])
     for _ in range(2):
-        ingest.ingest_trips_by_year(spark, str(tmp_path / "d"), table, [2012, 2013, 2014])
+        ingest.ingest_trips_by_year(
+            spark, str(tmp_path / "d"), table, [2012, 2013, 2014], missing_ok=True
+        )
+    files = [p for p in (tmp_path / "t").rglob("*.parquet")]
+    assert len(files) == 2  # one per year, however many tasks there were
     stored = spark.read.parquet(table)
     assert {r["file_year"]: r["count"] for r in dicts(stored.groupBy("file_year").count())} == {
         2013: 1,
@@ -268,6 +363,18 @@ def test_delimited_round_trip_keeps_values(spark, tmp_path):
     assert read_table(spark, str(tmp_path / "t"), TRIPS).count() == 4
 
 
+def test_delimited_text_is_kept_and_line_breaks_are_refused(spark, tmp_path):
+    rows = [(i, x) for i, x in enumerate([*registry.AWKWARD, None, "\t", '""', "\\", "\\n", "|"])]
+    df = spark.createDataFrame(rows, "i LONG, x STRING")
+    for sep in "|,":
+        out = str(tmp_path / f"out{ord(sep)}")
+        export_csv(df, out, sep)
+        assert sorted(read_delimited(spark, out, df.schema, sep).collect()) == rows
+    for bad in ("a\nb", "a\rb"):
+        with pytest.raises(Exception, match="line break in x"):
+            export_csv(spark.createDataFrame([(1, bad)], df.schema), str(tmp_path / "bad"))
+
+
 def test_delimited_values_must_fit(spark, tmp_path):
     export_csv(spark.createDataFrame([("x",)], "station_id STRING"), str(tmp_path / "x"), "|")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
@@ -292,6 +399,23 @@ def test_commands_build_tables_and_write_a_report(spark, tmp_path):
         jobs._arguments(["report", "total_vehicles", "--tables", tables, "--out", out])
 
 
+def test_each_report_takes_the_bounds_it_uses(spark):
+    base = ["--tables", "t", "--out", "o", "--provider", "p"]
+    for name in REPORTS:
+        for bound in ("first", "last"):
+            argv = ["report", name, *base, f"--{bound}", "2018-09-05"]
+            if bound == "last" and name not in jobs.CLOSED or name in jobs.UNBOUNDED:
+                with pytest.raises(SystemExit):
+                    jobs._arguments(argv)
+                continue
+            study = jobs._study(name, jobs._arguments(argv))
+            used = f"{jobs._PERIOD.get(name, '')}{bound}"
+            assert getattr(study, used) == D(2018, 9, 5)
+            body = inspect.getsource(reports)
+            assert f"s.{used}" in body
+    assert jobs.CLOSED | jobs.UNBOUNDED <= set(REPORTS)
+
+
 def test_a_trips_table_without_months_is_read_and_added_to(spark, tmp_path):
     table = str(tmp_path / "tables" / "trips")
     plain = trips(spark, trip("2018-09-05 08:00:00")).withColumn("trip_id", F.lit(7))

@@ -72,6 +72,28 @@ def test_only_needed_columns_are_read(spark):
     }
 
 
+#: Reports that measure stations or hours before they join them to single trips.
+MEASURING = {
+    "trip_distance_speed",
+    "avg_distance_speed_by_type",
+    "daily_distance_speed",
+    "density_curves",
+    "trips_by_service_hours",
+    "service_hours_share",
+}
+
+
+@pytest.mark.parametrize("name", sorted(set(REPORTS) - JOINED - MEASURING))
+def test_building_a_report_runs_no_job(spark, name):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"build {name}", name)
+    try:
+        registry.TYPED[name](spark, SMALL)
+        assert len(tracker.getJobIdsForGroup(f"build {name}")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_one_scan_of_trips_for_the_running_share(spark):
     df = registry.TYPED["same_station_duration_cdf"](spark, SMALL)
     df.collect()
