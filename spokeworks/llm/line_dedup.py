@@ -91,7 +91,10 @@ def _length(i: Column, rounds: int, min_words: int, backward: bool) -> Column:
 
 
 def _window(first: Column, n: Column, rounds: int) -> Column:
-    """``class, start, end`` of ``n`` lines from place ``first``, in line numbers; null past an end."""
+    """``class, first, last, start, end`` of ``n`` lines from place ``first``; null past an end.
+
+    ``first`` and ``last`` are places in the sequence, ``start`` and ``end`` line numbers.
+    """
     found = F.lit(None).cast("bigint")
     for k in range(rounds, -1, -1):
         within = (n >= (1 << k)) & (n < (2 << k))
@@ -103,6 +106,8 @@ def _window(first: Column, n: Column, rounds: int) -> Column:
         inside,
         F.struct(
             found.alias("class"),
+            first.alias("first"),
+            (first + n - 1).alias("last"),
             F.get(lines, first)["no"].alias("start"),
             F.get(lines, first + n - 1)["no"].alias("end"),
         ),
@@ -110,7 +115,10 @@ def _window(first: Column, n: Column, rounds: int) -> Column:
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, h, class, start, end``: shortest windows with enough words, from and up to each line."""
+    """``doc_id, h, class, first, last, start, end``: shortest windows with enough words.
+
+    From each line on, and up to each line.
+    """
     rounds = max(0, (min_words - 1).bit_length())
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -134,7 +142,7 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = F.transform("spans", lambda s: _window(s["first"], s["n"], rounds))
     return (
         rows.select("doc_id", "h", F.explode(F.filter(found, lambda w: w.isNotNull())).alias("w"))
-        .select("doc_id", "h", "w.class", "w.start", "w.end")
+        .select("doc_id", "h", "w.*")
     )
 
 
@@ -142,16 +150,17 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, h, start, end``: maximal runs of lines, by number from 0, that occur before.
 
     ``h`` is a hash of the text: rows with equal or null ids are told apart by
-    it, and equal rows have equal runs.
+    it, and equal rows have equal runs. Runs that touch are one, with the lines
+    without words in between.
     """
     found = stage(windows(docs, min_words), "line-windows")
     place = F.struct("doc_id", "h", "start")
-    firsts = found.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = firsts.where("first < last").select("class", "first")
-    later = found.join(firsts, "class").where(place > F.col("first")).select("doc_id", "h", "start", "end").distinct()
-    order = Window.partitionBy("doc_id", "h").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.coalesce((F.col("start") > F.col("reach") + 1).cast("int"), F.lit(1))
+    firsts = found.groupBy("class").agg(F.min(place).alias("before"), F.max(place).alias("after"))
+    firsts = firsts.where("before < after").select("class", "before")
+    later = found.join(firsts, "class").where(place > F.col("before")).drop("class", "before").distinct()
+    order = Window.partitionBy("doc_id", "h").orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce((F.col("first") > F.col("reach") + 1).cast("int"), F.lit(1))
     return (
         later.withColumn("reach", reach)
         .withColumn("run", F.sum(begins).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -167,8 +176,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Adds ``_lines`` and ``_removed``, the lines of each text and those deleted.
     The first occurrence, by id (null first), hash of the text and line, stays;
     occurrences may overlap, so of a run that repeats itself at once the first
-    lines stay. Lines without words belong to no run of their own, but go with
-    the run around them. Null text has no lines and stays null; equal rows are
+    lines stay. Lines without words go when the lines with words around them
+    both go. Null text has no lines and stays null; equal rows are
     one occurrence and are treated alike. An empty table stays empty.
     """
     runs = stage(
