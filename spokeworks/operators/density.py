@@ -48,15 +48,12 @@ def counted_density_curves(
     counted rows are read twice, for the bandwidth and for the bins.
     """
     there = counted.where(F.col(value).isNotNull())
-    n, weight = F.sum(times), F.col(times)
-    # moments about any one value of the group keep their digits
-    near = there.groupBy(*group).agg(F.min(value).alias("_near"))
-    off = F.col(value) - F.col("_near")
+    weight, v = F.col(times), F.col(value)
     moments = (
-        _of_group(there, near, group)
-        .groupBy(*group)
-        .agg(n.alias("_times"), F.sum(weight * off).alias("_off"), F.sum(weight * off * off).alias("_off2"))
-        .withColumn("_squares", F.col("_off2") - F.col("_off") * F.col("_off") / F.col("_times"))
+        there.groupBy(*group)
+        .agg(F.sum(times).alias("_times"), F.sum(weight * v).alias("_sum"), F.sum(weight * v * v).alias("_sum2"))
+        .withColumn("_squares", F.col("_sum2") - F.col("_sum") * F.col("_sum") / F.col("_times"))
+        # enough for the width of bins; the curves take their bandwidth from the bins
         .select(*group, (_bandwidth("_squares", "_times") / BINS_PER_BANDWIDTH).alias("_width"))
         .where("_width > 0")
     )
