@@ -32,7 +32,8 @@ STEMS = range(4, 8)  # lengths of word beginnings that are scored like words
 LEAST_Z = 3.0  # a word counts when its log-odds exceed so many standard deviations
 MOST_WORDS = 200_000  # words of a model, the surest first: a documented bound of the classifier
 SEEN_WORDS = 300_000  # scores of words that a worker keeps at hand
-MOST_FIT = 200_000  # labelled rows of either class that the two curves are fitted to
+MOST_FIT = 20_000  # labelled rows of either class that the two curves are fitted to
+KNOWN_LABELS = 2_000_000  # labels that are broadcast, 32 MB; more are joined by a shuffle
 
 
 @dataclass
@@ -214,8 +215,11 @@ def train(labelled: DataFrame) -> Model:
                 names=["toxic", "n", "parts", "h"],
             )
 
-    fit = rows.select("text", "toxic", F.xxhash64("text").alias("h")).mapInArrow(
-        best, "toxic int, n bigint, parts array<double>, h bigint"
+    fit = stage(
+        rows.select("text", "toxic", F.xxhash64("text").alias("h")).mapInArrow(
+            best, "toxic int, n bigint, parts array<double>, h bigint"
+        ),
+        "toxicity-fit",
     )
     sample = [r for k in (0, 1) for r in fit.where(F.col("toxic") == k).orderBy("h").limit(MOST_FIT).collect()]
     factor = extreme_factor([(r["n"], max(r["parts"], default=0.0)) for r in sample if r["toxic"] == 0], decay)
@@ -316,4 +320,6 @@ def learn_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     side: each pair of a text and a label is a row.
     """
     known = columns(labels, doc_id="bigint", toxic="int").where("toxic IN (0, 1)").distinct()
+    if labels.count() <= KNOWN_LABELS:
+        known = F.broadcast(known)
     return columns(docs, doc_id="bigint", text="string").join(known, "doc_id").select("doc_id", "text", "toxic")
