@@ -10,6 +10,7 @@ found against all rows, and the visits are widened until these are reached.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,6 @@ from spokeworks.operators.staging import stage
 
 SAMPLE = 50_000  # rows that the tree is fitted to, the first by a hash of the id
 BRANCHES = 16
-LEAF = 256  # rows of a leaf that the number of leaves aims at
 PER_LEAF = 8  # sampled rows a leaf has at least
 CALIBRATION = 200  # queries whose exact neighbours set the number of visits
 RECALL = 0.97  # share of these neighbours that has to be in the visited leaves
@@ -123,38 +123,45 @@ def fit(sample: np.ndarray, leaves: int, rounds: int = 8, seed: int = 7) -> Tree
     return Tree(np.array(centre), np.array(radius), children, leaf, int((~inner).sum()))
 
 
-def _blocks(rows: DataFrame, id_: str, name: str) -> DataFrame:
-    """``leaf, <name>_ids, <name>_vecs``: rows of a leaf in blocks of about ``BLOCK``."""
+def _blocks(rows: DataFrame, id_: str, name: str, *more: str) -> DataFrame:
+    """``leaf, <name>_ids, <name>_vecs`` and more columns: rows of a leaf in blocks of about ``BLOCK``."""
     sizes = rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
     return (
         rows.join(sizes, "leaf")
         .withColumn("_block", F.pmod(F.xxhash64(id_), F.col("_blocks")))
         .groupBy("leaf", "_block")
-        .agg(F.collect_list(F.struct(F.col(id_).alias("id"), "vec")).alias("rows"))
-        .select("leaf", F.col("rows.id").alias(f"{name}_ids"), F.col("rows.vec").alias(f"{name}_vecs"))
+        .agg(F.collect_list(F.struct(F.col(id_).alias("id"), "vec", *more)).alias("rows"))
+        .select(
+            "leaf",
+            F.col("rows.id").alias(f"{name}_ids"),
+            F.col("rows.vec").alias(f"{name}_vecs"),
+            *(F.col(f"rows.{c}").alias(f"{name}_{c}s") for c in more),
+        )
     )
 
 
-def _best(queries: DataFrame, base: DataFrame, k: int, width: int) -> DataFrame:
+def _scored(queries: DataFrame, base: DataFrame, k: int, width: int) -> DataFrame:
     """``query_id, vec_id, score``: the best ``k`` of each pair of blocks that share a leaf.
 
-    Ties go to the smaller id; a query isn't its own neighbour.
+    Only scores that reach a query's ``bound``, if it has one. Ties go to the
+    smaller id; a query isn't its own neighbour.
     """
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 part = batch.slice(row, 1)
-                q_ids, v_ids = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("q_ids", "v_ids"))
+                q_ids, v_ids, least = (
+                    part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("q_ids", "v_ids", "q_bounds")
+                )
                 q, v = (matrix(part.column(c).flatten(), width) for c in ("q_vecs", "v_vecs"))
                 out: list[list[np.ndarray]] = [[], [], []]
                 for at in range(0, len(q), 256):
                     scores = q[at : at + 256] @ v.T
                     scores[q_ids[at : at + 256, None] == v_ids] = -np.inf
+                    bound = least[at : at + 256].copy()
                     if len(v) > k:
-                        bound = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                    else:
-                        bound = np.full(len(scores), -np.inf)
+                        bound = np.maximum(bound, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
                     i, j = np.nonzero((scores >= bound[:, None]) & (scores > -np.inf))
                     order = np.lexsort((v_ids[j], -scores[i, j], i))
                     i, j = i[order], j[order]
@@ -165,17 +172,23 @@ def _best(queries: DataFrame, base: DataFrame, k: int, width: int) -> DataFrame:
                         column.append(x)
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
 
-    both = _blocks(queries, "query_id", "q").join(_blocks(base, "vec_id", "v"), "leaf")
-    parts = both.select("q_ids", "q_vecs", "v_ids", "v_vecs").mapInArrow(task, "query_id bigint, vec_id bigint, score double")
+    bounded = queries if "bound" in queries.columns else queries.withColumn("bound", F.lit(float("-inf")))
+    both = _blocks(bounded, "query_id", "q", "bound").join(_blocks(base, "vec_id", "v"), "leaf")
+    return both.select("q_ids", "q_vecs", "q_bounds", "v_ids", "v_vecs").mapInArrow(
+        task, "query_id bigint, vec_id bigint, score double"
+    )
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return parts.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+    return scored.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def index(base: DataFrame, width: int, rows: int) -> tuple[Tree, DataFrame]:
     """A tree fitted to a sample of ``vec_id, vec``, and all rows with their ``leaf``, written."""
     picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow()
     sample = matrix(picked.column("vec").combine_chunks(), width)
-    tree = fit(sample, max(1, min(rows // LEAF, len(sample) // PER_LEAF)))
+    tree = fit(sample, max(1, min(math.isqrt(rows), len(sample) // PER_LEAF)))
     shared = base.sparkSession.sparkContext.broadcast(tree)  # bounded by the sample
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +233,7 @@ def visits_needed(queries: DataFrame, base: DataFrame, tree: Tree, k: int, width
     """
     some = stage(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION), "tree-calibration")
     every = stage(_visiting(some, tree, tree.leaves, width), "tree-order")
-    exact = _best(every.select("query_id", "vec", "leaf"), base, k, width)
+    exact = _best(_scored(every.select("query_id", "vec", "leaf"), base, k, width), k)
     placed = every.select("query_id", "leaf", "place")
     places = (
         exact.select("query_id", "vec_id")
@@ -253,7 +266,9 @@ def search(df: DataFrame, is_query, k: int = 20, recall: float = RECALL) -> Data
     table, or one without queries, gives no rows.
 
     A leaf's queries and vectors are dealt into blocks that meet pair by pair,
-    so a leaf with a large share of the rows is spread over many tasks.
+    so a leaf with a large share of the rows is spread over many tasks. Of the
+    visits, the square root of their number comes first; the worst of the best
+    ``k`` found there is what a score in the other leaves has to reach.
     """
     spark = df.sparkSession
     valid = stage(vectors(df).where(F.col("vec_id").isNotNull() & usable(F.col("vec"))).distinct(), "tree-vectors")
@@ -265,5 +280,12 @@ def search(df: DataFrame, is_query, k: int = 20, recall: float = RECALL) -> Data
     tree, base = index(valid, width, widths["count"])
     queries = valid.where(is_query).withColumnRenamed("vec_id", "query_id")
     visits = visits_needed(queries, base, tree, k, width, recall)
-    asked = _visiting(queries, tree, visits, width).select("query_id", "vec", "leaf")
-    return _best(asked, base, k, width).select("query_id", "rank", "vec_id", "score")
+    places = stage(_visiting(queries, tree, visits, width).select("query_id", "leaf", "place"), "tree-visits")
+    early = math.isqrt(visits - 1) + 1
+    asked = places.join(queries, "query_id")
+    found = stage(_best(_scored(asked.where(F.col("place") < early), base, k, width), k), "tree-early")
+    bounds = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    late = asked.where(F.col("place") >= early).join(bounds, "query_id", "left")
+    late = late.withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    both = found.drop("rank").unionByName(_scored(late, base, k, width))
+    return _best(both, k).select("query_id", "rank", "vec_id", "score")

@@ -36,7 +36,6 @@ def result(rows):
 @pytest.mark.parametrize("block", [2048, 37])
 def test_recall_and_scores(spark, monkeypatch, block):
     monkeypatch.setattr(ts, "BLOCK", block)
-    monkeypatch.setattr(ts, "LEAF", 50)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 16)) * 2
     rows = [(i, (centres[i % 30] + rng.normal(size=16)).tolist()) for i in range(2500)]
