@@ -332,23 +332,30 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(task, "a bigint, b bigint, shared bigint, united bigint").distinct()
 
 
-def _connect(pairs: DataFrame, links: DataFrame | None, sketched: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links, and enough of those among the pairs for the components of all of them.
+def _connect(pairs: DataFrame, parts: DataFrame | None, sketched: DataFrame, docs: DataFrame) -> DataFrame:
+    """The components, joined by those of the pairs that link.
 
-    First each set's likeliest pair is verified, then whatever pair still lies
-    between two components: within a component nothing can change.
+    At the start each set's likeliest pair is verified; then, and later, whatever
+    pair still lies between two components: within one nothing can change.
     """
     likely = stage(_likely(pairs, sketched), "ngram-likely")
-    if links is None:
+    if parts is None:
         best = likely.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b")
-        links = stage(verified(best, docs), "ngram-links")
-    parts = components(links)
+        parts = stage(components(verified(best, docs).select("a", "b")), "ngram-parts")
     rest = (
         _labelled(_labelled(likely, parts, "a", "part_a"), parts, "b", "part_b")
         .where("part_a <> part_b")
         .select("a", "b")
     )
-    return stage(links.unionByName(verified(rest, docs)), "ngram-links")
+    links = stage(verified(rest, docs).select("a", "b"), "ngram-links")
+    if links.isEmpty():
+        return parts
+    return stage(components(links.unionByName(_stars(parts))), "ngram-parts")
+
+
+def _stars(parts: DataFrame) -> DataFrame:
+    """Components as links of each node with the smallest."""
+    return parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def _labelled(rows: DataFrame, parts: DataFrame, column: str, name: str) -> DataFrame:
@@ -388,12 +395,19 @@ def _between(members: DataFrame, parts: DataFrame, sketched: DataFrame) -> DataF
 
 
 def _block_pairs(asking: DataFrame, members: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Pairs of an asking set and a member of its bucket that their parities don't rule out.
+    """Pairs of two asking sets of a bucket that their parities don't rule out.
 
-    Both sides of a bucket are dealt into blocks of about ``BLOCK`` sets, and a
-    task row is one block against another; pairs exist inside the row only.
+    A set that doesn't ask finds all its partners by itself, so only askers have
+    to meet. Both sides of a bucket are dealt into blocks of about ``BLOCK`` sets,
+    and a task row is one block against another; pairs exist inside the row only.
+    Two sets that both ask for a bucket are one pair there.
     """
     needed = asking.select("sig").distinct()
+    askers = asking.select("doc_id").distinct()
+    members = members.join(needed, "sig", "left_semi").join(askers, "doc_id", "left_semi")
+    both_ask = asking.select("sig", "doc_id", "kind", F.lit(True).alias("asks"))
+    members = members.join(both_ask, ["sig", "doc_id", "kind"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    asking = asking.withColumn("asks", F.lit(True))
     sketch = sketched.select("doc_id", "n", "bits").dropDuplicates(["doc_id"])
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
@@ -404,12 +418,12 @@ def _block_pairs(asking: DataFrame, members: DataFrame, sketched: DataFrame) ->
         return (
             spread.join(sketch, "doc_id")
             .groupBy("sig", "_block")
-            .agg(F.collect_list(F.struct("doc_id", "kind", "part", "n", "bits")).alias(name))
+            .agg(F.collect_list(F.struct("doc_id", "kind", "part", "n", "bits", "asks")).alias(name))
             .select("sig", name)
         )
 
     both = blocks(asking, "asking").join(
-        blocks(members.join(needed, "sig", "left_semi").select("sig", "doc_id", "kind", "part"), "members"), "sig"
+        blocks(members.select("sig", "doc_id", "kind", "part", "asks"), "members"), "sig"
     )
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,14 +431,15 @@ def _block_pairs(asking: DataFrame, members: DataFrame, sketched: DataFrame) ->
             x, y = batch.column("asking")[0].as_py(), batch.column("members")[0].as_py()
             size = min(len(r["bits"]) for r in x + y)
             bits = [np.array([folded(r["bits"], size) for r in side]).view(np.uint64) for side in (x, y)]
-            value = {c: [np.array([r[c] for r in side]) for side in (x, y)] for c in ("doc_id", "kind", "part", "n")}
+            value = {c: [np.array([r[c] for r in side]) for side in (x, y)] for c in ("doc_id", "kind", "part", "n", "asks")}
             na, nb = value["n"]
-            out_a, out_b = [], []
+            out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i in range(len(x)):
                 apart = np.bitwise_count(bits[0][i] ^ bits[1]).sum(axis=1)
                 near = (apart <= differences(na[i], nb)) & (value["part"][0][i] != value["part"][1])
                 near &= np.minimum(na[i], nb) * OF >= np.maximum(na[i], nb) * ALIKE
                 near &= _meet(value["kind"][0][i], value["kind"][1])
+                near &= ~value["asks"][1] | (value["doc_id"][0][i] < value["doc_id"][1])
                 found = value["doc_id"][1][near]
                 out_a.append(np.full(len(found), value["doc_id"][0][i]))
                 out_b.append(found)
@@ -452,36 +467,36 @@ def classes(docs: DataFrame) -> DataFrame:
     full = sketched.where("n > 0 AND doc_id IS NOT NULL")
     firsts = full.groupBy("n", "high", "low").agg(F.min("doc_id").alias("first"))
     copies = stage(
-        full.join(firsts, ["n", "high", "low"]).where("doc_id <> first").select("doc_id", "first").distinct(), "ngram-copies"
-    )
-    named = own.where("doc_id IS NOT NULL")
-    # an id whose rows have other texts besides the copy keeps its rows
-    only_copies = (
         full.join(firsts, ["n", "high", "low"])
         .groupBy("doc_id")
-        .agg(F.min((F.col("doc_id") != F.col("first")).cast("int")).alias("copy"))
-        .where("copy = 1")
-        .select("doc_id")
+        .agg(F.collect_set("first").alias("firsts"))
+        .where((F.size("firsts") > 1) | (F.col("firsts")[0] != F.col("doc_id"))),
+        "ngram-copies",
     )
-    single = _only(named, stage(only_copies, "ngram-only-copies"), "left_anti")
+    # an id whose rows have several texts keeps its rows
+    only_copies = copies.where(F.size("firsts") == 1).select("doc_id")
+    single = _only(own.where("doc_id IS NOT NULL"), only_copies, "left_anti")
     buckets = stage(_buckets(_signatures(single)), "ngram-buckets")
 
     members = buckets.where("other IS NULL").select("sig", "doc_id", "kind", "margin")
-    centre = F.first("doc_id").over(Window.partitionBy("sig").orderBy(F.col("kind").desc(), "doc_id"))
-    lead = F.first("kind").over(Window.partitionBy("sig").orderBy(F.col("kind").desc(), "doc_id"))
+    order = Window.partitionBy("sig").orderBy(F.col("kind").desc(), "doc_id")
     stars = (
-        members.select(centre.alias("c"), lead.alias("lead"), "doc_id")
+        members.select(F.first("doc_id").over(order).alias("c"), F.first("kind").over(order).alias("lead"), "doc_id")
         .where("lead >= 2 AND c <> doc_id")
         .select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b"))
     )
     paired = buckets.where("other IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
-    links = _connect(paired.unionByName(stars).distinct(), None, full, own)
-    more = _between(members, components(links), full).distinct()
-    links = _connect(more, links, full, own)
-
-    every = links.select("a", "b").unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    parts = components(every).withColumnsRenamed({"node": "doc_id", "component": "found"})
-    return sketched.join(parts, "doc_id", "left").select(
+    parts = _connect(paired.unionByName(stars).distinct(), None, full, own)
+    parts = _connect(_between(members, parts, full).distinct(), parts, full, own)
+
+    if copies.where(F.size("firsts") > 1).isEmpty():  # a copy is of its first set's component
+        held = _labelled(copies.select("doc_id", F.col("firsts")[0].alias("node")), parts, "node", "component")
+        every = parts.unionByName(held.select(F.col("doc_id").alias("node"), "component"))
+    else:
+        named = copies.select(F.col("doc_id").alias("a"), F.explode("firsts").alias("b"))
+        every = components(_stars(parts).unionByName(named))
+    every = every.withColumnsRenamed({"node": "doc_id", "component": "found"})
+    return sketched.join(every, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id")
     )
 
