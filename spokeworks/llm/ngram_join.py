@@ -395,16 +395,18 @@ def _between(members: DataFrame, parts: DataFrame, sketched: DataFrame) -> DataF
 
 
 def _block_pairs(asking: DataFrame, members: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Pairs of two asking sets of a bucket that their parities don't rule out.
+    """Pairs of a bucket's asking sets with its members that their parities don't rule out.
 
-    A set that doesn't ask finds all its partners by itself, so only askers have
-    to meet. Both sides of a bucket are dealt into blocks of about ``BLOCK`` sets,
-    and a task row is one block against another; pairs exist inside the row only.
+    A set that doesn't ask finds all its partners by itself if its rows there have
+    a margin, so askers have to meet each other and the sets without one (-1).
+    Both sides of a bucket are dealt into blocks of about ``BLOCK`` sets, and a
+    task row is one block against another; pairs exist inside the row only.
     Two sets that both ask for a bucket are one pair there.
     """
     needed = asking.select("sig").distinct()
     askers = asking.select("doc_id").distinct()
-    members = members.join(needed, "sig", "left_semi").join(askers, "doc_id", "left_semi")
+    members = members.join(needed, "sig", "left_semi")
+    members = members.join(askers.withColumn("asker", F.lit(True)), "doc_id", "left").where("margin < 0 OR asker")
     both_ask = asking.select("sig", "doc_id", "kind", F.lit(True).alias("asks"))
     members = members.join(both_ask, ["sig", "doc_id", "kind"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     asking = asking.withColumn("asks", F.lit(True))

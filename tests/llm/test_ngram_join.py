@@ -80,6 +80,23 @@ def test_large_buckets_are_compared_in_blocks(spark, documents, monkeypatch):
     check(spark, documents, rows)
 
 
+def block_pairs(spark, sketched, asking, members):
+    """Pairs of one large bucket; members as ``doc_id, margin``, each of a component of its own."""
+    asks = spark.createDataFrame([(7, i, 2, i) for i in asking], "sig LONG, doc_id LONG, kind BYTE, part LONG")
+    large = spark.createDataFrame(
+        [(7, i, 2, m, i, len(members)) for i, m in members], "sig LONG, doc_id LONG, kind BYTE, margin BYTE, part LONG, size LONG"
+    )
+    return {(r["a"], r["b"]) for r in ng._block_pairs(asks, large, sketched).collect()}
+
+
+def test_a_set_without_margin_is_found_by_those_that_ask(spark, documents):
+    """It doesn't ask, and can't find a partner by its whole segments itself; one with a margin could."""
+    base = words(random.Random(6), 30)
+    texts = [(i, " ".join([*base[:-1], f"end{i}"])) for i in range(4)]
+    sketched = ng.sketches(documents(*texts).select("doc_id", "text"))
+    assert block_pairs(spark, sketched, [1, 3], [(0, -1), (1, 0), (2, 5), (3, 0)]) == {(0, 1), (0, 3), (1, 3)}
+
+
 def test_copies_beyond_the_broadcast_bound(spark, documents, monkeypatch):
     monkeypatch.setattr(ng, "KNOWN_IDS", 0)
     rng = random.Random(7)
