@@ -9,7 +9,8 @@ takes part in the level of its own band and in that of the next larger one.
 A set needs one more segment than it may have differences, and may choose which:
 - empty segments are never used, their buckets would be the largest;
 - sets with too many empty ones use one-deletion neighbourhoods of the others
-  instead, each of which covers two differences;
+  instead, each of which covers two differences; those for which even these are
+  too few all meet, and have them too, for partners that rely on theirs;
 - a segment costs its bucket, the sets that have it, known exactly once the
   segments are grouped. Buckets whose sets are already of one component cost
   nothing. Of the others, large ones are left unused while the rest suffices,
@@ -182,9 +183,10 @@ def _signatures(docs: DataFrame) -> DataFrame:
                     )
                     # a lone shingle's neighbourhood is the empty segment, which isn't used
                     margin = 2 * int((number > 1).sum()) + int((number == 1).sum()) - (allowed + 1)
-                    if margin < 0:  # too few even so: such sets of a level all meet
-                        sig, margin = _signature(np.zeros(1, np.uint64), np.zeros(1, int), level, np.zeros(1, int)), 0
                     add(~sig, doc, 3 - 2 * above, margin)
+                    if margin < 0:  # too few even so: such sets of a level all meet, others find them by the rows above
+                        sig = _signature(np.zeros(1, np.uint64), np.zeros(1, int), level, np.zeros(1, int))
+                        add(~sig, doc, 3 - 2 * above, 0)
             if not sigs:
                 continue
             lengths = [len(x) for x in sigs]

@@ -97,6 +97,17 @@ def test_a_set_without_margin_is_found_by_those_that_ask(spark, documents):
     assert block_pairs(spark, sketched, [1, 3], [(0, -1), (1, 0), (2, 5), (3, 0)]) == {(0, 1), (0, 3), (1, 3)}
 
 
+def test_short_texts_with_too_few_neighbourhoods(spark, documents):
+    """Seven shingles that all fall in one of four segments have partners that rely on neighbourhoods."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(3000):
+        own = words(rng, 11)
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:-1] + words(rng, 1)))]
+    got = {r["doc_id"]: r["component_id"] for r in ng.classes(documents(*rows)).collect()}
+    assert [i for i in got if got[i] != i - i % 2] == []
+
+
 def test_copies_beyond_the_broadcast_bound(spark, documents, monkeypatch):
     monkeypatch.setattr(ng, "KNOWN_IDS", 0)
     rng = random.Random(7)
