@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines are cut out; documents that lose all their lines go."""
-    found = line_dedup.without_repeats(docs).where("_removed = 0 OR _removed < _lines")
+    """Later copies of runs of lines are cut out; documents that lose all their lines with words go."""
+    found = line_dedup.without_repeats(docs).where((F.col("_removed") == 0) | F.col("text").rlike(r"\S"))
     return found.select(
         *(
             F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(kind).alias(c) if c == "n_chars" else c

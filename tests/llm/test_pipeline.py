@@ -66,6 +66,14 @@ def test_run_is_the_stages_one_after_the_other(spark, folder):
     assert got == sorted(map(tuple, want.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
 
 
+def test_copies_with_blank_lines_at_the_ends_go(spark, documents):
+    """A later copy loses its lines with words; blank lines at its ends are not a document."""
+    own = text(random.Random(11), 60)
+    rows = [(1, own), (2, f"{own}\n"), (3, f"\n \t\n{own}"), (4, f"{own}\nq"), (5, "\n"), (6, ""), (7, None)]
+    got = corpus_pipeline.drop_repeated_lines(spark, documents(*rows), "").collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: own, 4: "q", 5: "\n", 6: "", 7: None}
+
+
 def test_names_of_the_queries():
     names = [n.split("_")[0] for n in queries.queries()]
     assert names == [f"op{n}" for n in range(1, 11)]
