@@ -44,7 +44,8 @@ SYLLABLES = {
 
 _NAMES = {name: kind for kind, names in GIVEN.items() for name in names}
 _TITLES = [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES]
-_TRIGGERS = {x + dot for x in _TITLES for dot in ("", ".")} | set(_NAMES)
+_TRIGGERS = {*_TITLES, *_NAMES}
+_WORD = re.compile(r"\w+")  # a title or given name of _PERSON is one such run as a whole
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+"
 _PERSON = re.compile(
     rf"\b(?:(?P<title>{'|'.join(_TITLES)})\.?[ \t]+(?:(?P<own>{_CAPITAL})[ \t]+)?(?P<family>{_CAPITAL})"
@@ -96,7 +97,7 @@ def find(text: str) -> list[Entity]:
             norm = m[0].lower() if kind in ("secret", "ip") else re.sub(r"[^0-9a-z]", "", m[0].lower())
             norm = "+" * m[0].startswith("+") + norm
             found.append(Entity(*m.span(), kind, norm))
-    if not _TRIGGERS.isdisjoint(text.split()):
+    if not _TRIGGERS.isdisjoint(_WORD.findall(text)):
         families: dict[str, str] = {}
         for m in _PERSON.finditer(text):
             title, own, family = m["title"], m["own"] or m["given"], m["family"] or m["last"]

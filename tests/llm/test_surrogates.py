@@ -31,6 +31,25 @@ def test_what_is_found(value, kinds):
     assert [e.kind.split("-")[0] for e in sg.find(value)] == kinds
 
 
+@pytest.mark.parametrize("title", [True, False])
+@pytest.mark.parametrize("before", ["(", "[", '"', "“", "'", "by:", "/", "-", "–", "Jean-", "x,", "…", ">", "\n", "\u00a0", ""])
+def test_names_after_any_mark(before, title):
+    """Whatever stands before a name, and whether or not another name stands alone elsewhere."""
+    value = f"so {before}{'Mr. Smith' if title else 'Paul Smith'} said"
+    out, kinds = sg.replace(value, KEY, {})
+    assert "Smith" not in out and kinds == (["family"] if title else ["given", "family"])
+    assert sg.replace(f"{value} Mr. Weber", KEY, {})[0].startswith(out)
+
+
+def test_the_search_for_names_is_left_out_only_where_none_is():
+    rng = random.Random(9)
+    parts = [*sg._TITLES, *sg._NAMES, "Smith", "Müller", "x", "_", "1", "é"]
+    for _ in range(5000):
+        value = "".join(rng.choice(parts) + rng.choice(["", " ", ". ", "-", "(", "\t", "'", "’", "_"]) for _ in range(4))
+        if sg._PERSON.search(value):
+            assert any(e.kind.startswith("family") for e in sg.find(value)), value
+
+
 def test_formats_and_checksums():
     out, _ = sg.replace("4111 1111 1111 1111 and DE89 3704 0044 0532 0130 00", KEY, {})
     card, iban = re.fullmatch(r"(\d{4} \d{4} \d{4} \d{4}) and (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d)", out).groups()
