@@ -403,7 +403,8 @@ def _block_pairs(asking: DataFrame, members: DataFrame, sketched: DataFrame) ->
     a margin, so askers have to meet each other and the sets without one (-1).
     Both sides of a bucket are dealt into blocks of about ``BLOCK`` sets, and a
     task row is one block against another; pairs exist inside the row only.
-    Two sets that both ask for a bucket are one pair there.
+    Two sets that both ask for a bucket are one pair there. An id whose rows have
+    several texts is met by the sketches of each.
     """
     needed = asking.select("sig").distinct()
     askers = asking.select("doc_id").distinct()
@@ -412,7 +413,7 @@ def _block_pairs(asking: DataFrame, members: DataFrame, sketched: DataFrame) ->
     both_ask = asking.select("sig", "doc_id", "kind", F.lit(True).alias("asks"))
     members = members.join(both_ask, ["sig", "doc_id", "kind"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     asking = asking.withColumn("asks", F.lit(True))
-    sketch = sketched.select("doc_id", "n", "bits").dropDuplicates(["doc_id"])
+    sketch = sketched.select("doc_id", "n", "bits").distinct()
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         sized = rows.groupBy("sig").agg(F.count("*").alias("_n"))

@@ -108,6 +108,16 @@ def test_short_texts_with_too_few_neighbourhoods(spark, documents):
     assert [i for i in got if got[i] != i - i % 2] == []
 
 
+@pytest.mark.parametrize("first", [0, 1])
+def test_blocks_meet_every_text_of_an_id(spark, documents, first):
+    rng = random.Random(8)
+    base = words(rng, 30)
+    texts = [(1, " ".join(words(rng, 30))), (1, " ".join([*base, "end"]))]
+    rows = [texts[first], texts[1 - first], (2, " ".join(base))]
+    sketched = ng.sketches(documents(*rows).select("doc_id", "text").coalesce(1))
+    assert block_pairs(spark, sketched, [2], [(1, -1), (2, 0)]) == {(1, 2)}
+
+
 def test_copies_beyond_the_broadcast_bound(spark, documents, monkeypatch):
     monkeypatch.setattr(ng, "KNOWN_IDS", 0)
     rng = random.Random(7)
