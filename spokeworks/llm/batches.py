@@ -16,7 +16,7 @@ SLICE_BYTES = 4 << 20
 
 
 def slices(
-    batches: Iterable[pa.RecordBatch], column: str | None = None, rows: int = SLICE_ROWS
+    batches: Iterable[pa.RecordBatch], column: str | None = None, rows: int = SLICE_ROWS, size: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of bounded rows and, by the text ``column``, bytes."""
     for batch in batches:
@@ -28,7 +28,7 @@ def slices(
         at = 0
         while at < batch.num_rows:
             ends = np.cumsum(sizes[at : at + rows])
-            n = max(1, int(np.searchsorted(ends, SLICE_BYTES, side="right")))
+            n = max(1, int(np.searchsorted(ends, size, side="right")))
             yield batch.slice(at, n)
             at += n
 

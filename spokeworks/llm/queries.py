@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spokeworks.llm import (
+    alignment,
     language,
     line_dedup,
     mixing,
@@ -96,6 +97,14 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_attribution": op1_token_attribution,
@@ -108,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_pii_surrogates": op9_pii_surrogates,
         "op10_nearest_vectors": op10_nearest_vectors,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
