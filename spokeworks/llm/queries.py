@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from spokeworks.llm import (
     alignment,
+    conversations,
+    exact_search,
     language,
     line_dedup,
     mixing,
@@ -97,6 +99,14 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(
         table(spark, sf_dir, "documents"),
@@ -117,6 +127,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_pii_surrogates": op9_pii_surrogates,
         "op10_nearest_vectors": op10_nearest_vectors,
+        "op11_exact_top_k": op11_exact_top_k,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
