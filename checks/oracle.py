@@ -307,7 +307,28 @@ _TRIP_COLUMNS = (
     "bike_number, member_type"
 )
 
+_REASON = " ".join(f"WHEN {k} THEN {_literal(v)}" for k, v in r.DAMAGE.items())
+
 _QUERIES = {
+    "append_checked_trips": f"""
+        SELECT {_TRIP_COLUMNS}, row_number() OVER (ORDER BY trip_id) AS trip_id
+        FROM (SELECT * REPLACE (date_trunc('second', start_date) AS start_date) FROM trips
+              WHERE trip_id % {r.DAMAGE_EVERY} NOT IN ({", ".join(map(str, r.DAMAGE))}))""",
+    "rejected_trips": f"""
+        SELECT CASE trip_id % {r.DAMAGE_EVERY} {_REASON} END AS reason,
+               {r._damaged_line("strftime(start_date, '%-m/%-d/%Y %-H:%M:%S')",
+                                "CAST(end_date AS VARCHAR)").replace("STRING", "VARCHAR")} AS record
+        FROM trips WHERE trip_id % {r.DAMAGE_EVERY} IN ({", ".join(map(str, r.DAMAGE))})""",
+    "stored_last_trip_id": "SELECT count(*) AS last_id FROM trips",
+    "appended_key_violations": f"""
+        SELECT bike_number, start_station FROM trips WHERE start_date >= DATE '{r.STORED_UNTIL}'
+        GROUP BY 1, 2 HAVING count(*) > 1 OR bike_number IS NULL OR start_station IS NULL
+        UNION ALL
+        SELECT bike_number, start_station FROM trips AS stored
+        WHERE start_date < DATE '{r.STORED_UNTIL}' AND EXISTS (
+            SELECT 1 FROM trips AS new WHERE new.start_date >= DATE '{r.STORED_UNTIL}'
+            AND new.bike_number = stored.bike_number
+            AND new.start_station = stored.start_station)""",
     "avg_duration_by_date": f"""
         SELECT CAST(CAST(start_date AS DATE) AS VARCHAR) AS date, bike_type, {_AVG_SECONDS}
         FROM forward GROUP BY 1, 2""",
@@ -530,6 +551,7 @@ _QUERIES |= {
     "append_trips_again": _QUERIES["append_trips"],
     "stored_service_hours": _QUERIES["trips_by_service_hours"],
     "stored_bike_locations": _QUERIES["daily_vehicle_kinds"],
+    **{f"kept_{name}": _QUERIES[name] for name in r.KEPT},
 }
 
 

@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 
 from checks import views
 from spokeworks import jobs
-from spokeworks.operators.conform import key_violations
+from spokeworks.operators.conform import key_violations, repeated_keys
 from spokeworks.operators.staging import staging_path
-from spokeworks.plans import ingest, service_hours, vehicles
+from spokeworks.plans import history, ingest, service_hours, vehicles
+from spokeworks.plans.history import History
+from spokeworks.plans.vehicle_history import VehicleHistory
 from spokeworks.reports import REPORTS, Report, Study
 from spokeworks.schemas import (
     EBIKES,
@@ -47,6 +49,7 @@ BIKES_BEFORE = dt.date(2024, 1, 8)
 SEEN_BY = dt.datetime(2024, 1, 25)
 # Trips up to here are taken as stored, later ones as a new drop.
 STORED_UNTIL = dt.date(2024, 1, 15)
+SECOND_DROP = dt.date(2024, 1, 6)
 
 EVENTS = (
     (dt.date(2024, 1, 3), "scooters", "introduced"),
@@ -84,6 +87,71 @@ class Views:
     def ebikes(self) -> DataFrame:
         return _build_ebike_table(self.spark, self.sf_dir)
 
+    def history(self) -> History | None:
+        return None
+
+    def vehicle_history(self, bikes_before: dt.date) -> VehicleHistory | None:
+        return None
+
+
+@dataclass(frozen=True)
+class KeptViews(Views):
+    """The same, with the aggregates that are kept beside stored tables.
+
+    ``trips`` was stored in three appends, ``bike_locations`` in three batches that each have a
+    part of every vehicle's locations, so that tags and first sightings come late.
+    """
+
+    def trips(self) -> DataFrame:
+        return tables.read_trips_table(self.spark, self.trips_table())
+
+    def history(self) -> History:
+        kept = history.read_history(self.spark, self.trips_table())
+        if kept is None:
+            raise ValueError("the history lacks trips")
+        return kept
+
+    def vehicle_history(self, bikes_before: dt.date) -> VehicleHistory:
+        path = _once(self.spark, self.sf_dir, "locations-table", self._store_locations)
+        return ingest.vehicle_history(self.spark, path, bikes_before)
+
+    def trips_table(self) -> str:
+        return _once(self.spark, self.sf_dir, "kept-trips-table", self._store_trips)
+
+    def _store_trips(self, table: str) -> None:
+        trips = views.trips(self.spark, self.sf_dir)
+        day = F.to_date("start_date")
+        bounds = [None, SECOND_DROP, STORED_UNTIL, None]
+        for after, until in zip(bounds, bounds[1:], strict=False):
+            part = trips
+            if after is not None:
+                part = part.where(day >= F.lit(after))
+            if until is not None:
+                part = part.where(day < F.lit(until))
+            drop = _write_drop(part, STATION_NUMBER_LAYOUT, STATION_NUMBER_HEADER)
+            ingest.append_trips(self.spark, drop, table)
+
+    def _store_locations(self, table: str) -> None:
+        rows = views.bike_locations(self.spark, self.sf_dir)
+        place = F.pmod(F.xxhash64("created", "bike_id"), F.lit(3))
+        for n in range(3):
+            drop = staging_path(self.spark, "locations")
+            tables.export_csv(rows.where(place == n), drop, "|")
+            ingest.add_locations(self.spark, drop, table, BIKES_BEFORE)
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, store: Callable[[str], None]) -> str:
+    """A table that several queries read, stored by the first of them in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = staging_path(spark, name)
+        store(path)
+        _STORED[key] = path
+    return _STORED[key]
+
 
 STUDY = Study(
     first=FIRST,
@@ -105,6 +173,30 @@ def _reported(report: Report) -> Query:
     return lambda spark, sf: report(Views(spark, sf), STUDY)
 
 
+def _reported_kept(report: Report) -> Query:
+    return lambda spark, sf: report(KeptViews(spark, sf), STUDY)
+
+
+#: Reports that take kept aggregates in place of the tables.
+KEPT = (
+    "monthly_basic_stats",
+    "daily_fleet_calendar",
+    "daily_fleet_trip_days",
+    "daily_utilisation",
+    "trips_per_fleet_bike_long",
+    "trips_per_used_bike_long",
+    "overall_trips_per_bike",
+    "fleet_vs_trip_share",
+    "fleet_vs_trip_share_long",
+    "daily_vehicle_kinds",
+    "vehicle_kinds_apportioned",
+    "vehicle_kinds_long_events",
+    "total_scooters",
+    "total_vehicles",
+    "avg_vehicle_age",
+)
+
+
 # --- ingest: Spark first writes a driver table the way a raw drop would look -------
 
 
@@ -161,6 +253,63 @@ def _append_trips_again(spark: SparkSession, sf: str) -> DataFrame:
     return _append_trips(spark, sf, runs=2)
 
 
+#: Why the line of a trip is none, by the remainder of the id.
+DAMAGE = {7: "fields", 8: "fields", 9: "duration", 10: "start_date", 11: "end_date"}
+DAMAGE_EVERY = 40
+
+
+def _damaged_line(first: str, last: str) -> str:
+    """SQL for a line of a trip file; ``first`` and ``last`` write the two timestamps."""
+    of = f"trip_id % {DAMAGE_EVERY}"
+    return (
+        f"concat(CASE {of} WHEN 9 THEN 'n/a' ELSE CAST(duration AS STRING) END, ',',"
+        f" CASE {of} WHEN 10 THEN 'soon' ELSE {first} END, ',',"
+        f" CASE {of} WHEN 11 THEN '13/45/2024 9:00' ELSE {last} END, ',',"
+        " coalesce(start_station, ''), ',x,', end_station, ',x',"
+        f" CASE {of} WHEN 7 THEN '' WHEN 8 THEN concat(',', coalesce(bike_number, ''), ',', member_type, ',y')"
+        " ELSE concat(',', coalesce(bike_number, ''), ',', member_type) END)"
+    )
+
+
+def _append_damaged(spark: SparkSession, sf: str, table: str) -> None:
+    """Add a drop with lines that are no trips."""
+    ordered = views.trips(spark, sf).repartitionByRange("trip_id").sortWithinPartitions("trip_id")
+    line = F.expr(_damaged_line("date_format(start_date, 'M/d/yyyy H:mm:ss')", "CAST(end_date AS STRING)"))
+    top = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    lines = F.when(top, F.array(F.lit(",".join(STATION_NUMBER_HEADER)), line)).otherwise(F.array(line))
+    drop = staging_path(spark, "drop")
+    # one column of raw lines: with neither separators nor quotes
+    ordered.select(F.explode(lines)).write.options(sep="\x01", quote="").csv(drop)
+    ingest.append_trips(spark, drop, table, most_bad=0.2, keep=False)
+
+
+def _checked(spark: SparkSession, sf: str) -> str:
+    return _once(spark, sf, "checked-table", lambda path: _append_damaged(spark, sf, path))
+
+
+def _append_checked_trips(spark: SparkSession, sf: str) -> DataFrame:
+    """The trips of a drop with lines that are none; ids are without gaps."""
+    return tables.read_table(spark, _checked(spark, sf), NUMBERED_TRIPS)
+
+
+def _rejected_trips(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines that were refused, and why."""
+    return spark.read.parquet(ingest.rejected_path(_checked(spark, sf))).select("reason", "record")
+
+
+def _stored_last_trip_id(spark: SparkSession, sf: str) -> DataFrame:
+    """The last id of the stored trips, from the footers of their files."""
+    last = tables.largest_stored(spark, KeptViews(spark, sf).trips_table(), "trip_id")
+    return last.withColumnRenamed("id", "last_id")
+
+
+def _appended_key_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that a new part of the trips repeats, within itself or from the stored part."""
+    trips = views.trips(spark, sf)
+    new = F.col("start_date") >= F.lit(STORED_UNTIL)
+    return repeated_keys(trips.where(new), trips.where(~new), ["bike_number", "start_station"])
+
+
 def _ingest_trips_by_year(spark: SparkSession, sf: str) -> DataFrame:
     trips = views.long_trips(spark, sf)
     source_of = {v: k for k, v in STATION_ID_LAYOUT.columns(STATION_ID_HEADER).items()}
@@ -319,6 +468,11 @@ TYPED: dict[str, Query] = {
     "stored_service_hours": _stored_service_hours,
     "stored_bike_locations": _stored_bike_locations,
     "key_violations": _station_key_check,
+    "appended_key_violations": _appended_key_check,
+    "append_checked_trips": _append_checked_trips,
+    "rejected_trips": _rejected_trips,
+    "stored_last_trip_id": _stored_last_trip_id,
+    **{f"kept_{name}": _reported_kept(REPORTS[name]) for name in KEPT},
 }
 
 # Decimals kept of fractional results, which both engines add up in their own order.

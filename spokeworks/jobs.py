@@ -1,6 +1,8 @@
 """Command line: ``spark-submit spokeworks/jobs.py`` or ``python -m spokeworks.jobs``.
 
-    append-trips  --source DIR --tables DIR
+    append-trips  --source DIR --tables DIR [--most-bad SHARE] [--resume]
+    locations     --source DIR --tables DIR [--bikes-before DATE] [--sep "|"]
+    history       --tables DIR [--compact]
     trips-by-year --source DIR --tables DIR --years 2013 2014 [--missing-ok]
     stations      --source DIR --tables DIR
     regions       --source DIR --tables DIR
@@ -23,9 +25,12 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from spokeworks import schemas
-from spokeworks.plans import ingest
+from spokeworks.plans import history, ingest
+from spokeworks.plans.history import History
+from spokeworks.plans.vehicle_history import VehicleHistory
 from spokeworks.reports import REPORTS, Study
 from spokeworks.session import session
+from spokeworks.sources import files
 from spokeworks.sources.tables import export_csv, read_table, read_trips_table
 
 
@@ -60,6 +65,16 @@ class TableFolder:
     def ebikes(self) -> DataFrame:
         return read_table(self.spark, self.path("ebikes"), schemas.EBIKES)
 
+    def history(self) -> History | None:
+        return history.read_history(self.spark, self.path("trips"))
+
+    def vehicle_history(self, bikes_before: dt.date) -> VehicleHistory | None:
+        """Only of a table whose drops it has all; one that was filled otherwise is read itself."""
+        kept = ingest.vehicle_history(self.spark, self.path("bike_locations"), bikes_before)
+        stored = files.folder_names(self.spark, self.path("bike_locations"))
+        drops = {n.partition("=")[2] for n in stored if n.startswith("drop=")}
+        return kept if drops and drops == set(kept.batches()) else None
+
 
 # Reports over vehicles of one provider.
 _OF_PROVIDER = {
@@ -124,8 +139,15 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
             sub.add_argument("--last", type=date)
         return sub
 
-    for name in ("append-trips", "stations", "regions"):
+    append = job("append-trips")
+    append.add_argument("--most-bad", type=float)
+    append.add_argument("--resume", action="store_true")
+    for name in ("stations", "regions"):
         job(name)
+    locations = job("locations")
+    locations.add_argument("--bikes-before", type=date, default=Study.bikes_before)
+    locations.add_argument("--sep", default="|")
+    job("history", source=False).add_argument("--compact", action="store_true")
     job("weather", period=True)
     by_year = job("trips-by-year")
     by_year.add_argument("--years", type=int, nargs="+", required=True)
@@ -156,7 +178,21 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     tables = TableFolder(spark, args.tables)
     match args.job:
         case "append-trips":
-            ingest.append_trips(spark, args.source, tables.path("trips"))
+            ingest.append_trips(
+                spark,
+                args.source,
+                tables.path("trips"),
+                most_bad=args.most_bad,
+                resume=args.resume,
+            )
+        case "locations":
+            ingest.add_locations(
+                spark, args.source, tables.path("bike_locations"), args.bikes_before, args.sep
+            )
+        case "history":
+            history.advance(spark, tables.path("trips"))
+            if args.compact:
+                history.compact(spark, tables.path("trips"))
         case "trips-by-year":
             ingest.ingest_trips_by_year(
                 spark,

@@ -23,15 +23,20 @@ def active_intervals(trips: DataFrame, key: str = "bike_number") -> DataFrame:
     ``min`` and ``max`` are combined before the shuffle, so a busy bike
     sends one row per task.
     """
-    return (
+    lives = (
         trips.where(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.min("start_date").alias("_lo"), F.max("start_date").alias("_hi"))
-        .select(
-            key,
-            F.to_date("_lo").alias("first_day"),
-            first_of_next_month(F.col("_hi")).alias("last_day"),
-        )
+        .agg(F.min("start_date").alias("first_start"), F.max("start_date").alias("last_start"))
+    )
+    return intervals_of_lives(lives, key)
+
+
+def intervals_of_lives(lives: DataFrame, key: str = "bike_number") -> DataFrame:
+    """``active_intervals`` of keys whose first and last trip are known."""
+    return lives.select(
+        key,
+        F.to_date("first_start").alias("first_day"),
+        first_of_next_month(F.col("last_start")).alias("last_day"),
     )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spokeworks.operators.lookup import fits_broadcast
+
 
 def lower_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
@@ -51,3 +53,25 @@ def require_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
     if bad:
         raise ValueError(f"{list(key)} is not a key: {[r.asDict() for r in bad]}")
     return df
+
+
+def repeated_keys(new: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys of ``new`` that are missing, that it has more than once, or that ``stored`` has.
+
+    Only the new rows are grouped. The stored keys are read, but only compared: new keys that
+    fit are broadcast, so stored rows aren't moved; else both sides are shuffled once, and
+    adaptive execution may filter the stored ones by a Bloom filter of the new.
+    """
+    own = new.select(*key)
+    within = key_violations(own, key).select(*key)
+    distinct = own.distinct()
+    probe = F.broadcast(distinct) if fits_broadcast(distinct) else distinct
+    return within.unionByName(stored.select(*key).join(probe, list(key), "left_semi"))
+
+
+def require_new_keys(new: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``new`` itself, or an error naming a few keys that it or ``stored`` has already."""
+    bad = repeated_keys(new, stored, key).limit(5).collect()
+    if bad:
+        raise ValueError(f"{list(key)} is not a key: {[r.asDict() for r in bad]}")
+    return new

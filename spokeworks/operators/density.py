@@ -12,6 +12,8 @@ BINS = 2048
 BINS_PER_BANDWIDTH = 64
 GRID_POINTS = 100
 REACH = 3.0
+# Bandwidths beyond which a kernel counts as nothing: it is below 2e-14 of its height there.
+BAND = 8.0
 
 
 def density_curves(
@@ -104,6 +106,9 @@ def _curves(binned: DataFrame, group: list[str], points: int, reach: float) -> D
     and gives no curve. The group's mean and deviation, merged from its bins, are
     exact; a bin's kernels are those of its mean, corrected for the spread of the
     values within the bin.
+
+    A bin meets the grid points within ``BAND`` bandwidths only. The first bin of a group
+    meets all of them, so that a point far from every value has its row, near zero.
     """
     whole = Window.partitionBy(*group)
     total = F.sum("_n").over(whole)
@@ -125,12 +130,19 @@ def _curves(binned: DataFrame, group: list[str], points: int, reach: float) -> D
         )
     )
     x = F.col("_from") + F.col("point") * (F.col("_to") - F.col("_from")) / (points - 1)
+    step = (F.col("_to") - F.col("_from")) / (points - 1)
+    near = BAND * F.col("_h")
+    low = F.greatest(F.ceil((F.col("_mean") - near - F.col("_from")) / step), F.lit(0)).cast("int")
+    high = F.least(F.floor((F.col("_mean") + near - F.col("_from")) / step), F.lit(points - 1)).cast("int")
+    all_points = F.sequence(F.lit(0), F.lit(points - 1))
+    met = F.when(F.col("_slot") == F.min("_slot").over(whole), all_points).when(low <= high, F.sequence(low, F.greatest(low, high)))
     z = (F.col("x") - F.col("_mean")) / F.col("_h")
     within = F.greatest("_spread", F.lit(0.0)) / (F.col("_h") * F.col("_h"))
     kernels = (F.col("_n") + (z * z - 1) / 2 * within) * F.exp(-z * z / 2)
     scale = F.col("_total") * F.col("_h") * math.sqrt(2 * math.pi)
     return (
-        sized.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        sized.withColumn("_met", met)
+        .withColumn("point", F.explode("_met"))
         .withColumn("x", x)
         .groupBy(*group, "point", "x")
         .agg(F.sum(kernels / scale).alias("density"))

@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spokeworks.functions.classify import is_classic
-from spokeworks.operators.activity import active_intervals, calendar, with_active_counts
+from spokeworks.operators.activity import (
+    active_intervals,
+    calendar,
+    intervals_of_lives,
+    with_active_counts,
+)
+from spokeworks.plans import history
+from spokeworks.plans.history import History
 from spokeworks.plans.selections import within
 
 
@@ -34,41 +41,56 @@ def daily_use(trips: DataFrame) -> DataFrame:
     )
 
 
-def with_fleet(days: DataFrame, trips: DataFrame) -> DataFrame:
+def with_fleet(days: DataFrame, trips: DataFrame, kept: History | None = None) -> DataFrame:
     """Add ``classic_fleet, plus_fleet``: bikes active on each day, by the whole
-    trip history."""
+    trip history, or by the ``kept`` first and last trips of all bikes."""
     classic = is_classic("bike_number")
-    return with_active_counts(
-        days, active_intervals(trips), {"classic_fleet": classic, "plus_fleet": ~classic}
-    )
+    intervals = active_intervals(trips) if kept is None else intervals_of_lives(kept.lives)
+    return with_active_counts(days, intervals, {"classic_fleet": classic, "plus_fleet": ~classic})
 
 
-def calendar_use(trips: DataFrame, first: dt.date, last: dt.date, from_day: dt.date) -> DataFrame:
+def calendar_use(
+    trips: DataFrame, first: dt.date, last: dt.date, from_day: dt.date, kept: History | None = None
+) -> DataFrame:
     """``daily_use`` of trips since ``from_day`` on every day ``first..last``; days
     without trips have NULLs.
 
     The daily side has at most one row per calendar day, which is why it may
     be broadcast.
     """
-    use = daily_use(within(trips, max(first, from_day), last))
+    use = _daily_use(trips, max(first, from_day), last, kept)
     return calendar(trips.sparkSession, first, last).join(F.broadcast(use), "date", "left")
 
 
+def _daily_use(
+    trips: DataFrame, first: dt.date, last: dt.date | None, kept: History | None
+) -> DataFrame:
+    return daily_use(within(trips, first, last)) if kept is None else history.daily_use(kept, first, last)
+
+
 def daily_fleet_calendar(
-    trips: DataFrame, first: dt.date, last: dt.date, from_day: dt.date | None = None
+    trips: DataFrame,
+    first: dt.date,
+    last: dt.date,
+    from_day: dt.date | None = None,
+    kept: History | None = None,
 ) -> DataFrame:
     """Each calendar day with trips and fleet by bike type."""
     return with_fleet(
-        calendar_use(trips, first, last, from_day or first).select(
+        calendar_use(trips, first, last, from_day or first, kept).select(
             "date", "classic_trips", "plus_trips"
         ),
         trips,
+        kept,
     )
 
 
-def daily_fleet_trip_days(trips: DataFrame, first: dt.date) -> DataFrame:
+def daily_fleet_trip_days(
+    trips: DataFrame, first: dt.date, kept: History | None = None
+) -> DataFrame:
     """Each day with trips: trips, bikes used and fleet by bike type."""
-    return with_fleet(daily_use(within(trips, first)).drop("all_trips"), trips).orderBy("date")
+    use = _daily_use(trips, first, None, kept).drop("all_trips")
+    return with_fleet(use, trips, kept).orderBy("date")
 
 
 def first_seen_in_window(trips: DataFrame, first: dt.date, last: dt.date) -> DataFrame:

@@ -6,14 +6,17 @@ import datetime as dt
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.operators.conform import require_key
-from spokeworks.operators.rowids import number_rows
+from spokeworks.operators.conform import require_new_keys
+from spokeworks.operators.rowids import FILE, number_rows
 from spokeworks.operators.staging import passing_copies, stage
+from spokeworks.plans import history
 from spokeworks.plans.fleet import first_seen_in_window
+from spokeworks.plans.vehicle_history import VehicleHistory
 from spokeworks.schemas import (
+    DEVICE_LOCATIONS,
     EBIKES,
     NUMBERED_TRIPS,
     REGIONS,
@@ -35,15 +38,20 @@ from spokeworks.sources.tables import (
     append_table,
     append_trips_table,
     export_csv,
-    last_id,
     load_delimited,
+    read_delimited,
     read_table,
     replace_partitions,
     replace_table,
+    stored_last_id,
 )
 from spokeworks.sources.trips import (
+    REASON,
+    RECORD,
     files_of_years,
+    position_good,
     read_positioned_trips,
+    scan_checked,
     scan_csv,
     to_trips,
     year_of,
@@ -59,20 +67,97 @@ def numbered_trips(
     return number_rows(placed, last, "trip_id")
 
 
+def checked_trips(
+    spark: SparkSession, path: str, last: int, layout: TripLayout, most_bad: float, rejected: str
+) -> DataFrame:
+    """``numbered_trips`` without the rows that can't be trips, which go to the folder ``rejected``.
+
+    Those are rows with more or fewer fields than the header, and rows with a value that
+    doesn't fit its type. They are written as ``file, record, reason``, where the reason
+    is ``fields`` or the column. If their share is above ``most_bad``, that is an error, and
+    nothing is kept but them. They are counted while the good rows are staged, so files without
+    bad rows, as most are, are parsed once.
+    """
+    checked = scan_checked(spark, path, layout)
+    seen = Observation()
+    bad = F.col(REASON).isNotNull()
+    placed = stage(position_good(checked.observe(seen, F.count("*").alias("n"), F.count_if(bad).alias("bad"))), "trips")
+    n, n_bad = seen.get["n"], seen.get["bad"]
+    if n_bad:
+        rows = checked.where(bad).select(
+            F.url_decode(F.replace(FILE, F.lit("+"), F.lit("%2B"))).alias("file"),
+            F.col(RECORD).alias("record"),
+            F.col(REASON).alias("reason"),
+        )
+        rows.write.mode("overwrite").parquet(rejected)
+    if n_bad > most_bad * n:
+        raise ValueError(f"{n_bad} of {n} rows of {path} can't be trips; they are in {rejected}")
+    return number_rows(placed, last, "trip_id")
+
+
 def append_trips(
-    spark: SparkSession, path: str, table: str, layout: TripLayout = STATION_NUMBER_LAYOUT
+    spark: SparkSession,
+    path: str,
+    table: str,
+    layout: TripLayout = STATION_NUMBER_LAYOUT,
+    most_bad: float | None = None,
+    keep: bool = True,
+    resume: bool = False,
 ) -> None:
     """Add a folder of trip CSVs to a table; ids continue from the largest stored one.
 
-    A drop that the table has is not added again, so a failed job may be run again:
-    see ``drops``. The staged copy of the drop is removed once the table has it.
+    A drop that the table has is not added again, so a failed job may be run again; two
+    jobs can't add at once: see ``drops``. The staged copy of the drop is removed once the
+    table has it. A row that can't be a trip is an error, or, up to a share of ``most_bad``,
+    it is put into ``<table>_rejected``. The history of the table is advanced as well,
+    unless ``keep`` is false.
     """
-    last = last_id(read_table(spark, table, NUMBERED_TRIPS), "trip_id")
-    if not drops.begin(spark, table, path, last):
-        return
-    with passing_copies(spark):
-        append_trips_table(numbered_trips(spark, path, last, layout), table)
-    drops.finish(spark, table, path, last)
+    with drops.claimed(spark, table, resume):
+        last = stored_last_id(spark, table, NUMBERED_TRIPS, "trip_id")
+        drop = drops.listed(spark, path)
+        state, last = drops.begin(spark, table, drop, last)
+        if state == drops.NEW:
+            with passing_copies(spark):
+                if most_bad is None:
+                    new = numbered_trips(spark, path, last, layout)
+                else:
+                    new = checked_trips(spark, path, last, layout, most_bad, rejected_path(table, drop.id))
+                append_trips_table(new, table)
+        if state != drops.FINISHED:
+            drops.finish(spark, table, drop)
+        if keep:
+            history.advance(spark, table)
+
+
+def rejected_path(table: str, drop_id: str = "") -> str:
+    """The folder of the rows that were refused, of one drop or of all."""
+    folder = f"{table.rstrip('/')}_rejected"
+    return f"{folder}/drop={drop_id}" if drop_id else folder
+
+
+def add_locations(
+    spark: SparkSession, path: str, table: str, bikes_before: dt.date, sep: str = "|"
+) -> None:
+    """Add delimited files of device locations to a table stored by drop, and to its vehicle history.
+
+    A drop is a folder of its own, written as a whole: run again it replaces itself. Then its
+    vehicles are counted, once.
+    """
+    with drops.claimed(spark, table):
+        drop = drops.listed(spark, path)
+        state, _ = drops.begin(spark, table, drop, 0)
+        own = f"{table.rstrip('/')}/drop={drop.id}"
+        if state != drops.FINISHED:
+            rows = read_delimited(spark, path, DEVICE_LOCATIONS, sep)
+            rows.write.mode("overwrite").parquet(own)
+        stored = spark.read.schema(DEVICE_LOCATIONS).parquet(own)
+        vehicle_history(spark, table, bikes_before).add(stored, drop.id)
+        if state != drops.FINISHED:
+            drops.finish(spark, table, drop)
+
+
+def vehicle_history(spark: SparkSession, table: str, bikes_before: dt.date) -> VehicleHistory:
+    return VehicleHistory(spark, f"{table.rstrip('/')}_history", bikes_before)
 
 
 def ingest_trips_by_year(
@@ -85,9 +170,9 @@ def ingest_trips_by_year(
 ) -> None:
     """Store the CSVs whose name (or folder) holds one of ``years``, one partition per year.
 
-    The folder is listed once, and all years are written by one job; years whose
-    first files have the same header are one scan. A rerun replaces the years it
-    covers. A year without files is an error, unless ``missing_ok``.
+    The folder is listed once, and all years are written by one job and published at
+    once; years whose first files have the same header are one scan. A rerun replaces the
+    years it covers. A year without files is an error, unless ``missing_ok``.
     """
     years = sorted(set(years))
     first_files = files_of_years(spark, path, years)
@@ -96,7 +181,7 @@ def ingest_trips_by_year(
         raise ValueError(f"no files of the years {absent} in {path}")
     by_header: dict[tuple[str, ...], list[int]] = {}
     for year, file in first_files.items():
-        by_header.setdefault(tuple(scan_csv(spark, [file]).columns), []).append(year)
+        by_header.setdefault(tuple(scan_csv(spark, [file], file).columns), []).append(year)
     parts = []
     for header, own in by_header.items():
         globs = [f"{path.rstrip('/')}/*{year}*" for year in own]
@@ -155,7 +240,7 @@ def ingest_weather(
     with passing_copies(spark):
         days = stage(read_weather(spark, path, first, last), "weather")
         stored = read_table(spark, table, WEATHER).select("weather_date")
-        require_key(days.select("weather_date").unionByName(stored), ["weather_date"])
+        require_new_keys(days, stored, ["weather_date"])
         append_table(days, table, WEATHER)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spokeworks.functions.classify import CLASSIC, PLUS
 from spokeworks.operators.reshape import stack_rows
 from spokeworks.plans.fleet import calendar_use, daily_use, with_fleet
+from spokeworks.plans.history import History
 from spokeworks.plans.selections import within
 
 
@@ -52,10 +53,14 @@ def daily_share_long(shares: DataFrame) -> DataFrame:
 
 
 def fleet_vs_trip_share(
-    trips: DataFrame, first: dt.date, last: dt.date, from_day: dt.date | None = None
+    trips: DataFrame,
+    first: dt.date,
+    last: dt.date,
+    from_day: dt.date | None = None,
+    kept: History | None = None,
 ) -> DataFrame:
     """Each calendar day: trips by type, and the plus share of trips and of fleet."""
-    use = calendar_use(trips, first, last, from_day or first).select(
+    use = calendar_use(trips, first, last, from_day or first, kept).select(
         "date",
         "plus_trips",
         "classic_trips",
@@ -64,7 +69,7 @@ def fleet_vs_trip_share(
     )
     fleet = F.col("classic_fleet") + F.col("plus_fleet")
     return (
-        with_fleet(use, trips)
+        with_fleet(use, trips, kept)
         .withColumn("total_fleet", fleet)
         .withColumn("plus_fleet_share", F.try_divide("plus_fleet", "total_fleet"))
         .drop("classic_fleet")

@@ -11,6 +11,7 @@ from spokeworks.functions.classify import CLASSIC, PLUS
 from spokeworks.operators.lookup import attach
 from spokeworks.operators.reshape import stack_rows
 from spokeworks.plans.fleet import calendar_use, with_fleet
+from spokeworks.plans.history import History
 
 
 def daily_utilisation(
@@ -19,15 +20,16 @@ def daily_utilisation(
     first: dt.date,
     last: dt.date,
     from_day: dt.date | None = None,
+    kept: History | None = None,
 ) -> DataFrame:
     """Each calendar day: chance of rain, trips, bikes used and fleet by type."""
     rain = weather.where(F.col("weather_date").between(F.lit(first), F.lit(last))).select(
         "weather_date", F.col("precipprobability").alias("rain_probability")
     )
-    use = calendar_use(trips, first, last, from_day or first).drop("all_trips")
+    use = calendar_use(trips, first, last, from_day or first, kept).drop("all_trips")
     # a row per day of the calendar on either side
     known = attach(use, rain, {"date": "weather_date"}, small=True)
-    return with_fleet(known.drop("weather_date"), trips)
+    return with_fleet(known.drop("weather_date"), trips, kept)
 
 
 def _per_bike_long(daily: DataFrame, bikes: str) -> DataFrame:

@@ -14,7 +14,7 @@ from spokeworks.operators.reshape import literal_rows, stack_rows
 KIND_PATH = "$.attributes.vehicle_type"
 
 
-def _with_kind(locations: DataFrame) -> DataFrame:
+def with_kind(locations: DataFrame) -> DataFrame:
     """The location columns in use, with the document parsed at most once per row.
 
     A document without the tag's name is not parsed. A backslash may spell the name in
@@ -26,7 +26,7 @@ def _with_kind(locations: DataFrame) -> DataFrame:
     return locations.select("created", "bike_id", "provider", kind.alias("kind"))
 
 
-def _tagged(kind: str) -> Column:
+def tagged(kind: str) -> Column:
     return F.coalesce(F.col("kind") == kind, F.lit(False))
 
 
@@ -41,12 +41,12 @@ def daily_vehicle_kinds(locations: DataFrame, provider: str, bikes_before: dt.da
     shuffle, so a vehicle's window holds its days, however often it reports.
     """
     per_day = (
-        _with_kind(locations)
+        with_kind(locations)
         .where(F.col("provider") == provider)
         .groupBy(F.to_date("created").alias("date"), "bike_id")
         .agg(
-            F.bool_or(_tagged("bike")).alias("bike"),
-            F.bool_or(_tagged("scooter")).alias("scooter"),
+            F.bool_or(tagged("bike")).alias("bike"),
+            F.bool_or(tagged("scooter")).alias("scooter"),
         )
     )
     life = Window.partitionBy("bike_id")
@@ -117,7 +117,7 @@ def vehicle_kinds_long_events(
 
 def total_scooters(locations: DataFrame) -> DataFrame:
     """One row: vehicles of any provider ever tagged as scooter."""
-    tagged = _with_kind(locations).where(F.col("kind") == "scooter")
+    tagged = with_kind(locations).where(F.col("kind") == "scooter")
     return tagged.agg(F.countDistinct("bike_id").alias("scooters"))
 
 
@@ -139,13 +139,13 @@ def avg_vehicle_age(locations: DataFrame, provider: str, first_seen_by: dt.datet
     # as text, so that the session's time zone has no say
     limit = F.lit(first_seen_by.isoformat(sep=" ")).cast("timestamp_ntz")
     return (
-        _with_kind(locations)
+        with_kind(locations)
         .where(F.col("bike_id").isNotNull())
         .groupBy("bike_id")
         .agg(
             F.min(seen).alias("first_seen"),
             F.max(seen).alias("last_seen"),
-            F.bool_or(_tagged("scooter")).alias("scooter"),
+            F.bool_or(tagged("scooter")).alias("scooter"),
         )
         .where(F.col("scooter") & (F.col("first_seen") <= limit))
         .agg((mean_seconds(elapsed_us("first_seen", "last_seen")) / 86_400).alias("avg_days"))

@@ -13,16 +13,23 @@ from spokeworks.plans import (
     distance,
     durations,
     fleet,
+    history,
     service_hours,
     shares,
     stations,
     utilisation,
     vehicles,
 )
+from spokeworks.plans.history import History
+from spokeworks.plans.vehicle_history import VehicleHistory
 
 
 class Tables(Protocol):
-    """What the analyses read. Only the tables a report names are opened."""
+    """What the analyses read. Only the tables a report names are opened.
+
+    The two histories are kept aggregates of ``trips`` and ``bike_locations``; None if
+    there are none, or not of all rows. A report then reads the table itself.
+    """
 
     spark: SparkSession
 
@@ -33,6 +40,8 @@ class Tables(Protocol):
     def bike_locations(self) -> DataFrame: ...
     def second_trips(self) -> DataFrame: ...
     def ebikes(self) -> DataFrame: ...
+    def history(self) -> History | None: ...
+    def vehicle_history(self, bikes_before: dt.date) -> VehicleHistory | None: ...
 
 
 @dataclass(frozen=True)
@@ -66,7 +75,7 @@ Report = Callable[[Tables, Study], DataFrame]
 
 
 def _utilisation(t: Tables, s: Study) -> DataFrame:
-    return utilisation.daily_utilisation(t.trips(), t.weather(), s.first, s.last)
+    return utilisation.daily_utilisation(t.trips(), t.weather(), s.first, s.last, kept=t.history())
 
 
 def _shares(t: Tables, s: Study) -> DataFrame:
@@ -74,7 +83,7 @@ def _shares(t: Tables, s: Study) -> DataFrame:
 
 
 def _fleet_shares(t: Tables, s: Study) -> DataFrame:
-    return shares.fleet_vs_trip_share(t.trips(), s.first, s.last)
+    return shares.fleet_vs_trip_share(t.trips(), s.first, s.last, kept=t.history())
 
 
 def _measured(t: Tables, s: Study, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -86,9 +95,35 @@ def _hours(t: Tables, s: Study) -> DataFrame:
 
 
 def _kinds(t: Tables, s: Study) -> DataFrame:
+    if (kept := t.vehicle_history(s.bikes_before)) is not None:
+        return kept.daily_kinds(s.provider)
     return vehicles.daily_vehicle_kinds(t.bike_locations(), s.provider, s.bikes_before)
 
 
+def _monthly(t: Tables, s: Study) -> DataFrame:
+    if (kept := t.history()) is not None:
+        return history.monthly_basic_stats(kept, s.first)
+    return durations.monthly_basic_stats(t.trips(), s.first)
+
+
+def _total_scooters(t: Tables, s: Study) -> DataFrame:
+    if (kept := t.vehicle_history(s.bikes_before)) is not None:
+        return kept.total_scooters()
+    return vehicles.total_scooters(t.bike_locations())
+
+
+def _total_vehicles(t: Tables, s: Study) -> DataFrame:
+    if (kept := t.vehicle_history(s.bikes_before)) is not None:
+        return kept.total_vehicles(s.provider)
+    return vehicles.total_vehicles(t.bike_locations(), s.provider)
+
+
+def _vehicle_age(t: Tables, s: Study) -> DataFrame:
+    if (kept := t.vehicle_history(s.bikes_before)) is not None:
+        return kept.avg_vehicle_age(s.provider, s.seen_by)
+    return vehicles.avg_vehicle_age(t.bike_locations(), s.provider, s.seen_by)
+
+
 def _apportioned(t: Tables, s: Study) -> DataFrame:
     return vehicles.vehicle_kinds_apportioned(_kinds(t, s))
 
@@ -99,7 +134,7 @@ REPORTS: dict[str, Report] = {
     "avg_duration_by_date_members": lambda t, s: durations.avg_duration_by_date(
         t.trips(), s.first, "Member"
     ),
-    "monthly_basic_stats": lambda t, s: durations.monthly_basic_stats(t.trips(), s.first),
+    "monthly_basic_stats": _monthly,
     "casual_trips_by_station": lambda t, s: stations.trips_by_station(
         t.trips(), t.stations(), s.first, "Casual"
     ),
@@ -117,9 +152,11 @@ REPORTS: dict[str, Report] = {
         t.trips(), s.first
     ),
     "daily_fleet_calendar": lambda t, s: fleet.daily_fleet_calendar(
-        t.trips(), s.fleet_first, s.fleet_last
+        t.trips(), s.fleet_first, s.fleet_last, kept=t.history()
+    ),
+    "daily_fleet_trip_days": lambda t, s: fleet.daily_fleet_trip_days(
+        t.trips(), s.first, kept=t.history()
     ),
-    "daily_fleet_trip_days": lambda t, s: fleet.daily_fleet_trip_days(t.trips(), s.first),
     "ebike_fleet_calendar": lambda t, s: fleet.ebike_fleet_calendar(
         t.second_trips(), t.ebikes(), s.second_first, s.second_last
     ),
@@ -155,10 +192,8 @@ REPORTS: dict[str, Report] = {
     "vehicle_kinds_long_events": lambda t, s: vehicles.vehicle_kinds_long_events(
         _apportioned(t, s), s.events
     ),
-    "total_scooters": lambda t, s: vehicles.total_scooters(t.bike_locations()),
-    "total_vehicles": lambda t, s: vehicles.total_vehicles(t.bike_locations(), s.provider),
-    "avg_vehicle_age": lambda t, s: vehicles.avg_vehicle_age(
-        t.bike_locations(), s.provider, s.seen_by
-    ),
+    "total_scooters": _total_scooters,
+    "total_vehicles": _total_vehicles,
+    "avg_vehicle_age": _vehicle_age,
     "first_trip_per_bike": lambda t, s: durations.first_trip_per_bike(t.trips()),
 }

@@ -47,6 +47,36 @@ REGIONS = _struct(region_id=INT, name=STRING, code=STRING)
 
 EBIKES = _struct(bike_number=STRING)
 
+# Kept beside a trips table: see ``plans/history.py``.
+BIKE_NUMBERS = _struct(bike_number=STRING, bike_id=BIGINT, bucket=INT)
+BIKE_LIVES = _struct(bike_number=STRING, first_start=TIMESTAMP, last_start=TIMESTAMP, bucket=INT)
+DAILY_USAGE = _struct(
+    date=DATE,
+    bike_type=STRING,
+    numbered=T.BooleanType(),
+    trips=BIGINT,
+    seconds=BIGINT,
+    micros=BIGINT,
+    timed=BIGINT,
+    casual=BIGINT,
+    member=BIGINT,
+)
+DAILY_SETS = _struct(date=DATE, bike_type=STRING, bitmap=BIGINT, bikes=T.BinaryType())
+
+# Kept beside a table of device locations: see ``plans/vehicle_history.py``.
+VEHICLE_DAYS = _struct(provider=STRING, bike_id=STRING, date=DATE, bucket=INT)
+VEHICLE_FLAGS = _struct(
+    provider=STRING,
+    bike_id=STRING,
+    bike=T.BooleanType(),
+    scooter=T.BooleanType(),
+    first_day=DATE,
+    first_seen=TIMESTAMP,
+    last_seen=TIMESTAMP,
+    bucket=INT,
+)
+KIND_COUNTS = _struct(provider=STRING, date=DATE, bikes=BIGINT, scooters=BIGINT, vehicles=BIGINT)
+
 # Weekly timetable of another transit service. Day 0 is Sunday; the bounds are
 # microseconds since midnight and both belong to the period.
 SERVICE_HOURS = _struct(day_of_week=INT, start_us=BIGINT, end_us=BIGINT, op_status=STRING)

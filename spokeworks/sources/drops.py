@@ -3,91 +3,110 @@
 A drop is known by the names and lengths of its files. It is written down with the
 table's last id before its rows are added, and again afterwards. A job that died in
 between tells by the table's last id whether the rows arrived.
+
+Before anything else a job claims the table: it creates a file, which only one of several
+jobs can do. The last id is read, and ids are given, under the claim only.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import hashlib
+import os
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
-from spokeworks.sources.trips import list_files
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-BEGUN, FINISHED = "begun", "finished"
-_ROWS = "drop_id BIGINT, last_id BIGINT, state STRING"
-_FILES = "drop_id BIGINT, file STRING, length BIGINT"
+from spokeworks.sources import files
 
-
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+NEW, ARRIVED, FINISHED = "new", "arrived", "finished"
 
 
 def _ledger(table: str) -> str:
     return f"{table.rstrip('/')}_drops"
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    name = F.regexp_extract("path", "[^/]+$", 0)
-    return list_files(spark, path).select(name.alias("file"), "length")
+@dataclass(frozen=True)
+class Drop:
+    """The files of a folder, without their folder: ``(name, length)``."""
 
+    files: tuple[tuple[str, int], ...]
 
-def _identity(files: DataFrame) -> int:
-    """The same for the same names and lengths, in whatever order they are listed."""
-    each = F.sum(F.xxhash64("file", "length").cast("decimal(20,0)"))
-    row = files.agg(F.xxhash64(F.count("*"), each).alias("id"), F.count("*").alias("n")).first()
-    if not row["n"]:
-        raise ValueError("the drop has no files")
-    return row["id"]
+    @property
+    def id(self) -> str:
+        """The same for the same names and lengths, in whatever order they are listed."""
+        lines = "\n".join(self.lines())
+        return hashlib.sha256(lines.encode()).hexdigest()[:16]
 
+    def lines(self) -> list[str]:
+        return [f"{length} {name}" for name, length in self.files]
 
-def begin(spark: SparkSession, table: str, path: str, last_id: int) -> bool:
-    """Write down that the drop is being added; False if the table has it already.
 
-    Another drop that was begun and not finished is an error: two jobs would
-    number their rows alike. So is a folder with some files of an earlier drop.
-    """
-    files = _files(spark, path)
-    drop = _identity(files)
-    mine = F.col("drop_id") == drop
-    seen = (
-        _read(spark, f"{_ledger(table)}/state", _ROWS)
-        .groupBy("drop_id")
-        .agg(F.max(F.col("state") == FINISHED).alias("done"), F.max("last_id").alias("last_id"))
-        .where(~F.col("done") | mine)
-        .orderBy(mine.desc())
-        .limit(100)
-        .collect()
-    )
-    for r in seen:
-        arrived = r["done"] or last_id > r["last_id"]
-        if r["drop_id"] == drop:
-            if arrived and not r["done"]:
-                _note(spark, table, drop, r["last_id"], FINISHED)
-            return not arrived
-        if not arrived:
-            raise ValueError(f"another drop is being added to {table}; if its job died, run that again")
-    known = _read(spark, f"{_ledger(table)}/files", _FILES)
-    again = files.join(known, ["file", "length"], "left_semi").limit(3).collect()
-    if again:
-        names = [r["file"] for r in again]
-        raise ValueError(f"{table} has {names} already: put new files in a folder of their own")
-    _write(files.select(F.lit(drop).alias("drop_id"), "file", "length"), table, "files")
-    _note(spark, table, drop, last_id, BEGUN)
-    return True
+def listed(spark: SparkSession, path: str) -> Drop:
+    found = files.files_below(spark, path, ".csv")
+    if not found:
+        raise ValueError("the drop has no files")
+    return Drop(tuple(sorted((os.path.basename(p), n) for p, n in found)))
 
 
-def finish(spark: SparkSession, table: str, path: str, last_id: int) -> None:
-    _note(spark, table, _identity(_files(spark, path)), last_id, FINISHED)
+@contextmanager
+def claimed(spark: SparkSession, table: str, resume: bool = False) -> Iterator[None]:
+    """Keep other jobs from adding to the table meanwhile.
 
+    If another job has the claim, that is an error. A job gives its claim back also when it
+    fails; only one that was killed leaves it, and ``resume`` takes it over.
+    """
+    claim, own = f"{_ledger(table)}/claim", f"{spark.sparkContext.applicationId} {uuid.uuid4().hex}"
+    if resume:
+        files.remove(spark, claim)
+    if not files.create_once(spark, claim, own):
+        raise ValueError(
+            f"another job is adding to {table}; if it was killed, run this one with resume"
+        )
+    try:
+        yield
+    finally:
+        if files.exists(spark, claim) and files.read_text(spark, claim) == own:
+            files.remove(spark, claim)
 
-def _note(spark: SparkSession, table: str, drop: int, last_id: int, state: str) -> None:
-    _write(spark.createDataFrame([(drop, last_id, state)], _ROWS), table, "state")
 
+def begin(spark: SparkSession, table: str, drop: Drop, last_id: int) -> tuple[str, int]:
+    """Write down that the drop is being added, under a claim.
 
-def _write(rows: DataFrame, table: str, part: str) -> None:
-    rows.write.mode("append").parquet(f"{_ledger(table)}/{part}")
+    Gives its state (``NEW``: to be added; ``ARRIVED``: its rows are there, but it
+    was not finished; ``FINISHED``) and the last id before it. Another drop that was begun
+    and whose rows haven't arrived is an error: it has to be run again first. So is a folder
+    with some files of an earlier drop.
+    """
+    ledger = _ledger(table)
+    own, state, before = f"drop={drop.id}", NEW, last_id
+    folders = [f for f in files.folder_names(spark, ledger) if f.startswith("drop=")]
+    for folder in folders:
+        if files.exists(spark, f"{ledger}/{folder}/finished"):
+            if folder == own:
+                return FINISHED, last_id
+            continue
+        begun = int(files.read_text(spark, f"{ledger}/{folder}/begun").split("\n")[0])
+        if folder == own:
+            state, before = (ARRIVED if last_id > begun else NEW), begun
+        elif last_id <= begun:
+            raise ValueError(f"another drop is being added to {table}; if its job died, run that again")
+    if state == ARRIVED:
+        return state, before
+    others = [f"{ledger}/{f}/begun" for f in folders if f != own]
+    if others:
+        mine = spark.createDataFrame([(x,) for x in drop.lines()], "value STRING")
+        again = spark.read.text(others).join(mine, "value", "left_semi").limit(3).collect()
+        if again:
+            names = [r["value"].partition(" ")[2] for r in again]
+            raise ValueError(f"{table} has {names} already: put new files in a folder of their own")
+    files.remove(spark, f"{ledger}/{own}/begun")
+    files.create_once(spark, f"{ledger}/{own}/begun", "\n".join([str(last_id), *drop.lines()]))
+    return NEW, last_id
+
+
+def finish(spark: SparkSession, table: str, drop: Drop) -> None:
+    files.create_once(spark, f"{_ledger(table)}/drop={drop.id}/finished", "")

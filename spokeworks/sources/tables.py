@@ -10,20 +10,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spokeworks.operators.conform import conform, require_key
-from spokeworks.operators.staging import passing_copies, stage
 from spokeworks.schemas import NUMBERED_TRIPS, START_MONTH, STORED_TRIPS
+from spokeworks.sources import files
+
+
+def _beside(path: str, what: str) -> str:
+    return f"{path.rstrip('/')}__{what}"
+
+
+def _pending(spark: SparkSession, path: str) -> list[str]:
+    """Folders of partitions that count as replaced, though their new rows still lie beside the table."""
+    if not files.exists(spark, _beside(path, "switch")):
+        return []
+    names = files.read_text(spark, _beside(path, "switch")).split("\n")
+    return [n for n in names if files.exists(spark, f"{_beside(path, 'next')}/{n}")]
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table as it is, or None if nothing was stored yet."""
+    """The stored table as it is, or None if nothing was stored yet.
+
+    Should a replacement have broken off between its two renames, that is the old
+    table; between the renames of partitions, the new partitions with the old others.
+    """
+    if not files.exists(spark, path) and files.exists(spark, _beside(path, "before")):
+        path = _beside(path, "before")
     try:
+        if pending := _pending(spark, path):
+            by = pending[0].partition("=")[0]
+            new = spark.read.parquet(_beside(path, "next")).where(_named(by, pending))
+            old = spark.read.parquet(path).where(~_named(by, pending))
+            return old.unionByName(new)
         return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
-            raise ValueError(
-                f"{path} is a folder without a table: a write broke off; the staged copy that was"
-                " being written is kept below spark.checkpoint.dir"
-            ) from e
+            raise ValueError(f"{path} is a folder without a table: its first write broke off") from e
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
@@ -78,14 +98,24 @@ def replace_table(
 ) -> None:
     """Drop and recreate, if the rows have the promised ``key``.
 
-    ``df`` may read the table itself: it is staged first. Should the write break
-    off, the staged copy is whole and is kept; it is removed once the table is written.
+    The rows are written beside the table, which ``df`` may read itself, and take its
+    place by renaming. Whenever a job dies, the table is the old or the new one as a whole.
     """
-    with passing_copies(df.sparkSession):
-        staged = stage(conform(df, schema), "replace")
-        if key:
-            require_key(staged, key)
-        staged.write.mode("overwrite").parquet(path)
+    spark, beside = df.sparkSession, _beside(path, "next")
+    conform(df, schema).write.mode("overwrite").parquet(beside)
+    if key:
+        require_key(spark.read.schema(schema).parquet(beside), key)
+    _switch(spark, path)
+
+
+def _switch(spark: SparkSession, path: str) -> None:
+    """Put what lies beside the table in its place. Until then the old one is kept beside it."""
+    before = _beside(path, "before")
+    if files.exists(spark, path):
+        files.remove(spark, before)
+        files.move(spark, path.rstrip("/"), before)
+    files.move(spark, _beside(path, "next"), path.rstrip("/"))
+    files.remove(spark, before)
 
 
 def replace_partitions(df: DataFrame, path: str, schema: T.StructType, by: str) -> None:
@@ -93,16 +123,45 @@ def replace_partitions(df: DataFrame, path: str, schema: T.StructType, by: str)
 
     Rows are brought together by ``by`` first, and large values split again, so the
     number of files follows the size of the data and not that of the tasks.
+
+    All partitions are written beside the table. Then one small file names them: from
+    that moment readers take all of them from there, and no earlier any. What is left is to
+    rename each, which the next job does if this one dies.
     """
+    spark, beside = df.sparkSession, _beside(path, "next")
+    finish_switch(spark, path)
     shaped = T.StructType([*schema.fields, df.schema[by]])
     (
         conform(df, shaped)
         .hint("rebalance", F.col(by))
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(by)
-        .parquet(path)
+        .parquet(beside)
     )
+    names = files.folder_names(spark, beside)
+    if not files.exists(spark, path):
+        files.move(spark, beside, path.rstrip("/"))
+    elif names:
+        files.create_once(spark, _beside(path, "switch"), "\n".join(names))
+        finish_switch(spark, path)
+
+
+def finish_switch(spark: SparkSession, path: str) -> None:
+    """Rename the partitions that a job has named but not moved."""
+    for name in _pending(spark, path):
+        files.remove(spark, f"{path.rstrip('/')}/{name}")
+        files.move(spark, f"{_beside(path, 'next')}/{name}", f"{path.rstrip('/')}/{name}")
+    if files.exists(spark, _beside(path, "switch")):
+        files.remove(spark, _beside(path, "switch"))
+        files.remove(spark, _beside(path, "next"))
+
+
+def _named(by: str, folders: Sequence[str]) -> Column:
+    """Rows whose partition has one of these folders."""
+    none = "__HIVE_DEFAULT_PARTITION__"
+    values = [f.partition("=")[2] for f in folders]
+    known = F.col(by).cast("string").isin([v for v in values if v != none])
+    return F.coalesce(known, F.lit(none in values))
 
 
 def last_id(table: DataFrame, column: str) -> int:
@@ -110,6 +169,26 @@ def last_id(table: DataFrame, column: str) -> int:
     return table.agg(F.coalesce(F.max(column), F.lit(0)).alias("id")).first()["id"]
 
 
+def largest_stored(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """One row ``id``: the largest value of a stored table's column, or NULL.
+
+    Taken from the footers of its files, of which no row is read. The aggregate is
+    pushed down by the newer reader only, which a session of its own is set to use.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return session.read.parquet(path).agg(F.max(column).alias("id"))
+
+
+def stored_last_id(spark: SparkSession, path: str, schema: T.StructType, column: str) -> int:
+    """The largest id of a stored table; 0 if there are no rows. A table without ``schema``'s
+    columns is an error."""
+    if not read_table(spark, path, schema).columns or not files.exists(spark, path):
+        return 0
+    return largest_stored(spark, path, column).first()["id"] or 0
+
+
 def export_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     """Delimited text with a header; an existing export is replaced.
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spokeworks.operators.rowids import BLOCK, FILE, SEQUENCE, with_file_position
 from spokeworks.schemas import STATION_NUMBER_LAYOUT, TRIPS, TripLayout
+from spokeworks.sources import files
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -29,13 +32,74 @@ def scan_trip_files(spark: SparkSession, path: str, year: int | None = None) ->
     return scan_csv(spark, [f"{path.rstrip('/')}/*{year}*" if year is not None else path])
 
 
+_OPTIONS = {"header": True, "escape": '"', "pathGlobFilter": "*.csv"}
+# whole rows are parsed, also for a few columns: else their length isn't seen
+_WHOLE = {"enforceSchema": False, "columnPruning": False}
+
+
 def scan_csv(spark: SparkSession, paths: list[str], header_of: str | None = None) -> DataFrame:
     """Text columns of trip CSVs, named by the header of ``header_of`` or of any of them."""
-    options = {"header": True, "escape": '"', "pathGlobFilter": "*.csv"}
-    header = spark.read.options(**options).csv(header_of or paths).schema
-    # whole rows are parsed, also for a few columns: else their length isn't seen
-    strict = {"enforceSchema": False, "mode": "FAILFAST", "columnPruning": False}
-    return spark.read.schema(header).options(**options, **strict).csv(paths)
+    header = _header(spark, paths, header_of)
+    return spark.read.schema(header).options(**_OPTIONS, **_WHOLE, mode="FAILFAST").csv(paths)
+
+
+def _header(spark: SparkSession, paths: list[str], header_of: str | None) -> T.StructType:
+    """Text columns by the first line of a file, which is read without a Spark job if it is known."""
+    if header_of is not None:
+        line = files.first_line(spark, header_of) or ""
+        names = next(csv.reader([line.removeprefix("\ufeff")]), [])
+        if all(names) and len({n.lower() for n in names}) == len(names) > 0:
+            return T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return spark.read.options(**_OPTIONS).csv(header_of or paths).schema
+
+
+REASON, RECORD = "_reason", "_record"
+
+
+def scan_checked(spark: SparkSession, path: str, layout: TripLayout) -> DataFrame:
+    """Typed trips of a folder with ``_file``, ``_block``, the raw ``_record`` of a row of another
+    length than the header, and ``_reason``: why a row can't be a trip, or NULL.
+
+    Nothing is refused here; the values of a row with a reason are not to be used.
+    """
+    first = files.files_below(spark, path, ".csv")
+    header = _header(spark, [path], first[0][0] if first else None)
+    with_record = T.StructType([*header.fields, T.StructField(RECORD, T.StringType())])
+    scan = (
+        spark.read.schema(with_record)
+        .options(**_OPTIONS, **_WHOLE, mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD)
+        .csv(path)
+        .select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK))
+    )
+    columns = layout.columns(header.names)
+    typed, reasons = [], [F.when(F.col(RECORD).isNotNull(), "fields")]
+    for f in TRIPS:
+        text = F.col(f"`{columns[f.name]}`")
+        value = try_timestamp(text) if isinstance(f.dataType, T.DatetimeType) else text.try_cast(f.dataType)
+        typed.append(value.alias(f.name))
+        reasons.append(F.when(text.isNotNull() & value.isNull(), f.name))
+    whole = F.concat_ws(",", *(F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in header.names))
+    record = F.coalesce(RECORD, whole)
+    return scan.select(*typed, FILE, BLOCK, record.alias(RECORD), F.coalesce(*reasons).alias(REASON))
+
+
+def try_timestamp(text: Column) -> Column:
+    """``parse_timestamp``, but NULL for text that is no timestamp.
+
+    A slashed date is put in the ISO form first: so no session time zone takes part.
+    """
+    pattern = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*$"
+    part = [F.regexp_extract(text, pattern, i) for i in range(1, 7)]
+    day = F.concat_ws("-", part[2], F.lpad(part[0], 2, "0"), F.lpad(part[1], 2, "0"))
+    second = F.when(part[5] == "", "00").otherwise(part[5])
+    iso = F.concat(day, F.lit(" "), F.lpad(part[3], 2, "0"), F.lit(":"), part[4], F.lit(":"), second)
+    return F.when(text.rlike(pattern), iso).otherwise(text).try_cast("timestamp_ntz")
+
+
+def position_good(checked: DataFrame) -> DataFrame:
+    """The rows of ``scan_checked`` that are trips, with their place among these (see ``number_rows``)."""
+    good = checked.where(F.col(REASON).isNull())
+    return good.select(*TRIPS.names, FILE, BLOCK, F.monotonically_increasing_id().alias(SEQUENCE))
 
 
 def to_trips(scan: DataFrame, columns: dict[str, str], *extra: str) -> DataFrame:
@@ -69,16 +133,6 @@ def read_positioned_trips(
     return to_trips(placed, layout.columns(scan.columns), FILE, BLOCK, SEQUENCE)
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length`` of the CSVs in a folder and its sub-folders; no file is opened."""
-    return (
-        spark.read.format("binaryFile")
-        .options(pathGlobFilter="*.csv", recursiveFileLookup=True)
-        .load(path)
-        .select("path", "length")
-    )
-
-
 def year_of(file: Column, path: str, years: list[int]) -> Column:
     """The first of ``years`` that the part of a file's path right below ``path`` holds.
 
@@ -91,7 +145,16 @@ def year_of(file: Column, path: str, years: list[int]) -> Column:
 
 
 def files_of_years(spark: SparkSession, path: str, years: list[int]) -> dict[int, str]:
-    """One file, the first by name, of each year that has any; from one listing."""
-    listed = list_files(spark, path).withColumn("year", year_of(F.col("path"), path, years))
-    rows = listed.where("year IS NOT NULL").groupBy("year").agg(F.min("path").alias("file"))
-    return {r["year"]: r["file"] for r in rows.collect()}
+    """One file, the first by name, of each year that has any; from one listing.
+
+    As in ``year_of``, a year is looked for in the part of the path right below ``path``.
+    """
+    listed = files.files_below(spark, path, ".csv")
+    root = path.rstrip("/").rpartition("/")[2]
+    first: dict[int, str] = {}
+    for file, _ in listed:
+        below = re.search(f"/{re.escape(root)}/([^/]+)", file)
+        own = next((y for y in years if below and str(y) in below[1]), None)
+        if own is not None:
+            first.setdefault(own, file)
+    return first

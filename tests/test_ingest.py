@@ -5,6 +5,8 @@ import inspect
 import json
 import os
 import re
+import threading
+from functools import reduce
 
 import pytest
 from helpers import by, dicts, plan, stations, trip, trips
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from checks import registry
 from spokeworks import jobs, reports
 from spokeworks.operators import rowids
+from spokeworks.operators.conform import repeated_keys, require_new_keys
 from spokeworks.operators.staging import stage
 from spokeworks.plans import ingest
 from spokeworks.plans.selections import within
@@ -25,16 +28,20 @@ from spokeworks.schemas import (
     WEATHER,
 )
 from spokeworks.reports import REPORTS
+from spokeworks.sources import files
 from spokeworks.sources.snapshots import read_station_snapshot
 from spokeworks.sources.tables import (
     append_table,
     append_trips_table,
     export_csv,
+    largest_stored,
     last_id,
     load_delimited,
     read_delimited,
     read_table,
+    replace_partitions,
     replace_table,
+    stored_last_id,
 )
 from spokeworks.sources.trips import read_positioned_trips, read_trips
 
@@ -186,6 +193,215 @@ def test_an_append_that_died_is_run_again(spark, tmp_path, monkeypatch):
     assert sorted(r["trip_id"] for r in got) == list(range(1, 8))
 
 
+def test_of_two_appends_at_once_one_is_refused(spark, tmp_path, monkeypatch):
+    """Each thread waits, once ids are being given, until the other was refused."""
+    table = str(tmp_path / "t")
+    write_drop(tmp_path / "one", "a.csv", numbered(0, 30))
+    write_drop(tmp_path / "two", "b.csv", numbered(30, 20))
+    errors, begun, refused = [], threading.Event(), threading.Event()
+    real = ingest.numbered_trips
+
+    def slow(*args):
+        begun.set()
+        assert refused.wait(60)
+        return real(*args)
+
+    monkeypatch.setattr(ingest, "numbered_trips", slow)
+    first = threading.Thread(target=lambda: ingest.append_trips(spark, f"{tmp_path}/one", table))
+    first.start()
+    assert begun.wait(60)
+    for name in ("two", "one"):
+        with pytest.raises(ValueError, match="another job"):
+            ingest.append_trips(spark, f"{tmp_path}/{name}", table)
+        errors.append(name)
+    refused.set()
+    first.join()
+    ingest.append_trips(spark, f"{tmp_path}/two", table)
+    assert sorted(r["trip_id"] for r in dicts(read_table(spark, table, NUMBERED_TRIPS))) == list(range(1, 51))
+
+
+def test_a_claim_can_be_made_once(spark, tmp_path):
+    wins = []
+    start = threading.Barrier(8)
+
+    def claim(k):
+        start.wait()
+        if files.create_once(spark, f"{tmp_path}/x/claim", str(k)):
+            wins.append(k)
+
+    for _ in range(5):
+        threads = [threading.Thread(target=claim, args=(k,)) for k in range(8)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert [files.read_text(spark, f"{tmp_path}/x/claim")] == [str(k) for k in wins]
+        files.remove(spark, f"{tmp_path}/x/claim")
+        wins.clear()
+
+
+def test_the_claim_of_a_killed_job_is_taken_over_on_demand(spark, tmp_path):
+    table = str(tmp_path / "t")
+    write_drop(tmp_path / "d", "a.csv", numbered(0, 5))
+    files.create_once(spark, f"{table}_drops/claim", "killed")
+    with pytest.raises(ValueError, match="resume"):
+        ingest.append_trips(spark, str(tmp_path / "d"), table)
+    ingest.append_trips(spark, str(tmp_path / "d"), table, resume=True)
+    assert read_table(spark, table, NUMBERED_TRIPS).count() == 5
+    assert not files.exists(spark, f"{table}_drops/claim")
+
+
+def with_bad_rows(folder, name, n):
+    """A drop in which every fifth row is no trip."""
+    write_drop(folder, name, numbered(0, n))
+    lines = (folder / name).read_text().splitlines()
+    bad = {}
+    for i in range(4, n, 5):
+        line = lines[i + 1]
+        reason = ["fields", "fields", "duration", "start_date", "end_date"][i // 5 % 5]
+        fields = line.split('","')
+        if reason == "fields":
+            line = line + ',"x"' if i % 2 else ",".join(f'"{x.strip(chr(34))}"' for x in fields[:4])
+        else:
+            fields[["duration", "start_date", "end_date"].index(reason)] = '"1.5e' if reason == "duration" else "2018-13-01 00:00"
+            line = '","'.join(fields)
+        lines[i + 1] = line
+        bad[i] = reason
+    (folder / name).write_text("\n".join(lines) + "\n")
+    return bad
+
+
+def test_rows_that_are_no_trips_are_set_aside(spark, tmp_path):
+    table = str(tmp_path / "t")
+    bad = with_bad_rows(tmp_path / "d", "a b.csv", 100)
+    write_drop(tmp_path / "d", "b.csv", numbered(100, 20))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        ingest.append_trips(spark, str(tmp_path / "d"), table)
+    with pytest.raises(ValueError, match="20 of 120"):
+        ingest.append_trips(spark, str(tmp_path / "d"), table, most_bad=0.1)
+    assert read_table(spark, table, NUMBERED_TRIPS).count() == 0
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # several splits
+    try:
+        for _ in range(2):
+            ingest.append_trips(spark, str(tmp_path / "d"), table, most_bad=0.2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = sorted(dicts(read_table(spark, table, NUMBERED_TRIPS)), key=lambda r: r["trip_id"])
+    assert [r["trip_id"] for r in got] == list(range(1, 101))
+    assert [r["bike_number"] for r in got] == [f"W{i}" for i in range(120) if i not in bad]
+    rejected = dicts(spark.read.parquet(ingest.rejected_path(table)))
+    assert sorted(r["reason"] for r in rejected) == sorted(bad.values())
+    assert all(r["file"].endswith("/a b.csv") and len(r["record"]) > 10 for r in rejected)
+
+
+def test_without_bad_rows_nothing_is_set_aside(spark, tmp_path):
+    write_drop(tmp_path / "d", "a.csv", [
+        (None, "9/5/2018 0:01", "9/5/2018 10:01:05", None, "A", 31002, "B", None, "Casual"),
+        (5, "2018-09-05 00:00:01.25", None, 31001, "A, St", 31002, 'say ""x""', "W1", "Member"),
+    ])
+    strict, checked = str(tmp_path / "s"), str(tmp_path / "c")
+    ingest.append_trips(spark, str(tmp_path / "d"), strict)
+    ingest.append_trips(spark, str(tmp_path / "d"), checked, most_bad=0.0)
+    rows = [sorted(map(str, dicts(read_table(spark, t, NUMBERED_TRIPS)))) for t in (strict, checked)]
+    assert rows[0] == rows[1] and len(rows[0]) == 2
+    assert not (tmp_path / "c_rejected").exists()
+
+
+def test_a_replacement_that_dies_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "t")
+    old = stations(spark, ("a", "A", 1.0, 1.0))
+    new = stations(spark, ("b", "B", 2.0, 2.0), ("c", "C", 2.0, 2.0))
+    replace_table(old, table, STATIONS)
+    names = lambda: sorted(r["name"] for r in dicts(read_table(spark, table, STATIONS)))
+    with pytest.raises(Exception, match="torn"):  # while it is written
+        replace_table(new.withColumn("name", F.raise_error(F.lit("torn"))), table, STATIONS)
+    assert names() == ["A"]
+    with pytest.raises(ValueError, match="station_id"):
+        replace_table(new.unionByName(new), table, STATIONS, key=["station_id"])
+    assert names() == ["A"]
+    real = files.move
+    for dies_at, left in ((1, ["A"]), (2, ["A"])):
+        moves = []
+
+        def move(*args, dies_at=dies_at, moves=moves):
+            moves.append(args)
+            if len(moves) == dies_at:
+                raise RuntimeError("lost")
+            real(*args)
+
+        with monkeypatch.context() as m:
+            m.setattr(files, "move", move)
+            with pytest.raises(RuntimeError):
+                replace_table(new, table, STATIONS)
+        assert names() == left
+    # rows made of the table itself, which for now lies under its other name
+    grown = read_table(spark, table, STATIONS).unionByName(new)
+    replace_table(grown, table, STATIONS)
+    assert names() == ["A", "B", "C"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_partitions_are_published_at_once(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "t")
+
+    def rows(*years, bike):
+        parts = [trips(spark, trip(f"{y}-07-01 08:00:00", bike=bike)).withColumn("y", F.lit(y)) for y in years]
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
+    def stored():
+        return {r["start_date"].year: r["bike_number"] for r in dicts(read_table(spark, table, TRIPS))}
+
+    replace_partitions(rows(2013, 2014, 2015, bike="old"), table, TRIPS, "y")
+    with pytest.raises(Exception, match="torn"):
+        torn = rows(2014, 2015, bike="new").withColumn("bike_number", F.raise_error(F.lit("torn")))
+        replace_partitions(torn, table, TRIPS, "y")
+    assert stored() == dict.fromkeys((2013, 2014, 2015), "old")
+    real = files.move
+    moves = []
+
+    def move(*args):
+        moves.append(args)
+        if len(moves) == 2:
+            raise RuntimeError("lost")
+        real(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(files, "move", move)
+        with pytest.raises(RuntimeError):
+            replace_partitions(rows(2014, 2015, bike="new"), table, TRIPS, "y")
+    assert stored() == {2013: "old", 2014: "new", 2015: "new"}  # one is moved, one isn't
+    replace_partitions(rows(2016, bike="later"), table, TRIPS, "y")  # finishes the other one first
+    assert stored() == {2013: "old", 2014: "new", 2015: "new", 2016: "later"}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_the_last_id_comes_from_footers(spark, tmp_path):
+    table = str(tmp_path / "t")
+    assert stored_last_id(spark, table, NUMBERED_TRIPS, "trip_id") == 0
+    for ids in ((5, 9), (7, 3)):
+        rows = trips(spark, trip("2018-09-05 08:00:00"), trip("2018-10-05 08:00:00"))
+        numbers = F.when(F.month("start_date") == 9, ids[0]).otherwise(ids[1])
+        append_trips_table(rows.withColumn("trip_id", numbers), table)
+    assert stored_last_id(spark, table, NUMBERED_TRIPS, "trip_id") == 9
+    text = plan(largest_stored(spark, table, "trip_id"))
+    assert "PushedAggregation: [MAX(trip_id)]" in text
+
+
+def test_only_new_keys_are_grouped(spark, tmp_path):
+    stored = spark.createDataFrame([(i, "x") for i in range(50)], "k LONG, v STRING")
+    stored.write.parquet(f"{tmp_path}/s")
+    stored = spark.read.parquet(f"{tmp_path}/s")
+    new = spark.createDataFrame([(60, "a"), (61, "a")], "k LONG, v STRING")
+    assert require_new_keys(new, stored, ["k"]) is new
+    for bad in ([(60, "a"), (60, "b")], [(None, "a")], [(7, "a"), (60, "a")]):
+        with pytest.raises(ValueError, match="is not a key"):
+            require_new_keys(spark.createDataFrame(bad, new.schema), stored, ["k"])
+    text = plan(repeated_keys(new, stored, ["k"]))
+    above = text[: text.index("FileScan")].rpartition("LeftSemi")[2]
+    assert "LeftSemi" in text and "Aggregate" not in above and "Exchange" not in above
+
+
 def test_absent_columns_are_errors(spark, tmp_path):
     table = str(tmp_path / "t")
     append_table(trips(spark, trip("2018-09-05 08:00:00")), table, TRIPS)
