@@ -15,33 +15,43 @@ from spokeworks.operators.staging import stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic, by labels of some of them."""
+    """Documents that aren't predicted toxic, by labels of some of them.
+
+    Labels are those of documents that are there, and not of held-out ones. Columns, null
+    texts and equal rows stay as they are.
+    """
     return toxicity.without_toxic(docs, queries.toxicity_model(spark, docs, sf_dir))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines are cut out; documents that lose all their lines with words go."""
-    found = line_dedup.without_repeats(docs).where((F.col("_removed") == 0) | F.col("text").rlike(r"\S"))
+    """Later copies of runs of lines are cut out; documents that lose all their lines with words go.
+
+    Null, empty and blank texts lose nothing and stay. ``n_chars`` is counted again for texts
+    that lost lines.
+    """
+    _, removed = line_dedup.count_names(docs)
+    found = line_dedup.without_repeats(docs).where((F.col(removed) == 0) | F.col("text").rlike(r"\S"))
+    again = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
     return found.select(
-        *(
-            F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(kind).alias(c) if c == "n_chars" else c
-            for c, kind in docs.dtypes
-        )
+        *(again.cast(kind).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, kind in docs.dtypes)
     )
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, the one with the smallest id.
+
+    Documents without words or without an id stay; of rows that share an id one does.
+    """
     return ngram_join.without_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as the mix takes it."""
+    """The documents of the mix, each as often as the mix takes it; null and empty texts count no words."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in the sequences."""
+    """Pieces of the documents with their places in the sequences; a null or empty text is an end token."""
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
