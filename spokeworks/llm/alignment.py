@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spokeworks.llm.batches import columns, slices
+from spokeworks.llm.batches import byte_of_character, columns, slices
 from spokeworks.operators.staging import stage
 
 PIECE = 1 << 16  # ends that a piece of a merge holds
@@ -42,16 +42,6 @@ _PLAIN = re.compile(
 )
 
 
-def byte_of_character() -> dict[str, int]:
-    """The bytes that the characters of a byte-level vocabulary stand for.
-
-    Printable bytes stand for themselves, the others for the characters from 256 on.
-    """
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class _Side:
     """One tokenizer: ids of texts, and the bytes of each id."""
 

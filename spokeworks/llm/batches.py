@@ -38,11 +38,45 @@ def columns(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in types.items()))
 
 
+def first_by_hash(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
+    """About ``most`` of the ``rows`` of ``df``, and not fewer if there are so many: those first by a hash of ``key``.
+
+    The bound is on the hash, by the counted rows, so no task sends more than its share;
+    a caller that needs exactly ``most`` sorts what comes back by ``hash``.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 32))
+    marked = df.withColumn("hash", place)
+    few = most + 6 * int(most**0.5) + 10  # more than most, but for one case in some billions
+    return marked if rows <= few else marked.where(F.col("hash") < F.lit(few * (1 << 32) // rows))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores before it that the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_words(text: str) -> list[bytes]:
     """Runs of anything but blank and \\x09-\\x0D, with A-Z (only) in lower case."""
     return text.encode().lower().split()
 
 
+def byte_of_character() -> dict[str, int]:
+    """The bytes that the characters of a byte-level vocabulary stand for.
+
+    Printable bytes stand for themselves, the others for the characters from 256 on.
+    """
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spokeworks.llm.batches import unused
 from spokeworks.operators.staging import stage
 
 MIN_WORDS = 50
@@ -170,28 +171,36 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
+def count_names(docs: DataFrame) -> list[str]:
+    """The names of the two columns that ``without_repeats`` adds."""
+    return unused(docs, "_lines", "_removed")
+
+
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with all their columns, without later copies of repeated runs.
 
-    Adds ``_lines`` and ``_removed``, the lines of each text and those deleted.
+    Adds ``_lines`` and ``_removed``, the lines of each text and those deleted, or what
+    ``count_names`` gives where the table has such columns.
     The first occurrence, by id (null first), hash of the text and line, stays;
     occurrences may overlap, so of a run that repeats itself at once the first
     lines stay. Lines without words go when the lines with words around them
     both go. Null text has no lines and stays null; equal rows are
     one occurrence and are treated alike. An empty table stays empty.
     """
+    lines_, removed_ = count_names(docs)
+    id_, h, found_ = unused(docs, "_id", "_h", "_runs")
     runs = stage(
         repeated_runs(docs, min_words)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs")),
+        .groupBy(F.col("doc_id").alias(id_), F.col("h").alias(h))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(found_)),
         "line-runs",
     )
-    if (runs.agg(F.sum(F.size("_runs")).alias("n")).first()["n"] or 0) <= KNOWN_RUNS:
+    if (runs.agg(F.sum(F.size(found_)).alias("n")).first()["n"] or 0) <= KNOWN_RUNS:
         runs = F.broadcast(runs)
     text = F.col("text").cast("string")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(h))
     every = F.split(text, "\n", -1)
-    found = F.col("_runs")
+    found = F.col(found_)
 
     def kept(i: Column) -> Column:
         start = F.when(i == 0, 0).otherwise(F.get(found, i - 1)["end"] + 1)
@@ -205,6 +214,6 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             F.when(found.isNull(), text).otherwise(F.array_join(parts, "\n")).alias(c) if c == "text" else F.col(f"`{c}`")
             for c in docs.columns
         ),
-        F.when(text.isNull(), 0).otherwise(F.size(every)).alias("_lines"),
-        F.coalesce(removed, F.lit(0)).alias("_removed"),
+        F.when(text.isNull(), 0).otherwise(F.size(every)).alias(lines_),
+        F.coalesce(removed, F.lit(0)).alias(removed_),
     )

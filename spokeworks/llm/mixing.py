@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spokeworks.llm.batches import columns
+from spokeworks.llm.batches import columns, unused
 from spokeworks.operators.staging import stage
 
 WEIGHTS = (3, 1, 2)
@@ -158,14 +158,18 @@ def _entry(round_: int) -> list[Column]:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents the mix takes, each as often as it is taken, with all their columns.
 
-    Rows that share an id are taken alike, as often as the one taken most.
+    Rows that share an id, the null id too, are taken alike, as often as the one taken
+    most. Null and empty texts have no words and count nothing. An empty table stays
+    empty. Columns may have any names.
     """
-    own = stage(mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")), "mix-taken")
+    id_, copies, copy = unused(docs, "_id", "_copies", "_copy")
+    own = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias(id_)).agg(F.max("copies").alias(copies))
+    own = stage(own, "mix-taken")
     if own.count() <= KNOWN_IDS:
         own = F.broadcast(own)
     return (
-        docs.join(own.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        docs.join(own, F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
         .select(*(F.col(f"`{c}`") for c in docs.columns))
     )
 

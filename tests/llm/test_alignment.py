@@ -10,6 +10,7 @@ import pytest
 from words import ODD, text
 
 from spokeworks.llm import alignment as al
+from spokeworks.llm.batches import byte_of_character
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -22,7 +23,7 @@ def tokens(text):
     tokenizer = Tokenizer.from_file(A)
     tokenizer.encode_special_tokens = True
     model = sentencepiece.SentencePieceProcessor(model_file=B)
-    back = al.byte_of_character()
+    back = byte_of_character()
     a = tokenizer.encode(" " + text, add_special_tokens=False)
     b = model.encode(text)
 

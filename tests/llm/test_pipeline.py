@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from words import text, words
 
 import corpus_pipeline
@@ -60,7 +61,7 @@ def test_run_is_the_stages_one_after_the_other(spark, folder):
     docs = queries.table(spark, folder, "documents")
     model = queries.toxicity_model(spark, docs, folder)
     docs = toxicity.without_toxic(docs, model)
-    docs = line_dedup.without_repeats(docs).where("_removed = 0 OR _removed < _lines").drop("_lines", "_removed")
+    docs = corpus_pipeline.drop_repeated_lines(spark, docs, folder)
     docs = mixing.mixed(ngram_join.without_near_copies(docs))
     want = packing.pieces(docs, corpus_pipeline.public_tokenizers.path("word_bpe_49k.json"))
     assert got == sorted(map(tuple, want.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
@@ -74,9 +75,29 @@ def test_copies_with_blank_lines_at_the_ends_go(spark, documents):
     assert {r["doc_id"]: r["text"] for r in got} == {1: own, 4: "q", 5: "\n", 6: "", 7: None}
 
 
+#: Names that the operators of the stages give to columns of their own.
+CLASHES = "_id _h _runs _lines _removed _copies _copy size key bucket n sig first piece length class words"
+
+
+def test_columns_of_any_name_pass_the_stages(spark, folder):
+    docs = queries.table(spark, folder, "documents")
+    for name in CLASHES.split():
+        docs = docs.withColumn(name, F.lit("kept"))
+    columns = docs.columns
+    for _, apply in corpus_pipeline.STAGES[:-1]:
+        docs = apply(spark, docs, folder)
+        assert docs.columns == columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    rows = docs.collect()
+    assert rows and all(r[c] == "kept" for r in rows for c in CLASHES.split())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert packed.count() >= len({r["doc_id"] for r in rows})
+
+
 def test_names_of_the_queries():
     names = [n.split("_")[0] for n in queries.queries()]
-    assert names == [f"op{n}" for n in range(1, 11)]
+    assert names == [f"op{n}" for n in range(1, 14)]
     assert queries.oracle_sql().keys() <= queries.queries().keys()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "mix", "packing"]
 
@@ -91,3 +112,8 @@ def test_digest_columns(spark):
     assert got["op7_toxicity"][:4] == ["doc_id", "held_out", "score", "predicted"]
     assert got["op8_language_id"] == ["doc_id", "held_out", "lang_pred", "score"]
     assert got["op10_nearest_vectors"] == ["query_id", "rank", "vec_id", "score"]
+    assert got["op11_exact_top_k"] == ["query_id", "rank", "vec_id", "score"]
+    faults = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    assert got["op12_conversation_repair"] == faults
+    counts = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert got["op13_tokenizer_alignment"] == counts
