@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spokeworks.llm.batches import columns, slices
+from spokeworks.llm.batches import columns, first_by_hash, slices
 from spokeworks.llm.language import letter_words
 from spokeworks.operators.staging import stage
 
@@ -30,7 +30,7 @@ PRIOR_USES = 1000.0  # weight of the words' common distribution in the prior, in
 PRIOR_EACH = 0.5  # what the prior has of every word besides
 STEMS = range(4, 8)  # lengths of word beginnings that are scored like words
 LEAST_Z = 3.0  # a word counts when its log-odds exceed so many standard deviations
-MOST_WORDS = 200_000  # words of a model, the surest first: a documented bound of the classifier
+MOST_WORDS = 2_000_000  # words of a model, which every worker holds; more are an error, for a larger LEAST_Z
 SEEN_WORDS = 300_000  # scores of words that a worker keeps at hand
 MOST_FIT = 20_000  # labelled rows of either class that the two curves are fitted to
 KNOWN_LABELS = 2_000_000  # labels that are broadcast, 32 MB; more are joined by a shuffle
@@ -166,13 +166,12 @@ def word_scores(classes: DataFrame) -> tuple[dict[str, float], float]:
     whole = PRIOR_USES + PRIOR_EACH * float(sums["n"])
     odds = F.log(t / (toxic + whole - t)) - F.log(c / (clean + whole - c))
     z = odds / F.sqrt(1 / t + 1 / c)
-    kept = (
-        classes.select("word", "clean", odds.alias("odds"), z.alias("z"))
-        .where(F.abs("z") >= LEAST_Z)
-        .orderBy(F.abs("z").desc(), "word")
-        .limit(MOST_WORDS)
-        .collect()
+    sure = stage(
+        classes.select("word", "clean", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= LEAST_Z), "toxicity-sure"
     )
+    if (n := sure.count()) > MOST_WORDS:
+        raise ValueError(f"{n} words tell the classes apart, at most {MOST_WORDS} can be held: raise LEAST_Z")
+    kept = sorted(sure.select("word", "clean", "odds").collect())
     scores = {r["word"]: r["odds"] - DRIFT for r in kept}
     uses = np.array([r["clean"] + PRIOR_EACH for r in kept], float)
     share = np.array([*uses, max(clean - uses.sum(), clean / 2)]) / clean
@@ -221,13 +220,20 @@ def train(labelled: DataFrame) -> Model:
         ),
         "toxicity-fit",
     )
-    sample = [r for k in (0, 1) for r in fit.where(F.col("toxic") == k).orderBy("h").limit(MOST_FIT).collect()]
-    factor = extreme_factor([(r["n"], max(r["parts"], default=0.0)) for r in sample if r["toxic"] == 0], decay)
+    per_class = {r["toxic"]: r["count"] for r in fit.groupBy("toxic").count().collect()}
+    chosen = [first_by_hash(fit.where(F.col("toxic") == k), "h", MOST_FIT, n) for k, n in sorted(per_class.items())]
+    # a few numbers of a row reach the driver, however long its text is
+    best_of = F.coalesce(F.array_max("parts"), F.lit(0.0))
+    clean = chosen[0].select("hash", "n", best_of.alias("best")).collect()
+    factor = extreme_factor([(r["n"], r["best"]) for r in sorted(clean)[:MOST_FIT]], decay)
+    limit = F.log(F.greatest(F.lit(factor) * F.greatest("n", F.lit(1)), F.lit(1e-12)))
+    over = F.filter("parts", lambda s: s * decay > limit)
+    strength = F.aggregate(over, F.lit(0.0), lambda t, s: t + s * decay - F.greatest(limit, F.lit(0.0)))
+    sample = []
+    for rows_ in chosen:
+        sample += sorted(rows_.select("hash", strength.alias("strength"), "toxic").collect())[:MOST_FIT]
     model = Model(scores, decay, factor, 0.0, 0.0)
-    strengths = []
-    for r in sample:
-        limit = math.log(max(factor * max(r["n"], 1), 1e-12))
-        strengths.append(sum(decay * s - max(limit, 0.0) for s in r["parts"] if decay * s > limit))
+    strengths = [r["strength"] for r in sample]
     model.weight, model.offset = logistic(np.array(strengths), np.array([r["toxic"] for r in sample], float))
     return model
 
@@ -296,7 +302,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that aren't predicted toxic, with all their columns."""
+    """The documents that aren't predicted toxic, with all their columns.
+
+    Null and empty texts have no words and stay unless the model takes that for toxic; equal
+    rows are treated alike, and an empty table stays empty. Columns may have any names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spokeworks.llm.batches import first_by_hash
 from spokeworks.llm.vectors import matrix, usable, vectors
 from spokeworks.operators.staging import stage
 
@@ -186,7 +187,8 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 def index(base: DataFrame, width: int, rows: int) -> tuple[Tree, DataFrame]:
     """A tree fitted to a sample of ``vec_id, vec``, and all rows with their ``leaf``, written."""
-    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow()
+    picked = first_by_hash(base, "vec_id", SAMPLE, rows).select("hash", "vec_id", "vec").toArrow()
+    picked = picked.sort_by([("hash", "ascending"), ("vec_id", "ascending")]).slice(0, SAMPLE)
     sample = matrix(picked.column("vec").combine_chunks(), width)
     tree = fit(sample, max(1, min(math.isqrt(rows), len(sample) // PER_LEAF)))
     shared = base.sparkSession.sparkContext.broadcast(tree)  # bounded by the sample
@@ -227,11 +229,11 @@ def _visiting(queries: DataFrame, tree: Tree, visits: int, width: int) -> DataFr
 def visits_needed(queries: DataFrame, base: DataFrame, tree: Tree, k: int, width: int, recall: float = RECALL) -> int:
     """Leaves to visit so that the exact neighbours of some queries are reached.
 
-    ``CALIBRATION`` queries, the first by a hash of the id, are compared with
+    About ``CALIBRATION`` queries, the first by a hash of the id, are compared with
     all rows in blocks; the place of a neighbour's leaf in its query's order is
     the number of visits that finds it.
     """
-    some = stage(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION), "tree-calibration")
+    some = stage(first_by_hash(queries, "query_id", CALIBRATION, queries.count()).drop("hash"), "tree-calibration")
     every = stage(_visiting(some, tree, tree.leaves, width), "tree-order")
     exact = _best(_scored(every.select("query_id", "vec", "leaf"), base, k, width), k)
     placed = every.select("query_id", "leaf", "place")
