@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spokeworks.llm.batches import columns, slices
+from spokeworks.llm.batches import byte_of_character, columns, slices
 from spokeworks.operators.staging import stage
 
 END = 1  # the id that ends a document
@@ -31,6 +31,41 @@ _ROWS_PER_BUCKET = 20_000
 _PLAIN = re.compile("[!-~¡-ɏ]+")  # assigned, without white space, alike in every Unicode version
 
 
+class _Runs(dict):
+    """Ids, as little-endian bytes, of runs of letters, of digits or of other characters.
+
+    Merges of the vocabulary have its ids in their order, and a run's last character is
+    marked. The mark is the byte 255, which no text holds: with it ids are ranks of byte
+    strings, and the faster library merges a run.
+    """
+
+    MOST, LONGEST = 300_000, 64
+
+    def __init__(self, path: str):
+        import json
+
+        import tiktoken
+
+        back = byte_of_character()
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        ranks = {}
+        for token, i in vocabulary.items():
+            if not token.startswith("<|"):
+                plain, mark = (token[:-4], b"\xff") if token.endswith("</w>") else (token, b"")
+                ranks[bytes(back[c] for c in plain) + mark] = i
+        self.merge = tiktoken.Encoding("runs", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def __missing__(self, run: str) -> bytes:
+        raw = run.encode()
+        found = np.array(self.merge(raw + b"\xff"), "<u4").tobytes()
+        if len(raw) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[run] = found
+        return found
+
+
 class _Words(dict):
     """Ids, as little-endian bytes, of a text's pieces between white space.
 
@@ -48,33 +83,18 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.runs = _Runs(path)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.runs: dict[str, list[int]] = {}
-        # printable bytes stand for themselves, the others for characters from 256 on
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in own]
-        self.byte = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-    def _run(self, run: str) -> list[int]:
-        ids = self.runs.get(run)
-        if ids is None:
-            mapped = run if run.isascii() else "".join(self.byte[b] for b in run.encode())
-            ids = [t.id for t in self.model.tokenize(mapped)]
-            if len(self.runs) >= self.MOST:
-                self.runs.clear()
-            if len(run) <= self.LONGEST:
-                self.runs[run] = ids
-        return ids
 
     def __missing__(self, piece: bytes) -> bytes:
         text = piece.decode()
-        if _PLAIN.fullmatch(text) and "<|" not in text:
+        if text.isascii() and text.isalpha():
+            found = self.runs[text.lower()]
+        elif _PLAIN.fullmatch(text) and "<|" not in text:
             plain = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
-            ids = [i for run in self.split(plain) for i in self._run(run)]
+            found = b"".join([self.runs[run] for run in self.split(plain)])
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
+            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(piece) <= self.LONGEST:
             if len(self) >= self.MOST:
                 self.clear()

@@ -30,7 +30,7 @@ def test_ids_are_those_of_the_tokenizer():
 
 def test_the_cache_is_bounded(monkeypatch):
     words = pk._Words(PATH)
-    words.MOST = 3
+    words.MOST = words.runs.MOST = 3
     for w in "the of and to in".split():
         assert np.frombuffer(words[w.encode()], "<u4").tolist() == ids(w)[:-1]
     assert len(words) <= 3 and len(words.runs) <= 3
@@ -117,3 +117,16 @@ def test_ranks_of_one_length_are_spread(documents, monkeypatch):
     df = documents(*[(i, "a b c") for i in range(100)])
     got, n = checked(pk.pack(pk.pieces(df, PATH, 16), 16), 16)
     assert len(got) == 100 and n == 25
+
+
+def test_runs_are_merged_as_by_the_vocabulary():
+    """Single pieces against the whole tokenizer: words, mixed characters and long runs."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = pk._words(path)
+    rng = random.Random(9)
+    plain = [chr(c) for c in range(33, 0x250) if pk._PLAIN.fullmatch(chr(c))]
+    for k in range(4000):
+        letters = (plain, "abcdefghijklmnopqrstuvwxyzABC", "the in'll.-123é")[k % 3]
+        piece = "".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 8, 30, 200])))
+        ids = words.tokenizer.encode(piece, add_special_tokens=False).ids
+        assert words[piece.encode()] == np.array(ids, "<u4").tobytes()
