@@ -244,7 +244,7 @@ def _append_trips(spark: SparkSession, sf: str, runs: int = 1) -> DataFrame:
     new = trips.where(F.col("start_date") >= F.lit(STORED_UNTIL))
     drop = _write_drop(new, STATION_NUMBER_LAYOUT, STATION_NUMBER_HEADER)
     for _ in range(runs):
-        ingest.append_trips(spark, drop, table)
+        ingest.append_trips(spark, drop, table, keep=False)
     return tables.read_table(spark, table, NUMBERED_TRIPS)
 
 

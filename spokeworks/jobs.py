@@ -30,7 +30,7 @@ from spokeworks.plans.history import History
 from spokeworks.plans.vehicle_history import VehicleHistory
 from spokeworks.reports import REPORTS, Study
 from spokeworks.session import session
-from spokeworks.sources import files
+from spokeworks.sources import drops, files
 from spokeworks.sources.tables import export_csv, read_table, read_trips_table
 
 
@@ -190,9 +190,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
                 spark, args.source, tables.path("bike_locations"), args.bikes_before, args.sep
             )
         case "history":
-            history.advance(spark, tables.path("trips"))
-            if args.compact:
-                history.compact(spark, tables.path("trips"))
+            with drops.claimed(spark, tables.path("trips")):
+                history.advance(spark, tables.path("trips"))
+                if args.compact:
+                    history.compact(spark, tables.path("trips"))
         case "trips-by-year":
             ingest.ingest_trips_by_year(
                 spark,

@@ -237,7 +237,7 @@ def ingest_weather(
     last: dt.date | None = None,
 ) -> None:
     """Add daily weather; a date that is stored already or comes twice is an error."""
-    with passing_copies(spark):
+    with drops.claimed(spark, table), passing_copies(spark):
         days = stage(read_weather(spark, path, first, last), "weather")
         stored = read_table(spark, table, WEATHER).select("weather_date")
         require_new_keys(days, stored, ["weather_date"])

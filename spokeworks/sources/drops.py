@@ -54,17 +54,17 @@ def listed(spark: SparkSession, path: str) -> Drop:
 
 @contextmanager
 def claimed(spark: SparkSession, table: str, resume: bool = False) -> Iterator[None]:
-    """Keep other jobs from adding to the table meanwhile.
+    """Keep other jobs from writing to the table meanwhile.
 
     If another job has the claim, that is an error. A job gives its claim back also when it
     fails; only one that was killed leaves it, and ``resume`` takes it over.
     """
-    claim, own = f"{_ledger(table)}/claim", f"{spark.sparkContext.applicationId} {uuid.uuid4().hex}"
+    claim, own = f"{table.rstrip('/')}__claim", f"{spark.sparkContext.applicationId} {uuid.uuid4().hex}"
     if resume:
         files.remove(spark, claim)
     if not files.create_once(spark, claim, own):
         raise ValueError(
-            f"another job is adding to {table}; if it was killed, run this one with resume"
+            f"another job is writing to {table}; if it was killed, remove {claim} or run this one with resume"
         )
     try:
         yield

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from spokeworks.operators.conform import conform, require_key
 from spokeworks.schemas import NUMBERED_TRIPS, START_MONTH, STORED_TRIPS
-from spokeworks.sources import files
+from spokeworks.sources import drops, files
 
 
 def _beside(path: str, what: str) -> str:
@@ -102,10 +102,11 @@ def replace_table(
     place by renaming. Whenever a job dies, the table is the old or the new one as a whole.
     """
     spark, beside = df.sparkSession, _beside(path, "next")
-    conform(df, schema).write.mode("overwrite").parquet(beside)
-    if key:
-        require_key(spark.read.schema(schema).parquet(beside), key)
-    _switch(spark, path)
+    with drops.claimed(spark, path):
+        conform(df, schema).write.mode("overwrite").parquet(beside)
+        if key:
+            require_key(spark.read.schema(schema).parquet(beside), key)
+        _switch(spark, path)
 
 
 def _switch(spark: SparkSession, path: str) -> None:
@@ -129,21 +130,22 @@ def replace_partitions(df: DataFrame, path: str, schema: T.StructType, by: str)
     rename each, which the next job does if this one dies.
     """
     spark, beside = df.sparkSession, _beside(path, "next")
-    finish_switch(spark, path)
     shaped = T.StructType([*schema.fields, df.schema[by]])
-    (
-        conform(df, shaped)
-        .hint("rebalance", F.col(by))
-        .write.mode("overwrite")
-        .partitionBy(by)
-        .parquet(beside)
-    )
-    names = files.folder_names(spark, beside)
-    if not files.exists(spark, path):
-        files.move(spark, beside, path.rstrip("/"))
-    elif names:
-        files.create_once(spark, _beside(path, "switch"), "\n".join(names))
+    with drops.claimed(spark, path):
         finish_switch(spark, path)
+        (
+            conform(df, shaped)
+            .hint("rebalance", F.col(by))
+            .write.mode("overwrite")
+            .partitionBy(by)
+            .parquet(beside)
+        )
+        names = files.folder_names(spark, beside)
+        if not files.exists(spark, path):
+            files.move(spark, beside, path.rstrip("/"))
+        elif names:
+            files.create_once(spark, _beside(path, "switch"), "\n".join(names))
+            finish_switch(spark, path)
 
 
 def finish_switch(spark: SparkSession, path: str) -> None:

@@ -243,12 +243,12 @@ def test_a_claim_can_be_made_once(spark, tmp_path):
 def test_the_claim_of_a_killed_job_is_taken_over_on_demand(spark, tmp_path):
     table = str(tmp_path / "t")
     write_drop(tmp_path / "d", "a.csv", numbered(0, 5))
-    files.create_once(spark, f"{table}_drops/claim", "killed")
+    files.create_once(spark, f"{table}__claim", "killed")
     with pytest.raises(ValueError, match="resume"):
         ingest.append_trips(spark, str(tmp_path / "d"), table)
     ingest.append_trips(spark, str(tmp_path / "d"), table, resume=True)
     assert read_table(spark, table, NUMBERED_TRIPS).count() == 5
-    assert not files.exists(spark, f"{table}_drops/claim")
+    assert not files.exists(spark, f"{table}__claim")
 
 
 def with_bad_rows(folder, name, n):
@@ -271,6 +271,22 @@ def with_bad_rows(folder, name, n):
     return bad
 
 
+def test_other_writers_need_the_claim_too(spark, tmp_path):
+    table = str(tmp_path / "t")
+    files.create_once(spark, f"{table}__claim", "another")
+    rows = stations(spark, ("a", "A", 1.0, 1.0))
+    with pytest.raises(ValueError, match="another job"):
+        replace_table(rows, table, STATIONS)
+    with pytest.raises(ValueError, match="another job"):
+        replace_partitions(rows.withColumn("y", F.lit(1)), table, STATIONS, "y")
+    weather_day(tmp_path / "w", D(2018, 10, 1))
+    with pytest.raises(ValueError, match="another job"):
+        ingest.ingest_weather(spark, str(tmp_path / "w"), table)
+    files.remove(spark, f"{table}__claim")
+    replace_table(rows, table, STATIONS)
+    assert read_table(spark, table, STATIONS).count() == 1 and not files.exists(spark, f"{table}__claim")
+
+
 def test_rows_that_are_no_trips_are_set_aside(spark, tmp_path):
     table = str(tmp_path / "t")
     bad = with_bad_rows(tmp_path / "d", "a b.csv", 100)
