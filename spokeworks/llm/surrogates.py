@@ -4,6 +4,8 @@ A surrogate is drawn by a keyed hash of the entity, so equal entities have
 equal surrogates in every document and run, and nobody without the key can
 tell one from the other. Digits stay digits, letters letters of the same case,
 separators stay; checksums that held hold again; names keep gender and script.
+The gender of a given name that isn't a common one is what all its titles agree
+on, over the whole corpus, so a person is one whatever title stands before.
 Two entities never share a surrogate, and none is an entity of the corpus:
 entities that collide draw again until none does.
 """
@@ -76,6 +78,7 @@ class Entity:
     end: int
     kind: str
     norm: str
+    gender: str = "n"  # what a title says of a given name that isn't a common one
 
 
 def script(name: str) -> str:
@@ -101,11 +104,11 @@ def find(text: str) -> list[Entity]:
         families: dict[str, str] = {}
         for m in _PERSON.finditer(text):
             title, own, family = m["title"], m["own"] or m["given"], m["family"] or m["last"]
-            gender = "m" if title in MALE_TITLES else "f" if title in FEMALE_TITLES else _NAMES.get(own, ("n",))[0]
+            gender = "m" if title in MALE_TITLES else "f" if title in FEMALE_TITLES else "n"
             if own:
                 group = "given" if m["given"] else "own"
-                gender = _NAMES.get(own, (gender,))[0]
-                found.append(Entity(*m.span(group), f"given-{gender}-{script(own)}", own.lower()))
+                kind = f"given-{_NAMES[own][0]}-{script(own)}" if own in _NAMES else f"given-{script(own)}"
+                found.append(Entity(*m.span(group), kind, own.lower(), gender))
             families[family] = f"family-{script(family)}"
             group = "family" if m["family"] else "last"
             found.append(Entity(*m.span(group), families[family], family.lower()))
@@ -145,8 +148,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
+#: Endings of family names that women bear with one letter more: the letter goes for the draw.
+_FEMININE = ("ова", "ева", "ёва", "ина", "ына")
+
+
+def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0, gender: str = "n") -> str:
     """What the entity becomes, in normal form; of equal length but for names."""
+    feminine = kind == "family-cyrillic" and norm.endswith(_FEMININE)
+    if feminine:  # drawn as the masculine form is, so that a couple keeps one name
+        norm = norm[:-1]
     draws = _draws(key, kind, norm, attempt)
     if kind == "secret":
         head = re.match(r"akia|gh[pousr]_|sk-", norm)
@@ -175,15 +185,15 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     if kind in ("phone", "ssn"):
         kept = 2 if norm[0] == "+" else 0  # the country stays, or its group of countries
         return norm[:kept] + _like(norm[kept:], draws)
-    gender, writing = kind.split("-")[-2:]
-    if kind.startswith("given"):
-        names = GIVEN.get((gender, writing), [])
-        lower = [n.lower() for n in names]
-        if norm in lower:  # turned by a fixed number of places: no two become one
-            turn = 1 + next(_draws(key, kind, "", 0)) % (len(names) - 1)
-            return lower[(lower.index(norm) + turn) % len(lower)]
+    role, *listed, writing = kind.split("-")
+    if listed:  # the common names of a gender in an order that the key gives; each becomes the next one
+        names = [n.lower() for n in GIVEN[listed[0], writing]]
+        names.sort(key=lambda n: (next(_draws(key, kind, n, 0)), n))
+        return names[(names.index(norm) + 1) % len(names)]
     parts = SYLLABLES[writing]
-    end = {("f", "latin"): "na", ("f", "cyrillic"): "на"}.get((gender, writing), "")
+    end = {"latin": "na", "cyrillic": "на"}[writing] if role == "given" and gender == "f" else ""
+    if role == "family" and writing == "cyrillic" and (feminine or norm.endswith(tuple(x[:-1] for x in _FEMININE))):
+        end = "ова" if feminine else "ов"
     return "".join(parts[next(draws) % len(parts)] for _ in range(3 + attempt // 8)) + end
 
 
@@ -201,11 +211,14 @@ def rendered(original: str, kind: str, value: str) -> str:
     return "".join((next(chars).upper() if c.isupper() else next(chars)) if c.isalnum() else c for c in original)
 
 
-def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[str]]:
-    """The text with surrogates, and the kinds of what was replaced."""
+def replace(text: str, key: bytes, known: dict[tuple[str, str], tuple[int, str]]) -> tuple[str, list[str]]:
+    """The text with surrogates, and the kinds of what was replaced.
+
+    ``known`` has the draw and the gender of entities where these aren't the first and none.
+    """
     out, at, kinds = [], 0, []
     for e in find(text):
-        value = surrogate(key, e.kind, e.norm, attempts.get((e.kind, e.norm), 0))
+        value = surrogate(key, e.kind, e.norm, *known.get((e.kind, e.norm), (0, "n")))
         out += [text[at : e.start], rendered(text[e.start : e.end], e.kind, value)]
         at = e.end
         kinds.append(e.kind.split("-")[0])
@@ -213,30 +226,35 @@ def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tupl
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """``kind, norm``: the distinct entities of all texts."""
+    """``kind, norm, gender``: the distinct entities of all texts; a gender on which mentions differ is none."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = {(e.kind, e.norm) for t in batch.column("text").to_pylist() if t for e in find(t)}
-            kinds, norms = zip(*sorted(found), strict=True) if found else ((), ())
-            yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(norms, pa.string())], names=["kind", "norm"])
+            found = {(e.kind, e.norm, e.gender) for t in batch.column("text").to_pylist() if t for e in find(t)}
+            columns = list(zip(*sorted(found), strict=True)) if found else [()] * 3
+            yield pa.record_batch([pa.array(c, pa.string()) for c in columns], names=["kind", "norm", "gender"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(task, "kind string, norm string").distinct()
+    said = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(task, "kind string, norm string, gender string")
+    men, women = F.bool_or(F.col("gender") == "m"), F.bool_or(F.col("gender") == "f")
+    gender = F.when(men & ~women, "m").when(women & ~men, "f").otherwise("n")
+    return said.groupBy("kind", "norm").agg(gender.alias("gender"))
 
 
 def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
-    """Adds ``surrogate`` to ``kind, norm, attempt``."""
+    """Adds ``surrogate`` to ``kind, norm, attempt, gender``."""
+    names = ["kind", "norm", "attempt", "gender"]
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [surrogate(key, *row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.record_batch([*batch.columns, pa.array(values, pa.string())], names=["kind", "norm", "attempt", "surrogate"])
+            yield pa.record_batch([*batch.columns, pa.array(values, pa.string())], names=[*names, "surrogate"])
 
-    return rows.select("kind", "norm", "attempt").mapInArrow(task, "kind string, norm string, attempt int, surrogate string")
+    schema = "kind string, norm string, attempt int, gender string, surrogate string"
+    return rows.select(*names).mapInArrow(task, schema)
 
 
 def drawn(found: DataFrame, key: bytes, draw: Callable[[DataFrame, bytes], DataFrame] = _drawn) -> DataFrame:
-    """``kind, norm, attempt, surrogate``: no surrogate is used twice, or is an entity itself.
+    """``kind, norm, attempt, gender, surrogate``: no surrogate is used twice, or is an entity itself.
 
     Of entities with one surrogate the first by norm keeps it, all others draw
     again. Common given names are exempt: they change places with each other.
@@ -247,7 +265,7 @@ def drawn(found: DataFrame, key: bytes, draw: Callable[[DataFrame, bytes], DataF
         first = now.groupBy("kind", "surrogate").agg(F.min("norm").alias("first"), F.count("*").alias("n"))
         taken = first.where("n > 1").join(now, ["kind", "surrogate"]).where("norm <> first").select("kind", "norm")
         real = now.join(found.withColumnRenamed("norm", "surrogate"), ["kind", "surrogate"], "left_semi")
-        real = real.where("NOT (kind LIKE 'given%' AND attempt = 0)").select("kind", "norm")
+        real = real.where("NOT kind LIKE 'given-_-%'").select("kind", "norm")
         again = stage(taken.unionByName(real).distinct(), "pii-again")
         if again.isEmpty():
             return now
@@ -257,9 +275,10 @@ def drawn(found: DataFrame, key: bytes, draw: Callable[[DataFrame, bytes], DataF
 
 
 def _with_attempts(docs: DataFrame, redrawn: DataFrame) -> DataFrame:
-    """Adds ``_attempts`` to rows whose texts hold an entity that was drawn again."""
+    """Adds ``_attempts`` to rows whose texts hold an entity of ``redrawn``."""
     if redrawn.isEmpty():
-        return docs.withColumn("_attempts", F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int>>"))
+        none = F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int,gender:string>>")
+        return docs.withColumn("_attempts", none)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -278,7 +297,7 @@ def _with_attempts(docs: DataFrame, redrawn: DataFrame) -> DataFrame:
         .distinct()
         .join(redrawn, ["kind", "norm"])
         .groupBy("_h")
-        .agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("_attempts"))
+        .agg(F.collect_list(F.struct("kind", "norm", "attempt", "gender")).alias("_attempts"))
     )
     uses = stage(uses, "pii-uses")
     if (uses.agg(F.sum(F.size("_attempts")).alias("n")).first()["n"] or 0) <= KNOWN_ROWS:
@@ -295,14 +314,15 @@ def anonymised(docs: DataFrame, key: bytes) -> DataFrame:
     searched as a whole.
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    redrawn = stage(drawn(entities(own), key).where("attempt > 0").select("kind", "norm", "attempt"), "pii-redrawn")
+    redrawn = drawn(entities(own), key).where("attempt > 0 OR gender = 'f'").select("kind", "norm", "attempt", "gender")
+    redrawn = stage(redrawn, "pii-redrawn")
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts, kinds = [], []
             for text, given in zip(batch.column("text").to_pylist(), batch.column("_attempts").to_pylist(), strict=True):
-                attempts = {(a["kind"], a["norm"]): a["attempt"] for a in given or []}
-                new, own_kinds = (None, []) if text is None else replace(text, key, attempts)
+                known = {(a["kind"], a["norm"]): (a["attempt"], a["gender"]) for a in given or []}
+                new, own_kinds = (None, []) if text is None else replace(text, key, known)
                 texts.append(new)
                 kinds.append(own_kinds)
             yield pa.record_batch(

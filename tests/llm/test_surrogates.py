@@ -71,6 +71,33 @@ def test_names_keep_gender_script_and_coreference():
         assert turned == {n.lower() for n in names}
 
 
+def test_a_person_is_one_whatever_the_title(spark, documents):
+    rows = [(1, "Mr. Xavier Smith came."), (2, "Dr. Xavier Smith went."), (3, "Mrs. Zelda Smith, Prof. Zelda Smith"), (4, "Mr. Kim Lee and Ms. Kim Lee")]
+    got = {r["doc_id"]: r["text"] for r in sg.anonymised(documents(*rows), KEY).collect()}
+    mr, dr = got[1].split()[1:3], got[2].split()[1:3]
+    assert mr == dr and mr[0] != "Xavier" and mr[1] != "Smith"
+    zelda = re.fullmatch(r"Mrs\. (\w+) (\w+), Prof\. (\w+) (\w+)", got[3])
+    assert zelda[1] == zelda[3] and zelda[1].endswith("na") and zelda[2] == zelda[4] == mr[1]
+    kim = re.fullmatch(r"Mr\. (\w+) (\w+) and Ms\. (\w+) (\w+)", got[4])
+    assert kim[1] == kim[3] and kim[2] == kim[4]
+
+
+def test_family_names_keep_their_feminine_form():
+    out, _ = sg.replace("Иван Петров и Анна Петрова", KEY, {})
+    m = re.fullmatch(r"\w+ (\w+) и \w+ (\w+)", out)
+    assert m[1].endswith("ов") and m[2] == f"{m[1]}а" and m[1] != "Петров"
+
+
+def test_common_names_take_an_order_that_the_key_gives():
+    names = [n.lower() for n in sg.GIVEN["m", "latin"]]
+    turns = []
+    for key in (b"a", b"b"):
+        to = {n: sg.surrogate(key, "given-m-latin", n) for n in names}
+        assert sorted(to.values()) == sorted(names) and all(k != v for k, v in to.items())
+        turns.append({(names.index(v) - names.index(k)) % len(names) for k, v in to.items()})
+    assert all(len(t) > 5 for t in turns)  # no fixed number of places
+
+
 def test_documents_lose_their_entities(spark, documents):
     rng = random.Random(2)
     rows = []
