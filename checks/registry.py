@@ -90,6 +90,9 @@ class Views:
     def history(self) -> History | None:
         return None
 
+    def second_lives(self) -> DataFrame | None:
+        return None
+
     def vehicle_history(self, bikes_before: dt.date) -> VehicleHistory | None:
         return None
 
@@ -111,6 +114,19 @@ class KeptViews(Views):
             raise ValueError("the history lacks trips")
         return kept
 
+    def second_trips(self) -> DataFrame:
+        return tables.read_table(self.spark, self._years(), TRIPS)
+
+    def second_lives(self) -> DataFrame:
+        lives = history.read_year_lives(self.spark, self._years())
+        if lives is None:
+            raise ValueError("a year lacks its bikes")
+        return lives
+
+    def _years(self) -> str:
+        store = lambda table: _store_years(self.spark, self.sf_dir, table)
+        return _once(self.spark, self.sf_dir, "years-table", store)
+
     def vehicle_history(self, bikes_before: dt.date) -> VehicleHistory:
         path = _once(self.spark, self.sf_dir, "locations-table", self._store_locations)
         return ingest.vehicle_history(self.spark, path, bikes_before)
@@ -188,6 +204,8 @@ KEPT = (
     "overall_trips_per_bike",
     "fleet_vs_trip_share",
     "fleet_vs_trip_share_long",
+    "ebike_fleet_calendar",
+    "first_seen_in_window",
     "daily_vehicle_kinds",
     "vehicle_kinds_apportioned",
     "vehicle_kinds_long_events",
@@ -310,7 +328,7 @@ def _appended_key_check(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_keys(trips.where(new), trips.where(~new), ["bike_number", "start_station"])
 
 
-def _ingest_trips_by_year(spark: SparkSession, sf: str) -> DataFrame:
+def _store_years(spark: SparkSession, sf: str, table: str) -> None:
     trips = views.long_trips(spark, sf)
     source_of = {v: k for k, v in STATION_ID_LAYOUT.columns(STATION_ID_HEADER).items()}
     drop = staging_path(spark, "drop")
@@ -318,9 +336,13 @@ def _ingest_trips_by_year(spark: SparkSession, sf: str) -> DataFrame:
         F.year("start_date").alias("of"),
         *[F.col(source_of[h]).cast("string").alias(h) for h in STATION_ID_LAYOUT.kept],
     ).write.option("header", True).partitionBy("of").csv(drop)
-    table = staging_path(spark, "years-table")
     years = range(LONG_FIRST.year, LONG_LAST.year + 1)
     ingest.ingest_trips_by_year(spark, drop, table, years)
+
+
+def _ingest_trips_by_year(spark: SparkSession, sf: str) -> DataFrame:
+    table = staging_path(spark, "years-table")
+    _store_years(spark, sf, table)
     return spark.read.parquet(table)
 
 

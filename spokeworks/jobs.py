@@ -68,6 +68,9 @@ class TableFolder:
     def history(self) -> History | None:
         return history.read_history(self.spark, self.path("trips"))
 
+    def second_lives(self) -> DataFrame | None:
+        return history.read_year_lives(self.spark, self.path("second_trips"))
+
     def vehicle_history(self, bikes_before: dt.date) -> VehicleHistory | None:
         """Only of a table whose drops it has all; one that was filled otherwise is read itself."""
         kept = ingest.vehicle_history(self.spark, self.path("bike_locations"), bikes_before)
@@ -217,6 +220,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
                 tables.path("ebikes"),
                 args.first or study.ebike_first,
                 args.last or study.ebike_last,
+                tables.second_lives(),
             )
         case "load":
             ingest.load_delimited(

@@ -93,14 +93,14 @@ def daily_fleet_trip_days(
     return with_fleet(use, trips, kept).orderBy("date")
 
 
-def first_seen_in_window(trips: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
-    """``bike_number`` of bikes whose first trip lies in ``first..last``."""
-    return (
-        trips.groupBy("bike_number")
-        .agg(F.to_date(F.min("start_date")).alias("first_day"))
-        .where(F.col("first_day").between(F.lit(first), F.lit(last)))
-        .select("bike_number")
-    )
+def first_seen_in_window(
+    trips: DataFrame, first: dt.date, last: dt.date, lives: DataFrame | None = None
+) -> DataFrame:
+    """``bike_number`` of bikes whose first trip lies in ``first..last``, by the trips or by kept ``lives``."""
+    if lives is None:
+        lives = trips.groupBy("bike_number").agg(F.min("start_date").alias("first_start"))
+    first_day = F.to_date("first_start")
+    return lives.where(first_day.between(F.lit(first), F.lit(last))).select("bike_number")
 
 
 def ebike_fleet_calendar(
@@ -109,9 +109,11 @@ def ebike_fleet_calendar(
     first: dt.date,
     last: dt.date,
     from_day: dt.date | None = None,
+    lives: DataFrame | None = None,
 ) -> DataFrame:
     """Each calendar day with trips and fleet, split by membership in ``ebikes``.
 
+    The fleet is that of the whole trip history, or of the kept ``lives`` of all bikes.
     The list of e-bikes grows with the fleet, so it is not broadcast by
     force; it meets one row per bike, or per bike and day, never the
     trips themselves.
@@ -140,6 +142,10 @@ def ebike_fleet_calendar(
     days = calendar(trips.sparkSession, first, last).join(F.broadcast(use), "date", "left")
     return with_active_counts(
         days,
-        flagged(active_intervals(trips)),
+        flagged(
+            active_intervals(trips)
+            if lives is None
+            else intervals_of_lives(lives.where("bike_number IS NOT NULL"))
+        ),
         {"bikes": ~F.col("electric"), "ebikes": F.col("electric")},
     )

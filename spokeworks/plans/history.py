@@ -9,6 +9,9 @@ Four aggregates are kept beside the table, each merged with a cheaper one of its
 
 A span of trip ids is read once, when it was appended. After that fleet sizes,
 distinct bikes of any period, and daily and monthly counts don't read trips.
+
+A table that is replaced year by year has no ids to go on from. Its ``lives`` are kept by
+year, and a year's are made anew when the year is replaced.
 """
 
 from __future__ import annotations
@@ -18,13 +21,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spokeworks.functions.classify import CLASSIC, bike_type
 from spokeworks.functions.durations import US_PER_SECOND, elapsed_us
 from spokeworks.operators.staging import passing_copies, stage
 from spokeworks.plans.selections import by_member_type
-from spokeworks.schemas import BIKE_LIVES, BIKE_NUMBERS, DAILY_SETS, DAILY_USAGE
-from spokeworks.sources import kept
+from spokeworks.schemas import BIKE_LIVES, BIKE_NUMBERS, DAILY_SETS, DAILY_USAGE, TRIPS
+from spokeworks.sources import files, kept
 from spokeworks.sources.tables import last_id, read_trips_table
 
 #: Bits of one bitmap, as the bitmap functions have it.
@@ -182,6 +186,48 @@ def read_history(spark: SparkSession, table: str) -> History | None:
     )
 
 
+YEAR = "year"
+FILE_YEAR = "file_year"  # by which the table is stored
+
+
+def forget_years(spark: SparkSession, table: str, years: list[int]) -> None:
+    """Remove what is kept of years that are about to be replaced."""
+    kept.drop_parts(spark, _path(table, "lives"), YEAR, [str(y) for y in years])
+
+
+def keep_years(spark: SparkSession, table: str, years: list[int]) -> None:
+    """First and last trip of each bike (and of trips without one) in each of the stored years.
+
+    One job writes all years; each counts once it is marked as finished.
+    """
+    shaped = T.StructType([*TRIPS.fields, T.StructField(FILE_YEAR, T.IntegerType())])
+    (
+        spark.read.schema(shaped)
+        .parquet(table)
+        .where(F.col(FILE_YEAR).isin(years))
+        .groupBy(F.col(FILE_YEAR).alias(YEAR), "bike_number")
+        .agg(F.min("start_date").alias("first_start"), F.max("start_date").alias("last_start"))
+        .repartition(YEAR)
+        .write.mode("append")
+        .partitionBy(YEAR)
+        .parquet(_path(table, "lives"))
+    )
+    for year in years:
+        kept.mark(spark, _path(table, "lives"), YEAR, str(year))
+
+
+def read_year_lives(spark: SparkSession, table: str) -> DataFrame | None:
+    """``bike_number, first_start, last_start`` over all years; None if what is kept lacks a year."""
+    stored = [n.partition("=")[2] for n in files.folder_names(spark, table) if n.startswith(f"{FILE_YEAR}=")]
+    years = kept.finished(spark, _path(table, "lives"), YEAR)
+    if not stored or stored != years:
+        return None
+    lives = kept.read_parts(spark, _path(table, "lives"), T.StructType(BIKE_LIVES.fields[:3]), YEAR, years)
+    return lives.groupBy("bike_number").agg(
+        F.min("first_start").alias("first_start"), F.max("last_start").alias("last_start")
+    )
+
+
 def daily_use(history: History, first: dt.date, last: dt.date | None = None) -> DataFrame:
     """``date, classic_trips, plus_trips, all_trips, classic_used, plus_used`` of the days of a period."""
     within = F.col("date") >= F.lit(first)

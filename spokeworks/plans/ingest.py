@@ -190,7 +190,11 @@ def ingest_trips_by_year(
         )
         parts.append(to_trips(scan, layout.columns(list(header)), "file_year"))
     if parts:
-        replace_partitions(reduce(DataFrame.unionByName, parts), table, TRIPS, "file_year")
+        # what is kept of a year goes before the year does: nothing kept is ever of other trips
+        with drops.claimed(spark, f"{table.rstrip('/')}_history"):
+            history.forget_years(spark, table, sorted(first_files))
+            replace_partitions(reduce(DataFrame.unionByName, parts), table, TRIPS, "file_year")
+            history.keep_years(spark, table, sorted(first_files))
 
 
 def merge_stations(snapshot: DataFrame, stored: DataFrame) -> DataFrame:
@@ -244,9 +248,11 @@ def ingest_weather(
         append_table(days, table, WEATHER)
 
 
-def build_ebike_table(trips: DataFrame, table: str, first: dt.date, last: dt.date) -> None:
+def build_ebike_table(
+    trips: DataFrame, table: str, first: dt.date, last: dt.date, lives: DataFrame | None = None
+) -> None:
     """Store the bikes whose first trip lies in ``first..last``."""
-    replace_table(first_seen_in_window(trips, first, last), table, EBIKES)
+    replace_table(first_seen_in_window(trips, first, last, lives), table, EBIKES)
 
 
 def bulk_copy(df: DataFrame, export: str, table: str) -> None:

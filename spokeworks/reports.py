@@ -27,8 +27,8 @@ from spokeworks.plans.vehicle_history import VehicleHistory
 class Tables(Protocol):
     """What the analyses read. Only the tables a report names are opened.
 
-    The two histories are kept aggregates of ``trips`` and ``bike_locations``; None if
-    there are none, or not of all rows. A report then reads the table itself.
+    The histories and ``second_lives`` are kept aggregates of ``trips``, ``bike_locations`` and
+    ``second_trips``; None if there are none, or not of all rows. A report then reads the table itself.
     """
 
     spark: SparkSession
@@ -41,6 +41,7 @@ class Tables(Protocol):
     def second_trips(self) -> DataFrame: ...
     def ebikes(self) -> DataFrame: ...
     def history(self) -> History | None: ...
+    def second_lives(self) -> DataFrame | None: ...
     def vehicle_history(self, bikes_before: dt.date) -> VehicleHistory | None: ...
 
 
@@ -158,10 +159,10 @@ REPORTS: dict[str, Report] = {
         t.trips(), s.first, kept=t.history()
     ),
     "ebike_fleet_calendar": lambda t, s: fleet.ebike_fleet_calendar(
-        t.second_trips(), t.ebikes(), s.second_first, s.second_last
+        t.second_trips(), t.ebikes(), s.second_first, s.second_last, lives=t.second_lives()
     ),
     "first_seen_in_window": lambda t, s: fleet.first_seen_in_window(
-        t.second_trips(), s.ebike_first, s.ebike_last
+        t.second_trips(), s.ebike_first, s.ebike_last, t.second_lives()
     ),
     "daily_utilisation": _utilisation,
     "trips_per_fleet_bike_long": lambda t, s: utilisation.trips_per_fleet_bike_long(

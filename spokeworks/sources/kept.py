@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from spokeworks.operators.staging import remove_folder
+from spokeworks.sources import files
 
 
 def finished(spark: SparkSession, path: str, key: str) -> list[str]:
@@ -26,6 +27,13 @@ def put(df: DataFrame, path: str, key: str, value: str, *by: str) -> None:
     shaped.write.mode("overwrite").partitionBy(*by).parquet(f"{path.rstrip('/')}/{key}={value}")
 
 
+def mark(spark: SparkSession, path: str, key: str, value: str) -> None:
+    """Let a part count that one job has written along with others; a part without rows has no folder."""
+    folder = f"{path.rstrip('/')}/{key}={value}"
+    if files.exists(spark, folder):
+        files.create_once(spark, f"{folder}/_SUCCESS", "")
+
+
 def read_parts(
     spark: SparkSession, path: str, schema: T.StructType, key: str, values: list[str]
 ) -> DataFrame:

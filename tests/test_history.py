@@ -117,6 +117,46 @@ def test_numbers_of_bikes_stay_dense(spark, monkeypatch):
         assert own == [(k // 4 * history.BUCKETS + bucket) * 4 + k % 4 for k in range(len(own))]
 
 
+def years_drop(folder, **rows):
+    folder.mkdir()
+    header = ",".join(f'"{h}"' for h in registry.STATION_ID_HEADER)
+    for name, trips_ in rows.items():
+        lines = [f'60,"{start}","{start}",1,"A",1,1,2,"B",1,1,{bike},"Subscriber","",1' for start, bike in trips_]
+        (folder / f"{name[1:]}.csv").write_text("\n".join([header, *lines]) + "\n")
+    return str(folder)
+
+
+def test_bikes_of_a_table_by_years(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "second_trips")
+    one = years_drop(tmp_path / "one", y2017=[("2017-03-01 08:00:00", 1), ("2017-05-01 08:00:00", 2)], y2018=[("2018-08-21 08:00:00", 3), ("2018-09-09 09:00:00", 1), ("2018-08-22 08:00:00", "")])
+    ingest.ingest_trips_by_year(spark, one, table, [2017, 2018])
+    stored = lambda: tables.read_table(spark, table, registry.TRIPS)
+    window = (D(2018, 8, 20), D(2018, 8, 25))
+    ebikes = spark.createDataFrame([("3",)], "bike_number STRING")
+
+    def check():
+        lives = history.read_year_lives(spark, table)
+        same(fleet.first_seen_in_window(stored(), *window), fleet.first_seen_in_window(stored(), *window, lives))
+        period = (D(2017, 2, 1), D(2018, 12, 1))
+        same(fleet.ebike_fleet_calendar(stored(), ebikes, *period), fleet.ebike_fleet_calendar(stored(), ebikes, *period, lives=lives))
+        assert all("second_trips_history/" in f for f in fleet.first_seen_in_window(stored(), *window, lives).inputFiles())
+
+    check()
+    two = years_drop(tmp_path / "two", y2017=[("2017-03-01 08:00:00", 3)])  # bike 3 is older than was known
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(history, "keep_years", dies)
+        with pytest.raises(RuntimeError):
+            ingest.ingest_trips_by_year(spark, two, table, [2017])
+    assert history.read_year_lives(spark, table) is None  # a year is new, and its bikes aren't kept yet
+    ingest.ingest_trips_by_year(spark, two, table, [2017])
+    check()
+    assert [r["bike_number"] for r in dicts(fleet.first_seen_in_window(stored(), *window))] == [None]
+
+
 BEFORE = D(2018, 3, 10)
 
 
