@@ -1,0 +1,76 @@
+"""Texts of 100,000 words: every operator on texts works through them as a whole."""
+
+from __future__ import annotations
+
+import random
+
+import public_tokenizers
+import pytest
+from words import words
+
+from spokeworks.llm import language, mixing, ngram_join, packing, surrogates, token_counts, toxicity
+from spokeworks.llm.batches import shingle_set
+
+WORDS = 100_000
+
+
+@pytest.fixture(scope="module")
+def long():
+    """A text and one that differs in its last word and in one word of each thousand."""
+    rng = random.Random(21)
+    own = words(rng, WORDS)
+    other = [f"{w}q" if i % 1000 == 999 else w for i, w in enumerate(own)]
+    return ["\n".join(" ".join(x[i : i + 20]) for i in range(0, WORDS, 20)) for x in (own, other)]
+
+
+def test_tokens_of_lines(documents, long):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = token_counts.attribute_tokens(documents((1, long[0]), (2, "a")), path).where("doc_id = 1").collect()
+    assert len(rows) == WORDS // 20
+    first, _ = token_counts.token_spans(long[0], path)
+    assert sum(r["tokens"] for r in rows) == len(first)
+
+
+def test_sizes_of_the_mix(documents, long):
+    got = {r["doc_id"]: r["size"] for r in mixing.mix(documents((1, long[0]), (2, "a b"), (3, long[1]))).collect()}
+    assert got == {1: WORDS, 2: 2, 3: WORDS}
+
+
+def test_near_copies(documents, long):
+    got = {r["doc_id"]: r for r in ngram_join.classes(documents((7, long[0]), (5, long[1]), (1, "a b"))).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == {7: 5, 5: 5, 1: 1}
+    assert got[7]["n_shingles"] == len(shingle_set(long[0]))
+
+
+def test_pieces_of_sequences(documents, long):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    placed = packing.pack(packing.pieces(documents((1, long[0]), (2, "a")), path)).collect()
+    own = sorted((r["piece"], r["start"], r["length"]) for r in placed if r["doc_id"] == 1)
+    total = len(packing.token_bytes(long[0], path)) // 4
+    assert sum(n for _, _, n in own) == total and [p for p, _, _ in own] == list(range(-(-total // packing.SIZE)))
+    assert all(r["offset"] + r["length"] <= packing.SIZE for r in placed)
+
+
+def test_a_toxic_passage(spark, documents, long):
+    rng = random.Random(22)
+    clean = [(" ".join(words(rng, 30)), 0) for _ in range(150)]
+    toxic = [(" ".join([*words(rng, 15), "blarg", "snorf", "blarg", *words(rng, 15)]), 1) for _ in range(60)]
+    model = toxicity.train(spark.createDataFrame(clean + toxic, "text STRING, toxic INT"))
+    half = len(long[0]) // 2
+    hidden = f"{long[0][:half]} {'blarg snorf ' * 10} {long[0][half:]}"
+    got = {r["doc_id"]: r for r in toxicity.score(documents((1, long[0]), (2, hidden)), model).collect()}
+    assert got[2]["score"] > got[1]["score"] and got[2]["predicted"] == 1
+
+
+def test_the_language(spark, documents, long):
+    learn = spark.createDataFrame([("the of and with from", "en"), ("le la les dans pour", "fr")] * 20, "text STRING, lang STRING")
+    model = language.train(learn, public_tokenizers.path("piece_bpe_32k.model"))
+    own = " ".join(["the of and with from"] * (WORDS // 5))
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(documents((1, own), (2, long[0])), model).collect()}
+    assert got[1] == "en" and got[2] in ("en", "fr")
+
+
+def test_personal_data_at_the_end(documents, long):
+    row = surrogates.anonymised(documents((1, f"{long[0]} jo.81@mail7.example.com Mr. Paul Smith")), b"k").first()
+    assert row["text"].startswith(long[0]) and row["kinds"] == ["email", "given", "family"]
+    assert "jo.81" not in row["text"] and "Smith" not in row["text"]
