@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,25 +90,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Hashes of the distinct ``width``-word shingles, sorted.
+def shingle_sets(texts: list[str | None], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """``hashes, bounds``: of each text the hashes of its distinct ``width``-word shingles, sorted.
 
-    With fewer words the whole sequence is the one shingle; without words, empty.
+    Those of text ``i`` are ``hashes[bounds[i] : bounds[i + 1]]``. With fewer words the whole
+    sequence is the one shingle; without words there is none.
     """
-    words = ascii_words(text) if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    hashed = word_hashes(words)
-    n = min(width, len(words))
-    total = np.zeros(len(words) - n + 1, np.uint64)
+    words = [ascii_words(t) if t else [] for t in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    hashed = word_hashes(chain.from_iterable(words))
+    wide = np.minimum(counts, width)
+    number = np.where(counts > 0, counts - wide + 1, 0)
+    doc = np.repeat(np.arange(len(texts)), number)
+    first = np.arange(len(doc)) - (np.cumsum(number) - number - np.cumsum(counts) + counts)[doc]
+    own = wide[doc]
+    total = np.zeros(len(doc), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            total = mixed(total + _STEP) + hashed[k : k + len(total)]
-        return np.unique(mixed(total + np.uint64(n)))
+        for k in range(width):
+            if (own > k).all():
+                total = mixed(total + _STEP) + hashed[first + k]
+            else:
+                some = own > k
+                total[some] = mixed(total[some] + _STEP) + hashed[first[some] + k]
+        out = mixed(total + own.astype(np.uint64))
+    ends = np.cumsum(number)
+    for at, end in zip((ends - number).tolist(), ends.tolist(), strict=True):
+        out[at:end].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
+    return out[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(texts)))])
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """``shingle_sets`` of one text."""
+    return shingle_sets([text], width)[0]

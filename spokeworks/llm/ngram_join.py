@@ -14,7 +14,9 @@ A set needs one more segment than it may have differences, and may choose which:
 - a segment costs its bucket, the sets that have it, known exactly once the
   segments are grouped. Buckets whose sets are already of one component cost
   nothing. Of the others, large ones are left unused while the rest suffices,
-  and then compared, the smallest first, block by block.
+  and then compared, the smallest first, block by block. That is done in rounds
+  of rising size: what a round links makes larger buckets one component, and
+  these need not be compared any more.
 
 Either set of a pair may be the one that finds it. Every link is verified on
 the whole texts.
@@ -23,13 +25,14 @@ the whole texts.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spokeworks.llm.batches import columns, mixed, shingle_set, slices
+from spokeworks.llm.batches import columns, mixed, shingle_sets, slices
 from spokeworks.llm.components import components
 from spokeworks.operators.staging import stage
 
@@ -40,6 +43,8 @@ SPARE = 1.1  # segments for each difference to be covered
 PAIRED = 4  # sets of a bucket that are paired at once
 SMALL = 24  # sets of a bucket that are paired if not of one component yet
 BLOCK = 256  # sets of a larger bucket that meet another block in a task
+GROWTH = 4  # times as large as before are the buckets of the next round
+KNOWN_BYTES = 32 << 20  # texts and sets that a task keeps while it verifies pairs
 KNOWN_IDS = 2_000_000  # ids that are broadcast, 16 MB; more are joined by a shuffle
 _SKETCH = "doc_id bigint, n bigint, high bigint, low bigint, bits binary"
 
@@ -61,6 +66,7 @@ _STARTS = band_starts(1 << 40)
 _VALUE = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
+@lru_cache(maxsize=4096)
 def levels(n: int) -> list[tuple[int, int, int]]:
     """``level, segments, allowance`` of a set of ``n`` shingles, for its own band and the next.
 
@@ -90,7 +96,7 @@ def _segments(hashes: np.ndarray, level: int, segments: int) -> tuple[np.ndarray
         return place, running[ends] - running[ends - number], number
 
 
-def _signature(total: np.ndarray, segment: np.ndarray, level: int, number: np.ndarray) -> np.ndarray:
+def _signature(total: np.ndarray, segment: np.ndarray, level: int | np.ndarray, number: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         key = mixed(np.uint64(level) * np.uint64(0x9E3779B97F4A7C15) + segment.astype(np.uint64))
         return mixed(mixed(total + key) + number.astype(np.uint64)).view(np.int64)
@@ -128,10 +134,9 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_set(text, WIDTH)
-                rows.append((len(hashes), *(_sketch(hashes) if len(hashes) else (0, 0, b""))))
+            hashes, bounds = shingle_sets(batch.column(1).to_pylist(), WIDTH)
+            sets = [hashes[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            rows = [(len(x), *(_sketch(x) if len(x) else (0, 0, b""))) for x in sets]
             n, high, low, bits = zip(*rows, strict=True)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.record_batch(
@@ -142,6 +147,50 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(task, _SKETCH)
 
 
+def _whole(hashes: np.ndarray, bounds: np.ndarray, above: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the segments of all sets at one of their levels, their sets, and each set's margin.
+
+    The segments of all sets are numbered through, so one sort groups the shingles of all.
+    """
+    sizes = np.diff(bounds)
+    of = np.array([levels(n)[above] if n else (0, 1, 0) for n in sizes.tolist()], np.int64).reshape(-1, 3)
+    level, segments, allowed = of.T
+    base = np.cumsum(segments) - segments
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    with np.errstate(over="ignore"):
+        place = (mixed(hashes + level.astype(np.uint64)[doc] + np.uint64(1)) >> np.uint64(33)) % segments.astype(np.uint64)[doc]
+        place = base[doc] + place.astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
+        total = np.add.reduceat(mixed(hashes ^ _VALUE)[order], starts) if len(place) else hashes
+    own = doc[order][starts]
+    number = np.diff(np.append(starts, len(place)))
+    sig = _signature(total, place[starts] - base[own], level[own].astype(np.uint64), number)
+    return sig, own, np.bincount(own, minlength=len(sizes)) - (allowed + 1)
+
+
+def _neighbourhoods(hashes: np.ndarray, above: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Signatures of the one-deletion neighbourhoods of a set that has too few segments, with their margin."""
+    level, segments, allowed = levels(len(hashes))[above]
+    place, total, number = _segments(hashes, level, segments)
+    used = np.flatnonzero(number)
+    with np.errstate(over="ignore"):
+        less = total[place] - mixed(hashes ^ _VALUE)
+    near = number[place] > 1
+    sig = np.concatenate(
+        [
+            _signature(total[used], used, level, number[used]),
+            _signature(less[near], place[near], level, number[place][near] - 1),
+        ]
+    )
+    # a lone shingle's neighbourhood is the empty segment, which isn't used
+    margin = 2 * int((number > 1).sum()) + int((number == 1).sum()) - (allowed + 1)
+    yield ~sig, margin
+    if margin < 0:  # too few even so: such sets of a level all meet, others find them by the rows above
+        yield ~_signature(np.zeros(1, np.uint64), np.zeros(1, int), level, np.zeros(1, int)), 0
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
     """``sig, doc_id, kind, margin``: a row for each segment, or for its one-deletion neighbourhood.
 
@@ -152,51 +201,25 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 256):
-            sigs: list[np.ndarray] = []
-            docs_, kinds, margins = [], [], []
-
-            def add(sig, doc, kind, margin):
-                sigs.append(sig)
-                docs_.append(doc)
-                kinds.append(kind)
-                margins.append(max(-1, min(127, margin)))
-
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes = shingle_set(text, WIDTH)
-                if not len(hashes):
-                    continue
-                for above, (level, segments, allowed) in enumerate(levels(len(hashes))):
-                    place, total, number = _segments(hashes, level, segments)
-                    used = np.flatnonzero(number)
-                    margin = len(used) - (allowed + 1)
-                    add(_signature(total[used], used, level, number[used]), doc, 2 - 2 * above, margin)
-                    if margin >= 0:
-                        continue
-                    with np.errstate(over="ignore"):
-                        less = total[place] - mixed(hashes ^ _VALUE)
-                    near = number[place] > 1
-                    sig = np.concatenate(
-                        [
-                            _signature(total[used], used, level, number[used]),
-                            _signature(less[near], place[near], level, number[place][near] - 1),
-                        ]
-                    )
-                    # a lone shingle's neighbourhood is the empty segment, which isn't used
-                    margin = 2 * int((number > 1).sum()) + int((number == 1).sum()) - (allowed + 1)
-                    add(~sig, doc, 3 - 2 * above, margin)
-                    if margin < 0:  # too few even so: such sets of a level all meet, others find them by the rows above
-                        sig = _signature(np.zeros(1, np.uint64), np.zeros(1, int), level, np.zeros(1, int))
-                        add(~sig, doc, 3 - 2 * above, 0)
-            if not sigs:
-                continue
-            lengths = [len(x) for x in sigs]
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            hashes, bounds = shingle_sets(batch.column(1).to_pylist(), WIDTH)
+            out: list[list[np.ndarray]] = [[], [], [], []]
+
+            def add(sig, own, kind, margin, out=out, ids=ids):
+                out[0].append(sig)
+                out[1].append(ids[own])
+                out[2].append(np.full(len(sig), kind, np.int8))
+                out[3].append(np.clip(margin, -1, 127).astype(np.int8))
+
+            for above in (0, 1):
+                sig, own, margin = _whole(hashes, bounds, above)
+                add(sig, own, 2 - 2 * above, margin[own])
+                for i in np.flatnonzero((margin < 0) & (np.diff(bounds) > 0)).tolist():
+                    for sig, covered in _neighbourhoods(hashes[bounds[i] : bounds[i + 1]], above):
+                        add(sig, np.full(len(sig), i), 3 - 2 * above, np.full(len(sig), covered))
+            kinds = (pa.int64(), pa.int64(), pa.int8(), pa.int8())
             yield pa.record_batch(
-                [
-                    pa.array(np.concatenate(sigs)),
-                    pa.array(np.repeat(np.array(docs_, np.int64), lengths)),
-                    pa.array(np.repeat(np.array(kinds, np.int8), lengths)),
-                    pa.array(np.repeat(np.array(margins, np.int8), lengths)),
-                ],
+                [pa.array(np.concatenate(x), t) for x, t in zip(out, kinds, strict=True)],
                 names=["sig", "doc_id", "kind", "margin"],
             )
 
@@ -320,10 +343,20 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        held = 0
         for batch in slices(batches, "text_b", 256):
             rows = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = shingle_set(x, WIDTH), shingle_set(y, WIDTH)
+            given = [c.to_pylist() for c in batch.columns]
+            fresh = [t for t in {*given[2], *given[3]} if t not in known]
+            if held > KNOWN_BYTES:  # texts come sorted by one side's id, so most are asked for again soon
+                known, held, fresh = {}, 0, list({*given[2], *given[3]})
+            hashes, bounds = shingle_sets(fresh, WIDTH)
+            for i, t in enumerate(fresh):
+                known[t] = hashes[bounds[i] : bounds[i + 1]]
+                held += len(t or "") + 8 * len(known[t])
+            for a, b, x, y in zip(*given, strict=True):
+                x, y = known[x], known[y]
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 united = len(x) + len(y) - shared
                 if united and OF * shared >= ALIKE * united:
@@ -366,70 +399,82 @@ def _labelled(rows: DataFrame, parts: DataFrame, column: str, name: str) -> Data
     return rows.join(named, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _between(members: DataFrame, parts: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of large buckets that may link two components."""
+def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """``sig, doc_id, kind, margin, size, part``: rows of the buckets that hold sets of several components."""
     labelled = _labelled(members, parts, "doc_id", "part")
     spread = labelled.groupBy("sig").agg(
         F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high")
     )
-    open_ = stage(labelled.join(spread.where("low <> high").select("sig", "size"), "sig"), "ngram-open")
+    return labelled.join(spread.where("low <> high").select("sig", "size"), "sig").select(
+        "sig", "doc_id", "kind", "margin", "size", "part"
+    )
+
+
+def _small_pairs(open_: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of open buckets of up to ``SMALL`` sets."""
     small = open_.where(F.col("size") <= SMALL)
     a = small.select("sig", F.col("doc_id").alias("a"), F.col("part").alias("part_a"), F.col("kind").alias("kind_a"))
     b = small.select("sig", F.col("doc_id").alias("b"), F.col("part").alias("part_b"), F.col("kind").alias("kind_b"))
-    pairs = (
+    return (
         a.join(b, "sig")
         .where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _meet(F.col("kind_a"), F.col("kind_b")))
         .select("a", "b")
     )
-    # rows of large open buckets count as unused; sets that can't do without them take the smallest
-    large = open_.where(F.col("size") > SMALL)
+
+
+def _asking(open_: DataFrame, above: int) -> DataFrame:
+    """Rows of open buckets of more than ``above`` sets with ``asks`` and ``asker``: whether the set
+    can't do without the bucket, and whether it can't without some bucket.
+
+    Open buckets count as unused; a set that has more of them than its margin allows takes
+    the smallest, those of earlier rounds first. Buckets that were compared before and are
+    still open stay in the count, so what a set takes only gets less from round to round.
+    """
     cost = F.when(F.col("kind") % 2 == 0, 1).otherwise(2)
-    own = Window.partitionBy("doc_id", "kind")
-    needed = (
-        large.where("margin >= 0")
-        .withColumn("needed", F.count("*").over(own) - F.floor(F.col("margin") / cost))
-        .where("needed > 0")
-        .withColumn("place", F.row_number().over(own.orderBy("size", "sig")))
-        .where("place <= needed")
-        .select("sig", "doc_id", "kind", "part")
+    of_kind, of_set = Window.partitionBy("doc_id", "kind"), Window.partitionBy("doc_id")
+    needed = F.count("*").over(of_kind) - F.floor(F.col("margin") / cost)
+    place = F.row_number().over(of_kind.orderBy("size", "sig"))
+    asks = (F.col("margin") >= 0) & (F.col("place") <= F.col("needed"))
+    return (
+        open_.where(F.col("size") > SMALL)
+        .withColumns({"needed": needed, "place": place})
+        .withColumn("asks", asks)
+        .withColumn("asker", F.max("asks").over(of_set))
+        .where(F.col("size") > above)
+        .select("sig", "doc_id", "kind", "margin", "size", "part", "asks", "asker")
     )
-    return pairs.unionByName(_block_pairs(stage(needed, "ngram-needed"), large, sketched))
 
 
-def _block_pairs(asking: DataFrame, members: DataFrame, sketched: DataFrame) -> DataFrame:
+def _block_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     """Pairs of a bucket's asking sets with its members that their parities don't rule out.
 
-    A set that doesn't ask finds all its partners by itself if its rows there have
-    a margin, so askers have to meet each other and the sets without one (-1).
-    Both sides of a bucket are dealt into blocks of about ``BLOCK`` sets, and a
-    task row is one block against another; pairs exist inside the row only.
-    Two sets that both ask for a bucket are one pair there. An id whose rows have
-    several texts is met by the sketches of each.
+    ``rows`` are those of ``_asking``. A set that doesn't ask finds all its partners by itself if
+    its rows there have a margin, so askers have to meet each other and the sets without one (-1).
+    A bucket's sets are dealt into blocks of about ``BLOCK``, and a task row is one block's
+    askers against another block; pairs exist inside the row only. These rows are dealt
+    by bucket and block, so a large bucket is many tasks' work. Two sets that
+    both ask for a bucket are one pair there. An id whose rows have several texts is met by
+    the sketches of each.
     """
-    needed = asking.select("sig").distinct()
-    askers = asking.select("doc_id").distinct()
-    members = members.join(needed, "sig", "left_semi")
-    members = members.join(askers.withColumn("asker", F.lit(True)), "doc_id", "left").where("margin < 0 OR asker")
-    both_ask = asking.select("sig", "doc_id", "kind", F.lit(True).alias("asks"))
-    members = members.join(both_ask, ["sig", "doc_id", "kind"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    asking = asking.withColumn("asks", F.lit(True))
+    wanted = rows.where("margin < 0 OR asker")
+    sized = wanted.groupBy("sig").agg(F.max("asks").alias("any"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
     sketch = sketched.select("doc_id", "n", "bits").distinct()
-
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        sized = rows.groupBy("sig").agg(F.count("*").alias("_n"))
-        spread = rows.join(sized, "sig").withColumn(
-            "_block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_n") / BLOCK))
-        )
-        return (
-            spread.join(sketch, "doc_id")
-            .groupBy("sig", "_block")
-            .agg(F.collect_list(F.struct("doc_id", "kind", "part", "n", "bits", "asks")).alias(name))
-            .select("sig", name)
-        )
-
-    both = blocks(asking, "asking").join(
-        blocks(members.select("sig", "doc_id", "kind", "part", "asks"), "members"), "sig"
+    dealt = (
+        wanted.join(sized.where("any").select("sig", "blocks"), "sig")
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+        .join(sketch, "doc_id")
+    )
+    each = F.struct("doc_id", "kind", "part", "n", "bits", "asks")
+    blocks = stage(
+        dealt.groupBy("sig", "block", "blocks").agg(F.collect_list(each).alias("members"), F.max("asks").alias("any")),
+        "ngram-blocks",
+    )
+    asking = blocks.where("any").select(
+        "sig",
+        F.filter("members", lambda m: m["asks"]).alias("asking"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
     )
+    both = asking.join(blocks.select("sig", "block", "members"), ["sig", "block"])
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, None, 1):
@@ -454,6 +499,23 @@ def _block_pairs(asking: DataFrame, members: DataFrame, sketched: DataFrame) ->
     return both.select("asking", "members").mapInArrow(task, "a bigint, b bigint")
 
 
+def _in_rounds(members: DataFrame, parts: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:
+    """The components, joined through open buckets: small ones at once, larger ones by rising size."""
+    open_ = stage(_open(members, parts), "ngram-open")
+    pairs, above, upto = _small_pairs(open_), SMALL, SMALL * GROWTH
+    while True:
+        parts = _connect(pairs.distinct(), parts, sketched, docs)
+        open_ = stage(_open(open_.select("sig", "doc_id", "kind", "margin"), parts), "ngram-open")
+        asking = stage(_asking(open_, above), "ngram-asking")
+        least = asking.where("asks").agg(F.min("size").alias("size")).first()["size"]
+        if least is None:
+            return parts
+        while upto < least:  # no round without buckets
+            upto *= GROWTH
+        pairs = _block_pairs(asking.where(F.col("size") <= upto), sketched)
+        above, upto = upto, upto * GROWTH
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``doc_id, text``.
 
@@ -484,15 +546,16 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = stage(_buckets(_signatures(single)), "ngram-buckets")
 
     members = buckets.where("other IS NULL").select("sig", "doc_id", "kind", "margin")
-    order = Window.partitionBy("sig").orderBy(F.col("kind").desc(), "doc_id")
+    lead = F.min(F.struct((-F.col("kind")).alias("kind"), F.col("doc_id").alias("c"))).alias("lead")
+    centres = members.groupBy("sig").agg(lead).where("lead.kind <= -2").select("sig", "lead.c")
     stars = (
-        members.select(F.first("doc_id").over(order).alias("c"), F.first("kind").over(order).alias("lead"), "doc_id")
-        .where("lead >= 2 AND c <> doc_id")
+        members.join(centres, "sig")
+        .where("c <> doc_id")
         .select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b"))
     )
     paired = buckets.where("other IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
     parts = _connect(paired.unionByName(stars).distinct(), None, full, own)
-    parts = _connect(_between(members, parts, full).distinct(), parts, full, own)
+    parts = _in_rounds(members, parts, full, own)
 
     if copies.where(F.size("firsts") > 1).isEmpty():  # a copy is of its first set's component
         held = _labelled(copies.select("doc_id", F.col("firsts")[0].alias("node")), parts, "node", "component")

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from spokeworks.llm import components as module
 from spokeworks.llm.components import components
 
 
@@ -21,8 +22,10 @@ def brute(links):
     return {x: root(x) for x in parent}
 
 
+@pytest.mark.parametrize("few", [module.FEW, 0])
 @pytest.mark.parametrize("kind", ["random", "path", "star", "tree"])
-def test_smallest_node_of_each_component(spark, kind):
+def test_smallest_node_of_each_component(spark, monkeypatch, kind, few):
+    monkeypatch.setattr(module, "FEW", few)
     rng = random.Random(2)
     links = {
         "random": [(rng.randrange(200), rng.randrange(200)) for _ in range(120)],

@@ -82,11 +82,9 @@ def test_large_buckets_are_compared_in_blocks(spark, documents, monkeypatch):
 
 def block_pairs(spark, sketched, asking, members):
     """Pairs of one large bucket; members as ``doc_id, margin``, each of a component of its own."""
-    asks = spark.createDataFrame([(7, i, 2, i) for i in asking], "sig LONG, doc_id LONG, kind BYTE, part LONG")
-    large = spark.createDataFrame(
-        [(7, i, 2, m, i, len(members)) for i, m in members], "sig LONG, doc_id LONG, kind BYTE, margin BYTE, part LONG, size LONG"
-    )
-    return {(r["a"], r["b"]) for r in ng._block_pairs(asks, large, sketched).collect()}
+    rows = [(7, i, 2, m, i, i in asking, i in asking) for i, m in members]
+    schema = "sig LONG, doc_id LONG, kind BYTE, margin BYTE, part LONG, asks BOOLEAN, asker BOOLEAN"
+    return {(r["a"], r["b"]) for r in ng._block_pairs(spark.createDataFrame(rows, schema), sketched).collect()}
 
 
 def test_a_set_without_margin_is_found_by_those_that_ask(spark, documents):
@@ -97,6 +95,20 @@ def test_a_set_without_margin_is_found_by_those_that_ask(spark, documents):
     assert block_pairs(spark, sketched, [1, 3], [(0, -1), (1, 0), (2, 5), (3, 0)]) == {(0, 1), (0, 3), (1, 3)}
 
 
+def test_larger_buckets_wait_for_smaller_ones(spark, documents, monkeypatch):
+    """Near copies come together in few rounds; then the buckets that all of them share are one component."""
+    monkeypatch.setattr(ng, "SMALL", 3)
+    monkeypatch.setattr(ng, "GROWTH", 2)
+    rng = random.Random(10)
+    base = words(rng, 120)
+    rows = [(i, " ".join(edited(rng, base, 0.012))) for i in range(120)]
+    sizes = []
+    real = ng._block_pairs
+    monkeypatch.setattr(ng, "_block_pairs", lambda rows, sketched: sizes.append(rows.count()) or real(rows, sketched))
+    check(spark, documents, rows + [(1000 + i, t) for i, t in near_copies(rng, 60)])
+    assert sizes == sorted(sizes) or len(sizes) < 12
+
+
 def test_short_texts_with_too_few_neighbourhoods(spark, documents):
     """Seven shingles that all fall in one of four segments have partners that rely on neighbourhoods."""
     rng = random.Random(1)
