@@ -45,7 +45,7 @@ SMALL = 24  # sets of a bucket that are paired if not of one component yet
 BLOCK = 256  # sets of a larger bucket that meet another block in a task
 GROWTH = 4  # times as large as before are the buckets of the next round
 KNOWN_BYTES = 32 << 20  # texts and sets that a task keeps while it verifies pairs
-KNOWN_IDS = 2_000_000  # ids that are broadcast, 16 MB; more are joined by a shuffle
+KNOWN_IDS = 2_000_000  # ids that are broadcast, with their components 32 MB; more are joined by a shuffle
 _SKETCH = "doc_id bigint, n bigint, high bigint, low bigint, bits binary"
 
 
@@ -376,7 +376,7 @@ def _connect(pairs: DataFrame, parts: DataFrame | None, sketched: DataFrame, doc
     likely = stage(_likely(pairs, sketched), "ngram-likely")
     if parts is None:
         best = likely.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b")
-        parts = stage(components(verified(best, docs).select("a", "b")), "ngram-parts")
+        parts = _parts(verified(best, docs).select("a", "b"))
     rest = (
         _labelled(_labelled(likely, parts, "a", "part_a"), parts, "b", "part_b")
         .where("part_a <> part_b")
@@ -385,7 +385,13 @@ def _connect(pairs: DataFrame, parts: DataFrame | None, sketched: DataFrame, doc
     links = stage(verified(rest, docs).select("a", "b"), "ngram-links")
     if links.isEmpty():
         return parts
-    return stage(components(links.unionByName(_stars(parts))), "ngram-parts")
+    return _parts(links.unionByName(_stars(parts)))
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    """The written components; if they are few enough, joins broadcast them and move no rows."""
+    parts = stage(components(links), "ngram-parts")
+    return F.broadcast(parts) if parts.count() <= KNOWN_IDS else parts
 
 
 def _stars(parts: DataFrame) -> DataFrame:
