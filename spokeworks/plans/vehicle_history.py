@@ -43,6 +43,15 @@ def _same(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = _VEHICLE) -> Colum
     return reduce(Column.__and__, (a[k].eqNullSafe(b[k]) for k in keys))
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast.
+
+    By the size of its files Spark takes a batch's vehicles, and their days, for small when in
+    memory, and on their way through the driver, they are thirty times that.
+    """
+    return rows.hint("merge")
+
+
 def batch_days(locations: DataFrame) -> DataFrame:
     """A batch's vehicles by day, with the tags and the bounds of the day."""
     return (
@@ -81,7 +90,7 @@ def step(fresh: DataFrame, flags: DataFrame, days: DataFrame, bikes_before: dt.d
     else, so the rest of the work goes with the batch and not with the history.
     """
     new = merged_flags(fresh, "date")
-    touched = new.select(*_VEHICLE)
+    touched = _shuffled(new.select(*_VEHICLE))
     old = merged_flags(flags.join(touched, _same(flags, touched), "left_semi"), "first_day").select(
         F.col("provider").alias("p"),
         F.col("bike_id").alias("b"),
@@ -90,6 +99,7 @@ def step(fresh: DataFrame, flags: DataFrame, days: DataFrame, bikes_before: dt.d
         F.col("scooter").alias("was_scooter"),
         F.col("first_day").alias("was_first"),
     )
+    old = _shuffled(old)
     met = new.join(old, new["provider"].eqNullSafe(old["p"]) & new["bike_id"].eqNullSafe(old["b"]), "left")
     first = F.least("first_day", "was_first")  # skips nulls
     now = met.select(
@@ -102,7 +112,7 @@ def step(fresh: DataFrame, flags: DataFrame, days: DataFrame, bikes_before: dt.d
     )
     seen = days.join(touched, _same(days, touched), "left_semi").select(*_VEHICLE, "date")
     changed = now.where("known AND (is_bike <> was_bike OR is_scooter <> was_scooter)")
-    again = seen.join(changed, _same(seen, changed)).select(
+    again = seen.join(_shuffled(changed), _same(seen, changed)).select(
         seen["provider"],
         "date",
         (F.col("is_bike").cast("int") - F.col("was_bike").cast("int")).alias("bikes"),
@@ -111,8 +121,8 @@ def step(fresh: DataFrame, flags: DataFrame, days: DataFrame, bikes_before: dt.d
         seen["bike_id"],
     )
     own = fresh.select(*_VEHICLE, "date", "bucket")
-    added = own.join(seen, _same(own, seen, (*_VEHICLE, "date")), "left_anti")
-    counted = added.join(now, _same(added, now)).select(
+    added = own.join(_shuffled(seen), _same(own, seen, (*_VEHICLE, "date")), "left_anti")
+    counted = added.join(_shuffled(now), _same(added, now)).select(
         added["provider"],
         "date",
         F.col("is_bike").cast("int").alias("bikes"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from checks import registry
 from spokeworks import jobs
+from spokeworks.operators.staging import stage
 from spokeworks.plans import durations, fleet, history, ingest, vehicle_history, vehicles
 from spokeworks.schemas import STATION_NUMBER_LAYOUT
 from spokeworks.sources import kept, tables
@@ -194,6 +195,15 @@ def test_late_tags_and_earlier_sightings_are_taken_back(spark, tmp_path):
     assert counts.where("bikes < 0 OR scooters > vehicles OR vehicles = 0").count() > 0  # days were taken back
 
 
+def test_no_vehicles_are_broadcast(spark):
+    rows = [locations(spark, *some_locations(random.Random(n), 60)) for n in (7, 8)]
+    first, second = (stage(vehicle_history.batch_days(df), "days") for df in rows)
+    flags = stage(vehicle_history.merged_flags(first, "date"), "flags")
+    counts, added = vehicle_history.step(second, flags, first, BEFORE)
+    for df in (counts, added):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+
+
 def test_only_buckets_of_touched_vehicles_are_read(spark, tmp_path, monkeypatch):
     own = vehicle_history.VehicleHistory(spark, str(tmp_path / "h"), BEFORE)
     rng = random.Random(5)
