@@ -108,24 +108,19 @@ def bike_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second trip system, over several years."""
-    orders = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey", "o_orderdate AS start_date", "CAST(o_custkey AS STRING) AS bike_number"
-    )
-    lines = table(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey",
+    """A second trip system, over several years.
+
+    Both tables are joined in their own narrow types; texts are made after that. Orders that
+    are few by the size of their file aren't in memory, so they are never broadcast.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
         "CAST(l_quantity AS INT) AS duration",
+        "o_orderdate AS start_date",
         "l_shipdate AS end_date",
         "CAST(l_suppkey AS STRING) AS start_station",
         "CAST(l_partkey AS STRING) AS end_station",
+        "CAST(o_custkey AS STRING) AS bike_number",
         "CASE l_linestatus WHEN 'O' THEN 'Subscriber' ELSE 'Customer' END AS member_type",
     )
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "duration",
-        "start_date",
-        "end_date",
-        "start_station",
-        "end_station",
-        "bike_number",
-        "member_type",
-    )

@@ -198,7 +198,8 @@ def forget_years(spark: SparkSession, table: str, years: list[int]) -> None:
 def keep_years(spark: SparkSession, table: str, years: list[int]) -> None:
     """First and last trip of each bike (and of trips without one) in each of the stored years.
 
-    One job writes all years; each counts once it is marked as finished.
+    One job writes all years, each task a file for each year it has bikes of; a year counts
+    once it is marked as finished.
     """
     shaped = T.StructType([*TRIPS.fields, T.StructField(FILE_YEAR, T.IntegerType())])
     (
@@ -207,7 +208,6 @@ def keep_years(spark: SparkSession, table: str, years: list[int]) -> None:
         .where(F.col(FILE_YEAR).isin(years))
         .groupBy(F.col(FILE_YEAR).alias(YEAR), "bike_number")
         .agg(F.min("start_date").alias("first_start"), F.max("start_date").alias("last_start"))
-        .repartition(YEAR)
         .write.mode("append")
         .partitionBy(YEAR)
         .parquet(_path(table, "lives"))

@@ -57,6 +57,9 @@ from spokeworks.sources.trips import (
     year_of,
 )
 
+#: Bytes of a year's trip files that one task reads and stores.
+YEAR_BYTES = 64 << 20
+
 
 def numbered_trips(
     spark: SparkSession, path: str, last: int, layout: TripLayout = STATION_NUMBER_LAYOUT
@@ -171,30 +174,30 @@ def ingest_trips_by_year(
     """Store the CSVs whose name (or folder) holds one of ``years``, one partition per year.
 
     The folder is listed once, and all years are written by one job and published at
-    once; years whose first files have the same header are one scan. A rerun replaces the
+    once. A year is a scan of its own and is written by as many tasks as its files have pieces of
+    ``YEAR_BYTES``, so its rows are never shuffled. A rerun replaces the
     years it covers. A year without files is an error, unless ``missing_ok``.
     """
     years = sorted(set(years))
-    first_files = files_of_years(spark, path, years)
-    absent = [y for y in years if y not in first_files]
+    found = files_of_years(spark, path, years)
+    absent = [y for y in years if y not in found]
     if absent and not missing_ok:
         raise ValueError(f"no files of the years {absent} in {path}")
-    by_header: dict[tuple[str, ...], list[int]] = {}
-    for year, file in first_files.items():
-        by_header.setdefault(tuple(scan_csv(spark, [file], file).columns), []).append(year)
     parts = []
-    for header, own in by_header.items():
-        globs = [f"{path.rstrip('/')}/*{year}*" for year in own]
-        scan = scan_csv(spark, globs, first_files[own[0]]).withColumn(
-            "file_year", year_of(F.col("_metadata.file_path"), path, own)
-        )
-        parts.append(to_trips(scan, layout.columns(list(header)), "file_year"))
+    for year, own in found.items():
+        scan = scan_csv(spark, [f"{path.rstrip('/')}/*{year}*"], own.first)
+        dated = scan.withColumn("file_year", F.lit(year))
+        if own.shared:  # a file is of the first year that its name holds
+            dated = dated.where(year_of(F.col("_metadata.file_path"), path, years) == year)
+        typed = to_trips(dated, layout.columns(scan.columns), "file_year")
+        # not into one: of years of one piece each, a union would make one task
+        parts.append(typed.coalesce(max(2, -(-own.size // YEAR_BYTES))))
     if parts:
         # what is kept of a year goes before the year does: nothing kept is ever of other trips
         with drops.claimed(spark, f"{table.rstrip('/')}_history"):
-            history.forget_years(spark, table, sorted(first_files))
-            replace_partitions(reduce(DataFrame.unionByName, parts), table, TRIPS, "file_year")
-            history.keep_years(spark, table, sorted(first_files))
+            history.forget_years(spark, table, sorted(found))
+            replace_partitions(reduce(DataFrame.unionByName, parts), table, TRIPS, "file_year", apart=True)
+            history.keep_years(spark, table, sorted(found))
 
 
 def merge_stations(snapshot: DataFrame, stored: DataFrame) -> DataFrame:

@@ -119,11 +119,12 @@ def _switch(spark: SparkSession, path: str) -> None:
     files.remove(spark, before)
 
 
-def replace_partitions(df: DataFrame, path: str, schema: T.StructType, by: str) -> None:
+def replace_partitions(df: DataFrame, path: str, schema: T.StructType, by: str, apart: bool = False) -> None:
     """Write the values of ``by`` that occur in ``df``; a rerun replaces them.
 
     Rows are brought together by ``by`` first, and large values split again, so the
-    number of files follows the size of the data and not that of the tasks.
+    number of files follows the size of the data and not that of the tasks. Where each
+    task has rows of one value only, and enough of them (``apart``), they stay where they are.
 
     All partitions are written beside the table. Then one small file names them: from
     that moment readers take all of them from there, and no earlier any. What is left is to
@@ -131,11 +132,11 @@ def replace_partitions(df: DataFrame, path: str, schema: T.StructType, by: str)
     """
     spark, beside = df.sparkSession, _beside(path, "next")
     shaped = T.StructType([*schema.fields, df.schema[by]])
+    rows = conform(df, shaped)
     with drops.claimed(spark, path):
         finish_switch(spark, path)
         (
-            conform(df, shaped)
-            .hint("rebalance", F.col(by))
+            (rows if apart else rows.hint("rebalance", F.col(by)))
             .write.mode("overwrite")
             .partitionBy(by)
             .parquet(beside)

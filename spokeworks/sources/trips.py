@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,17 +145,26 @@ def year_of(file: Column, path: str, years: list[int]) -> Column:
     return F.coalesce(*(F.when(below.contains(str(y)), F.lit(y)) for y in years))
 
 
-def files_of_years(spark: SparkSession, path: str, years: list[int]) -> dict[int, str]:
-    """One file, the first by name, of each year that has any; from one listing.
+class YearFiles(NamedTuple):
+    first: str  # by name
+    size: int  # bytes of all
+    shared: bool  # whether the name of some file holds another of the years as well
+
+
+def files_of_years(spark: SparkSession, path: str, years: list[int]) -> dict[int, YearFiles]:
+    """The files of each year that has any; from one listing.
 
     As in ``year_of``, a year is looked for in the part of the path right below ``path``.
     """
     listed = files.files_below(spark, path, ".csv")
     root = path.rstrip("/").rpartition("/")[2]
-    first: dict[int, str] = {}
-    for file, _ in listed:
+    found: dict[int, YearFiles] = {}
+    shared: set[int] = set()
+    for file, size in listed:
         below = re.search(f"/{re.escape(root)}/([^/]+)", file)
-        own = next((y for y in years if below and str(y) in below[1]), None)
-        if own is not None:
-            first.setdefault(own, file)
-    return first
+        held = [y for y in years if below and str(y) in below[1]]
+        if held:
+            first, before, _ = found.get(held[0], (file, 0, False))
+            found[held[0]] = YearFiles(first, before + size, False)
+            shared.update(held if len(held) > 1 else ())
+    return {y: own._replace(shared=y in shared) for y, own in found.items()}

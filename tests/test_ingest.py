@@ -494,6 +494,20 @@ def test_years_are_partitions_that_a_rerun_replaces(spark, tmp_path):
     assert third["start_date"] == dt.datetime(2015, 9, 1, 0, 5)
 
 
+def test_years_are_stored_without_a_shuffle(spark, tmp_path, monkeypatch):
+    kind, hints = type(spark.range(1)), []
+    real = kind.hint
+    monkeypatch.setattr(kind, "hint", lambda df, name, *more: hints.append(name) or real(df, name, *more))
+    monkeypatch.setattr(ingest, "YEAR_BYTES", 200)
+    write_drop(tmp_path / "d", "2013-2014.csv", [second_row("2013-12-31 23:00:00", 1)], ID_HEADER)
+    for n in range(4):
+        write_drop(tmp_path / "d", f"2014-0{n + 1}.csv", [second_row(f"2014-0{n + 1}-01 08:00:00", n)], ID_HEADER)
+    ingest.ingest_trips_by_year(spark, str(tmp_path / "d"), str(tmp_path / "t"), [2013, 2014])
+    assert "rebalance" not in hints
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert {r["file_year"]: r["count"] for r in dicts(stored.groupBy("file_year").count())} == {2013: 1, 2014: 4}
+
+
 def snapshot(tmp_path, *entries):
     path = tmp_path / "stations.json"
     path.write_text(json.dumps({"ttl": 10, "data": {"stations": list(entries)}}, indent=2))
