@@ -40,6 +40,7 @@ WIDTH = 5
 #: Jaccard similarity as a fraction of whole numbers.
 ALIKE, OF = 75, 100
 SPARE = 1.1  # segments for each difference to be covered
+KINDS = 4  # of rows of a set: of two levels, whole segments and neighbourhoods
 PAIRED = 4  # sets of a bucket that are paired at once
 SMALL = 24  # sets of a bucket that are paired if not of one component yet
 BLOCK = 256  # sets of a larger bucket that meet another block in a task
@@ -192,8 +193,9 @@ def _neighbourhoods(hashes: np.ndarray, above: int) -> Iterator[tuple[np.ndarray
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """``sig, doc_id, kind, margin``: a row for each segment, or for its one-deletion neighbourhood.
+    """``sig, doc_id, how``: a row for each segment, or for its one-deletion neighbourhood.
 
+    ``how`` is ``KINDS * margin + kind``, as these rows are most of what is shuffled.
     ``kind`` is even for whole segments and odd for neighbourhoods, 0 and 1 in
     the level above the set's own band and 2 and 3 in its own; ``margin`` is how many
     differences more than needed the rows of a kind cover (-1: too few).
@@ -203,13 +205,12 @@ def _signatures(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", 256):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             hashes, bounds = shingle_sets(batch.column(1).to_pylist(), WIDTH)
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], []]
 
             def add(sig, own, kind, margin, out=out, ids=ids):
                 out[0].append(sig)
                 out[1].append(ids[own])
-                out[2].append(np.full(len(sig), kind, np.int8))
-                out[3].append(np.clip(margin, -1, 127).astype(np.int8))
+                out[2].append((np.clip(margin, -1, 127) * KINDS + kind).astype(np.int16))
 
             for above in (0, 1):
                 sig, own, margin = _whole(hashes, bounds, above)
@@ -217,13 +218,13 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 for i in np.flatnonzero((margin < 0) & (np.diff(bounds) > 0)).tolist():
                     for sig, covered in _neighbourhoods(hashes[bounds[i] : bounds[i + 1]], above):
                         add(sig, np.full(len(sig), i), 3 - 2 * above, np.full(len(sig), covered))
-            kinds = (pa.int64(), pa.int64(), pa.int8(), pa.int8())
+            kinds = (pa.int64(), pa.int64(), pa.int16())
             yield pa.record_batch(
                 [pa.array(np.concatenate(x), t) for x, t in zip(out, kinds, strict=True)],
-                names=["sig", "doc_id", "kind", "margin"],
+                names=["sig", "doc_id", "how"],
             )
 
-    return docs.mapInArrow(task, "sig bigint, doc_id bigint, kind byte, margin byte")
+    return docs.mapInArrow(task, "sig bigint, doc_id bigint, how short")
 
 
 def _meet(kind_a, kind_b):
@@ -244,7 +245,8 @@ def _buckets(signatures: DataFrame) -> DataFrame:
             if batch is None:
                 rows = carried
             else:
-                rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+                sig, ids, how = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                rows = [sig, ids, (how % KINDS).astype(np.int8), (how // KINDS).astype(np.int8)]
                 if carried is not None:
                     rows = [np.concatenate(x) for x in zip(carried, rows, strict=True)]
             carried = None
@@ -305,7 +307,13 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """``a, b, apart`` of the pairs that their sizes and parities don't rule out."""
+    """``a, b, apart`` of the pairs that their sizes and parities don't rule out.
+
+    Where the pairs' ids are few enough they pick the sketches that are shuffled; later rounds have few pairs.
+    """
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ngram-likely-ids")
+    if ids.count() <= KNOWN_IDS:
+        sketched = sketched.join(F.broadcast(ids), "doc_id", "left_semi")
     left = sketched.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = sketched.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     both = pairs.join(left, "a").join(right, "b").where(
@@ -373,7 +381,7 @@ def _connect(pairs: DataFrame, parts: DataFrame | None, sketched: DataFrame, doc
     At the start each set's likeliest pair is verified; then, and later, whatever
     pair still lies between two components: within one nothing can change.
     """
-    likely = stage(_likely(pairs, sketched), "ngram-likely")
+    likely = stage(_likely(stage(pairs, "ngram-met"), sketched), "ngram-likely")
     if parts is None:
         best = likely.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b")
         parts = _parts(verified(best, docs).select("a", "b"))
@@ -464,7 +472,7 @@ def _block_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     """
     wanted = rows.where("margin < 0 OR asker")
     sized = wanted.groupBy("sig").agg(F.max("asks").alias("any"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    sketch = sketched.select("doc_id", "n", "bits").distinct()
+    sketch = _only(sketched.select("doc_id", "n", "bits"), wanted.select("doc_id").distinct(), "left_semi").distinct()
     dealt = (
         wanted.join(sized.where("any").select("sig", "blocks"), "sig")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))

@@ -8,6 +8,7 @@ from words import ODD, words
 
 from spokeworks.llm import ngram_join as ng
 from spokeworks.llm.batches import ascii_words, shingle_set
+from spokeworks.operators.staging import stage
 
 
 def sets(value):
@@ -192,3 +193,16 @@ def test_parities_never_rule_out_a_link():
 @pytest.mark.parametrize("value", ["", "a", "a b c d e", "a b c d e f", "A b\tC d e\nf a b c d e"])
 def test_shingles(value):
     assert len(shingle_set(value)) == len(sets(value))
+
+
+def test_only_sketches_of_pairs_are_moved(spark, monkeypatch):
+    texts = [(i, " ".join(f"w{k}" for k in range(i % 3, 40))) for i in range(9)]
+    sketched = stage(ng.sketches(spark.createDataFrame(texts, "doc_id LONG, text STRING")), "sketches")
+    pairs = spark.createDataFrame([(0, 1), (0, 3)], "a LONG, b LONG")
+    likely = ng._likely(pairs, sketched)
+    assert "LeftSemi" in likely._jdf.queryExecution().executedPlan().toString()
+    found = sorted(map(tuple, likely.collect()))
+    monkeypatch.setattr(ng, "KNOWN_IDS", 0)  # ids that are too many pick nothing
+    other = ng._likely(pairs, sketched)
+    assert "LeftSemi" not in other._jdf.queryExecution().executedPlan().toString()
+    assert found == sorted(map(tuple, other.collect())) == [(0, 1, 1), (0, 3, 0)]
