@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def slices(
             for at in range(0, batch.num_rows, rows):
                 yield batch.slice(at, rows)
             continue
-        sizes = batch.column(column).to_pandas().str.len().fillna(0).to_numpy(np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = 0
         while at < batch.num_rows:
             ends = np.cumsum(sizes[at : at + rows])

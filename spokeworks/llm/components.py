@@ -46,8 +46,10 @@ def components(links: DataFrame) -> DataFrame:
     a lost executor costs one step at most. Links of a node with itself or with
     null are left out.
     """
-    links = links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b")
-    now = stage(_downward(links, "a", "b"), "links")
+    links = stage(links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b"), "links")
+    if links.count() <= FEW:  # repeated ones are as good, and no shuffle is needed
+        return _at_once(links)
+    now = stage(_downward(links, "a", "b"), "distinct-links")
     state = _state(now)
     if state["n"] <= FEW:
         return _at_once(now)

@@ -47,6 +47,7 @@ BLOCK = 256  # sets of a larger bucket that meet another block in a task
 GROWTH = 4  # times as large as before are the buckets of the next round
 KNOWN_BYTES = 32 << 20  # texts and sets that a task keeps while it verifies pairs
 KNOWN_IDS = 2_000_000  # ids that are broadcast, with their components 32 MB; more are joined by a shuffle
+FEW_PAIRS = 250_000  # pairs whose ids are broadcast as they are, at most 12 MB
 _SKETCH = "doc_id bigint, n bigint, high bigint, low bigint, bits binary"
 
 
@@ -98,13 +99,14 @@ def _segments(hashes: np.ndarray, level: int, segments: int) -> tuple[np.ndarray
 
 
 def _signature(total: np.ndarray, segment: np.ndarray, level: int | np.ndarray, number: np.ndarray) -> np.ndarray:
+    """48 bits: most of what is shuffled, and sets that meet by chance are told apart like all others."""
     with np.errstate(over="ignore"):
         key = mixed(np.uint64(level) * np.uint64(0x9E3779B97F4A7C15) + segment.astype(np.uint64))
-        return mixed(mixed(total + key) + number.astype(np.uint64)).view(np.int64)
+        return (mixed(mixed(total + key) + number.astype(np.uint64)) >> np.uint64(16)).view(np.int64)
 
 
 def _sketch(hashes: np.ndarray) -> tuple[int, int, bytes]:
-    """128 bits that stand for the whole set, and the parity of its shingles in about twice as many bits.
+    """128 bits that stand for the whole set, and the parity of its shingles in about as many bits.
 
     Each bit in which two parities differ takes a shingle that only one set has:
     differing bits are a lower bound of the differing shingles.
@@ -118,8 +120,8 @@ def _sketch(hashes: np.ndarray) -> tuple[int, int, bytes]:
 
 
 def parity_bits(n: int) -> int:
-    """Bits of a parity sketch: alike for all sets of bands that may meet, about twice the size."""
-    return 64 if n <= 32 else 1 << int(np.ceil(np.log2(2 * n)))
+    """Bits of a parity sketch: the power of two from the size on; sketches that meet are folded to the smaller one."""
+    return max(64, 1 << (n - 1).bit_length())
 
 
 def folded(bits: bytes, size: int) -> np.ndarray:
@@ -306,13 +308,25 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(ids, "doc_id", how)
 
 
+def _ids(pairs: DataFrame, label: str) -> tuple[DataFrame, bool]:
+    """``doc_id`` of the written pairs' sets, and whether these are few enough for a broadcast.
+
+    Ids of few pairs are left as they are, repeated; of more they are made distinct by a shuffle.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    if pairs.count() <= FEW_PAIRS and 2 * FEW_PAIRS <= KNOWN_IDS:
+        return ids, True
+    ids = stage(ids.distinct(), label)
+    return ids, ids.count() <= KNOWN_IDS
+
+
 def _likely(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     """``a, b, apart`` of the pairs that their sizes and parities don't rule out.
 
     Where the pairs' ids are few enough they pick the sketches that are shuffled; later rounds have few pairs.
     """
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ngram-likely-ids")
-    if ids.count() <= KNOWN_IDS:
+    ids, few = _ids(pairs, "ngram-likely-ids")
+    if few:
         sketched = sketched.join(F.broadcast(ids), "doc_id", "left_semi")
     left = sketched.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = sketched.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
@@ -342,10 +356,13 @@ def _apart(x: bytes, y: bytes) -> int:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b, shared, united`` of the pairs that link, by the whole texts' sets."""
+    """``a, b, shared, united`` of the pairs that link, by the whole texts' sets.
+
+    A pair comes once for each two texts that its ids' rows have.
+    """
     pairs = stage(pairs.select("a", "b"), "ngram-pairs")
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ngram-ids")
-    texts = stage(_only(docs, ids, "left_semi"), "ngram-texts")
+    ids, few = _ids(pairs, "ngram-ids")
+    texts = stage(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "ngram-texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -372,7 +389,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             columns_ = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns_], names=["a", "b", "shared", "united"])
 
-    return both.mapInArrow(task, "a bigint, b bigint, shared bigint, united bigint").distinct()
+    return both.mapInArrow(task, "a bigint, b bigint, shared bigint, united bigint")
 
 
 def _connect(pairs: DataFrame, parts: DataFrame | None, sketched: DataFrame, docs: DataFrame) -> DataFrame:
@@ -436,13 +453,14 @@ def _small_pairs(open_: DataFrame) -> DataFrame:
     )
 
 
-def _asking(open_: DataFrame, above: int) -> DataFrame:
-    """Rows of open buckets of more than ``above`` sets with ``asks`` and ``asker``: whether the set
+def _asking(open_: DataFrame) -> DataFrame:
+    """Rows of open buckets of more than ``SMALL`` sets with ``asks`` and ``asker``: whether the set
     can't do without the bucket, and whether it can't without some bucket.
 
     Open buckets count as unused; a set that has more of them than its margin allows takes
     the smallest, those of earlier rounds first. Buckets that were compared before and are
     still open stay in the count, so what a set takes only gets less from round to round.
+    All windows run over one shuffle by set.
     """
     cost = F.when(F.col("kind") % 2 == 0, 1).otherwise(2)
     of_kind, of_set = Window.partitionBy("doc_id", "kind"), Window.partitionBy("doc_id")
@@ -451,10 +469,10 @@ def _asking(open_: DataFrame, above: int) -> DataFrame:
     asks = (F.col("margin") >= 0) & (F.col("place") <= F.col("needed"))
     return (
         open_.where(F.col("size") > SMALL)
+        .repartition("doc_id")
         .withColumns({"needed": needed, "place": place})
         .withColumn("asks", asks)
         .withColumn("asker", F.max("asks").over(of_set))
-        .where(F.col("size") > above)
         .select("sig", "doc_id", "kind", "margin", "size", "part", "asks", "asker")
     )
 
@@ -462,7 +480,7 @@ def _asking(open_: DataFrame, above: int) -> DataFrame:
 def _block_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     """Pairs of a bucket's asking sets with its members that their parities don't rule out.
 
-    ``rows`` are those of ``_asking``. A set that doesn't ask finds all its partners by itself if
+    ``rows`` are some of ``_asking``. A set that doesn't ask finds all its partners by itself if
     its rows there have a margin, so askers have to meet each other and the sets without one (-1).
     A bucket's sets are dealt into blocks of about ``BLOCK``, and a task row is one block's
     askers against another block; pairs exist inside the row only. These rows are dealt
@@ -472,7 +490,7 @@ def _block_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     """
     wanted = rows.where("margin < 0 OR asker")
     sized = wanted.groupBy("sig").agg(F.max("asks").alias("any"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    sketch = _only(sketched.select("doc_id", "n", "bits"), wanted.select("doc_id").distinct(), "left_semi").distinct()
+    sketch = _only(sketched.select("doc_id", "n", "bits"), wanted.select("doc_id").distinct(), "left_semi").repartition("doc_id").distinct()
     dealt = (
         wanted.join(sized.where("any").select("sig", "blocks"), "sig")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
@@ -514,19 +532,25 @@ def _block_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
 
 
 def _in_rounds(members: DataFrame, parts: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:
-    """The components, joined through open buckets: small ones at once, larger ones by rising size."""
+    """The components, joined through open buckets: small ones at once, larger ones by rising size.
+
+    After a round without a link the open buckets, and who asks for them, are those of the round before.
+    """
     open_ = stage(_open(members, parts), "ngram-open")
-    pairs, above, upto = _small_pairs(open_), SMALL, SMALL * GROWTH
+    pairs, above, upto, asking = _small_pairs(open_), SMALL, SMALL * GROWTH, None
     while True:
-        parts = _connect(pairs.distinct(), parts, sketched, docs)
-        open_ = stage(_open(open_.select("sig", "doc_id", "kind", "margin"), parts), "ngram-open")
-        asking = stage(_asking(open_, above), "ngram-asking")
-        least = asking.where("asks").agg(F.min("size").alias("size")).first()["size"]
+        before, parts = parts, _connect(pairs.distinct(), parts, sketched, docs)
+        if parts is not before:
+            open_ = stage(_open(open_.select("sig", "doc_id", "kind", "margin"), parts), "ngram-open")
+        if asking is None or parts is not before:
+            asking = stage(_asking(open_), "ngram-asking")
+        left = asking.where(F.col("size") > above)
+        least = left.where("asks").agg(F.min("size").alias("size")).first()["size"]
         if least is None:
             return parts
         while upto < least:  # no round without buckets
             upto *= GROWTH
-        pairs = _block_pairs(asking.where(F.col("size") <= upto), sketched)
+        pairs = _block_pairs(left.where(F.col("size") <= upto), sketched)
         above, upto = upto, upto * GROWTH
 
 

@@ -43,3 +43,14 @@ def test_smallest_node_of_each_component(spark, monkeypatch, kind, few):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "a LONG, b LONG")).count() == 0
+
+
+def test_few_links_are_not_shuffled(spark, monkeypatch):
+    plans = []
+    real = module.stage
+    monkeypatch.setattr(
+        module, "stage", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, label)
+    )
+    got = components(spark.createDataFrame([(1, 2), (2, 1), (3, 2), (3, 2)], "a LONG, b LONG")).collect()
+    assert {(r["node"], r["component"]) for r in got} == {(1, 1), (2, 1), (3, 1)} and len(got) == 3
+    assert len(plans) == 1 and "Exchange" not in plans[0]

@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from words import words
 
 from spokeworks.llm import language, mixing, ngram_join, packing, surrogates, token_counts, toxicity
-from spokeworks.llm.batches import shingle_set
+from spokeworks.llm.batches import shingle_set, slices
 
 WORDS = 100_000
 
@@ -74,3 +75,9 @@ def test_personal_data_at_the_end(documents, long):
     row = surrogates.anonymised(documents((1, f"{long[0]} jo.81@mail7.example.com Mr. Paul Smith")), b"k").first()
     assert row["text"].startswith(long[0]) and row["kinds"] == ["email", "given", "family"]
     assert "jo.81" not in row["text"] and "Smith" not in row["text"]
+
+
+def test_slices_end_at_bytes_whatever_the_letters():
+    batch = pa.record_batch([pa.array(["é" * 10, "è" * 10, None, "a" * 20, "b" * 90, "c"])], names=["text"])
+    got = [s.column(0).to_pylist() for s in slices([batch], "text", rows=4, size=40)]
+    assert got == [["é" * 10, "è" * 10, None], ["a" * 20], ["b" * 90], ["c"]]

@@ -206,3 +206,48 @@ def test_only_sketches_of_pairs_are_moved(spark, monkeypatch):
     other = ng._likely(pairs, sketched)
     assert "LeftSemi" not in other._jdf.queryExecution().executedPlan().toString()
     assert found == sorted(map(tuple, other.collect())) == [(0, 1, 1), (0, 3, 0)]
+
+
+def test_rounds_without_links_keep_the_open_buckets(spark, documents, monkeypatch):
+    """Texts that share a passage and no more stay apart: who asks for which bucket doesn't change."""
+    monkeypatch.setattr(ng, "SMALL", 3)
+    monkeypatch.setattr(ng, "GROWTH", 2)
+    labels = []
+    monkeypatch.setattr(ng, "stage", lambda df, label: labels.append(label) or stage(df, label))
+    rng = random.Random(12)
+    passage = words(rng, 40)
+    many = [(i, " ".join(passage + words(rng, 12 + i % 3))) for i in range(40)]
+    few = [(100 + i, " ".join(passage[: 4 - i % 2] + passage[:30] + words(rng, 14))) for i in range(9)]
+    check(spark, documents, many + few)
+    assert labels.count("ngram-blocks") > 1
+    assert labels.count("ngram-open") == labels.count("ngram-asking") == 1
+
+
+def test_asking_sets_are_shuffled_once(spark):
+    rows = [(s, d, 2, 0, 40, d) for s in range(3) for d in range(4)]
+    open_ = spark.createDataFrame(rows, "sig LONG, doc_id LONG, kind BYTE, margin BYTE, size LONG, part LONG")
+    asking = ng._asking(open_)
+    assert asking._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    # of three unused buckets without a margin each set has to take all
+    assert all(r["asks"] and r["asker"] for r in asking.collect())
+
+
+def test_ids_of_few_pairs_are_not_shuffled(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(ng, "stage", lambda df, label: labels.append(label) or stage(df, label))
+    pairs = spark.createDataFrame([(0, 1), (0, 3)], "a LONG, b LONG")
+    ids, few = ng._ids(pairs, "ids")
+    assert few and labels == [] and sorted(r["doc_id"] for r in ids.collect()) == [0, 0, 1, 3]
+    monkeypatch.setattr(ng, "FEW_PAIRS", 1)
+    ids, few = ng._ids(pairs, "ids")
+    assert few and labels == ["ids"] and sorted(r["doc_id"] for r in ids.collect()) == [0, 1, 3]
+
+
+def test_signatures_and_sketches_are_small(spark, documents):
+    own = shingle_set(" ".join(words(random.Random(4), 300)))
+    for above in (0, 1):
+        sig, _, _ = ng._whole(own, np.array([0, len(own)]), above)
+        assert len(sig) and sig.min() >= 0 and sig.max() < 1 << 48
+        near = [s for s, _ in ng._neighbourhoods(own, above)]
+        assert max(s.max() for s in near) < 0 and min(s.min() for s in near) >= -(1 << 48)
+    assert len(ng._sketch(own)[2]) * 8 < 2 * len(own)
