@@ -47,7 +47,7 @@ BLOCK = 256  # sets of a larger bucket that meet another block in a task
 GROWTH = 4  # times as large as before are the buckets of the next round
 KNOWN_BYTES = 32 << 20  # texts and sets that a task keeps while it verifies pairs
 KNOWN_IDS = 2_000_000  # ids that are broadcast, with their components 32 MB; more are joined by a shuffle
-FEW_PAIRS = 250_000  # pairs whose ids are broadcast as they are, at most 12 MB
+FEW_PAIRS = 250_000  # pairs whose ids are broadcast as they are, repeated
 _SKETCH = "doc_id bigint, n bigint, high bigint, low bigint, bits binary"
 
 
@@ -106,7 +106,7 @@ def _signature(total: np.ndarray, segment: np.ndarray, level: int | np.ndarray,
 
 
 def _sketch(hashes: np.ndarray) -> tuple[int, int, bytes]:
-    """128 bits that stand for the whole set, and the parity of its shingles in about as many bits.
+    """128 bits that stand for the whole set, and the parity of its shingles in about twice as many bits.
 
     Each bit in which two parities differ takes a shingle that only one set has:
     differing bits are a lower bound of the differing shingles.
@@ -120,8 +120,8 @@ def _sketch(hashes: np.ndarray) -> tuple[int, int, bytes]:
 
 
 def parity_bits(n: int) -> int:
-    """Bits of a parity sketch: the power of two from the size on; sketches that meet are folded to the smaller one."""
-    return max(64, 1 << (n - 1).bit_length())
+    """Bits of a parity sketch: alike for all sets of bands that may meet, about twice the size."""
+    return 64 if n <= 32 else 1 << int(np.ceil(np.log2(2 * n)))
 
 
 def folded(bits: bytes, size: int) -> np.ndarray:
