@@ -7,6 +7,11 @@ need not be compared. The number of segments depends on a band of sizes; a set
 takes part in the level of its own band and in that of the next larger one.
 
 A set needs one more segment than it may have differences, and may choose which:
+- of those beyond that all but ``RESERVE`` are left out at the start, by an order
+  that two sets have in common: those with fewest shingles, which sets without a
+  link share most often. A pair shares so many more segments than it needs, by either
+  set's count, as that set has to spare. The set that ends first in the order loses
+  at most what it leaves out, so both still share more than either's reserve;
 - empty segments are never used, their buckets would be the largest;
 - sets with too many empty ones use one-deletion neighbourhoods of the others
   instead, each of which covers two differences; those for which even these are
@@ -40,13 +45,16 @@ WIDTH = 5
 #: Jaccard similarity as a fraction of whole numbers.
 ALIKE, OF = 75, 100
 SPARE = 1.1  # segments for each difference to be covered
+RESERVE = 4  # rows of a kind that a set keeps beyond those it needs, so as to leave some buckets unused
 KINDS = 4  # of rows of a set: of two levels, whole segments and neighbourhoods
+HOW = 10  # bits for a row's kind and margin
 PAIRED = 4  # sets of a bucket that are paired at once
 SMALL = 24  # sets of a bucket that are paired if not of one component yet
-BLOCK = 256  # sets of a larger bucket that meet another block in a task
+BLOCK = 1024  # sets of a larger bucket that meet another block in a task
 GROWTH = 4  # times as large as before are the buckets of the next round
 KNOWN_BYTES = 32 << 20  # texts and sets that a task keeps while it verifies pairs
 KNOWN_IDS = 2_000_000  # ids that are broadcast, with their components 32 MB; more are joined by a shuffle
+COARSE = 32  # bytes of a parity sketch above which pairs are first told apart by half its bits
 FEW_PAIRS = 250_000  # pairs whose ids are broadcast as they are, repeated
 _SKETCH = "doc_id bigint, n bigint, high bigint, low bigint, bits binary"
 
@@ -132,6 +140,19 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return out
 
 
+def _coarse(sketched: DataFrame) -> DataFrame:
+    """``doc_id, n, bits`` with half the bits of each sketch of more than ``COARSE`` bytes."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [folded(x, max(COARSE, len(x) // 2)).tobytes() for x in batch.column("bits").to_pylist()]
+            yield pa.record_batch(
+                [batch.column("doc_id"), batch.column("n"), pa.array(bits, pa.binary())], names=["doc_id", "n", "bits"]
+            )
+
+    return sketched.select("doc_id", "n", "bits").mapInArrow(task, "doc_id bigint, n bigint, bits binary")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, n, high, low, bits`` of each row: size and sketches of its set of shingles."""
 
@@ -153,7 +174,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 def _whole(hashes: np.ndarray, bounds: np.ndarray, above: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of the segments of all sets at one of their levels, their sets, and each set's margin.
 
-    The segments of all sets are numbered through, so one sort groups the shingles of all.
+    The segments of all sets are numbered through, so one sort groups the shingles of all. Of a
+    margin above ``RESERVE`` the segments with fewest shingles are left out.
     """
     sizes = np.diff(bounds)
     of = np.array([levels(n)[above] if n else (0, 1, 0) for n in sizes.tolist()], np.int64).reshape(-1, 3)
@@ -169,8 +191,14 @@ def _whole(hashes: np.ndarray, bounds: np.ndarray, above: int) -> tuple[np.ndarr
         total = np.add.reduceat(mixed(hashes ^ _VALUE)[order], starts) if len(place) else hashes
     own = doc[order][starts]
     number = np.diff(np.append(starts, len(place)))
-    sig = _signature(total, place[starts] - base[own], level[own].astype(np.uint64), number)
-    return sig, own, np.bincount(own, minlength=len(sizes)) - (allowed + 1)
+    used = np.bincount(own, minlength=len(sizes))
+    margin = used - (allowed + 1)
+    left = used - np.maximum(margin - RESERVE, 0)
+    order = np.lexsort((-number, own))  # stable, so equal numbers stay in the order of their segments
+    kept = np.sort(order[np.arange(len(own)) - (np.cumsum(used) - used)[own] < left[own]])
+    total, own, number, place = total[kept], own[kept], number[kept], place[starts][kept]
+    sig = _signature(total, place - base[own], level[own].astype(np.uint64), number)
+    return sig, own, np.minimum(margin, RESERVE)
 
 
 def _neighbourhoods(hashes: np.ndarray, above: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -195,9 +223,10 @@ def _neighbourhoods(hashes: np.ndarray, above: int) -> Iterator[tuple[np.ndarray
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """``sig, doc_id, how``: a row for each segment, or for its one-deletion neighbourhood.
+    """``sig_how, doc_id``: a row for each segment, or for its one-deletion neighbourhood.
 
-    ``how`` is ``KINDS * margin + kind``, as these rows are most of what is shuffled.
+    These rows are most of what is shuffled, so ``sig_how`` is the signature with ``HOW`` bits
+    below it for ``KINDS * (margin + 1) + kind``.
     ``kind`` is even for whole segments and odd for neighbourhoods, 0 and 1 in
     the level above the set's own band and 2 and 3 in its own; ``margin`` is how many
     differences more than needed the rows of a kind cover (-1: too few).
@@ -207,12 +236,11 @@ def _signatures(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", 256):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             hashes, bounds = shingle_sets(batch.column(1).to_pylist(), WIDTH)
-            out: list[list[np.ndarray]] = [[], [], []]
+            out: list[list[np.ndarray]] = [[], []]
 
             def add(sig, own, kind, margin, out=out, ids=ids):
-                out[0].append(sig)
+                out[0].append((sig << HOW) + (np.clip(margin, -1, 127) + 1) * KINDS + kind)
                 out[1].append(ids[own])
-                out[2].append((np.clip(margin, -1, 127) * KINDS + kind).astype(np.int16))
 
             for above in (0, 1):
                 sig, own, margin = _whole(hashes, bounds, above)
@@ -220,13 +248,9 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 for i in np.flatnonzero((margin < 0) & (np.diff(bounds) > 0)).tolist():
                     for sig, covered in _neighbourhoods(hashes[bounds[i] : bounds[i + 1]], above):
                         add(sig, np.full(len(sig), i), 3 - 2 * above, np.full(len(sig), covered))
-            kinds = (pa.int64(), pa.int64(), pa.int16())
-            yield pa.record_batch(
-                [pa.array(np.concatenate(x), t) for x, t in zip(out, kinds, strict=True)],
-                names=["sig", "doc_id", "how"],
-            )
+            yield pa.record_batch([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["sig_how", "doc_id"])
 
-    return docs.mapInArrow(task, "sig bigint, doc_id bigint, how short")
+    return docs.mapInArrow(task, "sig_how bigint, doc_id bigint")
 
 
 def _meet(kind_a, kind_b):
@@ -247,8 +271,9 @@ def _buckets(signatures: DataFrame) -> DataFrame:
             if batch is None:
                 rows = carried
             else:
-                sig, ids, how = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-                rows = [sig, ids, (how % KINDS).astype(np.int8), (how // KINDS).astype(np.int8)]
+                both, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                how = both & ((1 << HOW) - 1)
+                rows = [both >> HOW, ids, (how % KINDS).astype(np.int8), (how // KINDS - 1).astype(np.int8)]
                 if carried is not None:
                     rows = [np.concatenate(x) for x in zip(carried, rows, strict=True)]
             carried = None
@@ -289,7 +314,7 @@ def _buckets(signatures: DataFrame) -> DataFrame:
                         names=["sig", "doc_id", "other", "kind", "margin"],
                     )
 
-    ordered = signatures.repartition("sig").sortWithinPartitions("sig")
+    ordered = signatures.repartition(F.shiftright("sig_how", HOW)).sortWithinPartitions("sig_how")
     return ordered.mapInArrow(task, "sig bigint, doc_id bigint, other bigint, kind byte, margin byte")
 
 
@@ -323,11 +348,13 @@ def _ids(pairs: DataFrame, label: str) -> tuple[DataFrame, bool]:
 def _likely(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     """``a, b, apart`` of the pairs that their sizes and parities don't rule out.
 
-    Where the pairs' ids are few enough they pick the sketches that are shuffled; later rounds have few pairs.
+    Where the pairs' ids are few enough they pick the sketches that are shuffled, with half their bits:
+    sets that have little in common differ by more than a link allows even so.
     """
     ids, few = _ids(pairs, "ngram-likely-ids")
     if few:
         sketched = sketched.join(F.broadcast(ids), "doc_id", "left_semi")
+    sketched = _coarse(sketched)
     left = sketched.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = sketched.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     both = pairs.join(left, "a").join(right, "b").where(
@@ -407,7 +434,12 @@ def _connect(pairs: DataFrame, parts: DataFrame | None, sketched: DataFrame, doc
         .where("part_a <> part_b")
         .select("a", "b")
     )
-    links = stage(verified(rest, docs).select("a", "b"), "ngram-links")
+    return _connect_all(rest, parts, docs)
+
+
+def _connect_all(pairs: DataFrame, parts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The components, joined by all pairs that link; pairs lie between two components."""
+    links = stage(verified(pairs, docs).select("a", "b"), "ngram-links")
     if links.isEmpty():
         return parts
     return _parts(links.unionByName(_stars(parts)))
@@ -484,7 +516,8 @@ def _block_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     its rows there have a margin, so askers have to meet each other and the sets without one (-1).
     A bucket's sets are dealt into blocks of about ``BLOCK``, and a task row is one block's
     askers against another block; pairs exist inside the row only. These rows are dealt
-    by bucket and block, so a large bucket is many tasks' work. Two sets that
+    by bucket and block, so a large bucket is many tasks' work; a bucket of one block
+    stays where it was written. Two sets that
     both ask for a bucket are one pair there. An id whose rows have several texts is met by
     the sketches of each.
     """
@@ -501,12 +534,12 @@ def _block_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
         dealt.groupBy("sig", "block", "blocks").agg(F.collect_list(each).alias("members"), F.max("asks").alias("any")),
         "ngram-blocks",
     )
-    asking = blocks.where("any").select(
-        "sig",
-        F.filter("members", lambda m: m["asks"]).alias("asking"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
+    asks = F.filter("members", lambda m: m["asks"]).alias("asking")
+    asking = blocks.where("any AND blocks > 1").select(
+        "sig", asks, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
     )
-    both = asking.join(blocks.select("sig", "block", "members"), ["sig", "block"])
+    both = asking.join(blocks.where("blocks > 1").select("sig", "block", "members"), ["sig", "block"])
+    both = both.select("asking", "members").unionByName(blocks.where("blocks = 1").select(asks, "members"))
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, None, 1):
@@ -528,7 +561,7 @@ def _block_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
             a, b = np.concatenate(out_a), np.concatenate(out_b)
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return both.select("asking", "members").mapInArrow(task, "a bigint, b bigint")
+    return both.mapInArrow(task, "a bigint, b bigint")
 
 
 def _in_rounds(members: DataFrame, parts: DataFrame, sketched: DataFrame, docs: DataFrame) -> DataFrame:
@@ -537,9 +570,12 @@ def _in_rounds(members: DataFrame, parts: DataFrame, sketched: DataFrame, docs:
     After a round without a link the open buckets, and who asks for them, are those of the round before.
     """
     open_ = stage(_open(members, parts), "ngram-open")
-    pairs, above, upto, asking = _small_pairs(open_), SMALL, SMALL * GROWTH, None
+    pairs, above, upto, asking = None, SMALL, SMALL * GROWTH, None
     while True:
-        before, parts = parts, _connect(pairs.distinct(), parts, sketched, docs)
+        if pairs is None:
+            before, parts = parts, _connect(_small_pairs(open_).distinct(), parts, sketched, docs)
+        else:  # blocks have told them apart by all bits
+            before, parts = parts, _connect_all(pairs.distinct(), parts, docs)
         if parts is not before:
             open_ = stage(_open(open_.select("sig", "doc_id", "kind", "margin"), parts), "ngram-open")
         if asking is None or parts is not before:

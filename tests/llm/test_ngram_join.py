@@ -250,3 +250,60 @@ def test_signatures_have_48_bits():
         assert len(sig) and sig.min() >= 0 and sig.max() < 1 << 48
         near = [s for s, _ in ng._neighbourhoods(own, above)]
         assert max(s.max() for s in near) < 0 and min(s.min() for s in near) >= -(1 << 48)
+
+
+def whole(value, above):
+    sig, _, margin = ng._whole(value, np.array([0, len(value)]), above)
+    return set(sig.tolist()), int(margin[0])
+
+
+def test_links_share_more_than_their_reserve():
+    """Rows beyond the reserve are left out; what is left of a link's two sets still meets often enough."""
+    rng = random.Random(21)
+    met = 0
+    for _ in range(400):
+        x = words(rng, rng.choice([60, 130, 200, 300, 420]))
+        y = edited(rng, x, rng.choice([0, 0.01, 0.02, 0.03]))
+        y = y[: len(y) - rng.choice([0, 0, len(y) // 10, len(y) // 5])]
+        a, b = sorted((shingle_set(" ".join(w)) for w in (x, y)), key=len)
+        for one in (a, b):
+            for above in (0, 1):
+                sig, margin = whole(one, above)
+                _, _, allowed = ng.levels(len(one))[above]
+                assert margin <= ng.RESERVE
+                assert margin < 0 or len(sig) == allowed + 1 + margin
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared < 75 * (len(a) + len(b) - shared):
+            continue
+        level = ng.levels(len(b))[0][0]
+        above = [v for v, *_ in ng.levels(len(a))].index(level)
+        (left, spare_a), (right, spare_b) = whole(a, above), whole(b, 0)
+        assert len(left & right) > max(spare_a, spare_b)
+        met += min(spare_a, spare_b) >= 0
+    assert met > 50
+
+
+def test_pairs_move_half_of_long_sketches(spark):
+    rng = random.Random(22)
+    base = words(rng, 300)
+    texts = [(0, " ".join(base)), (1, " ".join(edited(rng, base, 0.01))), (2, " ".join(words(rng, 300))), (3, "a b c")]
+    sketched = stage(ng.sketches(spark.createDataFrame(texts, "doc_id LONG, text STRING")), "sketches")
+    full = {r["doc_id"]: len(r["bits"]) for r in sketched.collect()}
+    half = {r["doc_id"]: len(r["bits"]) for r in ng._coarse(sketched).collect()}
+    assert half == {0: full[0] // 2, 1: full[1] // 2, 2: full[2] // 2, 3: full[3]}
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a LONG, b LONG")
+    likely = ng._likely(pairs, sketched)
+    assert [(r["a"], r["b"]) for r in likely.collect()] == [(0, 1)]
+
+
+def test_pairs_of_blocks_are_not_sketched_again(spark, documents, monkeypatch):
+    """They come with all bits compared; only pairs of small buckets, twice, are told apart by sketches."""
+    monkeypatch.setattr(ng, "SMALL", 3)
+    monkeypatch.setattr(ng, "GROWTH", 2)
+    labels = []
+    monkeypatch.setattr(ng, "stage", lambda df, label: labels.append(label) or stage(df, label))
+    rng = random.Random(12)
+    passage = words(rng, 40)
+    check(spark, documents, [(i, " ".join(passage + words(rng, 12 + i % 3))) for i in range(40)])
+    assert labels.count("ngram-blocks") > 1
+    assert labels.count("ngram-likely") == 2
