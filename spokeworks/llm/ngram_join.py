@@ -521,7 +521,6 @@ def _block_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     both ask for a bucket are one pair there. An id whose rows have several texts is met by
     the sketches of each.
     """
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = rows.where("margin < 0 OR asker")
     sized = wanted.groupBy("sig").agg(F.max("asks").alias("any"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
     sketch = _only(sketched.select("doc_id", "n", "bits"), wanted.select("doc_id").distinct(), "left_semi").repartition("doc_id").distinct()
@@ -529,7 +528,6 @@ def _block_pairs(rows: DataFrame, sketched: DataFrame) -> DataFrame:
         wanted.join(sized.where("any").select("sig", "blocks"), "sig")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
         .join(sketch, "doc_id")
-        .repartition(tasks, "sig", "block")  # a given number: few bytes are much work here
     )
     each = F.struct("doc_id", "kind", "part", "n", "bits", "asks")
     blocks = stage(
